@@ -71,7 +71,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         base = base.select("id", "points", F.sha2("norm", 256).alias("text_sha256"), recipe.alias("recipe"))
     rows = materialize(base, "recipes")
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("e"), F.col("id").alias("id"))).alias("best")
-    groups = rows.groupBy("recipe").agg(best, F.count("*").alias("group_size"))
+    # written, so that both sides of the join are dealt anew and Spark can split a hot group
+    groups = materialize(rows.groupBy("recipe").agg(best, F.count("*").alias("group_size")), "groups")
     out = rows.join(groups, "recipe")
     return out.select(
         F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", F.col("id").eqNullSafe(F.col("best.id")).alias("kept"), "text_sha256"

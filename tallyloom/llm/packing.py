@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import deque
@@ -14,52 +15,64 @@ from pyspark.sql import types as T
 
 from ..shipping import map_arrow
 
-#: Words that stand for themselves under Unicode normalisation, so that offsets tell their tokens apart.
-_PLAIN = re.compile(r"[\x21-\x7e¡-¬®-ɏ]+")
+#: Letters that are one code point under Unicode normalisation and stay letters in lower case.
+_LETTER = "A-Za-zªºÀ-ÖØ-öø-įı-ž"
+#: Texts of these, ASCII signs and blanks are cut into the tokenizer's own pieces here; special tokens start with <|.
+_PLAIN = re.compile(rf"(?!.*<\|)[\t-\r -~{_LETTER}]*", re.S)
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\t-\r {_LETTER}0-9]+")
 
 
-class WordEncoder:
-    """Ids of whole texts by a tokenizers vocabulary whose tokens never span white space. Words are encoded once and
-    remembered, up to a bound; the ids are those of encoding the whole text."""
+class PieceEncoder:
+    """Ids of whole texts by a lower-casing tokenizers vocabulary whose tokens never span white space, and whose pieces are
+    contractions, runs of letters, single digits and runs of other signs. A piece is encoded once and remembered, up to a
+    bound; the ids are those of encoding the whole text. Texts with other characters are encoded word by word."""
 
-    def __init__(self, model: str, remembered: int = 400_000):
+    def __init__(self, model: str, remembered: int = 300_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(model)
         self._remembered, self._known = remembered, {}
         vocab = self._tokenizer.get_vocab()
         self.sentence_ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self._word_ends = self.sentence_ends.copy()
         for token, i in vocab.items():
             word = token.removesuffix("</w>")
+            self._word_ends[i] = word != token
             if word != token and word and set(word) <= set(".!?\"')") and set(word) & set(".!?"):
                 self.sentence_ends[i] = True
 
-    def encode(self, text: str | None) -> np.ndarray:
-        words = text.encode().split() if text else []  # at x20 and x09 to x0D, which no token spans
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; new pieces of all of them are learned together."""
+        cut = [_PIECES.findall(t.lower()) if _PLAIN.fullmatch(t) else [w.decode() for w in t.encode().split()] for t in (x or "" for x in texts)]
         known = self._known
-        new = list({w for w in words if w not in known})
+        new = {p for pieces in cut for p in pieces if p not in known}
+        if len(known) + len(new) > self._remembered:
+            known.clear()
+            new = {p for pieces in cut for p in pieces}
         if new:
-            if len(known) + len(new) > self._remembered:
-                known.clear()
-                new = list(set(words))
-            shown = [(w, w.decode()) for w in new]
-            plain = [x for x in shown if _PLAIN.fullmatch(x[1])]
-            for s in range(0, len(plain), 4096):
-                self._learn_joined(plain[s : s + 4096])
-            for w, t in shown:
-                if w not in known:
-                    known[w] = np.array(self._tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4")
-
-    def _learn_joined(self, words: list[tuple[bytes, str]]) -> None:
-        starts = np.cumsum([0, *(len(t) + 1 for _, t in words)])
-        e = self._tokenizer.encode(" ".join(t for _, t in words), add_special_tokens=False)
-        at = np.searchsorted(starts, np.array([o[0] for o in e.offsets], dtype=np.int64), side="right") - 1
-        ends = np.cumsum(np.bincount(at, minlength=len(words))).tolist()
-        raw, start = np.array(e.ids, dtype="<u4").tobytes(), 0
-        for (w, _), end in zip(words, ends, strict=False):
-            self._known[w] = raw[4 * start : 4 * end]
-            start = end
+            self._learn(new)
+        return [np.frombuffer(b"".join([known[p] for p in pieces]), dtype="<u4") for pieces in cut]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_all([text])[0]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Runs of lower-case letters are encoded in one go: of their tokens, the last ones alone end a word."""
+        known = self._known
+        letters = [p for p in pieces if p.isalpha() and p.islower() and _PLAIN.fullmatch(p)]
+        ids = self._encode(" ".join(letters))
+        ends = np.flatnonzero(self._word_ends[ids]) + 1
+        if len(ends) == len(letters):
+            raw, start = ids.tobytes(), 0
+            for p, end in zip(letters, ends.tolist(), strict=True):
+                known[p] = raw[4 * start : 4 * end]
+                start = end
+        rest = [p for p in pieces if p not in known]
+        for p, e in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[p] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
 
 def choose_cuts(places: np.ndarray, penalties: np.ndarray, total: int, window: int, inside: float) -> list[int]:
@@ -118,12 +131,13 @@ def split_tail(length: int) -> list[int]:
     return [1 << b for b in range(length.bit_length() - 1, -1, -1) if length >> b & 1]
 
 
-_loaded: dict[int, tuple[str, WordEncoder]] = {}
+_loaded: dict[int, tuple[str, PieceEncoder]] = {}
 
 
-def _encoder(model: str) -> WordEncoder:
+def _encoder(model: str) -> PieceEncoder:
     if 0 not in _loaded or _loaded[0][0] is not model and _loaded[0][0] != model:
-        _loaded[0] = model, WordEncoder(model)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        _loaded[0] = model, PieceEncoder(model)
     return _loaded[0][1]
 
 
@@ -195,12 +209,14 @@ def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
                 arrays.append(pa.array(columns[7], type=pa.list_(pa.int32())))
             return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-        size = 0
+        size, last_id = 0, np.array([end_id], dtype="<u4")
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encoder.encode(text.as_py()), np.array([end_id], dtype="<u4"))
-                held.append((doc, 0, len(ids), ids))
-                size += len(ids)
+            for s in range(0, batch.num_rows, 128):
+                part = batch.slice(s, 128)
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode_all(part.column(1).to_pylist()), strict=True):
+                    ids = np.concatenate([ids, last_id])
+                    held.append((doc, 0, len(ids), ids))
+                    size += len(ids)
                 if size >= stretch:
                     yield solve(False)
                     size = sum(len(h[3]) for h in held)

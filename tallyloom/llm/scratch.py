@@ -2,44 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import map_arrow
-
-_roots: dict[str, str] = {}
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the context may be gone at exit; a leftover folder is harmless
-        pass
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir; a temporary folder only in local mode with that setting unset."""
-    app = spark.sparkContext.applicationId
-    if app not in _roots:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not shared:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            shared = f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
-        _roots[app] = f"{shared.rstrip('/')}/tallyloom-{app}-{uuid.uuid4().hex[:8]}"
-        atexit.register(_delete, spark, _roots[app])
-    return _roots[app]
-
+from ..sources.scratch import delete, scratch_root
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors, gives exact size statistics."""
@@ -54,7 +27,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete a table that materialize() wrote, once nothing reads it any more."""
     if path := getattr(df, "_tallyloom_path", None):
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
 
 
 def is_empty(df: DataFrame) -> bool:
