@@ -20,7 +20,8 @@ class Forum:
         batch = table(self.spark, self.folder, name)
         if not self.streaming:
             return batch
-        return self.spark.readStream.schema(batch.schema).parquet(f"{self.folder}/{name}.parquet")
+        # a pattern that fits one name: the stream reader takes a plain path for a folder, and the table may be a file
+        return self.spark.readStream.schema(batch.schema).parquet(f"{self.folder}/{name}.parque[t]")
 
     @property
     def posts(self) -> DataFrame:
