@@ -17,8 +17,8 @@ from ..shipping import map_arrow
 
 #: Letters that are one code point under Unicode normalisation and stay letters in lower case.
 _LETTER = "A-Za-zªºÀ-ÖØ-öø-įı-ž"
-#: Texts of these, ASCII signs and blanks are cut into the tokenizer's own pieces here; special tokens start with <|.
-_PLAIN = re.compile(rf"(?!.*<\|)[\t-\r -~{_LETTER}]*", re.S)
+#: Texts of these, ASCII signs and blanks, without the <| of special tokens, are cut into the tokenizer's own pieces here.
+_PLAIN = re.compile(rf"[\t-\r -~{_LETTER}]*")
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\t-\r {_LETTER}0-9]+")
 
 
@@ -27,10 +27,13 @@ class PieceEncoder:
     contractions, runs of letters, single digits and runs of other signs. A piece is encoded once and remembered, up to a
     bound; the ids are those of encoding the whole text. Texts with other characters are encoded word by word."""
 
-    def __init__(self, model: str, remembered: int = 300_000):
-        from tokenizers import Tokenizer
+    def __init__(self, model: str, remembered: int = 1_000_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_str(model)
+        self._letters = Tokenizer.from_str(model)
+        self._letters.normalizer = None
+        self._letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._remembered, self._known = remembered, {}
         vocab = self._tokenizer.get_vocab()
         self.sentence_ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
@@ -43,37 +46,42 @@ class PieceEncoder:
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; new pieces of all of them are learned together."""
-        cut = [_PIECES.findall(t.lower()) if _PLAIN.fullmatch(t) else [w.decode() for w in t.encode().split()] for t in (x or "" for x in texts)]
-        known = self._known
-        new = {p for pieces in cut for p in pieces if p not in known}
-        if len(known) + len(new) > self._remembered:
-            known.clear()
-            new = {p for pieces in cut for p in pieces}
+        cut, words = [], set()
+        for t in texts:
+            if not t:
+                cut.append([])
+            elif "<|" not in t and _PLAIN.fullmatch(t):
+                cut.append(_PIECES.findall(t.lower()))
+            else:
+                cut.append([w.decode() for w in t.encode().split()])
+                words.update(cut[-1])
+        pieces = set().union(*cut)
+        new = pieces.difference(self._known)
+        if len(self._known) + len(new) > self._remembered:
+            self._known.clear()
+            new = pieces
         if new:
-            self._learn(new)
-        return [np.frombuffer(b"".join([known[p] for p in pieces]), dtype="<u4") for pieces in cut]
+            self._learn(new, words)
+        find = self._known.__getitem__
+        return [np.frombuffer(b"".join(map(find, x)), dtype="<u4") for x in cut]
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Runs of lower-case letters are encoded in one go: of their tokens, the last ones alone end a word."""
+    def _learn(self, pieces: set[str], words: set[str]) -> None:
+        """Runs of letters, cut from plain texts, need no further cutting and are encoded in one go: of their tokens, the last
+        ones alone end a word. Everything else is encoded by itself."""
         known = self._known
-        letters = [p for p in pieces if p.isalpha() and p.islower() and _PLAIN.fullmatch(p)]
-        ids = self._encode(" ".join(letters))
+        letters = [p for p in pieces if p[0].isalpha() and p not in words]
+        ids = np.array(self._letters.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.flatnonzero(self._word_ends[ids]) + 1
         if len(ends) == len(letters):
-            raw, start = ids.tobytes(), 0
-            for p, end in zip(letters, ends.tolist(), strict=True):
-                known[p] = raw[4 * start : 4 * end]
-                start = end
+            raw, ends = ids.tobytes(), (4 * ends).tolist()
+            known.update(zip(letters, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
         rest = [p for p in pieces if p not in known]
         for p, e in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[p] = np.array(e.ids, dtype="<u4").tobytes()
 
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
 
 def choose_cuts(places: np.ndarray, penalties: np.ndarray, total: int, window: int, inside: float) -> list[int]:
     """The cuts of a stream of `total` tokens, ascending, the last at total, into sequences of at most `window`.
