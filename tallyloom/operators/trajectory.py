@@ -94,6 +94,22 @@ def uses_vote_language(content: Column, pattern: str) -> Column:
     return F.coalesce(content.rlike(pattern), F.lit(False))
 
 
+def votes_if_mentioned(votes: DataFrame, posts: DataFrame, comments: DataFrame | None, pattern: str) -> DataFrame:
+    """The votes of those views in which an actor's post, or comment where comments count, speaks of voting."""
+    said = posts.filter("author_role = 'actor'").select("session_id", "viewer", "content")
+    if comments is not None:
+        said = said.union(comments.filter("author_role = 'actor'").select("session_id", "viewer", "content"))
+    views = said.groupBy("session_id", "viewer").agg(F.bool_or(uses_vote_language(F.col("content"), pattern)).alias("_said"))
+    return votes.join(views.filter("_said").drop("_said"), ["session_id", "viewer"], "left_semi")
+
+
+def anonymous_voters(votes: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Votes with a drawn wording in place of each judge's name."""
+    titled = votes.join(sessions.select("session_id", F.col("title").alias("_title")), "session_id")
+    drawn = pick("anonymous_voter", F.col("_title"), F.concat(F.lit("V"), F.col("vote_id").cast("string")))
+    return titled.withColumn("voter_name", F.when(F.col("voter_role") == "judge", drawn).otherwise(F.col("voter_name"))).drop("_title")
+
+
 def with_running_scores(entries: DataFrame) -> DataFrame:
     """Vote entries with cur_score, the target's sum over the votes that the viewer has been shown; own votes go."""
     shown = entries.filter(~((F.col("kind") == "vote") & (F.col("author") == F.col("viewer"))))

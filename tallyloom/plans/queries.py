@@ -737,7 +737,7 @@ def length_truncate(f: Forum) -> DataFrame:
 
 
 @query("""
-SELECT vec_id, round(sum(CASE WHEN pos // 8 % 2 = 1 AND pos // 16 < 3 THEN pos // 16 + 1.5 ELSE 0 END), 6) AS total, count(*) AS n FROM (SELECT vec_id, unnest(range(len(embedding))) AS pos FROM embeddings) GROUP BY 1
+SELECT vec_id, round(CAST(sum(CASE WHEN pos // 8 % 2 = 1 AND pos // 16 < 3 THEN pos // 16 + 1.5 ELSE 0 END) AS DOUBLE), 6) AS total, count(*) AS n FROM (SELECT vec_id, unnest(range(len(embedding))) AS pos FROM embeddings) GROUP BY 1
 """, views=False)
 def turn_broadcast(f: Forum) -> DataFrame:
     segments = F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda p: F.when(F.floor(p / 8) % 2 == 1, F.floor(p / 16) + 1).otherwise(0).cast("int"))

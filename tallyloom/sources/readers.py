@@ -124,7 +124,9 @@ def latest_step(entries: DataFrame) -> DataFrame:
 def complete_samples(lines: DataFrame) -> DataFrame:
     """Whether each file of lines (path, at, line) is a complete sample file: 100 bytes or more, its first and last lines
     objects with messages and turn_advantages."""
-    ok = lambda c: F.coalesce(F.get_json_object(c, "$.messages").isNotNull() & F.get_json_object(c, "$.turn_advantages").isNotNull(), F.lit(False))
+    # a line that is no JSON object parses to nulls
+    parsed = lambda c: F.from_json(c, "messages array<string>, turn_advantages array<string>")
+    ok = lambda c: F.coalesce(parsed(c)["messages"].isNotNull() & parsed(c)["turn_advantages"].isNotNull(), F.lit(False))
     full = lines.filter(F.length(F.trim("line")) > 0)
     out = full.groupBy("path").agg(F.sum(F.octet_length("line") + 1).alias("bytes"), F.min_by("line", "at").alias("first"), F.max_by("line", "at").alias("last"))
     return out.select("path", ((F.col("bytes") >= 100) & ok("first") & ok("last")).alias("complete"))
