@@ -88,7 +88,7 @@ def title_index(pool: DataFrame, order_col: str) -> DataFrame:
 
 def key_values(spark: SparkSession, path: str) -> DataFrame:
     """(path, key, value) of `key: value` text files: the first colon splits, the last line of a key wins."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     lines = raw.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("at", "line")).filter(F.col("line").contains(":"))
     pair = F.split("line", ":", 2)
     lines = lines.select("path", "at", strip(pair[0]).alias("key"), strip(pair[1]).alias("value"))
@@ -134,7 +134,7 @@ def complete_samples(lines: DataFrame) -> DataFrame:
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, at, line) of text files; at is the line's number."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return raw.select("path", F.posexplode(F.split("value", "\n")).alias("at", "line"))
 
 
