@@ -126,7 +126,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", embedding_col:
     same = some.groupBy("embedding").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     # a name of its own for each distinct vector: ids may be null or repeat between vectors
     names = materialize(same.withColumn("at", F.monotonically_increasing_id()), "vectors")
-    widths = [r[0] for r in names.select(F.size("embedding")).distinct().limit(1000).collect()]
+    widths = [r[0] for r in names.select(F.size("embedding")).distinct().collect()]
     found = None
     for width in widths:
         part = names.filter(F.size("embedding") == width).select(F.col("at").alias("id"), "copies", "embedding")
