@@ -128,7 +128,8 @@ def without_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = runs.select("d", "t", F.explode(F.sequence("start", F.col("end") - 1)).alias("i"))
     gone = materialize(gone.groupBy("d", "t").agg(F.sort_array(F.collect_set("i")).alias("_gone")), "removed")
     gone = gone.withColumnRenamed("d", "_d").withColumnRenamed("t", "_t")
-    keyed = docs.join(gone, docs[id_col].eqNullSafe(F.col("_d")) & (F.xxhash64(docs[text_col]) == F.col("_t")), "left")
+    # the same plan at every size: both sides are dealt by document
+    keyed = docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(F.col("_d")) & (F.xxhash64(docs[text_col]) == F.col("_t")), "left")
     lines = F.split(F.col(text_col), "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left).alias(text_col)
