@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .scratch import is_empty, materialize, running_totals
+from .scratch import discard, is_empty, materialize, running_totals
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -45,6 +45,7 @@ def suffix_ranks(lines: DataFrame, longest: int) -> tuple[DataFrame, list[int]]:
     keyed = materialize(keyed, "lines")
     ids = _ranked(keyed.select("key"), ["key"], "lineids")
     active = materialize(keyed.join(ids, "key").select("d", "t", "i", "weight", F.col("rank").alias("r1")), "suffixes")
+    discard(keyed)
     lengths = [1]
     while lengths[-1] * 2 <= longest:
         k = lengths[-1]
@@ -54,9 +55,13 @@ def suffix_ranks(lines: DataFrame, longest: int) -> tuple[DataFrame, list[int]]:
         both = paired.select("_a", "_b").filter("_a is not null and _b is not null")
         ranks = _ranked(both, ["_a", "_b"], f"suffix{2 * k}")
         if is_empty(ranks):
+            discard(paired)
             break
         joined = paired.join(ranks, ["_a", "_b"], "left").drop("_a", "_b").withColumnRenamed("rank", f"r{2 * k}")
-        active = materialize(joined.select(*active.columns, f"r{2 * k}"), "suffixes")
+        longer = materialize(joined.select(*active.columns, f"r{2 * k}"), "suffixes")
+        for table in (active, paired, ranks):
+            discard(table)
+        active = longer
         lengths.append(2 * k)
     return active, lengths
 
