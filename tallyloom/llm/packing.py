@@ -24,7 +24,7 @@ _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\t-\r {_LET
 
 class PieceEncoder:
     """Ids of whole texts by a lower-casing tokenizers vocabulary whose tokens never span white space, and whose pieces are
-    contractions, runs of letters, single digits and runs of other signs. A piece is encoded once and remembered, up to a
+    contractions, runs of letters, single digits and runs of other signs. Words are encoded once and remembered, up to a
     bound; the ids are those of encoding the whole text. Texts with other characters are encoded word by word."""
 
     def __init__(self, model: str, remembered: int = 1_000_000):
@@ -33,6 +33,7 @@ class PieceEncoder:
         self._tokenizer = Tokenizer.from_str(model)
         self._letters = Tokenizer.from_str(model)
         self._letters.normalizer = None
+        self._letters.model._resize_cache(0)  # each run of letters comes once
         self._letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._remembered, self._known = remembered, {}
         vocab = self._tokenizer.get_vocab()
@@ -45,42 +46,46 @@ class PieceEncoder:
                 self.sentence_ends[i] = True
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text; new pieces of all of them are learned together."""
-        cut, words = [], set()
+        """The ids of each text; new words of all of them are learned together."""
+        cut, whole = [], set()
         for t in texts:
             if not t:
                 cut.append([])
             elif "<|" not in t and _PLAIN.fullmatch(t):
-                cut.append(_PIECES.findall(t.lower()))
+                cut.append(t.lower().split())
             else:
                 cut.append([w.decode() for w in t.encode().split()])
-                words.update(cut[-1])
-        pieces = set().union(*cut)
-        new = pieces.difference(self._known)
+                whole.update(cut[-1])
+        words = set().union(*cut)
+        new = words.difference(self._known)
         if len(self._known) + len(new) > self._remembered:
             self._known.clear()
-            new = pieces
+            new = words
         if new:
-            self._learn(new, words)
+            self._learn(new, whole)
         find = self._known.__getitem__
         return [np.frombuffer(b"".join(map(find, x)), dtype="<u4") for x in cut]
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
 
-    def _learn(self, pieces: set[str], words: set[str]) -> None:
-        """Runs of letters, cut from plain texts, need no further cutting and are encoded in one go: of their tokens, the last
-        ones alone end a word. Everything else is encoded by itself."""
+    def _learn(self, words: set[str], whole: set[str]) -> None:
+        """Words of plain texts are cut into pieces. Runs of letters are encoded in one go: of their tokens, the last ones alone
+        end a run. Other pieces, and the words in `whole`, are encoded by themselves."""
         known = self._known
-        letters = [p for p in pieces if p[0].isalpha() and p not in words]
+        mixed = {w: _PIECES.findall(w) for w in words if not w.isalpha() and w not in whole}
+        pieces = {w for w in words if w.isalpha() and w not in whole}.union(*mixed.values()).difference(known)
+        letters = [p for p in pieces if p[0].isalpha()]
         ids = np.array(self._letters.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.flatnonzero(self._word_ends[ids]) + 1
         if len(ends) == len(letters):
             raw, ends = ids.tobytes(), (4 * ends).tolist()
             known.update(zip(letters, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-        rest = [p for p in pieces if p not in known]
+        rest = [p for p in pieces.union(words & whole) if p not in known]
         for p, e in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[p] = np.array(e.ids, dtype="<u4").tobytes()
+        find = known.__getitem__
+        known.update([(w, b"".join(map(find, x))) for w, x in mixed.items()])
 
 
 def choose_cuts(places: np.ndarray, penalties: np.ndarray, total: int, window: int, inside: float) -> list[int]:
@@ -96,36 +101,44 @@ def choose_cuts(places: np.ndarray, penalties: np.ndarray, total: int, window: i
     at = [0, *places.tolist(), total]
     cost = [0.0, *penalties.tolist(), 0.0]
     n = len(at)
-    best, source = [0.0] * n, [0] * n
+    source, value = [0] * n, [0.0] * n
     near: deque = deque()  # places at most one window back, best(i) + i ascending
     far: deque = deque()  # places between one and two windows back
-    value = [0.0] * n
     entered = 0  # places before it have left the near range for the far one
+    edge = at[0] + window  # up to here, no place leaves the near range
     for j in range(1, n):
         here, i = at[j], j - 1
-        v = value[i] = best[i] + at[i]
+        v = value[i]
         while near and value[near[-1]] >= v:
             near.pop()
         near.append(i)
-        while at[entered] < here - window:
-            v = value[entered]
-            while far and value[far[-1]] >= v:
-                far.pop()
-            far.append(entered)
-            entered += 1
-        while near and at[near[0]] < here - window:
-            near.popleft()
+        if here > edge:
+            back = here - window
+            while at[entered] < back:
+                v = value[entered]
+                while far and value[far[-1]] >= v:
+                    far.pop()
+                far.append(entered)
+                entered += 1
+            edge = at[entered] + window
+            while near and near[0] < entered:
+                near.popleft()
         while far and at[far[0]] < here - 2 * window:
             far.popleft()
-        low, from_ = float("inf"), i
         if near:
-            low, from_ = value[near[0]] + window - here, near[0]
-        if far and (c := value[far[0]] + 2 * window - here + inside) < low:
-            low, from_ = c, far[0]
-        if not near and not far:
-            k = -(-(here - at[i]) // window)
-            low, from_ = value[i] + k * window - here + (k - 1) * inside, i
-        best[j], source[j] = low + cost[j], from_
+            from_ = near[0]
+            low = value[from_] + window
+            if far and value[far[0]] + 2 * window + inside < low:
+                from_ = far[0]
+                low = value[from_] + 2 * window + inside
+        elif far:
+            from_ = far[0]
+            low = value[from_] + 2 * window + inside
+        else:
+            from_, k = i, -(-(here - at[i]) // window)
+            low = value[i] + k * window + (k - 1) * inside
+        source[j] = from_
+        value[j] = low + cost[j]  # best(j) + j
     cuts, j = [], n - 1
     while j:
         i = source[j]
