@@ -118,6 +118,7 @@ def repeated_runs(lines: DataFrame, min_words: int = 50) -> DataFrame:
     kind = active.schema["d"].dataType.simpleString()
     found = materialize(map_arrow(stretches, ranges, f"d {kind}, t long, s long, w long, k long, x long, y long"), "ranges")
     groups = found.groupBy("w", "k", "x", "y").agg(F.min(F.struct("d", "t", "s")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    groups = materialize(groups, "intervals")  # so that both sides of the join are dealt anew and Spark can split a hot interval
     later = found.join(groups, ["w", "k", "x", "y"]).filter(~F.struct("d", "t", "s").eqNullSafe(F.col("first")))
     return later.select("d", "t", F.col("s").cast("int").alias("start"), (F.col("s") + F.col("w")).cast("int").alias("end"))
 
