@@ -60,24 +60,31 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision; scaled first, so that no square overflows."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def link_vectors(vectors: DataFrame, width: int, threshold: float, tables: int, probes: int, seed: int, block: int) -> DataFrame:
     """(kind, a, b, n) over distinct unit directions (id, embedding, copies): kind 0 tells that a has n links found in one
     block, weighted by the copies of the other end; kind 1 links a and b, a star for each component of a block's links.
 
     Each pair is verified in double precision in every bucket that both share, but counted in the first one only.
     """
-    schema = "key long, id long, copies long, embedding array<double>, codes array<long>"
+    kind = vectors.schema["embedding"].dataType
+    schema = f"key int, id long, copies long, embedding {kind.simpleString()}, codes array<int>"
 
     def index(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column("embedding"), width).astype(np.float64)
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            codes = polytope_codes(unit, tables, probes, seed).reshape(len(x), -1)
+            x = _matrix(batch.column("embedding"), width)
+            codes = polytope_codes(_unit(x), tables, probes, seed).astype(np.int32).reshape(len(x), -1)
             m = codes.shape[1]
             for s in range(0, len(x), 256):
-                part, c = unit[s : s + 256], codes[s : s + 256]
+                part, c = x[s : s + 256], codes[s : s + 256]
                 n = len(part)
                 rows = np.repeat(np.arange(n), m)
                 lists = lambda v, w: pa.ListArray.from_arrays(np.arange(0, (len(v) + 1) * w, w, dtype=np.int32), pa.array(v.reshape(-1)))
@@ -86,7 +93,7 @@ def link_vectors(vectors: DataFrame, width: int, threshold: float, tables: int,
 
     def compare(table, own, first, last):
         key, ids, copies = (table.column(c).to_numpy() for c in ("key", "id", "copies"))
-        x = _matrix(table.column("embedding"), width)
+        x = _unit(_matrix(table.column("embedding"), width))
         codes = _matrix(table.column("codes"), tables * probes).reshape(-1, tables, probes)
         for i, j in near_pairs(first, last, own, 1 << 16):
             near = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
@@ -97,7 +104,7 @@ def link_vectors(vectors: DataFrame, width: int, threshold: float, tables: int,
             yield pa.table({"kind": np.ones(len(a), dtype=np.int32), "a": ids[a], "b": ids[b], "n": np.zeros(len(a), dtype=np.int64)})
             shared = codes[i][:, :, :, None] == codes[j][:, :, None, :]
             at = shared.any(axis=(2, 3)).argmax(axis=1)
-            mine = np.where(shared[np.arange(len(i)), at].any(axis=2), codes[i, at], np.iinfo(np.int64).max).min(axis=1)
+            mine = np.where(shared[np.arange(len(i)), at].any(axis=2), codes[i, at], np.iinfo(np.int32).max).min(axis=1)
             counted = mine == key[i]
             i, j = i[counted], j[counted]
             if len(i):
@@ -109,7 +116,7 @@ def link_vectors(vectors: DataFrame, width: int, threshold: float, tables: int,
     return compare_in_buckets(keyed, "key", "id", compare, "kind int, a long, b long, n long", block)
 
 
-def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", embedding_col: str = "embedding", threshold: float = 0.9, tables: int = 10, probes: int = 3, seed: int = 7, block: int = 512) -> DataFrame:
+def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", embedding_col: str = "embedding", threshold: float = 0.9, tables: int = 8, probes: int = 3, seed: int = 7, block: int = 512) -> DataFrame:
     """One row for each row of vectors: id_col, n_links, component_id, kept.
 
     Two vectors are linked where the cosine in double precision reaches the threshold. Vectors that are null, empty,
