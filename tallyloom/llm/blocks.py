@@ -11,7 +11,7 @@ from ..shipping import map_arrow
 from .scratch import discard, is_empty, materialize
 
 
-def compare_in_buckets(rows: DataFrame, key: str, member: str, compare, schema: str, block: int = 512) -> DataFrame:
+def compare_in_buckets(rows: DataFrame, key: str, member: str, compare, schema: str, block: int = 512, sizes: DataFrame | None = None) -> DataFrame:
     """Run compare on all members of each bucket, so that each pair of a bucket's members meets in exactly one call.
 
     rows has one row for each (bucket, member). A bucket of more than `block` members is dealt into blocks by a hash
@@ -19,8 +19,10 @@ def compare_in_buckets(rows: DataFrame, key: str, member: str, compare, schema:
     a bucket, whatever the bucket's size, and no member is left out. compare(table, own, first, last) gets sorted rows
     of many buckets: first and last hold each bucket task's row range, own the block of each row, or -1 where all
     pairs in the range count; pairs of one own block are skipped where the two blocks differ. It yields pyarrow tables.
+    sizes (key, _n) has upper bounds for the members of the buckets that may have more than a block, if these are known.
     """
-    many = materialize(rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > block), "buckets")
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n")) if sizes is None else sizes
+    many = materialize(sizes.filter(F.col("_n") > block), "buckets")
     if is_empty(many):
         discard(many)
         dealt = rows.withColumn("_a", F.lit(0)).withColumn("_b", F.lit(0)).withColumn("_own", F.lit(-1))

@@ -1,8 +1,8 @@
 """SimHash near-duplicates: fingerprints of word shingles, linked by deletion-variant signatures.
 
-Two 64-bit fingerprints that differ in at most three bits differ in at most one bit in one of their 32-bit halves. Each
-half is indexed under its 32 variants with one bit left out, so such halves share a variant; equal variants are joined
-and the whole fingerprints verified.
+Two 64-bit fingerprints that differ in at most three bits differ in at most one bit in one of their 32-bit halves; with five
+bits, in one of three segments. Each segment is indexed under its variants with one bit left out, so such segments share
+a variant; equal variants are joined and the whole fingerprints verified.
 """
 
 from __future__ import annotations
@@ -52,20 +52,31 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", words: int = 3) -
     return docs.withColumn("fp", fp(F.col(text_col)))
 
 
+def segments(most_bits: int) -> list[tuple[int, int]]:
+    """(offset, width) of the segments, the fewest of which one differs by one bit at most."""
+    m = most_bits // 2 + 1
+    widths = [64 // m + (k < 64 % m) for k in range(m)]
+    if widths[0] > 32:
+        raise ValueError("two or more bits are needed for segments of 32 bits at most")
+    return [(sum(widths[:k]), w) for k, w in enumerate(widths)]
+
+
 def link_fingerprints(prints: DataFrame, most_bits: int = 3, block: int = 2048) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp) that join all pairs with at most three differing bits.
+    """(a, b): links between distinct fingerprints (column fp) that join all pairs with at most most_bits differing bits.
 
     Every pair of that distance is compared, but of each compared block only a star for each of its components is
-    returned, so the links stay in proportion to the fingerprints however many lie close together.
+    returned, so the links stay in proportion to the fingerprints however many lie close together. How many
+    fingerprints share a variant is bounded by how many share the two segments that it stands for, so that only two
+    or three rows for each fingerprint are counted.
     """
-    if most_bits > 3:
-        raise ValueError("two halves find up to three differing bits")
-    half = F.when(F.col("s") == 0, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(0xFFFFFFFF))
-    keys = prints.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("s")).select("fp", "s", half.alias("half"))
-    keys = keys.select("fp", "s", "half", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("p"))
-    # segment, place of the wildcard, and the half with that bit cleared
-    cleared = F.expr("half & ~shiftleft(1L, p)")
-    keys = keys.select(((F.col("s") * 32 + F.col("p")).cast("long") * (1 << 32) + cleared).alias("key"), "fp")
+    parts = [F.struct(F.lit(k).alias("s"), F.lit(w).alias("w"), F.shiftrightunsigned("fp", o).bitwiseAND((1 << w) - 1).alias("v")) for k, (o, w) in enumerate(segments(most_bits))]
+    cut = prints.select("fp", F.explode(F.array(*parts)).alias("x")).select("fp", "x.s", "x.w", "x.v")
+    # segment, place of the wildcard, and the segment with that bit cleared
+    places = F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("p")
+    key = ((F.col("s") * 32 + F.col("p")).cast("long") * (1 << 32) + F.expr("v & ~shiftleft(1L, p)")).alias("key")
+    keys = cut.select("fp", "s", "v", places).select(key, "fp")
+    crowded = cut.groupBy("s", "w", "v").agg(F.count("*").alias("n")).filter(F.col("n") > block // 2)
+    sizes = crowded.select("s", "v", "n", places).groupBy(key).agg((F.sum("n") + block // 2).alias("_n"))
 
     def compare(table, own, first, last):
         fp = table.column("fp").to_numpy()
@@ -77,7 +88,7 @@ def link_fingerprints(prints: DataFrame, most_bits: int = 3, block: int = 2048)
                 pair = np.unique(np.stack([fp[a], fp[b]], axis=1), axis=0)
                 yield pa.table({"a": pair[:, 0], "b": pair[:, 1]})
 
-    return compare_in_buckets(keys, "key", "fp", compare, "a long, b long", block)
+    return compare_in_buckets(keys, "key", "fp", compare, "a long, b long", block, sizes)
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, most_bits: int) -> DataFrame:
@@ -107,7 +118,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return rows.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, most_bits: int = 3) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most_bits: int = 5) -> DataFrame:
     """The rows of docs without near-duplicates: of each group the row with the smallest id stays, in all its columns.
 
     Of rows that repeat this id one stays; of a group without any id, one row stays.

@@ -45,9 +45,9 @@ def fingerprint(text, words=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def simhash(rows, words=3):
+def simhash(rows, words=3, bits=3):
     prints = {i: fingerprint(t, words) for i, t in rows}
-    links = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
+    links = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= bits]
     roots = components(prints, links)
     return {i: (f"{p:016x}", roots[i]) for i, p in prints.items()}
 
