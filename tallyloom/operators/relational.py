@@ -116,3 +116,23 @@ def deliveries(items: DataFrame, recipients: DataFrame) -> DataFrame:
     joined = items.join(recipients.select("session_id", "recipient"), "session_id").filter(~F.col("author").eqNullSafe(F.col("recipient")))
     place = F.row_number().over(Window.partitionBy("session_id", "recipient").orderBy("type_rank", "item_id"))
     return joined.withColumn("author", author).withColumn("place", place)
+
+
+def newest_first(sessions: DataFrame, time: str = "created_at", key: str = "session_id") -> DataFrame:
+    return sessions.orderBy(F.col(time).desc(), key)
+
+
+def missing_keys(base: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Keys of base that other lacks."""
+    return base.select(key).distinct().join(other, key, "left_anti")
+
+
+def rendered_items(items: DataFrame) -> DataFrame:
+    """(session_id, text): items (type_rank, item_id, line) of each session joined by blank lines in delivery order."""
+    listed = F.sort_array(F.collect_list(F.struct("type_rank", "item_id", "line")))
+    return items.groupBy("session_id").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n\n").alias("text"))
+
+
+def runs_named(runs: DataFrame, part: str, name: str = "run") -> DataFrame:
+    """Runs whose name holds a text."""
+    return runs.filter(F.contains(F.col(name), F.lit(part)))

@@ -44,6 +44,12 @@ def draw_schedule(pool: DataFrame, key: str, seed: str, n: int, batch: int) -> D
     return chosen.withColumn("place", place).withColumn("batch", F.floor(F.col("place") / batch).cast("int"))
 
 
+def first_seen_ids(rows: DataFrame, group: str, item: str, order: str) -> DataFrame:
+    """(group, item, local_id): items numbered from 1 in the order in which a group first shows them."""
+    first = rows.groupBy(group, item).agg(F.min(order).alias("_first"))
+    return first.withColumn("local_id", F.row_number().over(Window.partitionBy(group).orderBy("_first", item))).drop("_first")
+
+
 def iterations(spark, epochs: int, rounds: int) -> DataFrame:
     """(epoch from 1, round from 0, iteration from 1)."""
     grid = spark.range(1, epochs + 1).select(F.col("id").alias("epoch")).crossJoin(spark.range(rounds).select(F.col("id").alias("round")))

@@ -65,6 +65,15 @@ def compare_policies(rows: DataFrame, tag: str = "tag", reward: str = "reward",
     )
 
 
+def sweep_summary(reports: dict[str, DataFrame]) -> DataFrame:
+    """One row for each cell of a sweep, in the order of their names: the union of the cells' one-row reports."""
+    out = None
+    for cell, report in sorted(reports.items()):
+        part = report.select(F.lit(cell).alias("cell"), *report.columns)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out.orderBy("cell")
+
+
 def mean_posts(sessions: DataFrame, posts: str = "posts") -> DataFrame:
     return sessions.agg(F.sum(F.size(posts)).alias("n_posts"), F.avg(F.size(posts)).alias("mean_posts"))
 

@@ -72,8 +72,11 @@ def timeline(posts: DataFrame, comments: DataFrame | None = None, votes: DataFra
         part = votes.join(targets, ["session_id", "viewer", "target_type", "target_id"])
         part = part.select(*names, F.lit(2).alias("type_rank"), F.col("vote_id").alias("order_id"), F.lit("vote").alias("kind"), F.col("vote_id").alias("entry_id"), F.col("voter_name").alias("author"), F.col("voter_role").alias("author_role"), "value", "previous_value", "target_type", "target_id", "target_local_id")
         out = out.unionByName(part, allowMissingColumns=True)
-    absent = {"local_post_id": "int", "value": "int", "previous_value": "int", "target_type": "string", "target_id": "long", "target_local_id": "int"}
-    return out.withColumns({c: F.lit(None).cast(kind) for c, kind in absent.items() if c not in out.columns})
+    return out
+
+
+#: Columns that a timeline lacks without comments or votes.
+_ABSENT = {"local_post_id": "int", "value": "int", "previous_value": "int", "target_type": "string", "target_id": "long", "target_local_id": "int", "cur_score": "long"}
 
 
 def turn_segments(entries: DataFrame) -> DataFrame:
@@ -155,7 +158,10 @@ def trajectories(entries: DataFrame, sessions: DataFrame, rewards: DataFrame, na
     else:
         entries = entries.withColumn("_shown_title", F.col("_title")).withColumn("_self", F.col("viewer"))
     keys = ["session_id", "_self", "_title", "_shown_title"]
-    seg = turn_segments(with_running_scores(entries.withColumn("viewer", F.col("_self"))))
+    entries = entries.withColumn("viewer", F.col("_self"))
+    if "value" in entries.columns:  # else there are no votes, and nothing to sum
+        entries = with_running_scores(entries)
+    seg = turn_segments(entries.withColumns({c: F.lit(None).cast(kind) for c, kind in _ABSENT.items() if c not in entries.columns}))
     if not coupled:
         seg = seg.filter("is_self or kind <> 'post'")
     seed = F.col("_title")

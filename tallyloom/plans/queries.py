@@ -15,7 +15,7 @@ from ..operators import scoring as C
 from ..operators import tokens as K
 from ..operators import trajectory as J
 from ..operators import votes as V
-from ..sources import sinks
+from ..sources import readers, sinks
 from ..sources.scratch import scratch_root
 from ..streaming import forum as streaming
 from .forum import VIEWS, Forum
@@ -38,6 +38,11 @@ def _md5(t: str) -> str:
     return f"('0x' || substr(md5({t}), 1, 8))::BIGINT"
 
 
+def _pick_sql(key: str, seed: str) -> str:
+    values = ", ".join("'" + v.replace("'", "''") + "'" for v in templates.pool(key))
+    return f"([{values}])[{_md5(f"'template:{key}:' || {seed}")} % {len(templates.pool(key))} + 1]"
+
+
 # ---- rewards and advantages
 
 
@@ -233,6 +238,33 @@ def deliveries(f: Forum) -> DataFrame:
     return R.deliveries(posts.union(votes), who).select("session_id", "recipient", "kind", "item_id", "author", "place")
 
 
+@query(", l AS (SELECT session_id, max(created_at) AS last_post FROM posts GROUP BY 1) SELECT session_id, last_post FROM l ORDER BY last_post DESC, session_id LIMIT 20")
+def sessions_newest_first(f: Forum) -> DataFrame:
+    """A report of the twenty sessions with the newest posts."""
+    return R.newest_first(f.posts.groupBy("session_id").agg(F.max("created_at").alias("last_post")), "last_post").limit(20)
+
+
+@query("SELECT DISTINCT c_nationkey AS nation FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 5)", views=False)
+def missing_keys(f: Forum) -> DataFrame:
+    return R.missing_keys(f.table("customer").select(F.col("c_nationkey").alias("nation")), f.table("supplier").filter("s_suppkey < 5").select(F.col("s_nationkey").alias("nation")), "nation")
+
+
+@query("""
+, i AS (SELECT session_id, 0 AS r, post_id AS k, 'P_' || post_id || ' ' || author || ': ' || content AS line FROM posts UNION ALL SELECT session_id, 1, comment_id, 'C_' || comment_id || ' ' || author || ': ' || content FROM placed_comments)
+SELECT session_id, md5(string_agg(line, chr(10) || chr(10) ORDER BY r, k)) AS digest FROM i GROUP BY 1
+""")
+def rendered_items(f: Forum) -> DataFrame:
+    line = lambda mark, key: F.concat(F.lit(mark), F.col(key).cast("string"), F.lit(" "), "author", F.lit(": "), "content").alias("line")
+    items = f.posts.select("session_id", F.lit(0).alias("type_rank"), F.col("post_id").alias("item_id"), line("P_", "post_id"))
+    items = items.union(R.comments_in_sessions(f.comments, f.posts).select("session_id", F.lit(1), "comment_id", line("C_", "comment_id")))
+    return R.rendered_items(items).select("session_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE contains(p_brand, '1')", views=False)
+def runs_named(f: Forum) -> DataFrame:
+    return R.runs_named(f.table("part").select("p_partkey", "p_brand"), "1", "p_brand")
+
+
 # ---- votes
 
 
@@ -416,7 +448,33 @@ def trajectory_arrays(f: Forum) -> DataFrame:
     return samples.select("session_id", "actor", join("turn_rewards", "int").alias("rewards"), join("turn_post_ids", "long").alias("post_ids"), join("turn_trainable", "boolean").alias("trainable"), total.alias("advantage_sum"), F.size("messages").cast("long").alias("n_messages"))
 
 
-@query()
+_MESSAGES = f"""
+, vp AS (SELECT p.*, a.viewer, row_number() OVER (PARTITION BY p.session_id, a.viewer ORDER BY post_id) AS local_id FROM posts p JOIN actors a USING (session_id)),
+vc AS (SELECT c.*, a.viewer, row_number() OVER (PARTITION BY c.session_id, a.viewer ORDER BY comment_id) AS local_id FROM placed_comments c JOIN actors a USING (session_id)),
+tl AS (
+  SELECT session_id, viewer, created_at, 0 AS type_rank, local_id, 0 AS local_post_id, 'P' AS kind, post_id AS id, author, content FROM vp
+  UNION ALL SELECT vc.session_id, vc.viewer, vc.created_at, 1, vc.local_id, coalesce(vp.local_id, 0), 'C', comment_id, vc.author, vc.content FROM vc LEFT JOIN vp USING (session_id, viewer, post_id)
+), seg AS (
+  SELECT tl.*, title, kind = 'P' AND author = viewer AS own, coalesce(sum(CAST(kind = 'P' AND author = viewer AS INT)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn,
+    sum(CAST(kind = 'P' AND author = viewer AS INT)) OVER (PARTITION BY session_id, viewer) AS turns, row_number() OVER w AS place FROM tl JOIN sessions USING (session_id)
+  WINDOW w AS (PARTITION BY session_id, viewer ORDER BY created_at, type_rank, local_id, id, author)
+), txt AS (
+  SELECT *, replace(replace(replace(replace(CASE WHEN kind = 'P' THEN {_pick_sql("post_header", "title || ':P' || id")} ELSE {_pick_sql("comment_header", "title || ':C' || id")} END,
+    '{{local_id}}', local_id::VARCHAR), '{{local_post_id}}', local_post_id::VARCHAR), '{{author}}', author), '{{is_you}}', CASE WHEN author = viewer THEN {_pick_sql("you_marker", "title || ':' || kind || id")} ELSE '' END)
+    || chr(10) || content || chr(10) AS text FROM seg WHERE turn < turns
+), turned AS (
+  SELECT session_id, viewer, title, turn, coalesce(regexp_replace(string_agg(text, chr(10) ORDER BY place) FILTER (NOT own), '^\\s+|\\s+$', '', 'g'), '') AS updates, max(content) FILTER (own) AS content FROM txt GROUP BY ALL
+), asked AS (
+  SELECT *, CASE WHEN turn = 0 THEN concat_ws(chr(10), replace({_pick_sql("prompt_intro", "title")}, '{{name}}', viewer), '', {_pick_sql("section_problem", "title")}, '', title, '',
+      CASE WHEN updates <> '' THEN {_pick_sql("section_discussion", "title")} || chr(10) || chr(10) || updates || chr(10) END, {_pick_sql("section_next", "title")})
+    ELSE CASE WHEN updates = '' THEN {_pick_sql("no_new_content", "title")} ELSE updates END || chr(10) || chr(10) || {_pick_sql("section_next", "title")} END AS question FROM turned
+)
+SELECT session_id::VARCHAR AS session_id, viewer AS actor, (2 * count(*))::INT AS n_messages, md5(string_agg('user:' || question || chr(10) || 'assistant:' || content, chr(10) ORDER BY turn)) AS digest
+FROM asked GROUP BY session_id, viewer HAVING bool_or(length(content) >= 20)
+"""
+
+
+@query(_MESSAGES)
 def trajectory_messages(f: Forum) -> DataFrame:
     samples, _ = _samples(f, True)
     text_of = F.array_join(F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["content"])), "\n")
@@ -492,16 +550,17 @@ def draw_schedule(f: Forum) -> DataFrame:
     return S.draw_schedule(_pool(f), "id", "d", 100, 8).select("id", "place", "batch")
 
 
+@query("SELECT event_type AS kind, user_id AS item, row_number() OVER (PARTITION BY event_type ORDER BY first, user_id) AS local_id FROM (SELECT event_type, user_id, min(event_id) AS first FROM events GROUP BY ALL)", views=False)
+def first_seen_ids(f: Forum) -> DataFrame:
+    rows = f.table("events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("item"), "event_id")
+    return S.first_seen_ids(rows, "kind", "item", "event_id")
+
+
 @query("SELECT e.range AS epoch, r.range AS round, (e.range - 1) * 4 + r.range + 1 AS iteration FROM range(1, 4) e, range(4) r", views=False)
 def epoch_iterations(f: Forum) -> DataFrame:
     return S.iterations(f.spark, 3, 4)
 
 
-def _pick_sql(key: str, seed: str) -> str:
-    values = ", ".join("'" + v.replace("'", "''") + "'" for v in templates.pool(key))
-    return f"([{values}])[{_md5(f"'template:{key}:' || {seed}")} % {len(templates.pool(key))} + 1]"
-
-
 @query(f"SELECT session_id, {_pick_sql('prompt_intro', 'title')} AS intro, {_pick_sql('section_next', 'title')} AS next, {_pick_sql('you_marker', "title || ':P' || session_id")} AS marker FROM sessions")
 def template_pick(f: Forum) -> DataFrame:
     title = F.col("title")
@@ -636,6 +695,39 @@ def accuracy_rollup(f: Forum) -> DataFrame:
     return C.accuracy_rollup(_records(f), "lang").withColumn("accuracy", F.round("accuracy", 6))
 
 
+@query(_RECORDS + "SELECT lang AS cell, count(*) AS n, round(count(*) FILTER (correct) / greatest(count(*), 1), 6) AS accuracy FROM rec WHERE scored AND lang IN ('en', 'de', 'fr') GROUP BY 1", views=False)
+def sweep_summary(f: Forum) -> DataFrame:
+    scored = _records(f).filter("scored")
+    return C.sweep_summary({x: sinks.report(scored.filter(F.col("lang") == x), "lang").select("n", F.round("accuracy", 6).alias("accuracy")) for x in ("en", "de", "fr")})
+
+
+@query("SELECT DISTINCT ON (p_type) p_type AS title, p_partkey, p_brand AS gold_letter, 'letter' AS mode FROM part ORDER BY p_type, p_partkey DESC", views=False)
+def title_index(f: Forum) -> DataFrame:
+    pool = f.table("part").select(F.col("p_type").alias("title"), "p_partkey", F.col("p_brand").alias("gold_letter"))
+    return readers.title_index(pool, "p_partkey")
+
+
+@query("SELECT p_name AS title, '' AS description, CASE WHEN p_size % 3 = 0 THEN p_type ELSE p_type || chr(10) || chr(10) || 'Final answer: ' || p_brand END AS reference_solution FROM part WHERE p_size % 5 <> 0", views=False)
+def question_sessions(f: Forum) -> DataFrame:
+    size = F.col("p_size")
+    pool = f.table("part").select(F.when(size % 5 != 0, F.col("p_name")).otherwise("").alias("problem"), F.lit(None).cast("string").alias("title"), F.col("p_type").alias("solution"), F.when(size % 3 != 0, F.col("p_brand")).alias("answer"))
+    return readers.question_sessions(pool)
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'B' ELSE 'C' END AS gold_letter FROM part WHERE p_partkey % 4 < 2", views=False)
+def choice_rows(f: Forum) -> DataFrame:
+    k = F.col("p_partkey") % 4
+    pool = f.table("part").select("p_partkey", F.when(k == 0, "B").otherwise("").alias("gold_letter"), F.when(k == 1, r"so \boxed{c}").otherwise("none").alias("answer"))
+    return readers.choice_rows(pool).select("p_partkey", "gold_letter")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, round((epoch(ts) - epoch(TIMESTAMP '2024-01-01 00:00:00')) / 60, 3) AS minutes FROM events", views=False)
+def time_fields(f: Forum) -> DataFrame:
+    start = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
+    minutes = (F.unix_micros("ts") - F.unix_micros(start)) / 60_000_000
+    return f.table("events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.round(minutes, 3).alias("minutes"))
+
+
 @query("SELECT event_type AS exit_reason, count(*) AS n, sum(event_id % 7)::BIGINT AS rounds, count(*) FILTER (event_type IN ('click', 'view')) AS normal FROM events GROUP BY 1", views=False)
 def exit_histogram(f: Forum) -> DataFrame:
     results = f.table("events").select(F.col("event_type").alias("exit_reason"), (F.col("event_id") % 7).alias("rounds"))
