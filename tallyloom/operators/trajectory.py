@@ -120,18 +120,21 @@ def with_running_scores(entries: DataFrame) -> DataFrame:
     return shown.withColumn("cur_score", F.when(F.col("kind") == "vote", F.sum("value").over(upto)))
 
 
-def render_entry(seed: Column) -> Column:
-    """The text of one timeline entry, its wording drawn by the session's seed and the entry."""
+def render_entry(seed: Column, votes: bool = True) -> Column:
+    """The text of one timeline entry, its wording drawn by the session's seed and the entry. Without votes in the timeline,
+    their part is left out, which keeps the generated code small enough to be compiled."""
     entry = F.concat(F.upper(F.substring("kind", 1, 1)), F.col("entry_id").cast("string"))
     you = F.when(F.col("author") == F.col("viewer"), pick("you_marker", seed, entry)).otherwise("")
+    header = F.when(F.col("kind") == "post", pick("post_header", seed, entry)).otherwise(pick("comment_header", seed, entry))
+    shown = _fill(header, local_id=F.col("local_id"), local_post_id=F.col("local_post_id"), author=F.col("author"), is_you=you)
+    text = F.concat(shown, F.lit("\n"), strip(F.col("content")), F.lit("\n"))
+    if not votes:
+        return text
     target = F.concat(F.when(F.col("target_type") == "post", "P_").otherwise("C_"), F.col("target_local_id").cast("string"))
     value = score_text(F.col("value"))
     change = F.when(F.col("previous_value").isNotNull(), _fill(pick("vote_change_text", seed, entry), prev=score_text(F.col("previous_value")), value=value)).otherwise(_fill(pick("vote_new_text", seed, entry), value=value))
     vote = _fill(pick("vote_event", seed, entry), author=F.col("author"), target=target, change=change, cur=score_text(F.col("cur_score")))
-    post = _fill(pick("post_header", seed, entry), local_id=F.col("local_id"), author=F.col("author"), is_you=you)
-    comment = _fill(pick("comment_header", seed, entry), local_id=F.col("local_id"), local_post_id=F.col("local_post_id"), author=F.col("author"), is_you=you)
-    body = F.concat(F.lit("\n"), strip(F.col("content")), F.lit("\n"))
-    return F.when(F.col("kind") == "post", F.concat(post, body)).when(F.col("kind") == "comment", F.concat(comment, body)).otherwise(F.concat(vote, F.lit("\n")))
+    return F.when(F.col("kind") == "vote", F.concat(vote, F.lit("\n"))).otherwise(text)
 
 
 def _fill(template: Column, **fields: Column) -> Column:
@@ -157,31 +160,33 @@ def trajectories(entries: DataFrame, sessions: DataFrame, rewards: DataFrame, na
         entries = entries.withColumn("author", alias(F.col("author"))).withColumn("_self", alias(F.col("viewer")))
     else:
         entries = entries.withColumn("_shown_title", F.col("_title")).withColumn("_self", F.col("viewer"))
-    keys = ["session_id", "_self", "_title", "_shown_title"]
-    entries = entries.withColumn("viewer", F.col("_self"))
-    if "value" in entries.columns:  # else there are no votes, and nothing to sum
+    entries = entries.withColumn("viewer", F.col("_self")).drop("_self")
+    votes = "value" in entries.columns
+    if votes:  # else there is nothing to sum
         entries = with_running_scores(entries)
     seg = turn_segments(entries.withColumns({c: F.lit(None).cast(kind) for c, kind in _ABSENT.items() if c not in entries.columns}))
     if not coupled:
         seg = seg.filter("is_self or kind <> 'post'")
     seed = F.col("_title")
-    live = seg.filter(F.col("turn") < F.col("turns")).withColumn("_text", F.when(~F.col("is_self"), render_entry(seed)))
-    turn = live.groupBy(*keys, "turn").agg(
+    live = seg.filter(F.col("turn") < F.col("turns")).withColumn("_text", F.when(~F.col("is_self"), render_entry(seed, votes)))
+    # keyed by viewer, as the windows are, so that the rows stay where they lie
+    turn = live.groupBy("session_id", "viewer", "turn").agg(
+        F.first("_title").alias("_title"), F.first("_shown_title").alias("_shown_title"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("is_self"), F.struct("place", "_text")))), lambda x: x["_text"]), "\n").alias("updates"),
         F.max(F.when(F.col("is_self"), F.struct(F.col("entry_id").alias("post_id"), strip(F.col("content")).alias("content")))).alias("own"),
-    )
-    turn = turn.select(*keys, "turn", strip(F.col("updates")).alias("updates"), "own.post_id", "own.content").join(rewards.select("post_id", "reward", "advantage"), "post_id", "left")
+    )
+    turn = turn.select("session_id", "viewer", "_title", "_shown_title", "turn", strip(F.col("updates")).alias("updates"), "own.post_id", "own.content").join(rewards.select("post_id", "reward", "advantage"), "post_id", "left")
     following = pick("section_next", seed)
-    first = F.concat_ws("\n", _fill(pick("prompt_intro", seed), name=F.col("_self")), F.lit(""), pick("section_problem", seed), F.lit(""), strip(F.col("_shown_title")), F.lit(""), F.when(F.col("updates") != "", F.concat(pick("section_discussion", seed), F.lit("\n\n"), F.col("updates"), F.lit("\n"))), following)
+    first = F.concat_ws("\n", _fill(pick("prompt_intro", seed), name=F.col("viewer")), F.lit(""), pick("section_problem", seed), F.lit(""), strip(F.col("_shown_title")), F.lit(""), F.when(F.col("updates") != "", F.concat(pick("section_discussion", seed), F.lit("\n\n"), F.col("updates"), F.lit("\n"))), following)
     later = F.concat(F.when(F.col("updates") == "", pick("no_new_content", seed)).otherwise(F.col("updates")), F.lit("\n\n"), following)
     turn = turn.withColumn("asked", F.when(F.col("turn") == 0, first).otherwise(later)).withColumn("trainable", F.length("content") >= least_chars)
     listed = F.sort_array(F.collect_list(F.struct("turn", "asked", "content", "reward", F.round("advantage", 4).alias("advantage"), "post_id", "trainable"))).alias("x")
-    gathered = turn.groupBy(*keys).agg(listed)
+    gathered = turn.groupBy("session_id", "viewer").agg(listed)
     message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     samples = gathered.select(
         F.flatten(F.transform("x", lambda x: F.array(message("user", x["asked"]), message("assistant", x["content"])))).alias("messages"),
         F.col("x.reward").alias("turn_rewards"), F.col("x.advantage").alias("turn_advantages"), F.col("x.post_id").alias("turn_post_ids"),
-        F.col("x.trainable").alias("turn_trainable"), F.col("session_id").cast("string").alias("session_id"), F.col("_self").alias("actor"),
+        F.col("x.trainable").alias("turn_trainable"), F.col("session_id").cast("string").alias("session_id"), F.col("viewer").alias("actor"),
     )
     usable = F.exists("turn_trainable", lambda x: x)
     views = seg.groupBy("session_id", "viewer").agg(F.max("turns").alias("turns"))
