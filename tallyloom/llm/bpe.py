@@ -61,7 +61,7 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str = PATTERN) -> str:
 class ByteBPE:
     """Encodes and decodes with one vocabulary. Pieces between safe breaks are encoded once and remembered, up to a bound."""
 
-    def __init__(self, model: str, remembered: int = 400_000):
+    def __init__(self, model: str, remembered: int = 240_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(model)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import zlib
@@ -152,17 +153,20 @@ def split_tail(length: int) -> list[int]:
     return [1 << b for b in range(length.bit_length() - 1, -1, -1) if length >> b & 1]
 
 
-_loaded: dict[int, tuple[str, PieceEncoder]] = {}
+_loaded: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def _encoder(model: str) -> PieceEncoder:
-    if 0 not in _loaded or _loaded[0][0] is not model and _loaded[0][0] != model:
+def _encoder(model: str, remembered: int) -> PieceEncoder:
+    """The worker's encoder, which goes on from task to task."""
+    key = hashlib.sha256(model.encode()).hexdigest(), remembered
+    if key not in _loaded:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _loaded[0] = model, PieceEncoder(model)
-    return _loaded[0][1]
+        _loaded.clear()
+        _loaded[key] = PieceEncoder(model, remembered)
+    return _loaded[key]
 
 
-def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, sentence_cost: float = 8, inside_cost: float = 24, stretch: int = 1 << 21, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, sentence_cost: float = 8, inside_cost: float = 24, stretch: int = 1 << 21, remembered: int = 1_000_000, with_ids: bool = False) -> DataFrame:
     """Pieces of documents in sequences of at most `window` tokens: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset; ids too with with_ids.
 
     A document's ids are those of the tokenizers vocabulary at model_path, then end_id; null counts as empty. The
@@ -171,7 +175,8 @@ def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     stream is solved in stretches of at least `stretch` tokens, the last open sequence of one going on in the next,
     which bounds memory. What is left at a partition's end is split into powers of two. Each input partition is a
     stream of its own, so nothing is shuffled, and a task that runs again gives the same pieces. sequence_id has the
-    partition in its upper bits. Rows that repeat an id, and null ids, are documents of their own; other columns are ignored.
+    partition in its upper bits. A Python worker keeps the ids of up to `remembered` words, some 200 bytes each, to encode
+    them once: fewer need less memory and more time. Rows that repeat an id, and null ids, are documents of their own; other columns are ignored.
     """
     with_text = docs.select(id_col, text_col)
     with open(model_path, encoding="utf-8") as f:
@@ -182,7 +187,7 @@ def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     id_type = pa.int64() if docs.schema[id_col].dataType == long else None
 
     def run(batches):
-        encoder = _encoder(model.value)
+        encoder = _encoder(model.value, remembered)
         sequence = (TaskContext.get().partitionId() << 40) - 1
         held: list = []  # (id, start, doc_tokens, ids) not yet placed
 
