@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 
@@ -15,7 +14,7 @@ def delete(spark: SparkSession, path: str) -> None:
     try:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the context may be gone at exit; a leftover folder is harmless
+    except Exception:  # the context may be gone; the folder goes with the driver
         pass
 
 
@@ -29,5 +28,8 @@ def scratch_root(spark: SparkSession) -> str:
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             shared = f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
         _roots[app] = f"{shared.rstrip('/')}/tallyloom-{app}-{uuid.uuid4().hex[:8]}"
-        atexit.register(delete, spark, _roots[app])
+        target = spark._jvm.org.apache.hadoop.fs.Path(_roots[app])
+        files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(target)
+        files.deleteOnExit(target)  # when the driver's JVM ends
     return _roots[app]
