@@ -133,11 +133,11 @@ def without_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     runs = repeated_runs(document_lines(docs, id_col, text_col), min_words)
     gone = runs.select("d", "t", F.explode(F.sequence("start", F.col("end") - 1)).alias("i"))
     gone = materialize(gone.groupBy("d", "t").agg(F.sort_array(F.collect_set("i")).alias("_gone")), "removed")
-    gone = gone.withColumnRenamed("d", "_d").withColumnRenamed("t", "_t")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # no name of docs can clash
+    own, text = F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")
     # the same plan at every size: both sides are dealt by document
-    keyed = docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(F.col("_d")) & (F.xxhash64(docs[text_col]) == F.col("_t")), "left")
-    lines = F.split(F.col(text_col), "\n")
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left).alias(text_col)
+    keyed = rows.join(gone.hint("merge"), own.eqNullSafe(F.col("d")) & (F.xxhash64(text) == F.col("t")), "left")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    shown = F.when(F.col("_gone").isNull(), text).otherwise(left).alias(text_col)
     removed = [F.coalesce("_gone", F.array().cast("array<int>")).alias(removed_col)] if removed_col else []
-    return keyed.select(*(text if c == text_col else F.col(c) for c in docs.columns), *removed)
+    return keyed.select(*(shown if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns), *removed)

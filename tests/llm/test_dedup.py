@@ -134,6 +134,8 @@ def test_line_runs_odd_tables(spark):
     line = " ".join(f"w{k}" for k in range(60))
     out = line_dedup.without_repeated_runs(frame(spark, [(1, line), (1, line), (None, line), (2, line + "\nmore")])).collect()
     assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, line), (1, ""), (1, ""), (2, "more")]
+    clash = frame(spark, [(1, line), (2, line)]).toDF("doc_id", "text", "_gone", "d", "t")
+    assert [(r.doc_id, r.text, r._gone, r.t) for r in line_dedup.without_repeated_runs(clash).orderBy("doc_id").collect()] == [(1, line, "a", "c"), (2, "", "a", "c")]
 
 
 def test_suffix_ranks_are_ordered(spark):
