@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.scratch import scratch_root
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for an application, so that they need not have it installed."""
+    """Send this package to the executors, once for an application, so that they need not have it installed.
+
+    The archive lies in the application's folder that the driver and the executors share.
+    """
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     top = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="tallyloom-code-")) / "tallyloom.zip"  # Spark serves it from the driver
-    with zipfile.ZipFile(target, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, p.relative_to(top.parent))
-    spark.sparkContext.addPyFile(str(target))
+    target = f"{scratch_root(spark)}/tallyloom.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
+    spark.sparkContext.addPyFile(target)
     _shipped.add(app)
 
 
