@@ -10,6 +10,7 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -18,17 +19,18 @@ from ..shipping import map_arrow
 
 #: Letters that are one code point under Unicode normalisation and stay letters in lower case.
 _LETTER = "A-Za-zªºÀ-ÖØ-öø-įı-ž"
-#: Texts of these, ASCII signs and blanks, without the <| of special tokens, are cut into the tokenizer's own pieces here.
-_PLAIN = re.compile(rf"[\t-\r -~{_LETTER}]*")
+#: Texts without other characters than these, ASCII signs and blanks, and without the <| of special tokens, are cut into words
+#: and the tokenizer's own pieces here.
+_OTHER = rf"[^\t-\r -~{_LETTER}]|<\|"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\t-\r {_LETTER}0-9]+")
 
 
 class PieceEncoder:
     """Ids of whole texts by a lower-casing tokenizers vocabulary whose tokens never span white space, and whose pieces are
-    contractions, runs of letters, single digits and runs of other signs. Words are encoded once and remembered, up to a
-    bound; the ids are those of encoding the whole text. Texts with other characters are encoded word by word."""
+    contractions, runs of letters, single digits and runs of other signs. Arrow cuts texts into words and numbers the
+    distinct ones; a word is encoded once and remembered, up to a bound. The ids are those of encoding the whole text."""
 
-    def __init__(self, model: str, remembered: int = 1_000_000):
+    def __init__(self, model: str, remembered: int = 300_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_str(model)
@@ -46,47 +48,69 @@ class PieceEncoder:
             if word != token and word and set(word) <= set(".!?\"')") and set(word) & set(".!?"):
                 self.sentence_ends[i] = True
 
-    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text; new words of all of them are learned together."""
-        cut, whole = [], set()
-        for t in texts:
-            if not t:
-                cut.append([])
-            elif "<|" not in t and _PLAIN.fullmatch(t):
-                cut.append(t.lower().split())
-            else:
-                cut.append([w.decode() for w in t.encode().split()])
-                whole.update(cut[-1])
-        words = set().union(*cut)
-        new = words.difference(self._known)
-        if len(self._known) + len(new) > self._remembered:
-            self._known.clear()
-            new = words
-        if new:
-            self._learn(new, whole)
-        find = self._known.__getitem__
-        return [np.frombuffer(b"".join(map(find, x)), dtype="<u4") for x in cut]
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string array; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        other = pc.match_substring_regex(texts, _OTHER).to_numpy(zero_copy_only=False)
+        out: list = [None] * len(texts)
+        for rows, plain in ((np.flatnonzero(~other), True), (np.flatnonzero(other), False)):
+            if not len(rows):
+                continue
+            words = pc.ascii_split_whitespace(texts if len(rows) == len(texts) else texts.take(pa.array(rows)))
+            numbered = words.flatten().dictionary_encode()
+            ids, lengths = self._ids_of(numbered.dictionary.to_pylist(), plain)
+            starts = np.cumsum(lengths, dtype=np.int32) - lengths
+            at = numbered.indices.to_numpy(zero_copy_only=False)
+            counts = lengths[at]
+            upto = np.zeros(len(at) + 1, dtype=np.int32)  # a portion has far fewer tokens than 2^31
+            np.cumsum(counts, out=upto[1:])
+            places = np.repeat(starts[at] - upto[:-1], counts)
+            places += np.arange(len(places), dtype=np.int32)
+            stream = ids[places]
+            offsets = words.offsets.to_numpy()
+            ends = upto[offsets - offsets[0]].tolist()
+            for row, a, b in zip(rows.tolist(), ends, ends[1:], strict=False):
+                out[row] = stream[a:b]
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
-        return self.encode_all([text])[0]
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+    def _ids_of(self, words: list[str], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and the number of each word's ids."""
+        known = self._known
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > self._remembered:
+            known.clear()
+            new = words
+        if new:
+            self._learn(new, plain)
+        found = [known[w] for w in words]
+        return np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), dtype=np.int32, count=len(found)) >> 2
 
-    def _learn(self, words: set[str], whole: set[str]) -> None:
+    def _learn(self, words: list[str], plain: bool) -> None:
         """Words of plain texts are cut into pieces. Runs of letters are encoded in one go: of their tokens, the last ones alone
-        end a run. Other pieces, and the words in `whole`, are encoded by themselves."""
+        end a run. Other pieces, and the words of other texts, are encoded by themselves."""
         known = self._known
-        mixed = {w: _PIECES.findall(w) for w in words if not w.isalpha() and w not in whole}
-        pieces = {w for w in words if w.isalpha() and w not in whole}.union(*mixed.values()).difference(known)
+        if not plain:
+            for w, e in zip(words, self._tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+            return
+        lower = [w.lower() for w in words]
+        mixed = {w: _PIECES.findall(w) for w in lower if not w.isalpha()}
+        pieces = {w for w in lower if w.isalpha()}.union(*mixed.values()).difference(known)
         letters = [p for p in pieces if p[0].isalpha()]
         ids = np.array(self._letters.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.flatnonzero(self._word_ends[ids]) + 1
         if len(ends) == len(letters):
             raw, ends = ids.tobytes(), (4 * ends).tolist()
             known.update(zip(letters, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
-        rest = [p for p in pieces.union(words & whole) if p not in known]
+        rest = [p for p in pieces if p not in known]
         for p, e in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             known[p] = np.array(e.ids, dtype="<u4").tobytes()
         find = known.__getitem__
         known.update([(w, b"".join(map(find, x))) for w, x in mixed.items()])
+        known.update(zip(words, map(find, lower), strict=True))
 
 
 def choose_cuts(places: np.ndarray, penalties: np.ndarray, total: int, window: int, inside: float) -> list[int]:
@@ -166,6 +190,16 @@ def _encoder(model: str, remembered: int) -> PieceEncoder:
     return _loaded[key]
 
 
+def _portions(batch: pa.RecordBatch, most: int = 1 << 23):
+    """The batch in slices whose texts have about `most` bytes, or one row."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    number = (np.cumsum(size, dtype=np.int64) - size) // most
+    cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, sentence_cost: float = 8, inside_cost: float = 24, stretch: int = 1 << 21, remembered: int = 1_000_000, with_ids: bool = False) -> DataFrame:
     """Pieces of documents in sequences of at most `window` tokens: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset; ids too with with_ids.
 
@@ -237,9 +271,8 @@ def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
 
         size, last_id = 0, np.array([end_id], dtype="<u4")
         for batch in batches:
-            for s in range(0, batch.num_rows, 128):
-                part = batch.slice(s, 128)
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode_all(part.column(1).to_pylist()), strict=True):
+            for part in _portions(batch):
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode_all(part.column(1)), strict=True):
                     ids = np.concatenate([ids, last_id])
                     held.append((doc, 0, len(ids), ids))
                     size += len(ids)
