@@ -222,6 +222,8 @@ def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         encoder = _encoder(model.value, remembered)
+        flags = np.zeros(max(len(encoder.sentence_ends), end_id + 1), dtype=bool)
+        flags[: len(encoder.sentence_ends)] = encoder.sentence_ends
         sequence = (TaskContext.get().partitionId() << 40) - 1
         held: list = []  # (id, start, doc_tokens, ids) not yet placed
 
@@ -230,13 +232,9 @@ def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
             stream = np.concatenate([h[3] for h in held])
             total = len(stream)
             ends = np.cumsum([len(h[3]) for h in held])
-            costs = np.full(total + 1, np.nan)
-            inner = np.flatnonzero(encoder.sentence_ends[np.minimum(stream, len(encoder.sentence_ends) - 1)]) + 1
-            costs[inner] = sentence_cost
-            costs[ends] = 0
-            costs[[0, total]] = np.nan
-            places = np.flatnonzero(~np.isnan(costs))
-            cuts = choose_cuts(places, costs[places], total, window, inside_cost)
+            places = np.union1d(np.flatnonzero(flags[stream]) + 1, ends)[:-1]  # the last one is the total
+            costs = np.where(np.isin(places, ends, assume_unique=True), 0.0, sentence_cost)
+            cuts = choose_cuts(places, costs, total, window, inside_cost)
             if len(cuts) > 1 and not last or cuts[-1] - (cuts[-2] if len(cuts) > 1 else 0) < window:
                 tail = cuts[-2] if len(cuts) > 1 else 0
                 cuts = cuts[:-1]
