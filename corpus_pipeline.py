@@ -39,8 +39,8 @@ def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in training sequences; fewer words are remembered, as the workers hold other stages' tables too."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=100_000)
+    """The pieces of the documents in training sequences, with less memory, as the workers hold other stages' tables too."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=50_000, portion=1 << 20)
 
 
 STAGES = [

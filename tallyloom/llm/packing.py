@@ -190,7 +190,7 @@ def _encoder(model: str, remembered: int) -> PieceEncoder:
     return _loaded[key]
 
 
-def _portions(batch: pa.RecordBatch, most: int = 1 << 23):
+def _portions(batch: pa.RecordBatch, most: int):
     """The batch in slices whose texts have about `most` bytes, or one row."""
     size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
     number = (np.cumsum(size, dtype=np.int64) - size) // most
@@ -200,7 +200,7 @@ def _portions(batch: pa.RecordBatch, most: int = 1 << 23):
             yield batch.slice(a, b - a)
 
 
-def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, sentence_cost: float = 8, inside_cost: float = 24, stretch: int = 1 << 21, remembered: int = 1_000_000, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, sentence_cost: float = 8, inside_cost: float = 24, stretch: int = 1 << 21, remembered: int = 1_000_000, portion: int = 1 << 23, with_ids: bool = False) -> DataFrame:
     """Pieces of documents in sequences of at most `window` tokens: id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset; ids too with with_ids.
 
     A document's ids are those of the tokenizers vocabulary at model_path, then end_id; null counts as empty. The
@@ -210,7 +210,8 @@ def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     which bounds memory. What is left at a partition's end is split into powers of two. Each input partition is a
     stream of its own, so nothing is shuffled, and a task that runs again gives the same pieces. sequence_id has the
     partition in its upper bits. A Python worker keeps the ids of up to `remembered` words, some 200 bytes each, to encode
-    them once: fewer need less memory and more time. Rows that repeat an id, and null ids, are documents of their own; other columns are ignored.
+    them once, and takes texts of `portion` bytes at a time, at some twenty times their size: less of either needs less memory
+    and more time. Rows that repeat an id, and null ids, are documents of their own; other columns are ignored.
     """
     with_text = docs.select(id_col, text_col)
     with open(model_path, encoding="utf-8") as f:
@@ -269,7 +270,7 @@ def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
 
         size, last_id = 0, np.array([end_id], dtype="<u4")
         for batch in batches:
-            for part in _portions(batch):
+            for part in _portions(batch, portion):
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.encode_all(part.column(1)), strict=True):
                     ids = np.concatenate([ids, last_id])
                     held.append((doc, 0, len(ids), ids))
@@ -279,5 +280,6 @@ def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
                     size = sum(len(h[3]) for h in held)
         if held:
             yield solve(True)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return map_arrow(with_text, run, schema)
