@@ -1,0 +1,129 @@
+"""Near copies by word shingles: MinHash bands propose, the similarity of the whole shingle sets decides.
+
+Twenty bands of four minima bring two sets of similarity 0.8 together with a probability of 1 - (1 - 0.8^4)^20 = 0.99997,
+and more similar ones with a higher one. Each pair that shares a band is compared by its sets, so no other pair is linked.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..shipping import map_arrow
+from .blocks import compare_in_buckets
+from .components import connected_components
+from .scratch import is_empty, materialize
+from .simhash import _LOWER
+
+BANDS, ROWS = 20, 4
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's word shingles, ascending; a text of fewer words is one shingle, one without words none."""
+    tokens = (text or "").encode().translate(_LOWER).split()
+    if not tokens:
+        return np.zeros(0, dtype=np.uint64)
+    joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
+    lengths = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = (ends - lengths)[: max(1, len(tokens) - words + 1)].tolist()
+    ends = ends[min(words, len(tokens)) - 1 :].tolist()
+    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts, ends, strict=True)], dtype=np.uint64))
+
+
+def band_keys(grams: np.ndarray, portion: int = 4096) -> list[int]:
+    """A signed 64-bit key for each band of the set's minima; none for an empty set."""
+    if not len(grams):
+        return []
+    rng = np.random.default_rng(5)
+    factor = rng.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    added = rng.integers(0, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
+    least = np.min([(factor * grams[k : k + portion] + added).min(axis=1) for k in range(0, len(grams), portion)], axis=0)
+    keys = [xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
+    return np.array(keys, dtype=np.uint64).view(np.int64).tolist()
+
+
+def _similar(sets: list[np.ndarray], own: np.ndarray, least: float):
+    """Index pairs of sets of that similarity that join all such pairs; pairs of one own block aren't compared."""
+    sizes = np.array([len(s) for s in sets])
+    place = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.cumsum(sizes) - sizes
+    group = np.arange(len(sets))
+    for i in range(len(sets) - 1):
+        open_ = (group != group[i]) & (np.arange(len(sets)) > i) & ((own < 0) | (own != own[i]))
+        if not open_.any():
+            continue
+        mark = np.zeros(place.max() + 1, dtype=np.int64)
+        mark[place[starts[i] : starts[i] + sizes[i]]] = 1
+        shared = np.add.reduceat(mark[place], starts)
+        for j in np.flatnonzero(open_ & (shared / (sizes + sizes[i] - shared) >= least)).tolist():
+            if group[j] != group[i]:
+                group[group == group[j]] = group[i]
+                yield i, j
+
+
+def near_copy_links(docs: DataFrame, words: int = 5, least: float = 0.8, block: int = 1024) -> DataFrame:
+    """(a, b): links between distinct nodes of docs (node, text) that join all near copies that share a band."""
+    kind = "node long, keys array<long>"
+
+    def banded(batches):
+        for b in batches:
+            keys = pa.array([band_keys(shingles(t, words)) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), keys], names=["node", "keys"])
+
+    def cut(batches):
+        for b in batches:
+            sets = pa.array([shingles(t, words).view(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("node"), sets], names=["node", "grams"])
+
+    bands = materialize(map_arrow(docs, banded, kind).dropDuplicates(["node"]), "bands")
+    keys = bands.select(F.explode("keys").alias("key"), "node")
+    # buckets of the same members are compared once
+    same = [F.count("*").alias("n"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")]
+    buckets = materialize(keys.groupBy("key").agg(*same).filter("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")), "buckets")
+    members = materialize(keys.join(buckets.select("key"), "key"), "members")
+    texts = docs.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    sets = materialize(map_arrow(texts, cut, "node long, grams array<long>"), "shingles")
+    rows = members.join(sets, "node").select("key", "node", "grams")
+
+    def compare(table, own, first, last):
+        node, grams = table.column("node").to_numpy(), table.column("grams").combine_chunks()
+        starts, flat = grams.offsets.to_numpy(), grams.values.to_numpy()
+        for f, n in zip(first.tolist(), last.tolist(), strict=True):
+            found = list(_similar([flat[starts[k] : starts[k + 1]] for k in range(f, n)], own[f:n], least))
+            if found:
+                i, j = np.array(found).T + f
+                yield pa.table({"a": node[i], "b": node[j]})
+
+    return compare_in_buckets(rows, "key", "node", compare, "a long, b long", block)
+
+
+def keep_one_of_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of docs of which no two are near copies: of each group linked by a similarity (Jaccard) of at least `least` of the
+    sets of word shingles, the row with the smallest id stays, in all its columns.
+
+    Of rows that repeat this id one stays; of a group without any id, one row stays. Texts without words and null texts are copies.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.when(F.trim(F.regexp_replace(text, r"[\x09-\x0D]", " ")) == "", "").otherwise(text)
+    node = F.xxhash64(text)
+    links = materialize(near_copy_links(docs.select(node.alias("node"), text.alias("text")), words, least), "links")
+    rows = docs.select(F.col(id_col).alias("id"), node.alias("node"))
+    nodes = materialize(rows.groupBy("node").agg(F.min("id").alias("least")), "nodes")
+    if is_empty(links):
+        found = nodes.select("node", F.col("node").alias("root"), F.col("least").alias("component_id"))
+    else:
+        roots = connected_components(links, "a", "b").withColumnRenamed("component", "root")
+        joined = materialize(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "joined")
+        found = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")
+    found = materialize(found, "groups")
+    named = found.filter("component_id is not null").select(F.col("component_id").alias(id_col)).distinct()
+    kept = docs.join(named, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    nameless = found.filter("component_id is null").select("node", "root")
+    if is_empty(nameless):
+        return kept
+    rest = docs.filter(F.col(id_col).isNull()).select(F.struct(*docs.columns).alias("row"), node.alias("node"))
+    return kept.union(rest.join(nameless, "node").dropDuplicates(["root"]).select("row.*"))
