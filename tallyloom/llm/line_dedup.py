@@ -15,10 +15,15 @@ _SPACE = r"[\x20\x09-\x0D]+"
 
 def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(d, t, i, line, weight) for each line feed separated line: the document's id, a hash that tells documents with one id
-    apart, the line's number, the line without white space at its ends, and its words, at least one."""
+    apart, the line's number, the line without white space at its ends, and its words, at least one. Rows that repeat both
+    id and text give their lines once."""
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("d"), F.xxhash64(text).alias("t"), F.split(text, "\n").alias("lines")).filter(text.isNotNull())
-    rows = rows.select("d", "t", F.posexplode("lines").alias("i", "raw"))
+    rows = docs.filter(text.isNotNull()).select(F.col(id_col).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
+    more = materialize(rows.groupBy("d", "t").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("d").alias("_d"), F.col("t").alias("_t")), "repeats")
+    if not is_empty(more):  # so that no other texts are dealt anew
+        same = F.col("d").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))
+        rows = rows.join(more, same, "left_anti").union(rows.join(more, same, "left_semi").dropDuplicates(["d", "t"]))
+    rows = rows.select("d", "t", F.posexplode(F.split("text", "\n")).alias("i", "raw"))
     line = F.regexp_replace("raw", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
     rows = rows.select("d", "t", "i", line.alias("line"))
     return rows.withColumn("weight", F.when(F.col("line") == "", 1).otherwise(F.size(F.split("line", _SPACE))).cast("long"))

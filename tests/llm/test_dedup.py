@@ -171,6 +171,15 @@ def test_line_runs_odd_tables(spark):
     assert [(r.doc_id, r.text, r._gone, r.t) for r in line_dedup.without_repeated_runs(clash).orderBy("doc_id").collect()] == [(1, line, "a", "c"), (2, "", "a", "c")]
 
 
+def test_repeated_rows_with_a_passage_of_many_lines(spark):
+    passage = "\n".join(" ".join(f"w{k}{n}" for n in range(10)) for k in range(5))
+    for ids in ((1, 1, 2), (1, 2, 2), (None, None, 2)):
+        rows = [(i, f"start {i}\n{passage}\nend {i}") for i in ids]
+        out = line_dedup.without_repeated_runs(frame(spark, rows), removed_col="gone").collect()
+        first = [r for r in rows if r[0] == ids[0]]
+        assert sorted((r.doc_id or 0, r.gone) for r in out) == [(i or 0, [] if (i, t) in first else [1, 2, 3, 4, 5]) for i, t in rows]
+
+
 def test_suffix_ranks_are_ordered(spark):
     rows = lines_fixture()
     lines = line_dedup.document_lines(frame(spark, rows))
