@@ -249,6 +249,14 @@ def missing_keys(f: Forum) -> DataFrame:
     return R.missing_keys(f.table("customer").select(F.col("c_nationkey").alias("nation")), f.table("supplier").filter("s_suppkey < 5").select(F.col("s_nationkey").alias("nation")), "nation")
 
 
+@query("SELECT k AS key, 'supplier' AS other FROM (SELECT p_partkey AS k FROM part) WHERE k NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT DISTINCT c_nationkey, 'nation' FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)", views=False)
+def missing_keys_whole(f: Forum) -> DataFrame:
+    """Keys of whole tables that other whole tables lack."""
+    parts = R.missing_keys(f.table("part").select(F.col("p_partkey").alias("key")), f.table("supplier").select(F.col("s_suppkey").alias("key")), "key")
+    nations = R.missing_keys(f.table("customer").select(F.col("c_nationkey").alias("key")), f.table("supplier").select(F.col("s_nationkey").alias("key")), "key")
+    return parts.withColumn("other", F.lit("supplier")).union(nations.withColumn("other", F.lit("nation")))
+
+
 @query("""
 , i AS (SELECT session_id, 0 AS r, post_id AS k, 'P_' || post_id || ' ' || author || ': ' || content AS line FROM posts UNION ALL SELECT session_id, 1, comment_id, 'C_' || comment_id || ' ' || author || ': ' || content FROM placed_comments)
 SELECT session_id, md5(string_agg(line, chr(10) || chr(10) ORDER BY r, k)) AS digest FROM i GROUP BY 1
@@ -303,6 +311,16 @@ def scores_of_posts(f: Forum) -> DataFrame:
     return V.scores_of(f.current_votes, targets).select("target_id", "score")
 
 
+@query("""
+, t AS (SELECT 'post' AS target_type, post_id AS target_id FROM posts UNION ALL SELECT 'comment', comment_id FROM comments)
+SELECT target_type, target_id, coalesce(score, 0) AS score FROM t LEFT JOIN scores USING (target_type, target_id)
+""")
+def scores_of_items(f: Forum) -> DataFrame:
+    """The scores of all posts and comments."""
+    targets = f.posts.select(F.lit("post").alias("target_type"), F.col("post_id").alias("target_id")).union(f.comments.select(F.lit("comment"), "comment_id"))
+    return V.scores_of(f.current_votes, targets).select("target_type", "target_id", "score")
+
+
 @query("""
 , j AS (SELECT e.*, a.user_id AS owner FROM vote_events e LEFT JOIN (SELECT 'post' AS target_type, post_id AS target_id, user_id FROM posts UNION ALL SELECT 'comment', comment_id, user_id FROM comments) a USING (target_type, target_id)),
 r AS (SELECT *, CASE WHEN value = 0 THEN 'zero' WHEN abs(value) > CASE WHEN voter_role = 'judge' THEN 3 ELSE 1 END THEN 'range' WHEN owner IS NULL THEN 'no_target' WHEN owner = voter THEN 'own_target' END AS reason FROM j)
@@ -577,6 +595,15 @@ def session_cast(f: Forum) -> DataFrame:
     return S.cast_names(f.sessions, names, "title", actors=5, judges=3)
 
 
+@query(f"""
+, d AS (SELECT session_id, p_name AS alias, row_number() OVER (PARTITION BY session_id ORDER BY {_md5("'name:' || title || ':' || p_name")}, p_name) AS p FROM sessions, (SELECT DISTINCT p_name FROM part))
+SELECT session_id, CASE WHEN p <= 5 THEN 'Scientist_' || p ELSE 'Judge_' || (p - 5) END AS name, alias FROM d WHERE p <= 8
+""")
+def session_cast_whole(f: Forum) -> DataFrame:
+    """The casts of all sessions, drawn from all names."""
+    return S.cast_names(f.sessions, f.table("part").select(F.col("p_name").alias("alias")).distinct(), "title", actors=5, judges=3)
+
+
 @query(f"""
 , c AS (SELECT p_partkey, unnest([0, 1, 2, 3]) AS k, unnest([p_name, p_brand, p_type, 'none']) AS t FROM part), h AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY {_md5("'c:' || p_partkey || ':' || k")}, k) AS place FROM c)
 SELECT p_partkey, string_agg(t, '|' ORDER BY place) AS choices, substr('ABCDEFGH', max(CASE WHEN k = 0 THEN place END)::INT, 1) AS letter FROM h GROUP BY 1
