@@ -238,6 +238,21 @@ def deliveries(f: Forum) -> DataFrame:
     return R.deliveries(posts.union(votes), who).select("session_id", "recipient", "kind", "item_id", "author", "place")
 
 
+@query("""
+, i AS (SELECT session_id, 'post' AS kind, 0 AS type_rank, post_id AS item_id, author, author_role FROM posts WHERE post_id > 500 UNION ALL SELECT session_id, 'vote', 2, vote_id, voter_name, voter_role FROM session_votes WHERE target_id > 500),
+d AS (SELECT i.session_id, viewer AS recipient, item_id, CASE WHEN kind = 'vote' AND author_role = 'judge' THEN 'Anonymous Scientist' ELSE author END AS author, row_number() OVER (PARTITION BY i.session_id, viewer ORDER BY type_rank, item_id) AS place
+  FROM i JOIN actors USING (session_id) WHERE author <> viewer)
+SELECT session_id, recipient, count(*) AS n, count(*) FILTER (author = 'Anonymous Scientist') AS n_anonymous, CAST(sum(CAST(item_id AS HUGEINT) * place) AS VARCHAR) AS ordered FROM d GROUP BY ALL
+""")
+def deliveries_to_all(f: Forum) -> DataFrame:
+    """Deliveries to all actors of each session, as counts and an order digest for each recipient."""
+    posts = R.new_items(f.posts, "post_id", 500).select("session_id", F.lit("post").alias("kind"), F.lit(0).alias("type_rank"), F.col("post_id").alias("item_id"), "author", "author_role")
+    votes = R.new_items(f.session_votes, "target_id", 500).select("session_id", F.lit("vote"), F.lit(2), "vote_id", "voter_name", "voter_role")
+    sent = R.deliveries(posts.union(votes), J.actors(f.posts).withColumnRenamed("viewer", "recipient"))
+    ordered = F.sum(F.col("item_id").cast("decimal(25,0)") * F.col("place").cast("decimal(10,0)")).cast("decimal(38,0)").cast("string")
+    return sent.groupBy("session_id", "recipient").agg(F.count("*").alias("n"), F.count_if(F.col("author") == "Anonymous Scientist").alias("n_anonymous"), ordered.alias("ordered"))
+
+
 @query(", l AS (SELECT session_id, max(created_at) AS last_post FROM posts GROUP BY 1) SELECT session_id, last_post FROM l ORDER BY last_post DESC, session_id LIMIT 20")
 def sessions_newest_first(f: Forum) -> DataFrame:
     """A report of the twenty sessions with the newest posts."""
@@ -409,6 +424,20 @@ def orphan_local_ids(f: Forum) -> DataFrame:
     return J.local_comment_ids(comments, numbered).select("comment_id", "session_id", "local_id", "local_post_id")
 
 
+@query("""
+, p AS (SELECT post_id, session_id, viewer, row_number() OVER (PARTITION BY session_id, viewer ORDER BY post_id) AS local_id FROM posts JOIN actors USING (session_id) WHERE post_id % 4 <> 1),
+c AS (SELECT comment_id, post_id, session_id, viewer, row_number() OVER (PARTITION BY session_id, viewer ORDER BY comment_id) AS local_id FROM placed_comments JOIN actors USING (session_id))
+SELECT session_id, viewer, count(*) AS n, count(*) FILTER (p.local_id IS NULL) AS n_orphans, CAST(sum(CAST(comment_id AS HUGEINT) * (c.local_id + 3 * coalesce(p.local_id, 0))) AS VARCHAR) AS digest FROM c LEFT JOIN p USING (session_id, viewer, post_id) GROUP BY ALL
+""")
+def orphan_local_ids_of_all(f: Forum) -> DataFrame:
+    """Local ids in the views of all actors of each session, as counts and a digest for each view."""
+    viewers = J.actors(f.posts)
+    numbered = J.local_ids(f.posts.filter("post_id % 4 <> 1").join(viewers, "session_id"), "post_id")
+    rows = J.local_comment_ids(R.comments_in_sessions(f.comments, f.posts).join(viewers, "session_id"), numbered)
+    number = F.col("comment_id").cast("decimal(20,0)") * (F.col("local_id") + 3 * F.col("local_post_id")).cast("decimal(15,0)")
+    return rows.groupBy("session_id", "viewer").agg(F.count("*").alias("n"), F.count_if(F.col("local_post_id") == 0).alias("n_orphans"), F.sum(number).cast("decimal(38,0)").cast("string").alias("digest"))
+
+
 _TIMELINE = """
 , vp AS (SELECT p.*, a.viewer, row_number() OVER (PARTITION BY p.session_id, a.viewer ORDER BY post_id) AS local_id FROM posts p JOIN actors a USING (session_id)),
 vc AS (SELECT c.*, a.viewer, row_number() OVER (PARTITION BY c.session_id, a.viewer ORDER BY comment_id) AS local_id FROM placed_comments c JOIN actors a USING (session_id)),
