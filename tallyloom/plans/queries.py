@@ -259,6 +259,19 @@ def sessions_newest_first(f: Forum) -> DataFrame:
     return R.newest_first(f.posts.groupBy("session_id").agg(F.max("created_at").alias("last_post")), "last_post").limit(20)
 
 
+@query(", l AS (SELECT session_id, max(created_at) AS last_post FROM posts GROUP BY 1) SELECT session_id, last_post, row_number() OVER (ORDER BY last_post DESC NULLS LAST, session_id) AS place FROM sessions LEFT JOIN l USING (session_id)")
+def all_sessions_newest_first(f: Forum) -> DataFrame:
+    """All sessions with their place in the order by newest post; those without posts come last."""
+    last = f.posts.groupBy("session_id").agg(F.max("created_at").alias("last_post"))
+    rows = f.sessions.select("session_id").join(last, "session_id", "left")
+    order = [F.col("last_post").desc_nulls_last(), F.col("session_id")]
+    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())  # so that no task sorts all sessions
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))  # a row for each partition
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return ranged.join(F.broadcast(before), "_part").select("session_id", "last_post", place.alias("place"))
+
+
 @query("SELECT DISTINCT c_nationkey AS nation FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 5)", views=False)
 def missing_keys(f: Forum) -> DataFrame:
     return R.missing_keys(f.table("customer").select(F.col("c_nationkey").alias("nation")), f.table("supplier").filter("s_suppkey < 5").select(F.col("s_nationkey").alias("nation")), "nation")
