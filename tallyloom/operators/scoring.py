@@ -45,7 +45,7 @@ def accuracy_rollup(records: DataFrame, by: str) -> DataFrame:
 
 #: Exits that end a participant's part as planned.
 NORMAL_EXITS = ("session_end", "max_rounds")
-_SUMS = ("rounds", "successful_rounds", "failed_rounds", "llm_calls", "posts_created", "comments_created", "votes_cast", "total_prompt_tokens", "total_completion_tokens")
+_SUMS = ("rounds", "successful_rounds", "failed_rounds", "llm_calls", "posts_created", "comments_created", "votes_cast", "total_prompt_tokens", "total_completion_tokens", "llm_errors", "api_errors", "no_tool_responses", "fallback_parses")
 
 
 def experiment_summary(results: DataFrame) -> DataFrame:

@@ -811,6 +811,19 @@ def experiment_totals(f: Forum) -> DataFrame:
     return C.experiment_summary(results).drop("exit_reasons")
 
 
+_COUNTERS = ("rounds", "successful_rounds", "failed_rounds", "llm_calls", "posts_created", "comments_created", "votes_cast", "total_prompt_tokens", "total_completion_tokens", "llm_errors", "api_errors", "no_tool_responses", "fallback_parses")
+
+
+@query("SELECT count(*) AS agents, " + ", ".join(f"CAST(sum((event_id + {k}) % {k + 7}) AS BIGINT) AS {c}" for k, c in enumerate(_COUNTERS)) + """, count(*) FILTER (event_id % 5 < 2) AS normal_exits,
+(SELECT string_agg(r || '=' || n, ';' ORDER BY r) FROM (SELECT coalesce((['session_end', 'max_rounds', 'error', NULL, 'left'])[event_id % 5 + 1], 'unknown') AS r, count(*) AS n FROM events GROUP BY 1)) AS exit_reasons FROM events""", views=False)
+def experiment_totals_whole(f: Forum) -> DataFrame:
+    """All counters and the exit reasons of the summary."""
+    reason = F.element_at(F.array(*map(F.lit, ("session_end", "max_rounds", "error", None, "left"))), (F.col("event_id") % 5 + 1).cast("int"))
+    counters = [((F.col("event_id") + k) % (k + 7)).alias(c) for k, c in enumerate(_COUNTERS)]
+    reasons = F.array_join(F.transform(F.map_entries("exit_reasons"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return C.experiment_summary(f.table("events").select(reason.alias("exit_reason"), *counters)).withColumn("exit_reasons", reasons)
+
+
 @query("""
 , u AS (SELECT user_id, max(ts) AS seen, count(*) AS n FROM events GROUP BY 1), m AS (SELECT max(ts) AS now FROM events)
 SELECT user_id, CASE WHEN user_id % 10 = 0 THEN 'done' WHEN user_id % 10 = 1 THEN 'failed@' || n WHEN user_id % 10 = 2 THEN 'paused' WHEN epoch(now) - epoch(seen) > 86400 THEN 'stale' ELSE 'running' END AS status FROM u, m
