@@ -11,10 +11,10 @@ from ..shipping import map_arrow
 from .scratch import discard, is_empty, materialize
 
 
-def compare_in_buckets(rows: DataFrame, key: str, member: str, compare, schema: str, block: int = 512, sizes: DataFrame | None = None) -> DataFrame:
+def compare_in_buckets(rows: DataFrame, key: str, member: str | list[str], compare, schema: str, block: int = 512, sizes: DataFrame | None = None) -> DataFrame:
     """Run compare on all members of each bucket, so that each pair of a bucket's members meets in exactly one call.
 
-    rows has one row for each (bucket, member). A bucket of more than `block` members is dealt into blocks by a hash
+    rows has one row for each (bucket, member); member names a column or several. A bucket of more than `block` members is dealt into blocks by a hash
     of the member, and each two of its blocks meet in a task of their own: no task sees more than about two blocks of
     a bucket, whatever the bucket's size, and no member is left out. compare(table, own, first, last) gets sorted rows
     of many buckets: first and last hold each bucket task's row range, own the block of each row, or -1 where all
@@ -29,7 +29,7 @@ def compare_in_buckets(rows: DataFrame, key: str, member: str, compare, schema:
     else:  # Spark broadcasts it where its measured size allows, and else splits the skewed join
         blocks = F.coalesce(F.ceil(F.col("_n") / block), F.lit(1)).cast("int")
         dealt = rows.join(many, key, "left").withColumn("_blocks", blocks)
-        dealt = dealt.withColumn("_own", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
+        dealt = dealt.withColumn("_own", F.pmod(F.xxhash64(*([member] if isinstance(member, str) else member)), F.col("_blocks")).cast("int"))
         dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         dealt = dealt.withColumn("_a", F.least("_own", "_other")).withColumn("_b", F.greatest("_own", "_other"))
         dealt = dealt.withColumn("_own", F.expr("if(_a = _b, -1, _own)")).drop("_n", "_blocks", "_other")

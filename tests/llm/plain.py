@@ -52,6 +52,16 @@ def simhash(rows, words=3, bits=3):
     return {i: (f"{p:016x}", roots[i]) for i, p in prints.items()}
 
 
+def near_copies(rows, words=5, least=0.8):
+    """rows: (id, text) with distinct ids; {id: least id reachable over texts whose shingle sets agree to `least`}"""
+    sets = {}
+    for i, t in rows:
+        tokens = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(tokens[k : k + words]) for k in range(max(1, len(tokens) - words + 1))} if tokens else set()
+    links = [(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]))]
+    return components(list(sets), links)
+
+
 def repeated_lines(rows, min_words=50):
     """rows: (id, text) with distinct ids; {id: removed line numbers}: every line of every run that has an earlier copy."""
     rows = sorted(rows)

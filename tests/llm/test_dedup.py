@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm import embedding_dedup, exact_dedup, line_dedup, near_copies, simhash
+from tallyloom.llm import embedding_dedup, exact_dedup, line_dedup, simhash
 from tallyloom.llm.components import connected_components
 from tallyloom.llm.scratch import running_totals
 
@@ -75,37 +75,58 @@ def test_keep_one_of_each(spark):
     assert all(r.keep_id == "a" for r in kept) and simhash.keep_one_of_each(frame(spark, [])).count() == 0
 
 
-def test_pipeline_drops_near_copies_of_eight_tenths(spark):
+def test_eight_tenths_of_five_word_shingles_decide(spark):
     import corpus_pipeline
 
     words = [f"w{k}" for k in range(400)]
     changed = lambda *at: " ".join("new" if k in at else w for k, w in enumerate(words))
     # each change far from the others costs five shingles of 396: 8 changes leave (396 - 40) / (396 + 40) = 0.817, 9 leave 0.796
     rows = [(2, changed()), (5, changed(*range(20, 380, 45))), (6, changed(*range(20, 380, 40))), (7, None), (8, " "), (None, "no id at all here"), (None, "no  id at all here")]
-    kept = near_copies.keep_one_of_near_copies(frame(spark, rows)).collect()
+    kept = simhash.keep_one_of_each(frame(spark, rows)).collect()
     assert sorted((r.doc_id or 0) for r in kept) == [0, 2, 6, 7] and all(r.keep_id == "a" for r in kept)
-    assert near_copies.keep_one_of_near_copies(frame(spark, [])).count() == 0
 
-    # documents 1 and 177 agree to 0.83, their fingerprints differ in eleven bits
-    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id in (1, 177)")
-    for name, stage in corpus_pipeline.STAGES:
-        if name in ("simhash", "near_copies"):
-            docs = stage(spark, docs, SF)
-    assert [r.doc_id for r in docs.collect()] == [1]
+    # documents 1 and 177 agree to 0.83; 106 and 185 to 0.797
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id in (1, 177, 106, 185)")
+    out = dict(corpus_pipeline.STAGES)["simhash"](spark, docs, SF)
+    assert sorted(r.doc_id for r in out.collect()) == [1, 106, 185]
 
 
 def test_near_copies_against_all_pairs(spark):
     rng = random.Random(4)
     rows = sample(spark, 80)
-    for k in range(80):
+    for k in range(300):
         words = rows[k % 30][1].split()
         for _ in range(rng.randint(1, 1 + len(words) // 20)):
             words[rng.randrange(len(words))] = f"w{rng.random()}"
         rows.append((2000 + k, " ".join(words)))
-    sets = {i: set(near_copies.shingles(t).tolist()) for i, t in rows}
-    near = lambda a, b: a == b or len(a & b) / len(a | b) >= 0.8
-    roots = plain.components(list(sets), [(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])])
-    assert {r.doc_id for r in near_copies.keep_one_of_near_copies(frame(spark, rows)).collect()} == set(roots.values())
+    roots = plain.near_copies(rows)
+    assert len(set(roots.values())) < 0.8 * len(rows)
+    out = simhash.near_copy_groups(frame(spark, rows)).collect()
+    assert {r.id: r.component_id for r in out} == roots
+
+
+def test_a_large_group_with_members_unlike_its_hub(spark):
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(900):
+        words = list(base)
+        for _ in range(rng.randint(1, 5)):
+            words[rng.randrange(len(words))] = f"x{rng.random()}"
+        rows.append((k, " ".join(words)))
+    assert {r.id: r.component_id for r in simhash.near_copy_groups(frame(spark, rows)).collect()} == plain.near_copies(rows)
+
+
+def test_a_pair_at_the_threshold_is_proposed():
+    rng = np.random.default_rng(5)
+    hit = 0
+    for _ in range(400):
+        shared, own = rng.integers(0, 1 << 63, 160, dtype=np.uint64), rng.integers(0, 1 << 63, (2, 20), dtype=np.uint64)
+        a, b = (simhash.wide_fingerprint(np.unique(np.concatenate([shared, x]))) for x in own)
+        bits = "".join(f"{int(x) ^ int(y):064b}"[::-1] for x, y in zip(a, b, strict=True))
+        segments = [bits[o : o + 16] for o in range(0, 128, 16)] + [bits[o::8] for o in (0, 2, 4, 6)]
+        hit += min(s.count("1") for s in segments) <= 1
+    assert hit / 400 > 0.94
 
 
 def test_embedding_groups(spark):
