@@ -1,4 +1,4 @@
-"""A corpus pipeline of the llm operators: language, toxicity, repeated lines, near-duplicates, near copies, packing.
+"""A corpus pipeline of the llm operators: language, toxicity, repeated lines, near-duplicates, packing.
 
 run() writes each stage's documents to the shared checkpoint folder and reads them again as the next one's input.
 """
@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import language_id, line_dedup, near_copies, packing, simhash, toxicity
+from tallyloom.llm import language_id, line_dedup, packing, simhash, toxicity
 from tallyloom.llm.queries import held_out
 from tallyloom.llm.scratch import materialize
 
@@ -34,13 +34,8 @@ def no_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group."""
-    return simhash.keep_one_of_each(docs)
-
-
-def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles agree to 0.8 or more."""
-    return near_copies.keep_one_of_near_copies(docs)
+    """One document of each group whose five-word shingles agree to 0.8 or more, found by SimHash."""
+    return simhash.keep_one_of_each(docs, words=5, least=0.8)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +48,6 @@ STAGES = [
     ("toxicity", not_toxic),
     ("line_dedup", no_repeated_lines),
     ("simhash", no_near_duplicates),
-    ("near_copies", no_near_copies),
     ("packing", packed),
 ]
 
