@@ -6,7 +6,7 @@ import hashlib
 import os
 import re
 import zlib
-from collections import deque
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -114,57 +114,44 @@ class PieceEncoder:
 
 
 def choose_cuts(places: np.ndarray, penalties: np.ndarray, total: int, window: int, inside: float) -> list[int]:
-    """The cuts of a stream of `total` tokens, ascending, the last at total, into sequences of at most `window`.
+    """The cuts of a stream of `total` tokens, ascending, the last at total, into sequences of at most `window`, at least cost.
 
     places are the tokens before which a cut is natural (ascending, in (0, total)), penalties their costs. A sequence
-    costs its padding up to the window. Between two chosen places there may be several sequences: all but the last
-    are full windows, each with a cut inside a sentence at the cost `inside`. The least sum is found place by place:
-    best(j) = penalty(j) + min over i of best(i) + k*window - (j - i) + (k-1)*inside, k = ceil((j - i) / window).
-    For k of 1 and 2 the least best(i) + i of the sliding ranges of i is kept in a monotone queue each; larger k are
-    tried only where no place lies within two windows before j, and from the place just before it.
+    costs its padding up to the window, a cut at any other token costs `inside`. Between two chosen places i and j there are
+    k = ceil((j - i) / window) sequences, all but the last full windows:
+    best(j) = penalty(j) + min over all i < j of best(i) + k*window - (j - i) + (k-1)*inside.
+    With i = q*window + r, k is q(j) - q(i), and one more where r(i) < r(j). With g(i) = best(i) + i - q(i)*(window + inside),
+    g(j) = penalty(j) - inside + the least of g(i) over those with r(i) >= r(j), and of g(i) + window + inside over all. The
+    former are kept in a monotone queue in the order of r: a place leaves it when one with r not below its own has no
+    larger g, or when the least over all, a window added, is no larger; the first one from r(j) on is the least of its range.
     """
-    at = [0, *places.tolist(), total]
+    at = np.concatenate([[0], places, [total]]).astype(np.int64)
+    left = (at % window).tolist()
     cost = [0.0, *penalties.tolist(), 0.0]
-    n = len(at)
-    source, value = [0] * n, [0.0] * n
-    near: deque = deque()  # places at most one window back, best(i) + i ascending
-    far: deque = deque()  # places between one and two windows back
-    entered = 0  # places before it have left the near range for the far one
-    edge = at[0] + window  # up to here, no place leaves the near range
+    n, unit = len(cost), window + inside
+    source = [0] * n
+    rests, values, owners = [0], [0.0], [0]  # the queue: r ascending, and with it the values
+    low, lowest = 0.0, 0
     for j in range(1, n):
-        here, i = at[j], j - 1
-        v = value[i]
-        while near and value[near[-1]] >= v:
-            near.pop()
-        near.append(i)
-        if here > edge:
-            back = here - window
-            while at[entered] < back:
-                v = value[entered]
-                while far and value[far[-1]] >= v:
-                    far.pop()
-                far.append(entered)
-                entered += 1
-            edge = at[entered] + window
-            while near and near[0] < entered:
-                near.popleft()
-        while far and at[far[0]] < here - 2 * window:
-            far.popleft()
-        if near:
-            from_ = near[0]
-            low = value[from_] + window
-            if far and value[far[0]] + 2 * window + inside < low:
-                from_ = far[0]
-                low = value[from_] + 2 * window + inside
-        elif far:
-            from_ = far[0]
-            low = value[from_] + 2 * window + inside
+        r = left[j]
+        k = bisect_left(rests, r)
+        if k < len(rests) and values[k] <= low + unit:
+            least, source[j] = values[k], owners[k]
         else:
-            from_, k = i, -(-(here - at[i]) // window)
-            low = value[i] + k * window + (k - 1) * inside
-        source[j] = from_
-        value[j] = low + cost[j]  # best(j) + j
+            least, source[j] = low + unit, lowest
+        mine = least + cost[j] - inside
+        if mine < low:
+            low, lowest = mine, j
+        if k < len(rests) and values[k] <= mine:
+            continue
+        stop = k + 1 if k < len(rests) and rests[k] == r else k
+        while k and values[k - 1] >= mine:
+            k -= 1
+        rests[k:stop], values[k:stop], owners[k:stop] = [r], [mine], [j]
+        while values[-1] >= low + unit:
+            rests.pop(), values.pop(), owners.pop()
     cuts, j = [], n - 1
+    at = at.tolist()
     while j:
         i = source[j]
         cuts += [at[j], *range(at[i] + window * ((at[j] - at[i] - 1) // window), at[i], -window)]
@@ -219,7 +206,6 @@ def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     long = T.LongType()
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = T.StructType([docs.schema[id_col], *(T.StructField(c, long) for c in names), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
-    id_type = pa.int64() if docs.schema[id_col].dataType == long else None
 
     def run(batches):
         encoder = _encoder(model.value, remembered)
@@ -227,6 +213,7 @@ def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
         flags[: len(encoder.sentence_ends)] = encoder.sentence_ends
         sequence = (TaskContext.get().partitionId() << 40) - 1
         held: list = []  # (id, start, doc_tokens, ids) not yet placed
+        kind = None  # the ids' own type
 
         def solve(last: bool):
             nonlocal sequence, held
@@ -263,13 +250,14 @@ def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
                     place = end
             held = rest
             columns = list(zip(*out, strict=True)) if out else [[]] * 8
-            arrays = [pa.array(columns[0], type=id_type), *(pa.array(x, type=pa.int64()) for x in columns[1:7])]
+            arrays = [pa.array(columns[0], type=kind), *(pa.array(x, type=pa.int64()) for x in columns[1:7])]
             if with_ids:
                 arrays.append(pa.array(columns[7], type=pa.list_(pa.int32())))
             return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
         size, last_id = 0, np.array([end_id], dtype="<u4")
         for batch in batches:
+            kind = batch.column(0).type
             for part in _portions(batch, portion):
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.encode_all(part.column(1)), strict=True):
                     ids = np.concatenate([ids, last_id])

@@ -78,28 +78,62 @@ def test_pieces_are_those_of_whole_texts(text):
     assert PIECES.encode(text).tolist() == PLAIN_TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
-def least_cost(at, cost, total, window, inside):
-    at, cost = [0, *at, total], [0, *cost, 0]
-    best = [0.0] * len(at)
-    for j in range(1, len(at)):
-        k = lambda i: -(-(at[j] - at[i]) // window)  # noqa: E731, B023
-        best[j] = cost[j] + min(best[i] + k(i) * window - (at[j] - at[i]) + (k(i) - 1) * inside for i in range(j) if k(i) <= 2 or i == j - 1)
+def least_cost(costs, total, window, inside):
+    """Token by token: the least cost of any cuts at all, at costs[p] where a cut is natural and else at `inside`."""
+    best = [0.0]
+    for j in range(1, total + 1):
+        cut = 0.0 if j == total else costs.get(j, inside)
+        best.append(cut + min(best[i] + window - (j - i) for i in range(max(0, j - window), j)))
     return best[-1]
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.integers(1, 400), st.lists(st.tuples(st.integers(1, 399), st.sampled_from([0.0, 3.0])), max_size=40), st.integers(4, 60))
-def test_cuts_cost_least(total, places, window):
-    places = {p: c for p, c in places if p < total}
-    at = np.array(sorted(places), dtype=np.int64)
-    cost = np.array([places[p] for p in at.tolist()])
-    cuts = packing.choose_cuts(at, cost, total, window, 7.0)
-    spent, before = 0.0, 0
+def spent(cuts, costs, total, window, inside):
+    before, out = 0, 0.0
     for c in cuts:
         assert 0 < c - before <= window
-        spent += window - (c - before) + (0 if c == total else places.get(c, 7.0))
+        out += window - (c - before) + (0 if c == total else costs.get(c, inside))
         before = c
-    assert before == total and spent <= least_cost(at.tolist(), cost.tolist(), total, window, 7.0) + 1e-9
+    assert before == total
+    return out
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.integers(1, 900), st.lists(st.tuples(st.integers(1, 899), st.sampled_from([0.0, 3.0])), max_size=40), st.integers(4, 60), st.sampled_from([0.0, 7.0, 100.0]))
+def test_cuts_cost_least(total, places, window, inside):
+    places = {p: min(c, inside) for p, c in places if p < total}
+    at = np.array(sorted(places), dtype=np.int64)
+    cost = np.array([places[p] for p in at.tolist()])
+    cuts = packing.choose_cuts(at, cost, total, window, inside)
+    assert spent(cuts, places, total, window, inside) == least_cost(places, total, window, inside)
+
+
+def test_cuts_of_sparse_streams_cost_least():
+    rng = np.random.default_rng(9)
+    assert spent(packing.choose_cuts(np.array([100]), np.array([8.0]), 6144, 2048, 24.0), {100: 8.0}, 6144, 2048, 24.0) == 48
+    for _ in range(60):
+        total = int(rng.integers(500, 6000))  # spans of up to sixty windows
+        places = {int(p): float(rng.choice([0.0, 8.0])) for p in rng.integers(1, total, rng.integers(0, 11))}
+        at = np.array(sorted(places), dtype=np.int64)
+        cuts = packing.choose_cuts(at, np.array([places[p] for p in at.tolist()]), total, 100, 24.0)
+        assert spent(cuts, places, total, 100, 24.0) == least_cost(places, total, 100, 24.0)
+
+
+def test_long_texts_without_sentences_take_little_padding(spark):
+    rows = [(k, " ".join(f"word{(k * 7 + n) % 50}" for n in range(4500))) for k in range(40)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id int, text string").coalesce(1), WORDS).toPandas()
+    assert out.doc_id.dtype == "int32" and sorted(out.doc_id.unique()) == list(range(40))
+    used = out.groupby("sequence_id").length.sum()
+    full = used[(used & (used - 1)) != 0]
+    assert (2048 - full).sum() < 0.01 * used.sum() and used.max() == 2048
+
+
+def test_packing_takes_any_ids(spark):
+    repeated = spark.createDataFrame([(5, "a b"), (5, "a b"), (None, "a b"), (None, None)], "doc_id int, text string")
+    out = packing.pack(repeated, WORDS, with_ids=True).collect()
+    assert sum(r.length for r in out) == 10 and all(r.doc_tokens in (1, 3) for r in out)
+    assert sum(r.length for r in out if r.doc_id == 5) == 6 and {r.doc_id for r in out} == {5, None}
+    named = spark.createDataFrame([("x", "a b")], "doc_id string, text string")
+    assert [r.doc_id for r in packing.pack(named, WORDS).collect()][0] == "x"
 
 
 @pytest.mark.parametrize("stretch", [1 << 21, 5000])
