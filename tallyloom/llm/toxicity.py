@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -16,13 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import map_arrow
-from .scratch import materialize
+from .scratch import discard, materialize
 
-# Words that count before anything is learned, and phrases in which a word doesn't count.
-SEEDS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
-EXCEPTIONS = ("class clown", "clown fish", "sore loser rule", "trash bag", "trash bin", "trash can", "trash collection")
-# Cyrillic and Greek letters that look like Latin ones, then digits and signs that stand for letters.
-_LOOK_ALIKE = ("абвгеікмнорсԁтухѕјһԛԝѵα βγεικνορτυχ", "abbreikmhopcdtyxsjhqwva byeikvoptux")
+# Cyrillic, Greek and rare Latin letters that look like Latin ones, then digits and signs that stand for letters.
+_LOOK_ALIKE = ("абвгеікмнорсԁтухѕјһԛԝѵα βγεικνορτυχıɑɡɩʟɴʀʏ", "abbreikmhopcdtyxsjhqwva byeikvoptuxiagilnry")
 _SUBSTITUTES = ("0134578@$", "oieastbas")
 _FOLD = str.maketrans("".join(x[0] for x in (_LOOK_ALIKE, _SUBSTITUTES)), "".join(x[1] for x in (_LOOK_ALIKE, _SUBSTITUTES)))
 _FOLD |= dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
@@ -41,7 +40,7 @@ class Lexicon:
     bias + total * ln(1 + S) + density * S / sqrt(n), S being the weights matched and n the number of words."""
 
     weights: dict[str, float]
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     bias: float = -4.0
     total: float = 3.0
     density: float = 1.0
@@ -65,9 +64,13 @@ class Lexicon:
         if not len(self._machine):
             return 0.0
         hits = list(self._machine.iter(folded))
-        spared = [(end - n + 1, end) for end, (n, _, exception) in hits if exception]
-        inside = lambda a, b: any(x <= a and b <= y for x, y in spared)
-        return sum(w for end, (n, w, exception) in hits if not exception and not (spared and inside(end - n + 1, end)))
+        if not any(x[2] for _, x in hits):
+            return sum(x[1] for _, x in hits)
+        spared = sorted((end - n + 1, end) for end, (n, _, exception) in hits if exception)
+        starts, upto = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+        # inside a phrase if, of all phrases that start no later, one ends no earlier
+        inside = lambda a, b: (k := bisect_right(starts, a)) and upto[k - 1] >= b
+        return sum(w for end, (n, w, exception) in hits if not exception and not inside(end - n + 1, end))
 
     def features(self, text: str | None) -> tuple[float, float]:
         folded = fold(text)
@@ -79,14 +82,23 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, self.bias + self.total * a + self.density * b))))
 
 
-def _terms(folded: str, least: int, most: int) -> set[str]:
-    out = set()
-    for w in set(folded.split()):
-        out.add(f" {w} ")
-        out.update(f" {w[:n]}" for n in range(least, min(most, len(w)) + 1))
+def _terms(folded: str, least: int, most: int) -> Counter:
+    """How often each whole word, and each beginning of a word, occurs."""
+    out: Counter = Counter()
+    for w, n in Counter(folded.split()).items():
+        out[f" {w} "] += n
+        for k in range(least, min(most, len(w)) + 1):
+            out[f" {w[:k]}"] += n
     return out
 
 
+def _phrases(folded: str, beginnings: set[str], words: set[str], longest: int) -> set[str]:
+    """Each two words in a row of which one matches the lexicon."""
+    listed = folded.split()
+    hit = [w in words or any(w[:k] in beginnings for k in range(1, min(longest, len(w)) + 1)) for w in listed]
+    return {f"{a} {b}" for a, b, x, y in zip(listed, listed[1:], hit, hit[1:], strict=False) if x or y}
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, most: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """(text, y) of at most about `most` labelled documents, chosen by a hash of their ids, equal ones once; ids labelled both ways are left out."""
     known = labels.filter(usable & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col)
@@ -99,53 +111,78 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, most: int,
     return materialize(joined.groupBy("text", "y").agg(F.count("*").alias("copies")).drop("copies"), "labelled")
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", support: int = 5, precision: float = 0.5, prefix: tuple[int, int] = (4, 8), seeds: tuple[str, ...] = SEEDS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def _wilson(pos: Column, n: Column, side: int, z: float = 1.96) -> Column:
+    """The lower (side -1) or upper (1) bound of the share pos / n."""
+    p = pos / n
+    return (p + z * z / (2 * n) + side * z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def fit_lexicon(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", support: int = 3, lift: float = 2.0, prefix: tuple[int, int] = (4, 8), exceptions: tuple[str, ...] = (), most_terms: int = 100_000) -> Lexicon:
     """A lexicon from labelled documents: the fit reads about most_rows of them (a documented bound), chosen by hash.
 
-    Terms are words and beginnings of words, counted by the documents of either label that hold them. A term enters
-    with its smoothed log odds if the lower Wilson bound of its precision reaches `precision`; of nested terms, the longest
-    that has nine tenths of the documents of the shorter one. Seeds enter in any case. Without labels of both
-    kinds, the seeds and default coefficients remain.
+    Terms are words and beginnings of words. A document counts log2(1 + n) for a term that occurs n times in it, since toxic terms
+    come in heaps. A term that stands in `support` toxic documents or more enters if the lower Wilson bound of the toxic share of
+    its counts reaches `lift` times the share of toxic documents, or one half; its weight is the log odds of that bound over those of
+    the share, so that what was seen rarely weighs little. Of nested terms the longest enters that has nine tenths of the shorter
+    one's count, and of all the most_terms strongest (the lexicon's bound). Two words in a row, one of which matches, are an exception
+    if the upper bound of their toxic share lies below the share of toxic documents; `exceptions` adds phrases. Without
+    labels of both kinds the lexicon is empty.
     """
     sample = training_rows(docs, labels, usable if usable is not None else F.lit(True), most_rows, id_col, text_col, label_col)
 
     def count(batches):
-        tally: list[Counter] = [Counter(), Counter()]
+        tally: dict[str, list[int]] = {}
         seen = [0, 0]
         for batch in batches:
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                tally[y].update(_terms(fold(text), *prefix))
+                for term, n in _terms(fold(text), *prefix).items():
+                    found = tally.setdefault(term, [0, 0, 0])
+                    found[y] += round(1000 * math.log2(1 + n))
+                    found[2] += y
                 seen[y] += 1
-            if len(tally[0]) + len(tally[1]) > 500_000:
+            if len(tally) > 500_000:
                 yield _counts(tally)
-                tally = [Counter(), Counter()]
-        tally[0][""], tally[1][""] = seen
+                tally = {}
+        tally[""] = [*seen, 0]
         yield _counts(tally)
 
-    counts = map_arrow(sample, count, "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    counts = materialize(counts.filter((F.col("pos") >= support) | (F.col("term") == "")), "terms")
+    counts = map_arrow(sample, count, "term string, neg long, pos long, docs long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("neg", "pos", "docs")))
+    counts = materialize(counts.filter((F.col("docs") >= support) | (F.col("term") == "")), "terms")
     negatives, positives = next(((r.neg, r.pos) for r in counts.filter("term = ''").collect()), (0, 0))
-    seed_terms = {fold(s): 3.0 for s in seeds}
     if not negatives or not positives:
-        return Lexicon(seed_terms, exceptions)
-    z = 1.96
-    n, p = F.col("pos") + F.col("neg"), F.col("pos") / (F.col("pos") + F.col("neg"))
-    wilson = (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    # each term stands in `support` labelled documents at least: their number is bounded by the bounded sample
-    good = counts.filter("term <> ''").withColumn("low", wilson).filter(F.col("low") >= precision).collect()
-    odds = {r.term: math.log((r.pos + 0.5) / (positives + 1)) - math.log((r.neg + 0.5) / (negatives + 1)) for r in good}
+        discard(sample)
+        discard(counts)
+        return Lexicon({}, exceptions)
+    base = positives / (negatives + positives)
+    low = _wilson(F.col("pos") / 1000, (F.col("pos") + F.col("neg")) / 1000, -1)
+    good = counts.filter("term <> ''").withColumn("low", low).filter(F.col("low") >= min(0.5, lift * base))
+    good = good.orderBy(F.desc("low"), "term").limit(most_terms).collect()
+    discard(counts)
+    odds = {r.term: math.log(r.low / (1 - r.low)) - math.log(base / (1 - base)) for r in good}
     held = {r.term: r.pos for r in good}
     chosen: dict[str, float] = {}
-    for term in sorted(odds, key=len):
+    for term in sorted(odds, key=lambda t: (len(t), t)):
         covers = next((t for t in (term[:k] for k in range(2, len(term))) if t in chosen), None)
         if covers is None:
             chosen[term] = odds[term]
         elif held[term] >= 0.9 * held[covers]:
             del chosen[covers]
             chosen[term] = odds[term]
-    covered = tuple(chosen)
-    chosen |= {t: w for t, w in seed_terms.items() if not t.startswith(covered)}
-    lexicon = Lexicon(chosen, exceptions)
+    words, beginnings = {t.strip() for t in chosen if t.endswith(" ")}, {t.strip() for t in chosen if not t.endswith(" ")}
+
+    def phrases(batches):
+        for batch in batches:
+            tally: dict[str, list[int]] = {}
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                for phrase in _phrases(fold(text), beginnings, words, prefix[1]):
+                    found = tally.setdefault(phrase, [0, 0, 0])
+                    found[y] += 1
+                    found[2] += y
+            yield _counts(tally)
+
+    seen = map_arrow(sample, phrases, "term string, neg long, pos long, docs long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    spared = seen.filter(_wilson(F.col("pos"), F.col("pos") + F.col("neg"), 1) < base).orderBy(F.desc("neg"), "term").limit(most_terms)
+    lexicon = Lexicon(chosen, (*exceptions, *(r.term for r in spared.collect())))
 
     def features(batches):
         for batch in batches:
@@ -155,12 +192,13 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, usable: Column | None = None
     rows = map_arrow(sample, features, "a double, b double, y long").toPandas()  # three numbers for each row of the bounded sample
     lexicon.bias, lexicon.total, lexicon.density = _logistic(rows[["a", "b"]].to_numpy(), rows["y"].to_numpy())
     lexicon._machine = None
+    discard(sample)
     return lexicon
 
 
-def _counts(tally: list[Counter]) -> pa.RecordBatch:
-    terms = list(tally[0].keys() | tally[1].keys())
-    return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([t[x] for x in terms], pa.int64()) for t in tally)], names=["term", "neg", "pos"])
+def _counts(tally: dict[str, list[int]]) -> pa.RecordBatch:
+    columns = zip(*tally.values(), strict=True) if tally else ([], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["term", "neg", "pos", "docs"])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[float, float, float]:

@@ -1,4 +1,6 @@
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,21 +64,61 @@ def test_blocks_spread_over_links(spark):
 def test_fold_and_exceptions():
     assert toxicity.fold("1D10T М0rоn — b@d!  ＦＯＯ x​y") == " idiot moron bad foo xy "
     assert toxicity.fold(None) == toxicity.fold("…") == "  "
-    lexicon = toxicity.Lexicon({" idiot ": 3.0, " clown": 2.0, " trash ": 1.0})
+    lexicon = toxicity.Lexicon({" idiot ": 3.0, " clown": 2.0, " trash ": 1.0}, ("class clown", "trash can"))
     assert lexicon.matched(toxicity.fold("Idiot idiot, clowns; class clown; idiotic trash can trash")) == 9.0
     assert lexicon.score("") == lexicon.score(None) == lexicon.score("fine words") < 0.3 < lexicon.score("you idiot")
     assert toxicity.Lexicon({}, ()).score("idiot") < 0.3
 
 
-def test_toxicity_on_held_out_labels(spark):
-    folder = "/root/testdata/sf0.1"
+def test_matches_are_those_of_a_plain_search():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randint(1, 5)))
+    for _ in range(300):
+        weights = {f" {word()}" + rng.choice([" ", ""]): rng.choice([1.0, 2.5]) for _ in range(rng.randint(0, 6))}
+        exceptions = tuple(f"{word()} {word()}" for _ in range(rng.randint(0, 4)))
+        text = toxicity.fold(" ".join(word() for _ in range(rng.randint(0, 30))))
+        every = lambda t: [(k, k + len(t) - 1) for k in range(len(text)) if text.startswith(t, k)]  # noqa: E731, B023
+        spared = [s for e in exceptions for s in every(f" {e} ")]
+        wanted = sum(w for t, w in weights.items() for a, b in every(t) if not any(x <= a and b <= y for x, y in spared))
+        assert abs(toxicity.Lexicon(weights, exceptions).matched(text) - wanted) < 1e-9
+
+
+def test_long_texts_take_linear_time():
+    lexicon = toxicity.Lexicon({" trash ": 1.0, " clown": 2.0}, ("trash can",))
+    began = time.perf_counter()
+    assert lexicon.matched(toxicity.fold("trash can clowns " * 60_000)) == 120_000  # a text of a megabyte
+    assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize("sf,recall", [("sf0.1", 0.9), ("sf0.01", 0.9)])
+def test_toxicity_on_held_out_labels(spark, sf, recall):
+    folder = f"/root/testdata/{sf}"
     out = op8_toxicity(spark, folder)
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     t = out.filter("held_out").join(labels, "doc_id").agg(F.count_if(F.expr("predicted = 1 and toxic = 1")).alias("tp"), F.count_if(F.expr("predicted = 1 and toxic = 0")).alias("fp"), F.count_if(F.expr("predicted = 0 and toxic = 1")).alias("fn")).first()
-    assert t.tp / (t.tp + t.fp) > 0.95 and t.tp / (t.tp + t.fn) > 0.85, t
+    assert t.tp / (t.tp + t.fp) > 0.9 and t.tp / (t.tp + t.fn) >= recall, t
     assert out.filter("score < 0 or score > 1 or score is null").count() == 0
 
 
+def test_terms_and_exceptions_are_learned(spark):
+    rng = random.Random(1)
+    plain_word = lambda: "w" + "".join(rng.choice("abcdefghij") for _ in range(3))
+    rows, labels = [], []
+    for k in range(900):
+        kind = k % 9  # one toxic in nine; as many harmless ones with the word in a fixed phrase
+        said = ["grumpf"] if kind == 0 else ["grumpf", "flower"] if kind in (1, 2) else []
+        body = [plain_word() for _ in range(20)]
+        at = rng.randrange(20)
+        rows.append((k, " ".join([*body[:at], *said, *body[at:], *(["zonkers", "zonkest"] if kind == 0 else [])])))
+        labels.append((k, 1, int(kind == 0)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    lexicon = toxicity.fit_lexicon(docs, known, lift=1.5)
+    assert "grumpf flower" in lexicon.exceptions
+    scores = {r.doc_id: r.toxicity for r in toxicity.score_toxicity(docs, lexicon).collect()}
+    assert all((scores[i] >= 0.3) == bool(y) for i, _, y in labels)
+    assert lexicon.score("such a GRUMPF flower here") < 0.3 < lexicon.score("z0nkers z0nkest")
+
+
 def test_held_out_labels_are_not_read(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
@@ -88,11 +130,12 @@ def test_held_out_labels_are_not_read(spark):
 def test_toxicity_odd_tables(spark):
     docs = spark.createDataFrame([(1, None, 5), (None, "you idiot", 6), (2, "", 7), (2, "x" * 200_000 + " moron", 8)], "doc_id long, text string, toxicity int")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    lexicon = toxicity.fit_lexicon(docs, none)
+    assert toxicity.fit_lexicon(docs, none).weights == {}
+    lexicon = toxicity.Lexicon({" idiot ": 3.0, " moron ": 3.0})
     out = toxicity.score_toxicity(docs, lexicon).collect()
     assert [r.toxicity > 0.3 for r in out] == [False, True, False, True]
     odd = spark.createDataFrame([(1, 1, None), (None, 1, 1), (2, 0, 0), (2, 0, 1)], "doc_id long, quality int, toxic int")
-    assert toxicity.fit_lexicon(docs, odd).weights == lexicon.weights
+    assert toxicity.fit_lexicon(docs, odd).weights == {}
     assert toxicity.score_toxicity(docs.limit(0), lexicon).count() == 0
 
 
