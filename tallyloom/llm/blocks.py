@@ -93,6 +93,22 @@ def near_pairs(first: np.ndarray, last: np.ndarray, own: np.ndarray, most: int =
         shift += 1
 
 
+def close_prints(keys: DataFrame, most_bits: int, block: int = 2048, sizes: DataFrame | None = None) -> DataFrame:
+    """(a0, a1, b0, b1): links between 128-bit prints (key, w0, w1) of one bucket that join all pairs that differ in at most most_bits
+    bits; of each compared block only a star for each of its components."""
+
+    def compare(table, own, first, last):
+        w0, w1 = (table.column(c).to_numpy().view(np.uint64) for c in ("w0", "w1"))
+        for i, j in near_pairs(first, last, own):
+            near = np.bitwise_count(w0[i] ^ w0[j]) + np.bitwise_count(w1[i] ^ w1[j]) <= most_bits
+            if near.any():
+                a, b = star_links(i[near], j[near])
+                pair = np.unique(np.stack([w0[a], w1[a], w0[b], w1[b]], axis=1).view(np.int64), axis=0)
+                yield pa.table({c: pair[:, k] for k, c in enumerate(("a0", "a1", "b0", "b1"))})
+
+    return compare_in_buckets(keys, "key", ["w0", "w1"], compare, "a0 long, a1 long, b0 long, b1 long", block, sizes)
+
+
 def star_links(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The links i-j as a star for each of their components: every other node with the component's least node."""
     nodes, inverse = np.unique(np.concatenate([i, j]), return_inverse=True)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .blocks import compare_in_buckets, near_pairs, star_links
+from .blocks import close_prints, compare_in_buckets, star_links
 from .components import connected_components
 from .scratch import is_empty, materialize
 
@@ -67,59 +67,79 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def link_vectors(vectors: DataFrame, width: int, threshold: float, tables: int, probes: int, seed: int, block: int) -> DataFrame:
-    """(kind, a, b, n) over distinct unit directions (id, embedding, copies): kind 0 tells that a has n links found in one
-    block, weighted by the copies of the other end; kind 1 links a and b, a star for each component of a block's links.
+def sign_sketch(x: np.ndarray, seed: int) -> np.ndarray:
+    """Two 64-bit words of the signs of 128 random projections of each row."""
+    planes = np.random.default_rng(seed + 1).normal(size=(x.shape[1], 128))
+    return np.packbits(x @ planes > 0, axis=1).view(">u8").astype(np.uint64).reshape(-1, 2)
 
-    Each pair is verified in double precision in every bucket that both share, but counted in the first one only.
-    """
-    kind = vectors.schema["embedding"].dataType
-    schema = f"key int, id long, copies long, embedding {kind.simpleString()}, codes array<int>"
 
-    def index(batches):
+def _by_width(column: pa.Array):
+    """(rows, matrix) for each length of the vectors of a list column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    widths = column.value_lengths().to_numpy()
+    for width in np.unique(widths).tolist():
+        rows = np.flatnonzero(widths == width)
+        yield rows, _matrix(column.take(pa.array(rows)), width)
+
+
+def with_sketches(vectors: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
+    """(at, w, w0, w1, codes) of vectors (at, embedding): the length, the sketch and the bucket codes."""
+
+    def sketch(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column("embedding"), width)
-            codes = polytope_codes(_unit(x), tables, probes, seed).astype(np.int32).reshape(len(x), -1)
-            m = codes.shape[1]
-            for s in range(0, len(x), 256):
-                part, c = x[s : s + 256], codes[s : s + 256]
-                n = len(part)
-                rows = np.repeat(np.arange(n), m)
-                lists = lambda v, w: pa.ListArray.from_arrays(np.arange(0, (len(v) + 1) * w, w, dtype=np.int32), pa.array(v.reshape(-1)))
-                take = [pa.array(np.repeat(batch.column(k).to_numpy()[s : s + 256], m)) for k in ("id", "copies")]
-                yield pa.RecordBatch.from_arrays([pa.array(c.reshape(-1)), *take, lists(part[rows], width), lists(c[rows], m)], names=["key", "id", "copies", "embedding", "codes"])
+            n = batch.num_rows
+            width, prints, codes = np.zeros(n, dtype=np.int32), np.zeros((n, 2), dtype=np.uint64), np.zeros((n, tables * probes), dtype=np.int64)
+            for rows, x in _by_width(batch.column("embedding")):
+                x = _unit(x)
+                width[rows], prints[rows] = x.shape[1], sign_sketch(x, seed)
+                codes[rows] = polytope_codes(x, tables, probes, seed).reshape(len(x), -1)
+            lists = pa.ListArray.from_arrays(np.arange(0, (n + 1) * tables * probes, tables * probes, dtype=np.int32), pa.array(codes.reshape(-1)))
+            words = (pa.array(prints[:, k].copy().view(np.int64)) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("at"), pa.array(width), *words, lists], names=["at", "w", "w0", "w1", "codes"])
+
+    return map_arrow(vectors.select("at", "embedding"), sketch, "at long, w int, w0 long, w1 long, codes array<long>")
+
+
+def verified_pairs(members: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(kind, a, b, n) over members (component, at, copies, embedding) of one length in each component: kind 0 tells that a has n links, counted by
+    the copies of the other end, kind 1 links a and b, a star for each component of a block's links. All pairs of a component are
+    compared in double precision, each once."""
+    tile = 512
 
     def compare(table, own, first, last):
-        key, ids, copies = (table.column(c).to_numpy() for c in ("key", "id", "copies"))
-        x = _unit(_matrix(table.column("embedding"), width))
-        codes = _matrix(table.column("codes"), tables * probes).reshape(-1, tables, probes)
-        for i, j in near_pairs(first, last, own, 1 << 16):
-            near = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
-            if not near.any():
-                continue
-            i, j = i[near], j[near]
-            a, b = star_links(i, j)
-            yield pa.table({"kind": np.ones(len(a), dtype=np.int32), "a": ids[a], "b": ids[b], "n": np.zeros(len(a), dtype=np.int64)})
-            shared = codes[i][:, :, :, None] == codes[j][:, :, None, :]
-            at = shared.any(axis=(2, 3)).argmax(axis=1)
-            mine = np.where(shared[np.arange(len(i)), at].any(axis=2), codes[i, at], np.iinfo(np.int32).max).min(axis=1)
-            counted = mine == key[i]
-            i, j = i[counted], j[counted]
-            if len(i):
-                rows, inverse = np.unique(np.concatenate([i, j]), return_inverse=True)
-                n = np.bincount(inverse, weights=np.concatenate([copies[j], copies[i]])).astype(np.int64)
-                yield pa.table({"kind": np.zeros(len(rows), dtype=np.int32), "a": ids[rows], "b": ids[rows], "n": n})
-
-    keyed = map_arrow(vectors.select("id", "copies", "embedding"), index, schema)
-    return compare_in_buckets(keyed, "key", "id", compare, "kind int, a long, b long, n long", block)
-
-
-def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", embedding_col: str = "embedding", threshold: float = 0.9, tables: int = 8, probes: int = 3, seed: int = 7, block: int = 512) -> DataFrame:
+        at, copies = table.column("at").to_numpy(), table.column("copies").to_numpy()
+        vectors = table.column("embedding").combine_chunks()
+        offsets, flat = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False)
+        for f, e in zip(first.tolist(), last.tolist(), strict=True):
+            x = _unit(flat[offsets[f] : offsets[e]].reshape(e - f, -1))
+            block_of, n, pairs = own[f:e], np.zeros(e - f, dtype=np.int64), []
+            for p in range(0, e - f, tile):
+                for q in range(p, e - f, tile):
+                    near = x[p : p + tile] @ x[q : q + tile].T >= threshold
+                    a, b = block_of[p : p + tile, None], block_of[None, q : q + tile]
+                    near &= (a < 0) | (a != b)
+                    if p == q:
+                        near = np.triu(near, 1)
+                    i, j = np.nonzero(near)
+                    if len(i):
+                        i, j = i + p, j + q
+                        n += np.bincount(i, copies[f + j], e - f).astype(np.int64) + np.bincount(j, copies[f + i], e - f).astype(np.int64)
+                        pairs.append(star_links(i, j))
+            if pairs:
+                a, b = star_links(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
+                yield pa.table({"kind": np.ones(len(a), dtype=np.int32), "a": at[f + a], "b": at[f + b], "n": np.zeros(len(a), dtype=np.int64)})
+                some = np.flatnonzero(n)
+                yield pa.table({"kind": np.zeros(len(some), dtype=np.int32), "a": at[f + some], "b": at[f + some], "n": n[some]})
+
+    return compare_in_buckets(members, "component", "at", compare, "kind int, a long, b long, n long", block)
+
+
+def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", embedding_col: str = "embedding", threshold: float = 0.9, tables: int = 8, probes: int = 3, seed: int = 7, block: int = 2048) -> DataFrame:
     """One row for each row of vectors: id_col, n_links, component_id, kept.
 
-    Two vectors are linked where the cosine in double precision reaches the threshold. Vectors that are null, empty,
+    Two vectors are linked where the cosine in double precision reaches the threshold. Candidates share a cross-polytope bucket and differ in at
+    most 40 of the 128 bits of a sign sketch, which a pair at 0.9 exceeds with a probability of 3e-8; their components are
+    compared pair by pair, so each vector travels by its codes and sketch, and whole only where it has a candidate. Vectors that are null, empty,
     zero, or hold nulls or non-finite components link with nothing; vectors of unlike lengths are never compared.
     Equal vectors are compared once and counted as often as they occur, rows that repeat an id included. component_id
     is the smallest id reachable, kept tells whether it is the row's own. Null ids come after all others and are
@@ -129,32 +149,37 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", embedding_col:
     rows = vectors.select(F.col(id_col).alias("id"), v.alias("embedding"))
     good = F.coalesce(F.size("embedding") > 0, F.lit(False)) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = rows.withColumn("good", F.coalesce(good & F.exists("embedding", lambda x: x != 0), F.lit(False)))
-    some = rows.filter("good").select("id", "embedding")
-    same = some.groupBy("embedding").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    # 128 bits stand for a vector, so that only its first copy moves
+    some = rows.filter("good").select("id", F.xxhash64("embedding").alias("h0"), F.xxhash64(F.lit(1), "embedding").alias("h1"), "embedding")
+    same = some.groupBy("h0", "h1").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     # a name of its own for each distinct vector: ids may be null or repeat between vectors
     names = materialize(same.withColumn("at", F.monotonically_increasing_id()), "vectors")
-    widths = [r[0] for r in names.select(F.size("embedding")).distinct().collect()]
-    found = None
-    for width in widths:
-        part = names.filter(F.size("embedding") == width).select(F.col("at").alias("id"), "copies", "embedding")
-        links = link_vectors(part, width, threshold, tables, probes, seed, block)
-        found = links if found is None else found.union(links)
-    if found is None:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    found = materialize(found, "vectorlinks")
-    counts = found.filter("kind = 0").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "at")
-    named = names.select("at", "id", "copies")
-    links = found.filter("kind = 1")
-    if is_empty(links):
-        placed = named.withColumn("component_id", F.col("id"))
+    sketches = materialize(with_sketches(names, tables, probes, seed), "sketches")
+    key = F.shiftleft(F.col("w").cast("long"), 40).bitwiseOR(F.col("code")).alias("key")
+    keys = sketches.groupBy("w", "w0", "w1").agg(F.first("codes").alias("codes")).select("w", "w0", "w1", F.explode(F.array_distinct("codes")).alias("code")).select(key, "w0", "w1")
+    near = materialize(close_prints(keys, 40), "candidates")
+    name = lambda a, b: F.concat(F.hex(a), F.lit("-"), F.hex(b))
+    groups = connected_components(near.select(name("a0", "a1").alias("a"), name("b0", "b1").alias("b")), "a", "b")
+    members = sketches.select("at", "w", name("w0", "w1").alias("print")).join(groups.withColumnRenamed("node", "print"), "print", "left")
+    members = members.select("at", F.concat_ws(":", "w", F.coalesce("component", "print")).alias("component"))
+    several = materialize(members.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component"), "several")
+    members = materialize(members.join(several, "component"), "members")
+    if is_empty(members):
+        found, links = None, None
+    else:
+        found = materialize(verified_pairs(members.join(names.select("at", "copies", "embedding"), "at"), threshold, block), "vectorlinks")
+        links = found.filter("kind = 1")
+    named = names.select("at", "id", "copies", "h0", "h1")
+    if links is None or is_empty(links):
+        placed = named.select("h0", "h1", (F.col("copies") - 1).alias("n_links"), F.col("id").alias("component_id"))
     else:
+        counts = found.filter("kind = 0").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "at")
         roots = connected_components(links, "a", "b")
         placed = named.join(roots.withColumnRenamed("node", "at"), "at", "left").withColumn("root", F.coalesce("component", "at"))
         placed = materialize(placed, "placed")
-        placed = placed.join(placed.groupBy("root").agg(F.min("id").alias("component_id")), "root")
-    result = placed.join(counts, "at", "left").select("at", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
-    placed = names.select("at", "embedding").join(result, "at").drop("at")
-    linked = some.join(placed, "embedding").select("id", "n_links", "component_id")
+        placed = placed.join(placed.groupBy("root").agg(F.min("id").alias("component_id")), "root").join(counts, "at", "left")
+        placed = placed.select("h0", "h1", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
+    linked = some.select("id", "h0", "h1").join(placed, ["h0", "h1"]).select("id", "n_links", "component_id")
     alone = rows.filter("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

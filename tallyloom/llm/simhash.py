@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow, ship
-from .blocks import compare_in_buckets, near_pairs, star_links
+from .blocks import close_prints, compare_in_buckets, near_pairs, star_links
 from .components import connected_components
 from .scratch import is_empty, materialize
 
@@ -175,16 +175,7 @@ def near_candidates(nodes: DataFrame, most_bits: int = 30, block: int = 2048) ->
     crowded = cut.groupBy("s", "v").agg(F.count("*").alias("n")).filter(F.col("n") > block // 2)
     sizes = crowded.select("s", "v", "n", places).groupBy(key).agg((F.sum("n") + block // 2).alias("_n"))
 
-    def compare(table, own, first, last):
-        w0, w1 = (table.column(c).to_numpy().view(np.uint64) for c in ("w0", "w1"))
-        for i, j in near_pairs(first, last, own):
-            near = np.bitwise_count(w0[i] ^ w0[j]) + np.bitwise_count(w1[i] ^ w1[j]) <= most_bits
-            if near.any():
-                a, b = star_links(i[near], j[near])
-                pair = np.unique(np.stack([w0[a], w1[a], w0[b], w1[b]], axis=1).view(np.int64), axis=0)
-                yield pa.table({c: pair[:, k] for k, c in enumerate(("a0", "a1", "b0", "b1"))})
-
-    return compare_in_buckets(keys, "key", ["w0", "w1"], compare, "a0 long, a1 long, b0 long, b1 long", block, sizes)
+    return close_prints(keys, most_bits, block, sizes)
 
 
 def _similar(sets: list[np.ndarray], group: np.ndarray, own: np.ndarray, least: float):

@@ -142,6 +142,23 @@ def test_embedding_groups(spark):
     assert embedding_dedup.embedding_groups(df.filter("vec_id = 1000")).collect()[0].n_links == 0
 
 
+def test_vectors_with_null_and_repeated_ids(spark):
+    a, b = [1.0, 0.0, 0.1], [1.0, 0.01, 0.1]
+    df = spark.createDataFrame([(None, a), (4, b), (4, b), (None, [0.0, 1.0, 0.0]), (9, [0.0, -1.0, 0.0]), (9, [0.5, 0.5, -2.0])], "vec_id long, embedding array<float>")
+    out = sorted((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_groups(df).collect())
+    assert out == [(-1, 0, None, True), (-1, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (9, 0, 9, True), (9, 0, 9, True)]
+
+
+def test_a_close_pair_passes_the_sketch():
+    rng = np.random.default_rng(2)
+    x, n = rng.normal(size=(2, 20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n -= (n * x).sum(1, keepdims=True) * x
+    n /= np.linalg.norm(n, axis=1, keepdims=True)
+    a, b = (embedding_dedup.sign_sketch(v, 7) for v in (x, 0.9 * x + np.sqrt(1 - 0.81) * n))
+    assert np.bitwise_count(a ^ b).sum(axis=1).max() <= 40
+
+
 def test_recall_at_the_threshold():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 64))
