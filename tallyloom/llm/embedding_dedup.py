@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .blocks import close_prints, compare_in_buckets, star_links
+from .blocks import compare_in_buckets, near_pairs, star_links
 from .components import connected_components
-from .scratch import is_empty, materialize
+from .scratch import is_empty, materialize, tidy
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -67,10 +68,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def sign_sketch(x: np.ndarray, seed: int) -> np.ndarray:
-    """Two 64-bit words of the signs of 128 random projections of each row."""
-    planes = np.random.default_rng(seed + 1).normal(size=(x.shape[1], 128))
-    return np.packbits(x @ planes > 0, axis=1).view(">u8").astype(np.uint64).reshape(-1, 2)
+def rounded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows in steps of a 127th of their largest component, as int8, and a bound for how far the rounded row lies from its own."""
+    step = np.abs(x).max(axis=1) / 127
+    return np.rint(x / step[:, None]).astype(np.int8), 0.5 * step * np.sqrt(x.shape[1])
 
 
 def _by_width(column: pa.Array):
@@ -82,22 +83,51 @@ def _by_width(column: pa.Array):
         yield rows, _matrix(column.take(pa.array(rows)), width)
 
 
-def with_sketches(vectors: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
-    """(at, w, w0, w1, codes) of vectors (at, embedding): the length, the sketch and the bucket codes."""
+def with_codes(vectors: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
+    """(at, w, q, step, codes) of vectors (at, embedding): the length, the rounded vector with its step, and the bucket codes."""
 
-    def sketch(batches):
+    def index(batches):
         for batch in batches:
             n = batch.num_rows
-            width, prints, codes = np.zeros(n, dtype=np.int32), np.zeros((n, 2), dtype=np.uint64), np.zeros((n, tables * probes), dtype=np.int64)
+            width, step, codes, q = np.zeros(n, dtype=np.int32), np.zeros(n), np.zeros((n, tables * probes), dtype=np.int64), [b""] * n
             for rows, x in _by_width(batch.column("embedding")):
                 x = _unit(x)
-                width[rows], prints[rows] = x.shape[1], sign_sketch(x, seed)
+                width[rows], step[rows] = x.shape[1], np.abs(x).max(axis=1) / 127
                 codes[rows] = polytope_codes(x, tables, probes, seed).reshape(len(x), -1)
+                for row, y in zip(rows.tolist(), rounded(x)[0], strict=True):
+                    q[row] = y.tobytes()
             lists = pa.ListArray.from_arrays(np.arange(0, (n + 1) * tables * probes, tables * probes, dtype=np.int32), pa.array(codes.reshape(-1)))
-            words = (pa.array(prints[:, k].copy().view(np.int64)) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("at"), pa.array(width), *words, lists], names=["at", "w", "w0", "w1", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column("at"), pa.array(width), pa.array(q, pa.binary()), pa.array(step), lists], names=["at", "w", "q", "step", "codes"])
 
-    return map_arrow(vectors.select("at", "embedding"), sketch, "at long, w int, w0 long, w1 long, codes array<long>")
+    return map_arrow(vectors.select("at", "embedding"), index, "at long, w int, q binary, step double, codes array<long>")
+
+
+def near_candidates(coded: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b): links that join all pairs of one bucket whose cosine may reach the threshold, as far as the rounded vectors tell: no
+    pair that reaches it is left out. Of each compared block a star for each of its components."""
+
+    def compare(table, own, first, last):
+        at, step, q = table.column("at").to_numpy(), table.column("step").to_numpy(), table.column("q").combine_chunks()
+        widths = pc.binary_length(q).to_numpy()
+        for width in np.unique(widths[first]).tolist():
+            mine = widths[first] == width
+            rows = np.flatnonzero(widths == width)
+            place = np.zeros(len(widths), dtype=np.int64)
+            place[rows] = np.arange(len(rows))
+            x = np.frombuffer(b"".join(q.take(pa.array(rows)).to_pylist()), dtype=np.int8).reshape(-1, width) * step[rows, None].astype(np.float32)
+            slack = 0.5 * step * np.sqrt(width)
+            for i, j in near_pairs(first[mine], last[mine], own, 1 << 16):
+                # |x.y - x'.y'| <= |x - x'| |y| + |x'| |y - y'|, unit vectors being at most `slack` longer when rounded
+                off = slack[i] + slack[j] + slack[i] * slack[j] + 1e-5
+                near = np.einsum("ij,ij->i", x[place[i]], x[place[j]]) >= threshold - off
+                if near.any():
+                    a, b = star_links(i[near], j[near])
+                    yield pa.table({"a": at[a], "b": at[b]})
+
+    key = F.shiftleft(F.col("w").cast("long"), 40).bitwiseOR(F.col("code")).alias("key")
+    keyed = coded.select("at", "w", "q", "step", F.explode(F.array_distinct("codes")).alias("code")).select(key, "at", "q", "step")
+    sizes = coded.select("w", F.explode(F.array_distinct("codes")).alias("code")).groupBy(key).agg(F.count("*").alias("_n"))
+    return compare_in_buckets(keyed, "key", "at", compare, "a long, b long", block, sizes)
 
 
 def verified_pairs(members: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -134,12 +164,13 @@ def verified_pairs(members: DataFrame, threshold: float, block: int) -> DataFram
     return compare_in_buckets(members, "component", "at", compare, "kind int, a long, b long, n long", block)
 
 
-def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", embedding_col: str = "embedding", threshold: float = 0.9, tables: int = 8, probes: int = 3, seed: int = 7, block: int = 2048) -> DataFrame:
+@tidy
+def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", embedding_col: str = "embedding", threshold: float = 0.9, tables: int = 8, probes: int = 3, seed: int = 7, block: int = 512) -> DataFrame:
     """One row for each row of vectors: id_col, n_links, component_id, kept.
 
-    Two vectors are linked where the cosine in double precision reaches the threshold. Candidates share a cross-polytope bucket and differ in at
-    most 40 of the 128 bits of a sign sketch, which a pair at 0.9 exceeds with a probability of 3e-8; their components are
-    compared pair by pair, so each vector travels by its codes and sketch, and whole only where it has a candidate. Vectors that are null, empty,
+    Two vectors are linked where the cosine in double precision reaches the threshold. Candidates share a cross-polytope bucket and
+    may reach the threshold by their components rounded to a byte each; the components of these links are compared pair by
+    pair, so whole vectors travel only where they have a candidate, and once. Vectors that are null, empty,
     zero, or hold nulls or non-finite components link with nothing; vectors of unlike lengths are never compared.
     Equal vectors are compared once and counted as often as they occur, rows that repeat an id included. component_id
     is the smallest id reachable, kept tells whether it is the row's own. Null ids come after all others and are
@@ -154,16 +185,10 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", embedding_col:
     same = some.groupBy("h0", "h1").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     # a name of its own for each distinct vector: ids may be null or repeat between vectors
     names = materialize(same.withColumn("at", F.monotonically_increasing_id()), "vectors")
-    sketches = materialize(with_sketches(names, tables, probes, seed), "sketches")
-    key = F.shiftleft(F.col("w").cast("long"), 40).bitwiseOR(F.col("code")).alias("key")
-    keys = sketches.groupBy("w", "w0", "w1").agg(F.first("codes").alias("codes")).select("w", "w0", "w1", F.explode(F.array_distinct("codes")).alias("code")).select(key, "w0", "w1")
-    near = materialize(close_prints(keys, 40), "candidates")
-    name = lambda a, b: F.concat(F.hex(a), F.lit("-"), F.hex(b))
-    groups = connected_components(near.select(name("a0", "a1").alias("a"), name("b0", "b1").alias("b")), "a", "b")
-    members = sketches.select("at", "w", name("w0", "w1").alias("print")).join(groups.withColumnRenamed("node", "print"), "print", "left")
-    members = members.select("at", F.concat_ws(":", "w", F.coalesce("component", "print")).alias("component"))
-    several = materialize(members.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component"), "several")
-    members = materialize(members.join(several, "component"), "members")
+    coded = materialize(with_codes(names, tables, probes, seed), "codes")
+    near = materialize(near_candidates(coded, threshold, block), "candidates")
+    members = connected_components(near, "a", "b").select(F.col("node").alias("at"), "component")
+    members = materialize(members, "members")
     if is_empty(members):
         found, links = None, None
     else:
@@ -179,6 +204,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", embedding_col:
         placed = materialize(placed, "placed")
         placed = placed.join(placed.groupBy("root").agg(F.min("id").alias("component_id")), "root").join(counts, "at", "left")
         placed = placed.select("h0", "h1", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
+    placed = materialize(placed, "groups", keep=True)
     linked = some.select("id", "h0", "h1").join(placed, ["h0", "h1"]).select("id", "n_links", "component_id")
     alone = rows.filter("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(alone)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import discard, is_empty, materialize
+from .scratch import discard, is_empty, materialize, tidy
 
 #: Deleted before texts are compared.
 IGNORED = r"[\x20\x09-\x0D]"
@@ -27,6 +27,7 @@ def chunks(text: Column, least: int = 1024, most: int = 4096) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s).{{{least},{most - 1}}}?[.!?,;:]|.{{1,{most}}}"), F.lit(0))
 
 
+@tidy
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ignored: str = IGNORED, hash_bits: int = 64, least: int = 1024, most: int = 4096) -> DataFrame:
     """One row for each row of docs: id_col, keep_id, group_size, kept, text_sha256.
 
@@ -69,10 +70,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     if recipe is not None:
         base = base.select("id", "points", F.sha2("norm", 256).alias("text_sha256"), recipe.alias("recipe"))
-    rows = materialize(base, "recipes")
+    rows = materialize(base, "recipes", keep=True)
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("id").isNull().alias("e"), F.col("id").alias("id"))).alias("best")
     # written, so that both sides of the join are dealt anew and Spark can split a hot group
-    groups = materialize(rows.groupBy("recipe").agg(best, F.count("*").alias("group_size")), "groups")
+    groups = materialize(rows.groupBy("recipe").agg(best, F.count("*").alias("group_size")), "groups", keep=True)
     out = rows.join(groups, "recipe")
     return out.select(
         F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", F.col("id").eqNullSafe(F.col("best.id")).alias("kept"), "text_sha256"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .scratch import discard, is_empty, materialize, running_totals
+from .scratch import discard, is_empty, materialize, running_totals, tidy
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -128,6 +128,7 @@ def repeated_runs(lines: DataFrame, min_words: int = 50) -> DataFrame:
     return later.select("d", "t", F.col("s").cast("int").alias("start"), (F.col("s") + F.col("w")).cast("int").alias("end"))
 
 
+@tidy
 def without_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, removed_col: str | None = None) -> DataFrame:
     """docs with text_col freed of the later copies of repeated line runs; see repeated_runs.
 
@@ -137,7 +138,7 @@ def without_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     runs = repeated_runs(document_lines(docs, id_col, text_col), min_words)
     gone = runs.select("d", "t", F.explode(F.sequence("start", F.col("end") - 1)).alias("i"))
-    gone = materialize(gone.groupBy("d", "t").agg(F.sort_array(F.collect_set("i")).alias("_gone")), "removed")
+    gone = materialize(gone.groupBy("d", "t").agg(F.sort_array(F.collect_set("i")).alias("_gone")), "removed", keep=True)
     rows = docs.select(F.struct(*docs.columns).alias("row"))  # no name of docs can clash
     own, text = F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")
     # the same plan at every size: both sides are dealt by document

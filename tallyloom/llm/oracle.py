@@ -52,15 +52,17 @@ WITH RECURSIVE parts AS (
   SELECT page_id, url, html, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(rest, '^[^?#]*(\?[^#]*)?', 1), '') AS query
   FROM parts
+), n AS (
+  SELECT *, CASE WHEN position('://' IN url) > 0 THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS node FROM p
 ), rules(verdict, h, path) AS (
   VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
 ), links AS (
-  SELECT host || path || query AS a,
-    CASE WHEN link LIKE '%://%' THEN substr(link, position('://' IN link) + 3) WHEN link LIKE '//%' THEN substr(link, 3) WHEN link LIKE '/%' THEN host || link END AS b
-  FROM (SELECT *, unnest([regexp_extract(html, '(?i)<link[^>]*\srel="canonical"[^>]*\shref="([^"]+)"', 1), regexp_extract(html, '(?i)<meta[^>]*\shttp-equiv="refresh"[^>]*\scontent="[0-9]*;\s*url=([^"]+)"', 1)]) AS link FROM p)
-  WHERE link <> ''
+  SELECT a, CASE WHEN b LIKE '%/%' THEN b ELSE b || '/' END AS b FROM (
+    SELECT node AS a, CASE WHEN link LIKE '%://%' THEN substr(link, position('://' IN link) + 3) WHEN link LIKE '//%' THEN substr(link, 3) WHEN link LIKE '/%' THEN host || link END AS b
+    FROM (SELECT *, unnest([regexp_extract(html, '(?i)<link[^>]*\srel="canonical"[^>]*\shref="([^"]+)"', 1), regexp_extract(html, '(?i)<meta[^>]*\shttp-equiv="refresh"[^>]*\scontent="[0-9]*;\s*url=([^"]+)"', 1)]) AS link FROM n)
+    WHERE link <> '')
 ), edges AS (
-  SELECT a, regexp_replace(b, '#.*', '') AS b FROM links WHERE b IS NOT NULL
+  SELECT DISTINCT a, regexp_replace(b, '#.*', '') AS b FROM links WHERE b IS NOT NULL AND a <> b
 ), both_ways AS (
   SELECT a, b FROM edges UNION SELECT b, a FROM edges
 ), reach(node, other) AS (
@@ -78,7 +80,7 @@ WITH RECURSIVE parts AS (
   FROM (SELECT DISTINCT page_id, url, host, path FROM p) p JOIN rules r ON (p.host = r.h OR p.host LIKE '%.' || r.h) AND starts_with(p.path, r.path) GROUP BY p.page_id, p.url
 )
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, s.verdict, 'allow') AS verdict, s.component
-FROM p LEFT JOIN fitted f ON f.page_id = p.page_id AND f.url = p.url LEFT JOIN spread s ON s.node = p.host || p.path || p.query
+FROM n p LEFT JOIN fitted f ON f.page_id = p.page_id AND f.url = p.url LEFT JOIN spread s ON s.node = p.node
 """
 
 _VECTORS = r"""
@@ -98,9 +100,38 @@ SELECT e.vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, e.vec_i
 FROM embeddings e LEFT JOIN counts n ON n.x = e.vec_id LEFT JOIN component c ON c.x = e.vec_id
 """
 
+_REDIRECTS = "links AS (SELECT x.node AS a, y.node AS b FROM n x JOIN n y ON y.page_id = x.page_id - 1 AND y.page_id // 3 = x.page_id // 3\n"
+
+_NEAR = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, string_split(trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), ' ') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, greatest(2, len(w) - 3))]) AS shingle FROM t
+), size AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM shared JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE k >= 0.8 * (p.n + q.n - k)
+), reach(x, y) AS (
+  SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y
+)
+SELECT d.doc_id, least(d.doc_id, coalesce(min(r.y), d.doc_id)) AS component_id FROM documents d LEFT JOIN reach r ON r.x = d.doc_id GROUP BY d.doc_id
+"""
+
+#: Laws: the query works out whether each holds; SQL states that it must, and works out the sizes and hashes itself.
+_SHARDS = "SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, true AS gapless, true AS even FROM documents"
+_PIECES = "SELECT doc_id, true AS whole, true AS fits FROM documents"
+_BYTES = "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256, strlen(coalesce(text, '')) > 0 AS has_tokens FROM documents"
+
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": _LINES,
     "op2_url_filter": _URLS,
     "op5_exact_dedup": _EXACT,
     "op6_embedding_dedup": _VECTORS,
+    "url_redirects": _URLS.replace(_URLS[_URLS.index("links AS (") : _URLS.index("), edges AS (")], _REDIRECTS),
+    "near_copies": _NEAR,
+    "sharding_law": _SHARDS,
+    "packing_law": _PIECES,
+    "byte_bpe_round_trip": _BYTES,
 }

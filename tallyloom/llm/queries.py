@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe, embedding_dedup, exact_dedup, language_id, line_dedup, packing, sharding, simhash, toxicity, url_filter
+from .scratch import materialize, scratch_root
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 SHARDS = 16
@@ -33,14 +35,45 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages judged with redirects, which the tables lack: of each three pages in the order of ids, each redirects to the one before."""
+    pages = _table(spark, sf_dir, "pages")
+    three = lambda c: F.floor(c / 3)
+    before = pages.select((F.col("page_id") + 1).alias("page_id"), F.col("url").alias("target"), three(F.col("page_id")).alias("three"))
+    redirects = pages.join(before, "page_id").filter(three(F.col("page_id")) == F.col("three")).select(F.col("url").alias("alias"), "target")
+    return url_filter.judge_urls(pages, URL_RULES, redirects)
+
+
 def old_shard(source: str = "source"):
     """Where a document lies before resharding: its source decides, so one shard holds a hot source."""
     return F.pmod(F.crc32(F.coalesce(F.col(source), F.lit("")).cast("binary")), F.lit(SHARDS)).cast("int")
 
 
+def _resharded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    plan = materialize(sharding.reshard(docs, old_shard(), SHARDS, SHARDS), "plan")
+    return sharding.resharded(docs, plan, f"{scratch_root(spark)}/shards-{uuid.uuid4().hex}")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sharding.reshard(_table(spark, sf_dir, "documents"), old_shard(), SHARDS, SHARDS)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    """The rows of the shards' files after the transfers."""
+    text = F.coalesce("text", F.lit(""))
+    return _resharded(spark, sf_dir).select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
+        F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), old_shard().alias("old_shard"),
+    )
+
+
+def sharding_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3_sharding promises, for each document: its text as it was, and a shard without gaps whose bytes lie off the mean by no
+    more than one percent or the largest text."""
+    docs = op3_sharding(spark, sf_dir).select("doc_id", "size", "shard", "slot")
+    shards = docs.groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.max("size").alias("most"), F.countDistinct("slot").alias("slots"))
+    whole = Window.partitionBy()  # one row for each shard
+    mean = F.sum("bytes").over(whole) / SHARDS
+    even = F.abs(F.col("bytes") - mean) <= F.greatest(mean / 100, F.max("most").over(whole))
+    shards = shards.select("shard", ((F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("slots") == F.col("n"))).alias("gapless"), even.alias("even"))
+    return docs.join(F.broadcast(shards), "shard").select("doc_id", "size", "gapless", "even")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,27 +100,51 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return language_id.identify(docs, host=F.col("source"), columns=["doc_id"])
+    """Documents by text, declared language and source as host, and pages by all four kinds of evidence: (doc_id or page_id, language, posterior, rejected)."""
+    docs = language_id.identify(_table(spark, sf_dir, "documents"), host=F.col("source"), columns=["doc_id"])
+    return docs.unionByName(page_language(spark, sf_dir), allowMissingColumns=True)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages carry all four kinds of evidence: text, the lang attribute, the path's language segment and the host."""
-    pages = _table(spark, sf_dir, "pages")
-    markup = F.regexp_extract("html", r"(?i)<html[^>]*\slang=[\"']?([a-zA-Z-]+)", 1)
+def page_evidence(pages: DataFrame) -> DataFrame:
+    """pages with text (what shows), lang (the markup's), host, and address: the path's language segment, else the host's last label."""
+    markup = F.regexp_extract("html", r"(?i)<html\b[^<>]*\slang=[\"']?([a-zA-Z-]+)", 1)
     visible = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[^>]*>", " "), r"&[a-z]+;", " ")
-    pages = pages.select("page_id", visible.alias("text"), markup.alias("lang"), "url")
     host = url_filter.url_host(F.col("url"))
-    suffix = F.regexp_extract(url_filter.url_path(F.col("url")), r"^/([a-z]{2})(?:/|$)", 1)
-    address = F.when(suffix != "", suffix).otherwise(F.nullif(language_id.suffix_of(host), F.lit("")))
-    return language_id.identify(pages, host=host, address=address, columns=["page_id"])
+    segment = F.regexp_extract(url_filter.url_path(F.col("url")), r"^/([a-z]{2})(?:/|$)", 1)
+    address = F.when(segment != "", segment).otherwise(F.nullif(language_id.suffix_of(host), F.lit("")))
+    return pages.select("page_id", visible.alias("text"), markup.alias("lang"), host.alias("host"), address.alias("address"))
+
+
+def page_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = page_evidence(_table(spark, sf_dir, "pages"))
+    return language_id.identify(pages, host=F.col("host"), address=F.col("address"), columns=["page_id"])
+
+
+def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, component_id): the groups of the pipeline's SimHash stage, by five-word shingles of a similarity of 0.8 and more."""
+    groups = simhash.near_copy_groups(_table(spark, sf_dir, "documents"))
+    return groups.select(F.col("id").alias("doc_id"), "component_id")
+
+
+def packing_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4_packing promises, for each document: its pieces follow each other and hold all its tokens, in sequences of 2,048 at most without gaps."""
+    pieces = materialize(op4_packing(spark, sf_dir), "pieces")
+    last = pieces.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.min("offset").alias("low"))
+    pieces = pieces.join(last, "sequence_id").withColumn("fits", (F.col("n") <= 2048) & (F.col("n") == F.col("end")) & (F.col("low") == 0))
+    whole = (F.sum("length") == F.max("doc_tokens")) & (F.max(F.col("start") + F.col("length")) == F.max("doc_tokens")) & (F.min("start") == 0) & (F.countDistinct("start") == F.count("*"))
+    return pieces.groupBy("doc_id").agg(whole.alias("whole"), F.min("fits").alias("fits"))
+
+
+def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10_byte_bpe's decoded texts, which SQL can tell without the ids."""
+    return op10_byte_bpe(spark, sf_dir).select("doc_id", "decoded_sha256", (F.col("n_tokens") > 0).alias("has_tokens"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_url_filter, op3_sharding, op4_packing, op5_exact_dedup, op6_embedding_dedup, op7_simhash, op8_toxicity, op9_language_id, op10_byte_bpe, page_language)
+    for f in (op1_line_dedup, op2_url_filter, op3_sharding, op4_packing, op5_exact_dedup, op6_embedding_dedup, op7_simhash, op8_toxicity, op9_language_id, op10_byte_bpe, page_language, url_redirects, sharding_law, packing_law, near_copies, byte_bpe_round_trip)
 }

@@ -3,21 +3,56 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import map_arrow
 from ..sources.scratch import delete, scratch_root
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: The paths written inside each open temporary(), the innermost last.
+_open: ContextVar[tuple[list, ...]] = ContextVar("open", default=())
+
+
+@contextmanager
+def temporary():
+    """The tables that materialize() writes inside are deleted at the end, also after an error, but for those that are kept:
+    they belong to the temporary() around this one, or stay until the application ends."""
+    paths: list[tuple[SparkSession, str]] = []
+    token = _open.set((*_open.get(), paths))
+    try:
+        yield
+    finally:
+        _open.reset(token)
+        for spark, path in paths:
+            delete(spark, path)
+
+
+def tidy(operator):
+    """operator inside temporary(): what it doesn't keep is deleted once its result is planned."""
+
+    @wraps(operator)
+    def run(*args, **named):
+        with temporary():
+            return operator(*args, **named)
+
+    return run
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors, gives exact size statistics."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    around = _open.get()[: -1 if keep else None]
+    if around:
+        around[-1].append((spark, path))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyloom_path = path
@@ -34,7 +69,7 @@ def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
 
 
-def running_totals(df: DataFrame, group: str, order: list, sums: list[str], label: str) -> DataFrame:
+def running_totals(df: DataFrame, group: str, order: list, sums: list[str], label: str, keep: bool = False) -> DataFrame:
     """df with `<s>_before` for each s of sums: the total of s over the rows of the same group that stand before this one.
 
     group names a column of integers without nulls; sums name long columns without nulls. The rows are range
@@ -68,7 +103,7 @@ def running_totals(df: DataFrame, group: str, order: list, sums: list[str], labe
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, dtype=np.int32)), *new], names=[*batch.schema.names, "_part", *added])
 
     ranged = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
-    rows = materialize(map_arrow(ranged, within, schema), label)
+    rows = materialize(map_arrow(ranged, within, schema), label, keep)
     parts = rows.groupBy("_part", group).agg(*(F.sum(s).alias(f"_sum_{s}") for s in sums))
     earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("_part", group, *(F.coalesce(F.sum(f"_sum_{s}").over(earlier), F.lit(0)).alias(f"_off_{s}") for s in sums))

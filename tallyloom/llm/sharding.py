@@ -6,8 +6,9 @@ import heapq
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .scratch import materialize, running_totals
+from .scratch import is_empty, materialize, running_totals, tidy
 
 
 def minimum_cost_flow(supplies: list[int], capacities: list[int], cost=None) -> dict[tuple[int, int], int]:
@@ -94,6 +95,7 @@ def _moved(rows: DataFrame, shards: int, capacities: list[int] | None, large_fir
     return materialize(joined.select("id", "size", "crc", "origin", F.coalesce("new", "shard").cast("int").alias("shard")), "moved")
 
 
+@tidy
 def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int, id_col: str = "doc_id", text_col: str = "text", capacities: list[int] | None = None) -> DataFrame:
     """One row for each row of docs: id_col, size, text_crc32, old_shard, shard, slot.
 
@@ -111,16 +113,62 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int, id
     rows = materialize(rows.withColumn("shard", F.col("origin")), "sizes")
     rows = _moved(rows, shards, capacities, True, old_shards)
     rows = _moved(rows, shards, capacities, False, old_shards)
-    rows = running_totals(rows.withColumn("one", F.lit(1).cast("long")), "shard", [F.col("id"), F.col("crc"), F.col("size")], ["one"], "slots")
+    rows = running_totals(rows.withColumn("one", F.lit(1).cast("long")), "shard", [F.col("id"), F.col("crc"), F.col("size")], ["one"], "slots", keep=True)
     return rows.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.col("origin").alias("old_shard"), "shard", F.col("one_before").alias("slot"))
 
 
-def rewrite_affected(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id") -> list[int]:
-    """Write the shards that gain or lose rows below path, one folder shard=N each, and return their numbers; the files
-    of all other shards stay valid as they are. Ids must be unique. The list has one entry for each shard at most."""
+def _paired(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """Each row of docs (id, crc, size, row) with one row of plan (id, crc, size, shard, slot): rows alike in the first three are paired in any order."""
+    keys = ["id", "crc", "size"]
+    same = lambda a, b: a.id.eqNullSafe(b.id) & (a.crc == b.crc) & (a["size"] == b["size"])
+    again = materialize(plan.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated")
+    if is_empty(again):
+        return docs.join(plan, same(docs, plan)).select("row", "shard", "slot")
+    once = docs.join(again, same(docs, again), "left_anti"), plan.join(again, same(plan, again), "left_anti")
+    out = once[0].join(once[1], same(*once)).select("row", "shard", "slot")
+
+    def numbered(rows: DataFrame, label: str) -> DataFrame:
+        rows = rows.join(again, same(rows, again), "left_semi").withColumn("_all", F.lit(0)).withColumn("_one", F.lit(1).cast("long"))
+        rows = materialize(rows.withColumn("_tie", F.monotonically_increasing_id()), label)  # so that rows alike are spread, and in one order only
+        return running_totals(rows, "_all", [*map(F.col, keys), F.col("_tie")], ["_one"], f"{label}-numbered").withColumnRenamed("_one_before", "_at")
+
+    left, right = numbered(docs, "repeats").select("row", "_at"), numbered(plan, "places").select("shard", "slot", "_at")
+    return out.union(left.join(right, "_at").select("row", "shard", "slot"))
+
+
+def _keyed(docs: DataFrame, plan: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    kept = [c for c in docs.columns if c not in ("_shard", "_slot")]
+    rows = docs.select(F.col(id_col).alias("id"), F.crc32(text.cast("binary")).alias("crc"), (F.octet_length(text) + 1).cast("long").alias("size"), F.struct(*kept).alias("row"))
+    return rows, plan.select(F.col(id_col).alias("id"), F.col("text_crc32").alias("crc"), "size", "shard", "slot")
+
+
+@tidy
+def rewrite_affected(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rows_per_file: int = 50_000) -> list[int]:
+    """Write the shards that gain or lose rows below path and return their numbers; the files of all other shards stay valid as they are.
+
+    A shard is a folder _shard=N with files of about rows_per_file rows, in the order of their slots: all columns of docs, and
+    _slot. Rows that repeat id and text change places freely. Where nothing moves nothing is written. The list has one entry for each shard at most.
+    """
     moved = plan.filter("old_shard <> shard")
-    touched = moved.select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
-    numbers = sorted(r[0] for r in touched.collect())
-    rows = docs.join(plan.select(id_col, "shard", "slot").filter(F.col("shard").isin(numbers)), id_col)
-    rows.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+    numbers = sorted(r[0] for r in moved.select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct().collect())
+    if numbers:
+        rows = _paired(*_keyed(docs, plan, id_col, text_col)).filter(F.col("shard").isin(numbers))
+        rows = rows.select("row.*", F.col("shard").alias("_shard"), F.col("slot").alias("_slot")).repartition("_shard", F.floor(F.col("_slot") / rows_per_file))
+        rows.sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").mode("overwrite").parquet(path)
     return numbers
+
+
+def resharded(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with _shard and _slot as they stand after the transfers: rows of the shards rewritten below path come from their files."""
+    numbers = rewrite_affected(docs, plan, path, id_col, text_col)
+    stay = plan.filter(~F.col("shard").isin(numbers)) if numbers else plan
+    kept = [c for c in docs.columns if c not in ("_shard", "_slot")]
+    placed = [F.col("shard").alias("_shard"), F.col("slot").alias("_slot")]
+    if not numbers:
+        return _paired(*_keyed(docs, plan, id_col, text_col)).select("row.*", *placed)
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("_slot", T.LongType()), T.StructField("_shard", T.IntegerType())])
+    out = docs.sparkSession.read.schema(schema).parquet(path).select(*kept, "_shard", "_slot")
+    if is_empty(stay):
+        return out
+    return out.union(_paired(*_keyed(docs, stay, id_col, text_col)).select("row.*", *placed))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..shipping import map_arrow, ship
 from .blocks import close_prints, compare_in_buckets, near_pairs, star_links
 from .components import connected_components
-from .scratch import is_empty, materialize
+from .scratch import is_empty, materialize, tidy
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -93,10 +93,11 @@ def link_fingerprints(prints: DataFrame, most_bits: int = 3, block: int = 2048)
     return compare_in_buckets(keys, "key", "fp", compare, "a long, b long", block, sizes)
 
 
+@tidy
 def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, most_bits: int) -> DataFrame:
     """(id, fp, root, component_id) for each row of docs."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = materialize(with_fingerprints(base, words=words).select("id", "fp"), "fingerprints")
+    rows = materialize(with_fingerprints(base, words=words).select("id", "fp"), "fingerprints", keep=True)
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     links = materialize(link_fingerprints(nodes.select("fp"), most_bits), "links")
     if is_empty(links):
@@ -106,7 +107,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, most_bits:
         joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
         joined = materialize(joined, "joined")
         found = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
-    return rows.join(found, "fp")
+    return rows.join(materialize(found, "groups", keep=True), "fp")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, most_bits: int = 3) -> DataFrame:
@@ -233,6 +234,7 @@ def verified_links(members: DataFrame, sets: DataFrame, least: float, block: int
     return links.union(compare_in_buckets(rest, "component", "node", compare, "a long, b long", block))
 
 
+@tidy
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, print_words: int = 3) -> DataFrame:
     """(id, t, node, root, component_id) for each row of docs: rows of one root are joined by links between texts whose sets of
     word shingles have a similarity (Jaccard) of at least `least`.
@@ -256,7 +258,7 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             sets = pa.array([shingle_hashes(t, words).view(np.int64) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("node"), sets], names=["node", "grams"])
 
-    rows = materialize(map_arrow(base, sketched, kind), "sketches")
+    rows = materialize(map_arrow(base, sketched, kind), "sketches", keep=True)
     nodes = materialize(rows.groupBy("node", "w0", "w1").agg(F.min("id").alias("least"), F.min("t").alias("t")), "nodes")
     worded = nodes.filter("node <> 0")  # texts without words are like no others
     prints = materialize(worded.select("w0", "w1").distinct(), "prints")
@@ -277,15 +279,16 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         roots = connected_components(links, "a", "b").withColumnRenamed("component", "root")
         joined = materialize(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "joined")
         placed = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")
-    return rows.select("id", "t", "node").join(placed, "node")
+    return rows.select("id", "t", "node").join(materialize(placed, "placed", keep=True), "node")
 
 
+@tidy
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of docs without near copies, see near_copy_groups: of each group the row with the smallest id stays, in all its columns.
 
     Of rows that repeat this id one stays; of a group without any id, one row stays. Null texts, and texts without words, are copies.
     """
-    groups = materialize(near_copy_groups(docs, id_col, text_col, words, least), "groups")
+    groups = materialize(near_copy_groups(docs, id_col, text_col, words, least), "groups", keep=True)
     named = groups.filter("id = component_id").select(F.col("id").alias(id_col)).distinct()
     kept = docs.join(named, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
     nameless = groups.filter("component_id is null")

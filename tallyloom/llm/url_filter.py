@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import is_empty, materialize
+from .scratch import is_empty, materialize, tidy
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_CANONICAL = r"""(?is)<link\b(?=[^>]*\srel\s*=\s*["']?canonical\b)[^>]*?\shref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\shttp-equiv\s*=\s*["']?refresh\b)[^>]*?\scontent\s*=\s*["']?\s*\d*\s*;?\s*url\s*=\s*["']?([^"'\s>]+)"""
+#: A tag ends at the next angle bracket of either kind, so that no scan goes beyond it; quantifiers give nothing back where several could match the same blanks.
+_TAGS = r"(?i)<(?:link|meta)\b[^<>]*+>"
+_CANONICAL = r"""(?is)^<link\b(?=[^>]*\srel\s*+=\s*+["']?canonical\b)[^>]*?\shref\s*+=\s*+["']?([^"'\s>]+)"""
+_REFRESH = r"""(?is)^<meta\b(?=[^>]*\shttp-equiv\s*+=\s*+["']?refresh\b)[^>]*?\scontent\s*+=\s*+["']?\s*+[\d.]*+\s*+[;,]?\s*+url\s*+=\s*+["']?([^"'\s>]+)"""
 
 
 def url_host(url: Column) -> Column:
@@ -27,27 +29,46 @@ def url_path(url: Column) -> Column:
 
 
 def url_node(url: Column) -> Column:
-    """A url's name in the link graph: host, path and query, without scheme and fragment; null if it has no ://."""
+    """A url's name in the link graph: host, path (a slash if empty) and query, without scheme and fragment; null if it has no ://."""
     query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*(\?[^#]*)?", 1)
-    return F.when(url.contains("://"), F.concat(url_host(url), url_path(url), query))
+    path = url_path(url)
+    return F.when(url.contains("://"), F.concat(url_host(url), F.when(path == "", "/").otherwise(path), query))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path from the root without its . and .. segments."""
+    segments = F.slice(F.split(path, "/"), 2, F.lit(1 << 20))
+    last = F.element_at(segments, -1)
+    segments = F.when(last.isin(".", ".."), F.concat(segments, F.array(F.lit("")))).otherwise(segments)  # these name a folder
+    up = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    step = lambda done, x: F.when(x == "..", up(done)).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    return F.when(path.contains("/."), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
 
 
 def _resolve(link: Column, base: Column) -> Column:
-    """An absolute, scheme-relative or root-relative link against the page's url; null for others."""
-    scheme = F.regexp_extract(base, r"(?s)^(.*?://)", 1)
+    """A link against the page's url: absolute, with its own host, from the root, from the page's folder, or a query; null for a
+    mere fragment and for other schemes."""
     link = F.replace(link, F.lit("&amp;"), F.lit("&"))
+    scheme, root = F.regexp_extract(base, r"(?s)^(.*?:)//", 1), F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    path = url_path(base)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    own, rest = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)", 1)
     return (
         F.when(link.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), link)
-        .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), link))
-        .when(link.startswith("/"), F.concat(scheme, url_host(base), link))
+        .when(link.startswith("//"), F.concat(scheme, link))
+        .when(link.startswith("#") | link.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), None)
+        .when(link.startswith("?"), F.concat(root, path, link))
+        .otherwise(F.concat(root, _without_dots(F.when(link.startswith("/"), own).otherwise(F.concat(folder, own))), rest))
     )
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(alias, target) url pairs that the pages declare: canonical links and refresh redirects."""
+    """(alias, target) url pairs that the pages declare: all canonical links and refresh redirects."""
     declared = pages.select(F.col(url_col).alias("alias"), F.col(html_col).alias("html")).filter(F.col("html").rlike("(?i)canonical|refresh"))
-    targets = F.array(F.regexp_extract("html", _CANONICAL, 1), F.regexp_extract("html", _REFRESH, 1))
-    found = declared.select("alias", F.explode(targets).alias("link")).filter("link <> ''")
+    tags = declared.select("alias", F.explode(F.regexp_extract_all("html", F.lit(_TAGS), F.lit(0))).alias("tag"))
+    targets = F.array(F.regexp_extract("tag", _CANONICAL, 1), F.regexp_extract("tag", _REFRESH, 1))
+    found = tags.select("alias", F.explode(targets).alias("link")).filter("link <> ''")
     return found.select("alias", _resolve(F.col("link"), F.col("alias")).alias("target"))
 
 
@@ -60,6 +81,7 @@ def _fitting(rules: list[tuple[str, str, str]], host: Column, path: Column) -> C
     return out
 
 
+@tidy
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
     """One row for each row of pages: id_col, host, path, rule, verdict, component.
 
@@ -85,7 +107,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: D
         links = links.select(url_node(F.col("alias")).alias("a"), url_node(F.col("target")).alias("b"))
         links = materialize(links.filter("a <> b").distinct(), "links")
         if not is_empty(links):
-            nodes = materialize(connected_components(links, "a", "b"), "aliases")
+            nodes = materialize(connected_components(links, "a", "b"), "aliases", keep=True)
             full = F.concat(F.lit("x://"), F.col("node"))
             verdict = _fitting(rules, url_host(full), url_path(full))["verdict"]
             judged = nodes.select("component", verdict.alias("v")).groupBy("component")

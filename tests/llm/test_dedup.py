@@ -149,14 +149,13 @@ def test_vectors_with_null_and_repeated_ids(spark):
     assert out == [(-1, 0, None, True), (-1, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (9, 0, 9, True), (9, 0, 9, True)]
 
 
-def test_a_close_pair_passes_the_sketch():
+def test_rounding_stays_within_its_bound():
     rng = np.random.default_rng(2)
-    x, n = rng.normal(size=(2, 20_000, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    n -= (n * x).sum(1, keepdims=True) * x
-    n /= np.linalg.norm(n, axis=1, keepdims=True)
-    a, b = (embedding_dedup.sign_sketch(v, 7) for v in (x, 0.9 * x + np.sqrt(1 - 0.81) * n))
-    assert np.bitwise_count(a ^ b).sum(axis=1).max() <= 40
+    for width in (1, 2, 3, 24, 64, 200):
+        x = rng.normal(size=(500, width)) * rng.choice([0.01, 1, 30], size=(500, width))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        q, bound = embedding_dedup.rounded(x)
+        assert (np.linalg.norm(q * np.abs(x).max(axis=1, keepdims=True) / 127 - x, axis=1) <= bound + 1e-12).all()
 
 
 def test_recall_at_the_threshold():

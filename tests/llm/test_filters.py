@@ -1,12 +1,14 @@
 import json
+import math
 import random
 import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.llm import language_id, toxicity, url_filter
-from tallyloom.llm.queries import URL_RULES, held_out, op8_toxicity, op9_language_id, page_language
+from tallyloom.llm.queries import URL_RULES, held_out, op8_toxicity, op9_language_id, page_evidence, page_language, url_redirects
 
 from . import plain
 
@@ -61,6 +63,36 @@ def test_blocks_spread_over_links(spark):
     assert out[8][:2] == ("block", "com/de/"), "a url's own rule stays"
 
 
+def test_links_are_resolved_against_their_page(spark):
+    base = "http://A.net/x/y/p.html?q=1"
+    wanted = {
+        "page2": "a.net/x/y/page2", "../z": "a.net/x/z", "./k/../m?n=1": "a.net/x/y/m?n=1", "?p=1": "a.net/x/y/p.html?p=1", "/top": "a.net/top", "//b.net": "b.net/", "https://C.net/u#f": "c.net/u",
+        "../../../../r": "a.net/r", "..": "a.net/x/", "#f": None, "mailto:x@y.z": None, "k/": "a.net/x/y/k/",
+    }
+    rows = [(k, base, f'<p><link rel="icon" href="/i"><link data-a="b" rel=canonical href="{x}" /></p>') for k, x in enumerate(wanted)]
+    links = url_filter.page_links(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert sorted(str(r[0]) for r in links.select(url_filter.url_node(F.col("target"))).collect()) == sorted(map(str, wanted.values()))
+
+
+def test_all_links_of_a_page_count(spark):
+    html = '<link rel="canonical" href="/a"><link rel="canonical" href="b"><meta http-equiv="refresh" content="0;URL=/c"><meta http-equiv="refresh" content="5"><meta http-equiv="refresh" content="1.5, url=\'d\'">'
+    links = url_filter.page_links(spark.createDataFrame([("http://h.net/", html)], "url string, html string"))
+    assert sorted(r.target for r in links.collect()) == [f"http://h.net/{x}" for x in "abcd"]
+
+
+def test_long_broken_tags_take_linear_time(spark):
+    rows = [("http://h.net/", "canonical refresh " + x) for x in ("<link " * 100_000, "<link rel=canonical href=" + " " * 500_000, "<meta http-equiv=refresh content=" + " " * 500_000 + ">", "<link " + "rel= " * 100_000 + ">")]
+    began = time.perf_counter()
+    assert url_filter.page_links(spark.createDataFrame(rows, "url string, html string")).count() == 0
+    assert time.perf_counter() - began < 20
+
+
+def test_redirects_spread_verdicts(spark):
+    out = url_redirects(spark, SF).collect()
+    assert len(out) == 50 and sum(r.component is not None for r in out) >= 48
+    assert any(r.rule is None and r.verdict == "block" for r in url_redirects(spark, "/root/testdata/sf0.01").collect())
+
+
 def test_fold_and_exceptions():
     assert toxicity.fold("1D10T М0rоn — b@d!  ＦＯＯ x​y") == " idiot moron bad foo xy "
     assert toxicity.fold(None) == toxicity.fold("…") == "  "
@@ -139,11 +171,77 @@ def test_toxicity_odd_tables(spark):
     assert toxicity.score_toxicity(docs.limit(0), lexicon).count() == 0
 
 
-def test_language_of_documents(spark):
-    out = op9_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
-    r = out.agg(F.avg((F.col("language") == F.col("lang")).cast("int")), F.count_if("rejected"), F.count("*")).first()
+def test_language_of_documents_and_pages(spark):
+    out = op9_language_id(spark, SF)
+    docs = out.filter("doc_id is not null").join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    r = docs.agg(F.avg((F.col("language") == F.col("lang")).cast("int")), F.count_if("rejected"), F.count("*")).first()
     assert r[0] > 0.97 and r[1] == 0 and r[2] == 200
     assert page_language(spark, SF).filter("language = 'und' or rejected").count() == 0
+    assert out.filter("page_id is not null").count() == 50
+
+
+def test_declarations_withheld_from_the_judged_rows(spark):
+    """Half of the rows lose their declaration, so neither the fit nor the evidence holds it; theirs are then judged."""
+    folder = "/root/testdata/sf0.01"
+    hidden = lambda c: F.pmod(F.xxhash64(c), F.lit(2)) == 0
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("truth", F.col("lang")).withColumn("lang", F.when(~hidden("doc_id"), F.col("lang")))
+    out = language_id.identify(docs, host=F.col("source")).filter(hidden("doc_id"))
+    r = out.agg(F.avg((F.col("language") == F.col("truth")).cast("int")), F.count("*")).first()
+    assert r[0] > 0.97 and r[1] > 400
+    pages = page_evidence(spark.read.parquet(f"{folder}/pages.parquet")).withColumn("truth", F.col("lang")).withColumn("lang", F.when(~hidden("page_id"), F.col("lang")))
+    out = language_id.identify(pages, host=F.col("host"), address=F.col("address")).filter(hidden("page_id"))
+    r = out.agg(F.avg((F.col("language") == F.col("truth")).cast("int")), F.count("*")).first()
+    assert r[0] > 0.95 and r[1] > 100
+    # without any text, suffix and host alone decide
+    bare = pages.withColumn("text", F.when(hidden("page_id"), F.lit("x")).otherwise(F.col("text")))
+    out = language_id.identify(bare, host=F.col("host"), address=F.col("address")).filter(hidden("page_id"))
+    assert out.agg(F.avg((F.col("language") == F.col("truth")).cast("int"))).first()[0] > 0.9
+
+
+def test_posterior_against_plain_bayes(spark):
+    folder = "/root/testdata/sf0.001"
+    pages = page_evidence(spark.read.parquet(f"{folder}/pages.parquet")).withColumn("lang", F.when(F.col("page_id") % 3 != 0, F.col("lang"))).withColumn("text", F.left("text", F.lit(40))).collect()
+    df = spark.createDataFrame(pages)
+    got = {r.page_id: r for r in language_id.identify(df, host=F.col("host"), address=F.col("address"), strange=1e9).collect()}
+    langs, n = language_id.LANGUAGES, len(language_id.LANGUAGES)
+    declared = {p.page_id: p.lang if p.lang in langs else None for p in pages}
+    counts = {x: Counter() for x in langs}
+    for p in pages:
+        if declared[p.page_id]:
+            counts[declared[p.page_id]].update(language_id.trigrams(p.text).tolist())
+    share = lambda x, t: (counts[x][t] + 0.1) / (sum(counts[x].values()) + 0.1 * language_id.BUCKETS)
+
+    def tally(key, wanted):
+        return [sum(1 for p in pages if key(p.host) == wanted and declared[p.page_id] == x) for x in langs]
+
+    domain, top = (lambda h: ".".join(h.split(".")[-2:])), (lambda h: h.split(".")[-1])
+    suffixes = sorted({p.address for p in pages if declared[p.page_id] and p.address})
+    marks = {s: [sum(1 for p in pages if p.address == s and declared[p.page_id] == x) for x in langs] for s in suffixes}
+    for p in pages:
+        prior = [(k + 1) / (sum(tally(lambda h: 1, 1)) + n) for k in tally(lambda h: 1, 1)]
+        for key in (top, domain, lambda h: h):
+            own = tally(key, key(p.host))
+            prior = [(k + 20 * a) / (sum(own) + 20) for k, a in zip(own, prior, strict=True)]
+        grams = language_id.trigrams(p.text).tolist()
+        mass = []
+        for k, x in enumerate(langs):
+            log = math.log(prior[k]) + min(len(grams), 60) * sum(math.log(share(x, t)) for t in grams) / len(grams)
+            if declared[p.page_id]:
+                log += math.log(0.9 if declared[p.page_id] == x else 0.1 / (n - 1))
+            if p.address in marks:
+                log += math.log((marks[p.address][k] + 1) / (sum(m[k] for m in marks.values()) + len(suffixes) + 1))
+            mass.append(log)
+        mass = [math.exp(v - max(mass)) for v in mass]
+        best = max(range(n), key=mass.__getitem__)
+        assert got[p.page_id].language == langs[best] and abs(got[p.page_id].posterior - mass[best] / sum(mass)) < 1e-3
+
+
+def test_pages_of_odd_kinds(spark):
+    rows = [(1, None, None), (2, "http://x.de/de/1", ""), (2, "http://x.de/de/1", ""), (None, "nothing", "<html lang=fr>le la les des une dans pour que avec sur est pas</html>"), (3, "http://x.fr/", "<html " + "a" * 100_000)]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, language string")
+    out = language_id.identify(page_evidence(pages), host=F.col("host"), address=F.col("address")).collect()
+    assert len(out) == 5 and {r.language for r in out if r.page_id is None} == {"fr"} and all(r.rejected for r in out if r.page_id in (1, 2))
+    assert language_id.identify(page_evidence(pages.limit(0)), host=F.col("host"), address=F.col("address")).count() == 0
 
 
 def test_text_outweighs_a_wrong_declaration(spark):
@@ -176,7 +274,7 @@ def test_host_priors_are_smoothed(spark):
     assert prior["a.x.de"]["de"] > prior["b.x.de"]["de"] > prior["c.y.fr"]["de"] > 0 and None in prior
 
 
-@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_url_filter", "op5_exact_dedup", "op6_embedding_dedup"])
+@pytest.mark.parametrize("name", ["op1_line_dedup", "op2_url_filter", "op5_exact_dedup", "op6_embedding_dedup", "url_redirects", "near_copies", "sharding_law", "packing_law", "byte_bpe_round_trip"])
 def test_same_rows_as_sql(spark, name):
     import duckdb
 

@@ -204,3 +204,21 @@ def test_sharding_odd_tables(spark, tmp_path):
     plan = sharding.reshard(docs, F.when(F.col("doc_id") < 150, 0).otherwise(1), 3, 2)
     touched = sharding.rewrite_affected(docs, plan, f"file://{tmp_path}/out")
     assert touched == [0, 1] and spark.read.parquet(f"file://{tmp_path}/out").count() == docs.count()
+
+
+def test_rewritten_shards_hold_the_plan(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
+    some = docs.limit(40)
+    docs = docs.union(some).union(some).union(spark.createDataFrame([(None, "no id", "a"), (None, "no id", "b"), (None, None, None)], docs.schema)).withColumn("_slot", F.lit("clash"))
+    old = F.when(F.col("doc_id") < 100, 0).when(F.col("doc_id") < 190, 1).otherwise(2)
+    plan = sharding.reshard(docs, old, 3, 3)
+    sizes = [r.b for r in plan.groupBy("old_shard").agg(F.sum("size").alias("b")).orderBy("old_shard").collect()]
+    for k, capacities in enumerate((None, [sizes[0], sizes[1] + 10_000, sizes[2] + 10_000], [sizes[0] - 20_000, sizes[1] + 30_000, sizes[2]])):
+        plan = sharding.reshard(docs, old, 3, 3, capacities=capacities)
+        out = sharding.resharded(docs, plan, f"file://{tmp_path}/{k}")
+        got = sorted((r.doc_id or -1, r.text or "", r.source or "") for r in out.collect())
+        assert got == sorted((r.doc_id or -1, r.text or "", r.source or "") for r in docs.collect())
+        assert sorted((r._shard, r._slot) for r in out.collect()) == sorted((r.shard, r.slot) for r in plan.collect())
+        crc = lambda t: zlib.crc32((t or "").encode())
+        assert sorted((r._shard, r._slot, r.doc_id or -1, crc(r.text)) for r in out.collect()) == sorted((r.shard, r.slot, r.doc_id or -1, r.text_crc32) for r in plan.collect())
+    assert sharding.rewrite_affected(docs.limit(0), sharding.reshard(docs.limit(0), old, 3, 3), f"file://{tmp_path}/none") == []
