@@ -26,10 +26,13 @@ def score_text(c: Column) -> Column:
     return F.concat(F.when(c > 0, "+").otherwise(""), c.cast("string"))
 
 
+#: Fixed value: the names that texts may hold.
+PARTICIPANT = r"\bScientist_\d+\b"
+
+
 def substitute_names(text: Column, names: Column) -> Column:
-    """Each Name_7 in the text by its entry in the map, in one pass; unknown names stay."""
-    token = r"\b[A-Za-z]+_\d+\b"
-    words = F.regexp_extract_all(text, F.lit(rf"(?s)({token})|((?:(?!{token}).)+)"), F.lit(0))
+    """Each Scientist_7 in the text by its entry in the map, in one pass; unknown names, and names of other kinds, stay."""
+    words = F.regexp_extract_all(text, F.lit(rf"(?s)({PARTICIPANT})|((?:(?!{PARTICIPANT}).)+)"), F.lit(0))
     mapped = F.transform(words, lambda w: F.coalesce(F.try_element_at(names, w), w))
     return F.when(names.isNull() | text.isNull(), text).otherwise(F.array_join(mapped, ""))
 

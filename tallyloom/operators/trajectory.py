@@ -55,28 +55,73 @@ def local_comment_ids(comments: DataFrame, numbered_posts: DataFrame) -> DataFra
     return joined.withColumn("local_post_id", F.coalesce("local_post_id", F.lit(0)))
 
 
-def timeline(posts: DataFrame, comments: DataFrame | None = None, votes: DataFrame | None = None) -> DataFrame:
+def timeline(posts: DataFrame, comments: DataFrame | None = None, votes: DataFrame | None = None, view: tuple[str, ...] = ("session_id", "viewer")) -> DataFrame:
     """The union of numbered posts, numbered comments and votes of each view. Sort order: created_at, type_rank, order_id.
 
     A vote stays only if its target is in the view.
     """
-    names = ["session_id", "viewer", "created_at"]
+    names = [*view, "created_at"]
     out = posts.select(*names, F.lit(0).alias("type_rank"), F.col("local_id").cast("long").alias("order_id"), F.lit("post").alias("kind"), F.col("post_id").alias("entry_id"), "author", "author_role", "content", "local_id")
     if comments is not None:
         part = comments.select(*names, F.lit(1).alias("type_rank"), F.col("local_id").cast("long").alias("order_id"), F.lit("comment").alias("kind"), F.col("comment_id").alias("entry_id"), "author", "author_role", "content", "local_id", "local_post_id")
         out = out.unionByName(part, allowMissingColumns=True)
     if votes is not None:
-        targets = posts.select("session_id", "viewer", F.lit("post").alias("target_type"), F.col("post_id").alias("target_id"), F.col("local_id").alias("target_local_id"))
+        targets = posts.select(*view, F.lit("post").alias("target_type"), F.col("post_id").alias("target_id"), F.col("local_id").alias("target_local_id"))
         if comments is not None:
-            targets = targets.union(comments.select("session_id", "viewer", F.lit("comment"), "comment_id", "local_id"))
-        part = votes.join(targets, ["session_id", "viewer", "target_type", "target_id"])
+            targets = targets.union(comments.select(*view, F.lit("comment"), "comment_id", "local_id"))
+        part = votes.join(targets, [*view, "target_type", "target_id"])
         part = part.select(*names, F.lit(2).alias("type_rank"), F.col("vote_id").alias("order_id"), F.lit("vote").alias("kind"), F.col("vote_id").alias("entry_id"), F.col("voter_name").alias("author"), F.col("voter_role").alias("author_role"), "value", "previous_value", "target_type", "target_id", "target_local_id")
         out = out.unionByName(part, allowMissingColumns=True)
     return out
 
 
+_ORDER = ("created_at", "type_rank", "order_id", "entry_id", "author")
+
+
+def session_entries(posts: DataFrame, comments: DataFrame | None = None, votes: DataFrame | None = None) -> DataFrame:
+    """The timeline that all viewers of a session share, numbered and put in order once: local ids, place from 1, and for votes
+    the target's sum up to and with them (running). comments and votes have session_id."""
+    session = Window.partitionBy("session_id")
+    numbered = posts.withColumn("local_id", F.row_number().over(session.orderBy("post_id")))
+    if comments is not None:
+        of_posts = numbered.select("session_id", "post_id", F.col("local_id").alias("local_post_id"))
+        comments = comments.withColumn("local_id", F.row_number().over(session.orderBy("comment_id"))).join(of_posts, ["session_id", "post_id"], "left")
+        comments = comments.withColumn("local_post_id", F.coalesce("local_post_id", F.lit(0)))
+    if votes is not None and "previous_value" not in votes.columns:
+        votes = votes.withColumn("previous_value", F.lit(None).cast("int"))
+    entries = timeline(numbered, comments, votes, ("session_id",))
+    entries = entries.withColumn("place", F.row_number().over(session.orderBy(*_ORDER)))
+    if votes is not None:
+        upto = Window.partitionBy("session_id", "target_type", "target_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+        entries = entries.withColumn("running", F.when(F.col("kind") == "vote", F.sum("value").over(upto)))
+    return entries
+
+
+def viewed(entries: DataFrame) -> DataFrame:
+    """Session entries as each of the session's actors with posts sees them, with the columns of turn_segments and cur_score.
+
+    Each entry meets each viewer in one join by session: the viewer's turn is the number of own posts at earlier places, and the sum that
+    it sees for a vote is the running one less its own votes so far. So nothing is sorted or dealt anew for each viewer.
+    """
+    own = (F.col("kind") == "post") & (F.col("author_role") == "actor")
+    viewers = entries.filter(own).groupBy("session_id", F.col("author").alias("viewer")).agg(F.collect_list("place").alias("_places"))
+    votes = "running" in entries.columns
+    if votes:
+        vote = F.struct("target_type", "target_id", "place", F.col("value").cast("long").alias("value"))
+        given = entries.filter("kind = 'vote'").groupBy("session_id", F.col("author").alias("viewer")).agg(F.collect_list(vote).alias("_given"))
+        viewers = viewers.join(given, ["session_id", "viewer"], "left")
+    rows = entries.join(viewers, "session_id")
+    rows = rows.withColumn("is_self", own & (F.col("author") == F.col("viewer"))).withColumn("turns", F.size("_places").cast("long"))
+    rows = rows.withColumn("turn", F.size(F.filter("_places", lambda x: x < F.col("place"))).cast("long")).drop("_places")
+    if votes:
+        mine = F.filter("_given", lambda x: (x["target_id"] == F.col("target_id")) & (x["target_type"] == F.col("target_type")) & (x["place"] <= F.col("place")))
+        less = F.when(F.col("_given").isNull(), F.lit(0)).otherwise(F.aggregate(mine, F.lit(0).cast("long"), lambda done, x: done + x["value"]))
+        rows = rows.withColumn("cur_score", F.when(F.col("kind") == "vote", F.col("running") - less)).drop("_given", "running")
+    return rows
+
+
 #: Columns that a timeline lacks without comments or votes.
-_ABSENT = {"local_post_id": "int", "value": "int", "previous_value": "int", "target_type": "string", "target_id": "long", "target_local_id": "int", "cur_score": "long"}
+_ABSENT = {"local_post_id": "int", "value": "int", "previous_value": "int", "target_type": "string", "target_id": "long", "target_local_id": "int"}
 
 
 def turn_segments(entries: DataFrame) -> DataFrame:
@@ -86,7 +131,7 @@ def turn_segments(entries: DataFrame) -> DataFrame:
     turn = turns and belongs to none.
     """
     view = Window.partitionBy("session_id", "viewer")
-    order = view.orderBy("created_at", "type_rank", "order_id", "entry_id", "author")
+    order = view.orderBy(*_ORDER)
     own = (F.col("kind") == "post") & (F.col("author") == F.col("viewer")) & (F.col("author_role") == "actor")
     marked = entries.withColumn("is_self", own)
     before = F.coalesce(F.sum(F.col("is_self").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -98,12 +143,14 @@ def uses_vote_language(content: Column, pattern: str) -> Column:
 
 
 def votes_if_mentioned(votes: DataFrame, posts: DataFrame, comments: DataFrame | None, pattern: str) -> DataFrame:
-    """The votes of those views in which an actor's post, or comment where comments count, speaks of voting."""
-    said = posts.filter("author_role = 'actor'").select("session_id", "viewer", "content")
+    """The votes of those views in which an actor's post, or comment where comments count, speaks of voting. Without viewers, as
+    where all see the same, a view is a session."""
+    view = ["session_id", "viewer"] if "viewer" in votes.columns else ["session_id"]
+    said = posts.filter("author_role = 'actor'").select(*view, "content")
     if comments is not None:
-        said = said.union(comments.filter("author_role = 'actor'").select("session_id", "viewer", "content"))
-    views = said.groupBy("session_id", "viewer").agg(F.bool_or(uses_vote_language(F.col("content"), pattern)).alias("_said"))
-    return votes.join(views.filter("_said").drop("_said"), ["session_id", "viewer"], "left_semi")
+        said = said.union(comments.filter("author_role = 'actor'").select(*view, "content"))
+    views = said.groupBy(*view).agg(F.bool_or(uses_vote_language(F.col("content"), pattern)).alias("_said"))
+    return votes.join(views.filter("_said").drop("_said"), view, "left_semi")
 
 
 def anonymous_voters(votes: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -120,21 +167,22 @@ def with_running_scores(entries: DataFrame) -> DataFrame:
     return shown.withColumn("cur_score", F.when(F.col("kind") == "vote", F.sum("value").over(upto)))
 
 
-def render_entry(seed: Column, votes: bool = True) -> Column:
-    """The text of one timeline entry, its wording drawn by the session's seed and the entry. Without votes in the timeline,
-    their part is left out, which keeps the generated code small enough to be compiled."""
+def wordings(entries: DataFrame, seed: Column, shown_author: Column, content: Column, votes: bool) -> DataFrame:
+    """Entries with _text as others see them and _own_text as their author does, their wording drawn by the session's seed and the entry.
+    A vote's text has {cur} for the sum that its viewer sees. Without votes their part is left out, which keeps the generated code small."""
     entry = F.concat(F.upper(F.substring("kind", 1, 1)), F.col("entry_id").cast("string"))
-    you = F.when(F.col("author") == F.col("viewer"), pick("you_marker", seed, entry)).otherwise("")
     header = F.when(F.col("kind") == "post", pick("post_header", seed, entry)).otherwise(pick("comment_header", seed, entry))
-    shown = _fill(header, local_id=F.col("local_id"), local_post_id=F.col("local_post_id"), author=F.col("author"), is_you=you)
-    text = F.concat(shown, F.lit("\n"), strip(F.col("content")), F.lit("\n"))
-    if not votes:
-        return text
-    target = F.concat(F.when(F.col("target_type") == "post", "P_").otherwise("C_"), F.col("target_local_id").cast("string"))
-    value = score_text(F.col("value"))
-    change = F.when(F.col("previous_value").isNotNull(), _fill(pick("vote_change_text", seed, entry), prev=score_text(F.col("previous_value")), value=value)).otherwise(_fill(pick("vote_new_text", seed, entry), value=value))
-    vote = _fill(pick("vote_event", seed, entry), author=F.col("author"), target=target, change=change, cur=score_text(F.col("cur_score")))
-    return F.when(F.col("kind") == "vote", F.concat(vote, F.lit("\n"))).otherwise(text)
+    header = _fill(header, local_id=F.col("local_id"), local_post_id=F.col("local_post_id"), author=shown_author)
+    body = F.concat(F.lit("\n"), strip(content), F.lit("\n"))
+    said = lambda you: F.concat(_fill(header, is_you=you), body)
+    text, own = said(F.lit("")), said(pick("you_marker", seed, entry))
+    if votes:
+        target = F.concat(F.when(F.col("target_type") == "post", "P_").otherwise("C_"), F.col("target_local_id").cast("string"))
+        value = score_text(F.col("value"))
+        change = F.when(F.col("previous_value").isNotNull(), _fill(pick("vote_change_text", seed, entry), prev=score_text(F.col("previous_value")), value=value)).otherwise(_fill(pick("vote_new_text", seed, entry), value=value))
+        vote = F.concat(_fill(pick("vote_event", seed, entry), author=shown_author, target=target, change=change), F.lit("\n"))
+        text, own = F.when(F.col("kind") == "vote", vote).otherwise(text), F.when(F.col("kind") == "vote", vote).otherwise(own)
+    return entries.withColumn("_text", text).withColumn("_own_text", own)
 
 
 def _fill(template: Column, **fields: Column) -> Column:
@@ -147,9 +195,12 @@ def _fill(template: Column, **fields: Column) -> Column:
 def trajectories(entries: DataFrame, sessions: DataFrame, rewards: DataFrame, names: DataFrame | None = None, coupled: bool = True, least_chars: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
     """(samples, dropped) from a timeline: one sample for each viewer with own posts of which one is long enough.
 
-    sessions has session_id and title, rewards post_id, reward and advantage, names (session_id, name, alias). dropped
+    entries are those of session_entries, which each actor of the session sees, or a timeline with a viewer. sessions has session_id and
+    title, rewards post_id, reward and advantage, and session_id if it is to be joined where the rows lie, names (session_id, name, alias). dropped
     counts the viewers without any turn (zero_turns) and those whose turns are all short (all_short).
     """
+    shared, votes = "viewer" not in entries.columns, "value" in entries.columns
+    entries = entries.withColumns({c: F.lit(None).cast(kind) for c, kind in _ABSENT.items() if c not in entries.columns})
     entries = entries.join(sessions.select("session_id", F.col("title").alias("_title")), "session_id")
     if names is not None:
         maps = names.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "alias"))).alias("_names"))
@@ -157,36 +208,42 @@ def trajectories(entries: DataFrame, sessions: DataFrame, rewards: DataFrame, na
         known = F.col("_names")
         alias = lambda c: F.coalesce(F.when(known.isNotNull(), F.try_element_at(known, c)), c)
         entries = entries.withColumn("content", substitute_names(F.col("content"), known)).withColumn("_shown_title", substitute_names(F.col("_title"), known))
-        entries = entries.withColumn("author", alias(F.col("author"))).withColumn("_self", alias(F.col("viewer")))
     else:
-        entries = entries.withColumn("_shown_title", F.col("_title")).withColumn("_self", F.col("viewer"))
-    entries = entries.withColumn("viewer", F.col("_self")).drop("_self")
-    votes = "value" in entries.columns
-    if votes:  # else there is nothing to sum
-        entries = with_running_scores(entries)
-    seg = turn_segments(entries.withColumns({c: F.lit(None).cast(kind) for c, kind in _ABSENT.items() if c not in entries.columns}))
+        alias = lambda c: c
+        entries = entries.withColumn("_shown_title", F.col("_title"))
+    seed = F.col("_title")
+    keys = [c for c in ("session_id",) if c in rewards.columns]
+    given = rewards.select(*keys, F.lit("post").alias("kind"), F.col("post_id").alias("entry_id"), "reward", "advantage")
+    entries = wordings(entries, seed, alias(F.col("author")), F.col("content"), votes).join(given, [*keys, "kind", "entry_id"], "left")
+    if shared:
+        seg = viewed(entries)
+        seg = seg.filter(~((F.col("kind") == "vote") & (F.col("author") == F.col("viewer")))) if votes else seg
+    else:
+        seg = turn_segments(with_running_scores(entries) if votes else entries)
     if not coupled:
         seg = seg.filter("is_self or kind <> 'post'")
-    seed = F.col("_title")
-    live = seg.filter(F.col("turn") < F.col("turns")).withColumn("_text", F.when(~F.col("is_self"), render_entry(seed, votes)))
-    # keyed by viewer, as the windows are, so that the rows stay where they lie
+    text = F.when(F.col("author") == F.col("viewer"), F.col("_own_text")).otherwise(F.col("_text"))
+    if votes:
+        text = F.when(F.col("kind") == "vote", _fill(F.col("_text"), cur=score_text(F.col("cur_score")))).otherwise(text)
+    live = seg.filter(F.col("turn") < F.col("turns")).withColumn("_shown", F.when(~F.col("is_self"), text)).withColumn("_alias", alias(F.col("viewer")))
+    # keyed by session and viewer, so that the rows stay where they lie
     turn = live.groupBy("session_id", "viewer", "turn").agg(
-        F.first("_title").alias("_title"), F.first("_shown_title").alias("_shown_title"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("is_self"), F.struct("place", "_text")))), lambda x: x["_text"]), "\n").alias("updates"),
-        F.max(F.when(F.col("is_self"), F.struct(F.col("entry_id").alias("post_id"), strip(F.col("content")).alias("content")))).alias("own"),
+        F.first("_title").alias("_title"), F.first("_shown_title").alias("_shown_title"), F.first("_alias").alias("_alias"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("is_self"), F.struct("place", "_shown")))), lambda x: x["_shown"]), "\n").alias("updates"),
+        F.max(F.when(F.col("is_self"), F.struct(F.col("entry_id").alias("post_id"), strip(F.col("content")).alias("content"), "reward", "advantage"))).alias("own"),
     )
-    turn = turn.select("session_id", "viewer", "_title", "_shown_title", "turn", strip(F.col("updates")).alias("updates"), "own.post_id", "own.content").join(rewards.select("post_id", "reward", "advantage"), "post_id", "left")
+    turn = turn.select("session_id", "viewer", "_title", "_shown_title", "_alias", "turn", strip(F.col("updates")).alias("updates"), "own.*")
     following = pick("section_next", seed)
-    first = F.concat_ws("\n", _fill(pick("prompt_intro", seed), name=F.col("viewer")), F.lit(""), pick("section_problem", seed), F.lit(""), strip(F.col("_shown_title")), F.lit(""), F.when(F.col("updates") != "", F.concat(pick("section_discussion", seed), F.lit("\n\n"), F.col("updates"), F.lit("\n"))), following)
+    first = F.concat_ws("\n", _fill(pick("prompt_intro", seed), name=F.col("_alias")), F.lit(""), pick("section_problem", seed), F.lit(""), strip(F.col("_shown_title")), F.lit(""), F.when(F.col("updates") != "", F.concat(pick("section_discussion", seed), F.lit("\n\n"), F.col("updates"), F.lit("\n"))), following)
     later = F.concat(F.when(F.col("updates") == "", pick("no_new_content", seed)).otherwise(F.col("updates")), F.lit("\n\n"), following)
     turn = turn.withColumn("asked", F.when(F.col("turn") == 0, first).otherwise(later)).withColumn("trainable", F.length("content") >= least_chars)
     listed = F.sort_array(F.collect_list(F.struct("turn", "asked", "content", "reward", F.round("advantage", 4).alias("advantage"), "post_id", "trainable"))).alias("x")
-    gathered = turn.groupBy("session_id", "viewer").agg(listed)
+    gathered = turn.groupBy("session_id", "viewer").agg(F.first("_alias").alias("_alias"), listed)
     message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     samples = gathered.select(
         F.flatten(F.transform("x", lambda x: F.array(message("user", x["asked"]), message("assistant", x["content"])))).alias("messages"),
         F.col("x.reward").alias("turn_rewards"), F.col("x.advantage").alias("turn_advantages"), F.col("x.post_id").alias("turn_post_ids"),
-        F.col("x.trainable").alias("turn_trainable"), F.col("session_id").cast("string").alias("session_id"), F.col("viewer").alias("actor"),
+        F.col("x.trainable").alias("turn_trainable"), F.col("session_id").cast("string").alias("session_id"), F.col("_alias").alias("actor"),
     )
     usable = F.exists("turn_trainable", lambda x: x)
     views = seg.groupBy("session_id", "viewer").agg(F.max("turns").alias("turns"))

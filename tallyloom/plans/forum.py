@@ -73,12 +73,25 @@ class Forum:
 
     @property
     def current_votes(self) -> DataFrame:
-        return V.latest_votes(self.votes)
+        return V.current_values(self.votes)
 
     @property
     def session_votes(self) -> DataFrame:
         return R.votes_in_sessions(self.current_votes, self.posts, self.comments).filter("session_id is not null")
 
+    @property
+    def session_vote_changes(self) -> DataFrame:
+        """Current votes with the values that they replaced."""
+        return R.votes_in_sessions(V.latest_votes(self.votes), self.posts, self.comments).filter("session_id is not null")
+
+    @property
+    def aliases(self) -> DataFrame:
+        """(session_id, name, alias): what a session's actors are called, by their own names and as texts speak of them."""
+        known = self.posts.select("session_id", "user_id", F.col("author").alias("name")).distinct()
+        alias = F.concat(F.lit("Member "), (F.col("user_id") % 10).cast("string")).alias("alias")
+        spoken = F.concat(F.lit("Scientist_"), (F.col("user_id") % 10).cast("string")).alias("name")
+        return known.select("session_id", "name", alias).union(known.select("session_id", spoken, alias))
+
 
 #: The same views as SQL for DuckDB.
 VIEWS = """

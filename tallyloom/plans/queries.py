@@ -467,28 +467,26 @@ tl AS (
 """
 
 
-def _timeline(f: Forum, votes: bool = True) -> DataFrame:
-    posts = J.local_ids(J.view_posts(f.posts, True), "post_id")
-    comments = J.local_comment_ids(J.view_comments(R.comments_in_sessions(f.comments, f.posts), f.posts, True), posts)
-    return J.timeline(posts, comments, J.view_votes(f.session_votes, f.posts, True, True) if votes else None)
+def _entries(f: Forum, votes: DataFrame | None = None) -> DataFrame:
+    return J.session_entries(f.posts, R.comments_in_sessions(f.comments, f.posts), votes)
 
 
 @query(_TIMELINE + "SELECT session_id, viewer, kind, count(*) AS n, CAST(sum(CAST(entry_id AS HUGEINT) * place) AS VARCHAR) AS ordered FROM seg GROUP BY ALL")
 def timeline_union(f: Forum) -> DataFrame:
-    seg = J.turn_segments(_timeline(f))
+    seg = J.viewed(_entries(f, f.session_votes))
     ordered = F.sum(F.col("entry_id").cast("decimal(25,0)") * F.col("place").cast("decimal(10,0)")).cast("decimal(38,0)").cast("string")
     return seg.groupBy("session_id", "viewer", "kind").agg(F.count("*").alias("n"), ordered.alias("ordered"))
 
 
 @query(_TIMELINE + "SELECT session_id, viewer, turn, count(*) AS n, max(CASE WHEN is_self THEN entry_id END) AS post_id FROM seg WHERE turn < turns GROUP BY ALL")
 def turn_segments(f: Forum) -> DataFrame:
-    seg = J.turn_segments(_timeline(f)).filter("turn < turns")
+    seg = J.viewed(_entries(f, f.session_votes)).filter("turn < turns")
     return seg.groupBy("session_id", "viewer", "turn").agg(F.count("*").alias("n"), F.max(F.when(F.col("is_self"), F.col("entry_id"))).alias("post_id"))
 
 
 def _samples(f: Forum, coupled: bool) -> tuple[DataFrame, DataFrame]:
-    rewards = _advantaged(f).select("post_id", "reward", "advantage")
-    entries = _timeline(f, votes=False) if coupled else J.timeline(_solo_numbered(f))
+    rewards = _advantaged(f).select("session_id", "post_id", "reward", "advantage")
+    entries = _entries(f) if coupled else J.timeline(_solo_numbered(f))
     return J.trajectories(entries, f.sessions, rewards, coupled=coupled)
 
 
@@ -541,6 +539,60 @@ def trajectory_messages(f: Forum) -> DataFrame:
     return samples.select("session_id", "actor", F.size("messages").alias("n_messages"), F.md5(text_of.cast("binary")).alias("digest"))
 
 
+_SIGNED = "(CASE WHEN {0} > 0 THEN '+' ELSE '' END || {0}::VARCHAR)"
+_VOTED = f"""
+, names AS (SELECT DISTINCT session_id, author AS name, 'Member ' || (user_id % 10) AS alias FROM posts UNION SELECT DISTINCT session_id, 'Scientist_' || (user_id % 10), 'Member ' || (user_id % 10) FROM posts),
+said AS (SELECT p.* REPLACE (p.content || ' said Scientist_' || (post_id % 12) || ' and Judge_1' AS content), p.content || ' said ' || coalesce(n.alias, 'Scientist_' || (post_id % 12)) || ' and Judge_1' AS shown
+  FROM posts p LEFT JOIN names n ON n.session_id = p.session_id AND n.name = 'Scientist_' || (post_id % 12)),
+np AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY post_id) AS local_id FROM said),
+nc AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY comment_id) AS local_id FROM placed_comments),
+mention AS (SELECT session_id FROM (SELECT session_id, content FROM said UNION ALL SELECT session_id, content FROM placed_comments) GROUP BY 1
+  HAVING bool_or(regexp_matches(content, '(?i)(score\\s*of|scored|\\bvote[sd]?\\b|high-?scoring|negative-?scoring|anonymous\\s+(vote|scientist)|consensus)'))),
+nv AS (SELECT v.*, title, t.local_id, CASE WHEN voter_role = 'judge' THEN {_pick_sql("anonymous_voter", "title || ':V' || vote_id")} ELSE voter_name END AS author
+  FROM session_votes v JOIN sessions USING (session_id) SEMI JOIN mention USING (session_id)
+  JOIN (SELECT session_id, 'post' AS target_type, post_id AS target_id, local_id FROM np UNION ALL SELECT session_id, 'comment', comment_id, local_id FROM nc) t USING (session_id, target_type, target_id)),
+tl AS (
+  SELECT session_id, viewer, created_at, 0 AS type_rank, local_id AS order_id, 'P' AS kind, post_id AS id, author, shown AS content, local_id, 0 AS local_post_id, NULL AS value, NULL AS previous_value, NULL AS target_type, NULL AS target_id FROM np JOIN actors USING (session_id)
+  UNION ALL SELECT nc.session_id, viewer, nc.created_at, 1, nc.local_id, 'C', comment_id, nc.author, nc.content, nc.local_id, coalesce(np.local_id, 0), NULL, NULL, NULL, NULL FROM nc JOIN actors USING (session_id) LEFT JOIN np USING (session_id, post_id)
+  UNION ALL SELECT session_id, viewer, created_at, 2, vote_id, 'V', vote_id, author, NULL, local_id, 0, value, previous_value, target_type, target_id FROM nv JOIN actors USING (session_id) WHERE author <> viewer
+), seg AS (
+  SELECT tl.*, title, coalesce(n.alias, author) AS alias, coalesce(m.alias, viewer) AS me, kind = 'P' AND author = viewer AS own, coalesce(sum(CAST(kind = 'P' AND author = viewer AS INT)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn,
+    sum(CAST(kind = 'P' AND author = viewer AS INT)) OVER (PARTITION BY session_id, viewer) AS turns, row_number() OVER w AS place,
+    sum(value) OVER (PARTITION BY session_id, viewer, target_type, target_id ORDER BY created_at, type_rank, order_id, id, author ROWS UNBOUNDED PRECEDING) AS cur
+  FROM tl JOIN sessions USING (session_id) LEFT JOIN names n ON n.session_id = tl.session_id AND n.name = author LEFT JOIN names m ON m.session_id = tl.session_id AND m.name = viewer
+  WINDOW w AS (PARTITION BY tl.session_id, viewer ORDER BY created_at, type_rank, order_id, id, author)
+), txt AS (
+  SELECT *, CASE WHEN kind = 'V' THEN replace(replace(replace(replace({_pick_sql("vote_event", "title || ':V' || id")}, '{{author}}', alias), '{{target}}', CASE WHEN target_type = 'post' THEN 'P_' ELSE 'C_' END || local_id),
+      '{{change}}', CASE WHEN previous_value IS NULL THEN replace({_pick_sql("vote_new_text", "title || ':V' || id")}, '{{value}}', {_SIGNED.format("value")})
+        ELSE replace(replace({_pick_sql("vote_change_text", "title || ':V' || id")}, '{{prev}}', {_SIGNED.format("previous_value")}), '{{value}}', {_SIGNED.format("value")}) END), '{{cur}}', {_SIGNED.format("CAST(cur AS BIGINT)")}) || chr(10)
+    ELSE replace(replace(replace(replace(CASE WHEN kind = 'P' THEN {_pick_sql("post_header", "title || ':P' || id")} ELSE {_pick_sql("comment_header", "title || ':C' || id")} END,
+      '{{local_id}}', local_id::VARCHAR), '{{local_post_id}}', local_post_id::VARCHAR), '{{author}}', alias), '{{is_you}}', CASE WHEN author = viewer THEN {_pick_sql("you_marker", "title || ':' || kind || id")} ELSE '' END) || chr(10) || content || chr(10) END AS text
+  FROM seg WHERE turn < turns
+), turned AS (
+  SELECT session_id, viewer, title, any_value(me) AS me, turn, coalesce(regexp_replace(string_agg(text, chr(10) ORDER BY place) FILTER (NOT own), '^\\s+|\\s+$', '', 'g'), '') AS updates, max(content) FILTER (own) AS content, count(*) FILTER (kind = 'V') AS votes FROM txt GROUP BY ALL
+), asked AS (
+  SELECT *, CASE WHEN turn = 0 THEN concat_ws(chr(10), replace({_pick_sql("prompt_intro", "title")}, '{{name}}', me), '', {_pick_sql("section_problem", "title")}, '', title, '',
+      CASE WHEN updates <> '' THEN {_pick_sql("section_discussion", "title")} || chr(10) || chr(10) || updates || chr(10) END, {_pick_sql("section_next", "title")})
+    ELSE CASE WHEN updates = '' THEN {_pick_sql("no_new_content", "title")} ELSE updates END || chr(10) || chr(10) || {_pick_sql("section_next", "title")} END AS question FROM turned
+)
+SELECT session_id::VARCHAR AS session_id, any_value(me) AS actor, (2 * count(*))::INT AS n_messages, md5(string_agg('user:' || question || chr(10) || 'assistant:' || content, chr(10) ORDER BY turn)) AS digest
+FROM asked GROUP BY session_id, viewer HAVING bool_or(length(content) >= 20)
+"""
+
+
+@query(_VOTED)
+def trajectory_with_votes(f: Forum) -> DataFrame:
+    """Samples with vote lines: running scores, unnamed judges, aliases, in sessions that speak of voting."""
+    told = F.concat("content", F.lit(" said Scientist_"), (F.col("post_id") % 12).cast("string"), F.lit(" and Judge_1"))
+    posts = f.posts.withColumn("content", told)
+    comments = R.comments_in_sessions(f.comments, f.posts)
+    votes = J.votes_if_mentioned(f.session_vote_changes, posts, comments, text.VOTE_LANGUAGE)
+    entries = J.session_entries(posts, comments, J.anonymous_voters(votes, f.sessions))
+    samples, _ = J.trajectories(entries, f.sessions, _advantaged(f).select("session_id", "post_id", "reward", "advantage"), f.aliases)
+    text_of = F.array_join(F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["content"])), "\n")
+    return samples.select("session_id", "actor", F.size("messages").alias("n_messages"), F.md5(text_of.cast("binary")).alias("digest"))
+
+
 @query(_OWN + "SELECT CAST(0 AS BIGINT) AS zero_turns, count(*) FILTER (NOT usable) AS all_short FROM arrays")
 def drop_stats(f: Forum) -> DataFrame:
     return _samples(f, False)[1]
