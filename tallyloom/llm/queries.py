@@ -49,19 +49,15 @@ def old_shard(source: str = "source"):
     return F.pmod(F.crc32(F.coalesce(F.col(source), F.lit("")).cast("binary")), F.lit(SHARDS)).cast("int")
 
 
-def _resharded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    plan = materialize(sharding.reshard(docs, old_shard(), SHARDS, SHARDS), "plan")
-    return sharding.resharded(docs, plan, f"{scratch_root(spark)}/shards-{uuid.uuid4().hex}")
-
-
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the shards' files after the transfers."""
+    """The rows of the shards' files after the transfers, each shard's numbered."""
+    docs = _table(spark, sf_dir, "documents")
+    plan = sharding.plan_resharding(docs, old_shard(), SHARDS, SHARDS)
+    out = sharding.resharded(docs, plan, old_shard(), f"{scratch_root(spark)}/shards-{uuid.uuid4().hex}")
     text = F.coalesce("text", F.lit(""))
-    return _resharded(spark, sf_dir).select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"),
-        F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), old_shard().alias("old_shard"),
-    )
+    rows = out.select(F.col("doc_id").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), old_shard().alias("old_shard"), F.col("_shard").alias("shard"))
+    rows = sharding.with_slots(rows)
+    return rows.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
 def sharding_law(spark: SparkSession, sf_dir: str) -> DataFrame:

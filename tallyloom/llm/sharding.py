@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import heapq
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import is_empty, materialize, running_totals, tidy
+from .scratch import materialize, running_totals, tidy
 
 
 def minimum_cost_flow(supplies: list[int], capacities: list[int], cost=None) -> dict[tuple[int, int], int]:
@@ -81,18 +82,69 @@ def transfers(flow: dict[tuple[int, int], int], stay_first: bool) -> list[tuple[
     return out
 
 
-def _moved(rows: DataFrame, shards: int, capacities: list[int] | None, large_first: bool, old_shards: int) -> DataFrame:
-    """rows with column shard after one round of transfers; rows are cut where a range ends, by their middle byte."""
+def _key(large_first: bool) -> Column:
+    """What the rows of a shard are ordered by; `at` parts rows that are alike, so that they can be cut and dealt too."""
+    return F.struct((-F.col("size") if large_first else F.col("size")).alias("size"), F.col("id").alias("id"), F.col("crc").alias("crc"), F.col("at").alias("at"))
+
+
+def _cuts(rows: DataFrame, shards: int, capacities: list[int] | None, large_first: bool, old_shards: int) -> DataFrame:
+    """(old, new, low, high) of one round of transfers: the range of keys of each old shard's rows that go to a new one, low being null
+    in its first and high in its last. Rows are cut where a byte range of the flow ends, by their middle byte. One row for each
+    pair of shards in the flow's basis at most."""
     sizes = dict(rows.groupBy("shard").agg(F.sum("size")).collect())  # one row for each shard
     supplies = [int(sizes.get(i, 0)) for i in range(max(old_shards, shards))]
     plan = transfers(minimum_cost_flow(supplies, capacities or equal_capacities(sum(supplies), shards)), stay_first=large_first)
-    order = [F.col("size").desc() if large_first else F.col("size"), "id", "crc"]
-    at = running_totals(rows, "shard", order, ["size"], "transfers")
-    cuts = rows.sparkSession.createDataFrame(plan or [(0, 0, 0, 0)], "old int, new int, low long, high long")
-    # at most one row for each pair of shards in the flow's basis
-    place = (F.col("shard") == F.col("old")) & (F.col("size_before") + F.floor(F.col("size") / 2) >= F.col("low")) & (F.col("size_before") + F.floor(F.col("size") / 2) < F.col("high"))
-    joined = at.join(F.broadcast(cuts), place, "left")
-    return materialize(joined.select("id", "size", "crc", "origin", F.coalesce("new", "shard").cast("int").alias("shard")), "moved")
+    order = [F.col("size").desc() if large_first else F.col("size"), "id", "crc", "at"]
+    totals = running_totals(rows, "shard", order, ["size"], "transfers")
+    ranges = rows.sparkSession.createDataFrame(plan or [(0, 0, 0, 0)], "old int, new int, low long, high long")
+    middle = F.col("size_before") + F.floor(F.col("size") / 2)
+    placed = totals.join(F.broadcast(ranges), (F.col("shard") == F.col("old")) & (middle >= F.col("low")) & (middle < F.col("high")))
+    found = materialize(placed.groupBy("old", "new").agg(F.min(_key(large_first)).alias("from")), "ranges")
+    by = Window.partitionBy("old").orderBy("from")
+    return materialize(found.select("old", "new", F.when(F.lag("from").over(by).isNotNull(), F.col("from")).alias("low"), F.lead("from").over(by).alias("high")), "cuts", keep=True)
+
+
+def _transferred(rows: DataFrame, cuts: DataFrame, large_first: bool) -> DataFrame:
+    """rows (size, id, crc, at, shard, ...) with shard after one round; each row goes to one shard, by its own key alone."""
+    key = _key(large_first)
+    here = (F.col("shard") == F.col("old")) & (F.col("low").isNull() | (key >= F.col("low"))) & (F.col("high").isNull() | (key < F.col("high")))
+    joined = rows.join(F.broadcast(cuts), here, "left")  # bounded by the pairs of shards
+    return joined.select(*(F.coalesce("new", "shard").alias("shard") if c == "shard" else F.col(c) for c in rows.columns))
+
+
+def _measured(docs: DataFrame, old_shard: Column, id_col: str, text_col: str) -> list[Column]:
+    text, origin = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(old_shard, F.lit(0)).cast("int")
+    return [F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.monotonically_increasing_id().alias("at"), origin.alias("origin"), origin.alias("shard")]
+
+
+def with_slots(rows: DataFrame) -> DataFrame:
+    """rows (id, crc, size, shard, ...) with slot: places from 0 without gaps in each shard, in the order of ids."""
+    one = rows.withColumn("_one", F.lit(1).cast("long"))
+    return running_totals(one, "shard", [F.col("id"), F.col("crc"), F.col("size")], ["_one"], "slots", keep=True).withColumnRenamed("_one_before", "slot").drop("_one")
+
+
+@dataclass
+class Resharding:
+    """Where rows go: two rounds of cuts, and which shards gain or lose rows. Both are as large as the pairs of shards."""
+
+    cuts: tuple[DataFrame, DataFrame]
+    affected: list[int]
+
+    def apply(self, rows: DataFrame) -> DataFrame:
+        return _transferred(_transferred(rows, self.cuts[0], True), self.cuts[1], False)
+
+
+@tidy
+def plan_resharding(docs: DataFrame, old_shard: Column, old_shards: int, shards: int, id_col: str = "doc_id", text_col: str = "text", capacities: list[int] | None = None) -> Resharding:
+    """The transfers that move the fewest bytes. A first round places each shard's rows with the largest staying, a second one evens
+    out with the smallest rows what whole rows left over."""
+    rows = materialize(docs.select(*_measured(docs, old_shard, id_col, text_col)), "sizes")
+    first = _cuts(rows, shards, capacities, True, old_shards)
+    rows = materialize(_transferred(rows, first, True), "moved")
+    plan = Resharding((first, _cuts(rows, shards, capacities, False, old_shards)), [])
+    moved = _transferred(rows, plan.cuts[1], False).filter("origin <> shard").select(F.explode(F.array("origin", "shard")).alias("s")).distinct()
+    plan.affected = sorted(r[0] for r in moved.collect())  # one row for each shard at most
+    return plan
 
 
 @tidy
@@ -101,74 +153,38 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, shards: int, id
 
     size is the text's UTF-8 bytes plus one, a null text having none; its crc is that of no bytes. old_shard tells
     where a row lies, null counting as 0. The flow decides how many bytes go from each old shard to each new one, by
-    default to new shards of equal bytes; rows stay where they can. A first round places each shard's rows with the
-    largest staying, a second one evens out with the smallest rows what whole rows left over. slot numbers a shard's
+    default to new shards of equal bytes; rows stay where they can, see plan_resharding. slot numbers a shard's
     rows without gaps in the order of ids. Rows that repeat an id, and null ids, are rows of their own. Other columns are ignored.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"),
-        F.coalesce(old_shard, F.lit(0)).cast("int").alias("origin"),
-    )
-    rows = materialize(rows.withColumn("shard", F.col("origin")), "sizes")
-    rows = _moved(rows, shards, capacities, True, old_shards)
-    rows = _moved(rows, shards, capacities, False, old_shards)
-    rows = running_totals(rows.withColumn("one", F.lit(1).cast("long")), "shard", [F.col("id"), F.col("crc"), F.col("size")], ["one"], "slots", keep=True)
-    return rows.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.col("origin").alias("old_shard"), "shard", F.col("one_before").alias("slot"))
-
-
-def _paired(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """Each row of docs (id, crc, size, row) with one row of plan (id, crc, size, shard, slot): rows alike in the first three are paired in any order."""
-    keys = ["id", "crc", "size"]
-    same = lambda a, b: a.id.eqNullSafe(b.id) & (a.crc == b.crc) & (a["size"] == b["size"])
-    again = materialize(plan.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated")
-    if is_empty(again):
-        return docs.join(plan, same(docs, plan)).select("row", "shard", "slot")
-    once = docs.join(again, same(docs, again), "left_anti"), plan.join(again, same(plan, again), "left_anti")
-    out = once[0].join(once[1], same(*once)).select("row", "shard", "slot")
-
-    def numbered(rows: DataFrame, label: str) -> DataFrame:
-        rows = rows.join(again, same(rows, again), "left_semi").withColumn("_all", F.lit(0)).withColumn("_one", F.lit(1).cast("long"))
-        rows = materialize(rows.withColumn("_tie", F.monotonically_increasing_id()), label)  # so that rows alike are spread, and in one order only
-        return running_totals(rows, "_all", [*map(F.col, keys), F.col("_tie")], ["_one"], f"{label}-numbered").withColumnRenamed("_one_before", "_at")
-
-    left, right = numbered(docs, "repeats").select("row", "_at"), numbered(plan, "places").select("shard", "slot", "_at")
-    return out.union(left.join(right, "_at").select("row", "shard", "slot"))
-
-
-def _keyed(docs: DataFrame, plan: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    kept = [c for c in docs.columns if c not in ("_shard", "_slot")]
-    rows = docs.select(F.col(id_col).alias("id"), F.crc32(text.cast("binary")).alias("crc"), (F.octet_length(text) + 1).cast("long").alias("size"), F.struct(*kept).alias("row"))
-    return rows, plan.select(F.col(id_col).alias("id"), F.col("text_crc32").alias("crc"), "size", "shard", "slot")
+    plan = plan_resharding(docs, old_shard, old_shards, shards, id_col, text_col, capacities)
+    rows = plan.apply(docs.select(*_measured(docs, old_shard, id_col, text_col))).drop("at")
+    rows = with_slots(rows)
+    return rows.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.col("origin").alias("old_shard"), "shard", "slot")
 
 
-@tidy
-def rewrite_affected(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rows_per_file: int = 50_000) -> list[int]:
-    """Write the shards that gain or lose rows below path and return their numbers; the files of all other shards stay valid as they are.
+def rewrite_affected(docs: DataFrame, plan: Resharding, old_shard: Column, path: str, id_col: str = "doc_id", text_col: str = "text", rows_per_file: int = 10_000) -> None:
+    """Write the shards that gain or lose rows below path; the files of all other shards stay valid as they are.
 
-    A shard is a folder _shard=N with files of about rows_per_file rows, in the order of their slots: all columns of docs, and
-    _slot. Rows that repeat id and text change places freely. Where nothing moves nothing is written. The list has one entry for each shard at most.
+    A shard is a folder _shard=N with files of about rows_per_file rows, sorted by id and text: all columns of docs but one of that name. Each
+    row's shard follows from the row and the plan's cuts, so whole rows are dealt once. Where nothing moves nothing is written.
     """
-    moved = plan.filter("old_shard <> shard")
-    numbers = sorted(r[0] for r in moved.select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct().collect())
-    if numbers:
-        rows = _paired(*_keyed(docs, plan, id_col, text_col)).filter(F.col("shard").isin(numbers))
-        rows = rows.select("row.*", F.col("shard").alias("_shard"), F.col("slot").alias("_slot")).repartition("_shard", F.floor(F.col("_slot") / rows_per_file))
-        rows.sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").mode("overwrite").parquet(path)
-    return numbers
-
-
-def resharded(docs: DataFrame, plan: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with _shard and _slot as they stand after the transfers: rows of the shards rewritten below path come from their files."""
-    numbers = rewrite_affected(docs, plan, path, id_col, text_col)
-    stay = plan.filter(~F.col("shard").isin(numbers)) if numbers else plan
-    kept = [c for c in docs.columns if c not in ("_shard", "_slot")]
-    placed = [F.col("shard").alias("_shard"), F.col("slot").alias("_slot")]
-    if not numbers:
-        return _paired(*_keyed(docs, plan, id_col, text_col)).select("row.*", *placed)
-    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("_slot", T.LongType()), T.StructField("_shard", T.IntegerType())])
-    out = docs.sparkSession.read.schema(schema).parquet(path).select(*kept, "_shard", "_slot")
-    if is_empty(stay):
-        return out
-    return out.union(_paired(*_keyed(docs, stay, id_col, text_col)).select("row.*", *placed))
+    if not plan.affected:
+        return
+    whole = docs.select(*_measured(docs, old_shard, id_col, text_col), F.struct(*(c for c in docs.columns if c != "_shard")).alias("row"))
+    rows = plan.apply(whole).filter(F.col("shard").isin(plan.affected))
+    files = max(1, -(-docs.count() // rows_per_file))
+    rows = rows.repartitionByRange(files, "shard", "id", "crc", "at").sortWithinPartitions("shard", "id", "crc", "size")
+    rows.select("row.*", F.col("shard").alias("_shard")).write.partitionBy("_shard").mode("overwrite").parquet(path)
+
+
+def resharded(docs: DataFrame, plan: Resharding, old_shard: Column, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with _shard as they stand after the transfers: rows of the shards rewritten below path come from their files."""
+    rewrite_affected(docs, plan, old_shard, path, id_col, text_col)
+    kept = [c for c in docs.columns if c != "_shard"]
+    origin = F.coalesce(old_shard, F.lit(0)).cast("int")
+    stay = docs.select(*kept, origin.alias("_shard"))
+    if not plan.affected:
+        return stay
+    schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("_shard", T.IntegerType())])
+    out = docs.sparkSession.read.schema(schema).parquet(path).select(*kept, "_shard")
+    return out.union(stay.filter(~F.col("_shard").isin(plan.affected)))

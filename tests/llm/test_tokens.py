@@ -201,24 +201,36 @@ def test_sharding_odd_tables(spark, tmp_path):
     out = sharding.reshard(spark.createDataFrame([(1, None, None, 9), (1, None, None, 9), (None, "é", "s", 9)], schema), old_shard(), 16, 3).collect()
     assert sorted((r.size, r.text_crc32) for r in out) == [(1, 0), (1, 0), (3, zlib.crc32("é".encode()))] and all(0 <= r.shard < 3 for r in out)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    plan = sharding.reshard(docs, F.when(F.col("doc_id") < 150, 0).otherwise(1), 3, 2)
-    touched = sharding.rewrite_affected(docs, plan, f"file://{tmp_path}/out")
-    assert touched == [0, 1] and spark.read.parquet(f"file://{tmp_path}/out").count() == docs.count()
+    old = F.when(F.col("doc_id") < 150, 0).otherwise(1)
+    plan = sharding.plan_resharding(docs, old, 3, 2)
+    sharding.rewrite_affected(docs, plan, old, f"file://{tmp_path}/out")
+    assert plan.affected == [0, 1] and spark.read.parquet(f"file://{tmp_path}/out").count() == docs.count()
 
 
 def test_rewritten_shards_hold_the_plan(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
     some = docs.limit(40)
-    docs = docs.union(some).union(some).union(spark.createDataFrame([(None, "no id", "a"), (None, "no id", "b"), (None, None, None)], docs.schema)).withColumn("_slot", F.lit("clash"))
+    docs = docs.union(some).union(some).union(spark.createDataFrame([(None, "no id", "a"), (None, "no id", "b"), (None, None, None)], docs.schema)).withColumn("slot", F.lit("clash"))
+    docs.write.parquet(f"file://{tmp_path}/docs")
+    docs = spark.read.parquet(f"file://{tmp_path}/docs")
     old = F.when(F.col("doc_id") < 100, 0).when(F.col("doc_id") < 190, 1).otherwise(2)
-    plan = sharding.reshard(docs, old, 3, 3)
-    sizes = [r.b for r in plan.groupBy("old_shard").agg(F.sum("size").alias("b")).orderBy("old_shard").collect()]
+    sizes = [r.b for r in sharding.reshard(docs, old, 3, 3).groupBy("old_shard").agg(F.sum("size").alias("b")).orderBy("old_shard").collect()]
+    crc = lambda t: zlib.crc32((t or "").encode())
     for k, capacities in enumerate((None, [sizes[0], sizes[1] + 10_000, sizes[2] + 10_000], [sizes[0] - 20_000, sizes[1] + 30_000, sizes[2]])):
-        plan = sharding.reshard(docs, old, 3, 3, capacities=capacities)
-        out = sharding.resharded(docs, plan, f"file://{tmp_path}/{k}")
-        got = sorted((r.doc_id or -1, r.text or "", r.source or "") for r in out.collect())
-        assert got == sorted((r.doc_id or -1, r.text or "", r.source or "") for r in docs.collect())
-        assert sorted((r._shard, r._slot) for r in out.collect()) == sorted((r.shard, r.slot) for r in plan.collect())
-        crc = lambda t: zlib.crc32((t or "").encode())
-        assert sorted((r._shard, r._slot, r.doc_id or -1, crc(r.text)) for r in out.collect()) == sorted((r.shard, r.slot, r.doc_id or -1, r.text_crc32) for r in plan.collect())
-    assert sharding.rewrite_affected(docs.limit(0), sharding.reshard(docs.limit(0), old, 3, 3), f"file://{tmp_path}/none") == []
+        plan = sharding.plan_resharding(docs, old, 3, 3, capacities=capacities)
+        wanted = sharding.reshard(docs, old, 3, 3, capacities=capacities).collect()
+        assert plan.affected == ([0, 1, 2], [], [0, 1])[k]
+        out = sharding.resharded(docs, plan, old, f"file://{tmp_path}/{k}").collect()
+        assert sorted((r.doc_id or -1, r.text or "", r.source or "", r.slot) for r in out) == sorted((r.doc_id or -1, r.text or "", r.source or "", r.slot) for r in docs.collect())
+        assert sorted((r._shard, r.doc_id or -1, crc(r.text)) for r in out) == sorted((r.shard, r.doc_id or -1, r.text_crc32) for r in wanted)
+        for shard in range(3):
+            assert sorted(r.slot for r in wanted if r.shard == shard) == list(range(sum(r.shard == shard for r in wanted)))
+    none = docs.limit(0)
+    assert sharding.plan_resharding(none, old, 3, 3).affected == [] and sharding.reshard(none, old, 3, 3).count() == 0
+
+
+def test_rows_alike_are_dealt(spark):
+    docs = spark.createDataFrame([(7, "the same text again") for _ in range(3000)] + [(k, "x" * (k % 50)) for k in range(300)], "doc_id long, text string").repartition(4)
+    out = sharding.reshard(docs, F.lit(0), 4, 4).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    sizes = [r.b for r in out]
+    assert len(sizes) == 4 and max(sizes) - min(sizes) < 60
