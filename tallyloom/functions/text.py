@@ -212,37 +212,68 @@ def layer_counts(refs: Column) -> Column:
 
 # ---- tool calls in plain text
 
-CALLS = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("arguments", T.MapType(T.StringType(), T.StringType()))]))
-_CALL = re.compile(r"<tool_call>(.*?)(?:</tool_call>|\Z)", re.S)
-_FUNCTION = re.compile(r"<function=([\w.\-]+)>(.*?)(?:</function>|\Z)", re.S)
-_PARAMETER = re.compile(r"<parameter=([\w.\-]+)>(.*?)</parameter>", re.S)
-
-
-def tool_calls(text: str | None) -> list[tuple[str, dict[str, str]]]:
-    """Calls written as text: a parameter's JSON is kept in canonical form, tried again without a trailing comma, else as it is."""
-    out = []
-    for call in _CALL.findall(text or ""):
-        for name, body in _FUNCTION.findall(call):
-            arguments = {}
-            for key, raw in _PARAMETER.findall(body):
-                value = raw.strip()
-                for attempt in (value, re.sub(r",\s*([\]}]?)\s*$", r"\1", value)):
-                    try:
-                        parsed = json.loads(attempt)
-                    except ValueError:
-                        continue
-                    value = parsed if isinstance(parsed, str) else json.dumps(parsed, ensure_ascii=False)
-                    break
+CALL = T.StructType([T.StructField("name", T.StringType()), T.StructField("arguments", T.MapType(T.StringType(), T.StringType()))])
+_BLOCK = re.compile(r"<tool_call>(.*?)(?:</tool_call>|\Z)", re.S)
+_FUNCTION = re.compile(r"<function=(\w+)>")
+_PARAMETER = re.compile(r"<parameter=(\w+)[=>]*\s*(.*?)(?=<parameter=|\Z)", re.S)
+
+
+def tool_call(text: str | None) -> tuple[str, dict[str, str]] | None:
+    """The first call written as text, or null without a block or a function name in it.
+
+    A parameter's value ends at its closing tag, or where there is none, at the next parameter or the block's end; blanks around it, an
+    arrow before it and closing brackets after it go, and an empty one is left out. JSON is kept in canonical form, tried again without commas at its end, else the text stays as it is.
+    """
+    block = _BLOCK.search(text or "")
+    name = block and _FUNCTION.search(block[1])
+    if not name:
+        return None
+    arguments = {}
+    for key, raw in _PARAMETER.findall(block[1]):
+        value = raw.split("</parameter>", 1)[0].strip().rstrip(">")
+        for attempt in (value, value.rstrip(",")):
+            try:
+                parsed = json.loads(attempt)
+            except ValueError:
+                continue
+            arguments[key] = parsed if isinstance(parsed, str) else json.dumps(parsed, ensure_ascii=False)
+            break
+        else:
+            if value:
                 arguments[key] = value
-            out.append((name, arguments))
-    return out
+    return name[1], arguments
 
 
-def with_tool_calls(rows: DataFrame, text_col: str, out_col: str = "calls") -> DataFrame:
+def with_tool_call(rows: DataFrame, text_col: str, out_col: str = "call") -> DataFrame:
+    """Column call: the name and the arguments of the first call written in each text, or null."""
     ship(rows.sparkSession)
 
-    @F.pandas_udf(CALLS)
-    def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"name": n, "arguments": a} for n, a in tool_calls(t)] for t in texts])
+    @F.pandas_udf(CALL)
+    def found(texts: pd.Series) -> pd.DataFrame:
+        calls = [tool_call(t) for t in texts]
+        return pd.DataFrame({"name": [c and c[0] for c in calls], "arguments": [c and c[1] for c in calls]})
 
-    return rows.withColumn(out_col, found(text_col))
+    out = rows.withColumn(out_col, found(text_col))
+    return out.withColumn(out_col, F.when(F.col(f"{out_col}.name").isNotNull(), F.col(out_col)))
+
+
+def comment_list(argument: Column) -> Column:
+    """A comments argument as array<struct<post_id, content>>: a JSON list, or the same as a JSON string, or one object; empty where
+    it can't be read, which comment_list_error tells."""
+    kind = "array<struct<post_id:string,content:string>>"
+    inner = F.when(argument.startswith('"'), F.get_json_object(F.concat(F.lit('{"a":'), argument, F.lit("}")), "$.a")).otherwise(argument)
+    listed = F.when(strip(inner).startswith("{"), F.concat(F.lit("["), inner, F.lit("]"))).otherwise(inner)
+    return F.coalesce(F.from_json(listed, kind), F.array().cast(kind))
+
+
+def comment_list_error(argument: Column) -> Column:
+    """What is told of a comments argument that is a text but no JSON, else null."""
+    inner = F.when(argument.startswith('"'), F.get_json_object(F.concat(F.lit('{"a":'), argument, F.lit("}")), "$.a")).otherwise(argument)
+    broken = inner.isNotNull() & (F.size(comment_list(argument)) == 0) & ~strip(inner).isin("", "[]", "null")
+    return F.when(broken, F.concat(F.lit('comment needs post_id: "'), F.left(inner, F.lit(80)), F.lit('"')))
+
+
+def argument_error(raw: Column) -> Column:
+    """What is told of a tool's arguments that are no JSON object, else null. Arguments that are null are empty ones."""
+    broken = raw.isNotNull() & F.from_json(raw, "map<string,string>").isNull()
+    return F.when(broken, F.concat(F.lit("Error: could not parse arguments: "), F.left(raw, F.lit(200))))

@@ -58,6 +58,38 @@ def forum_tree(posts: DataFrame, comments: DataFrame, scores: DataFrame, sort: s
     return tree.orderBy(F.col("score").desc(), "post_id") if sort == "score" else tree.orderBy("post_id")
 
 
+def actor_sessions(sessions: DataFrame, posts: DataFrame, comments: DataFrame) -> DataFrame:
+    """Sessions with an array of the posts of actors, each with the array of its comments by actors, in the order of ids; both may be empty."""
+    own = lambda rows: rows.filter("author_role = 'actor'")
+    nested = own(comments).groupBy("post_id").agg(F.sort_array(F.collect_list(F.struct("comment_id", "author", "content"))).alias("comments"))
+    none = F.array().cast(nested.schema["comments"].dataType)
+    told = own(posts).join(nested, "post_id", "left").withColumn("comments", F.coalesce("comments", none))
+    listed = told.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("post_id", "author", "content", "comments"))).alias("posts"))
+    return sessions.join(listed, "session_id", "left").withColumn("posts", F.coalesce("posts", F.array().cast(listed.schema["posts"].dataType)))
+
+
+def actors_by_name(posts: DataFrame) -> DataFrame:
+    """(session_id, names): the actors with posts, in the order of their names."""
+    return posts.filter("author_role = 'actor'").groupBy("session_id").agg(F.sort_array(F.collect_set("author")).alias("names"))
+
+
+def cohort_names(*cohorts: DataFrame) -> DataFrame:
+    """The names of all cohorts, each once."""
+    out = cohorts[0]
+    for more in cohorts[1:]:
+        out = out.union(more)
+    return out.distinct()
+
+
+def open_sessions(states: DataFrame) -> DataFrame:
+    return states.filter("status = 'open'")
+
+
+def listed(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, ids): the keys of each group's rows, ascending, as its listing gives them."""
+    return rows.groupBy(group).agg(F.sort_array(F.collect_list(key)).alias("ids"))
+
+
 def post_detail(posts: DataFrame, comments: DataFrame, scores: DataFrame, session_id, post_id) -> DataFrame:
     """One post of a session with its comments; the point filters reach the scans."""
     one = posts.filter((F.col("session_id") == session_id) & (F.col("post_id") == post_id))

@@ -59,7 +59,7 @@ def iterations(spark, epochs: int, rounds: int) -> DataFrame:
 def cast_names(sessions: DataFrame, pool: DataFrame, seed_col: str, prefix: str = "name", actors: int = 32, judges: int = 32) -> DataFrame:
     """(session_id, name, alias): for each session a draw from the name pool without replacement; the first go to
     Scientist_1.., the next to Judge_1... The pool is a settings table of a few hundred names."""
-    drawn = sessions.select("session_id", seed_col).crossJoin(F.broadcast(pool.select("alias")))  # a settings table
+    drawn = sessions.select("session_id", seed_col).crossJoin(pool.select("alias"))  # broadcast by its size, or dealt
     order = Window.partitionBy("session_id").orderBy(hash_number(F.concat(F.lit(prefix + ":"), F.col(seed_col).cast("string"), F.lit(":"), F.col("alias"))), "alias")
     placed = drawn.withColumn("_p", F.row_number().over(order)).filter(F.col("_p") <= actors + judges)
     name = F.when(F.col("_p") <= actors, F.concat(F.lit("Scientist_"), F.col("_p"))).otherwise(F.concat(F.lit("Judge_"), F.col("_p") - actors))

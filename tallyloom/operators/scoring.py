@@ -79,11 +79,11 @@ def mean_posts(sessions: DataFrame, posts: str = "posts") -> DataFrame:
 
 
 def run_status(done: Column, failed: Column, failed_iteration: Column, explicit: Column, last_seen: Column, now: Column, stale_hours: float = 24) -> Column:
-    """done, failed@N, what the state says, stale, or running, in this order."""
+    """completed, failed@N (failed alone where the iteration isn't known), what the state says, stale, or running, in this order."""
     idle = (F.unix_timestamp(now) - F.unix_timestamp(last_seen)) / 3600
     return (
-        F.when(done, "done")
-        .when(failed, F.concat(F.lit("failed@"), F.coalesce(failed_iteration.cast("string"), F.lit("?"))))
+        F.when(done, "completed")
+        .when(failed, F.concat_ws("@", F.lit("failed"), F.nullif(F.substring_index(failed_iteration.cast("string"), "/", 1), F.lit(""))))
         .when(explicit.isNotNull() & (explicit != ""), explicit)
         .when(idle > stale_hours, "stale")
         .otherwise("running")
@@ -97,6 +97,7 @@ def surplus(rows: DataFrame, group: str, order: str, keep: int) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.col(order).desc()))).filter(F.col("_r") > keep).drop("_r")
 
 
+# The tools in the order in which a round runs them.
 TOOL_RANK = {"python_exec": 0, "vote": 1, "submit": 2, "wait": 3, "leave": 3}
 
 

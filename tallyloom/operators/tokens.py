@@ -10,17 +10,32 @@ from ..shipping import ship
 
 
 def truncate_messages(turns: DataFrame, sample: str, order: str, length: str, role: str, most: int) -> DataFrame:
-    """The rows of each sample from its earliest user turn on whose remaining lengths are `most` at most in sum.
+    """The rows of each sample from its earliest user turn on whose remaining lengths are `most` at most in sum, and `kept`, how much of
+    each row's end stays.
 
-    A sample within the bound stays whole; one without such a turn keeps none here (token ids then give the last `most`).
+    A sample within the bound stays whole. One without such a turn keeps its last `most`, of which the first row may be cut.
     """
     back = Window.partitionBy(sample).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
     rest = turns.withColumn("_rest", F.sum(length).over(back))
     whole = Window.partitionBy(sample)
     starts = F.min(F.when((F.col(role) == "user") & (F.col("_rest") <= most), F.col(order))).over(whole)
     fits = F.max("_rest").over(whole) <= most
-    kept = rest.withColumn("_start", F.when(fits, F.min(order).over(whole)).otherwise(starts))
-    return kept.filter(F.col(order) >= F.col("_start")).drop("_rest", "_start")
+    placed = rest.withColumn("_start", F.when(fits, F.min(order).over(whole)).otherwise(starts))
+    tail = F.greatest(F.lit(0), F.least(F.col(length), F.lit(most) - (F.col("_rest") - F.col(length))))
+    kept = F.when(F.col("_start").isNull(), tail).when(F.col(order) >= F.col("_start"), F.col(length)).otherwise(0)
+    placed = placed.withColumn("kept", kept.cast(turns.schema[length].dataType))
+    return placed.filter((F.col("kept") > 0) | (F.col(order) >= F.col("_start"))).drop("_rest", "_start")
+
+
+def last_user_message(messages: Column) -> Column:
+    """The content of the last message of a user; empty without one."""
+    return F.coalesce(F.try_element_at(F.filter(messages, lambda m: m["role"] == "user"), F.lit(-1))["content"], F.lit(""))
+
+
+def without_called_content(messages: Column) -> Column:
+    """Messages (role, content, tool_calls) without the content of assistants' messages that come with tool calls."""
+    called = lambda m: (m["role"] == "assistant") & (F.size(m["tool_calls"]) > 0)
+    return F.transform(messages, lambda m: m.withField("content", F.when(~F.coalesce(called(m), F.lit(False)), m["content"])))
 
 
 def truncate_ids(ids: Column, user_starts: Column, most: int) -> Column:

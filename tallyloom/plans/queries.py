@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -226,25 +227,13 @@ def session_states(f: Forum) -> DataFrame:
     return R.session_states(f.sessions.withColumn("status", F.lit("open")), f.sessions.filter("session_id % 4 = 1"))
 
 
-@query("""
-, i AS (SELECT session_id, 'post' AS kind, 0 AS type_rank, post_id AS item_id, author, author_role FROM posts WHERE post_id > 500 UNION ALL SELECT session_id, 'vote', 2, vote_id, voter_name, voter_role FROM session_votes WHERE target_id > 500)
-SELECT i.session_id, recipient, kind, item_id, CASE WHEN kind = 'vote' AND author_role = 'judge' THEN 'Anonymous Scientist' ELSE author END AS author, row_number() OVER (PARTITION BY i.session_id, recipient ORDER BY type_rank, item_id) AS place
-FROM i JOIN (SELECT session_id, min(viewer) AS recipient FROM actors GROUP BY 1) r USING (session_id) WHERE author <> recipient
-""")
-def deliveries(f: Forum) -> DataFrame:
-    posts = R.new_items(f.posts, "post_id", 500).select("session_id", F.lit("post").alias("kind"), F.lit(0).alias("type_rank"), F.col("post_id").alias("item_id"), "author", "author_role")
-    votes = R.new_items(f.session_votes, "target_id", 500).select("session_id", F.lit("vote"), F.lit(2), "vote_id", "voter_name", "voter_role")
-    who = J.actors(f.posts).groupBy("session_id").agg(F.min("viewer").alias("recipient"))
-    return R.deliveries(posts.union(votes), who).select("session_id", "recipient", "kind", "item_id", "author", "place")
-
-
 @query("""
 , i AS (SELECT session_id, 'post' AS kind, 0 AS type_rank, post_id AS item_id, author, author_role FROM posts WHERE post_id > 500 UNION ALL SELECT session_id, 'vote', 2, vote_id, voter_name, voter_role FROM session_votes WHERE target_id > 500),
 d AS (SELECT i.session_id, viewer AS recipient, item_id, CASE WHEN kind = 'vote' AND author_role = 'judge' THEN 'Anonymous Scientist' ELSE author END AS author, row_number() OVER (PARTITION BY i.session_id, viewer ORDER BY type_rank, item_id) AS place
   FROM i JOIN actors USING (session_id) WHERE author <> viewer)
 SELECT session_id, recipient, count(*) AS n, count(*) FILTER (author = 'Anonymous Scientist') AS n_anonymous, CAST(sum(CAST(item_id AS HUGEINT) * place) AS VARCHAR) AS ordered FROM d GROUP BY ALL
 """)
-def deliveries_to_all(f: Forum) -> DataFrame:
+def deliveries(f: Forum) -> DataFrame:
     """Deliveries to all actors of each session, as counts and an order digest for each recipient."""
     posts = R.new_items(f.posts, "post_id", 500).select("session_id", F.lit("post").alias("kind"), F.lit(0).alias("type_rank"), F.col("post_id").alias("item_id"), "author", "author_role")
     votes = R.new_items(f.session_votes, "target_id", 500).select("session_id", F.lit("vote"), F.lit(2), "vote_id", "voter_name", "voter_role")
@@ -253,14 +242,8 @@ def deliveries_to_all(f: Forum) -> DataFrame:
     return sent.groupBy("session_id", "recipient").agg(F.count("*").alias("n"), F.count_if(F.col("author") == "Anonymous Scientist").alias("n_anonymous"), ordered.alias("ordered"))
 
 
-@query(", l AS (SELECT session_id, max(created_at) AS last_post FROM posts GROUP BY 1) SELECT session_id, last_post FROM l ORDER BY last_post DESC, session_id LIMIT 20")
-def sessions_newest_first(f: Forum) -> DataFrame:
-    """A report of the twenty sessions with the newest posts."""
-    return R.newest_first(f.posts.groupBy("session_id").agg(F.max("created_at").alias("last_post")), "last_post").limit(20)
-
-
 @query(", l AS (SELECT session_id, max(created_at) AS last_post FROM posts GROUP BY 1) SELECT session_id, last_post, row_number() OVER (ORDER BY last_post DESC NULLS LAST, session_id) AS place FROM sessions LEFT JOIN l USING (session_id)")
-def all_sessions_newest_first(f: Forum) -> DataFrame:
+def sessions_newest_first(f: Forum) -> DataFrame:
     """All sessions with their place in the order by newest post; those without posts come last."""
     last = f.posts.groupBy("session_id").agg(F.max("created_at").alias("last_post"))
     rows = f.sessions.select("session_id").join(last, "session_id", "left")
@@ -272,13 +255,8 @@ def all_sessions_newest_first(f: Forum) -> DataFrame:
     return ranged.join(F.broadcast(before), "_part").select("session_id", "last_post", place.alias("place"))
 
 
-@query("SELECT DISTINCT c_nationkey AS nation FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 5)", views=False)
-def missing_keys(f: Forum) -> DataFrame:
-    return R.missing_keys(f.table("customer").select(F.col("c_nationkey").alias("nation")), f.table("supplier").filter("s_suppkey < 5").select(F.col("s_nationkey").alias("nation")), "nation")
-
-
 @query("SELECT k AS key, 'supplier' AS other FROM (SELECT p_partkey AS k FROM part) WHERE k NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT DISTINCT c_nationkey, 'nation' FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)", views=False)
-def missing_keys_whole(f: Forum) -> DataFrame:
+def missing_keys(f: Forum) -> DataFrame:
     """Keys of whole tables that other whole tables lack."""
     parts = R.missing_keys(f.table("part").select(F.col("p_partkey").alias("key")), f.table("supplier").select(F.col("s_suppkey").alias("key")), "key")
     nations = R.missing_keys(f.table("customer").select(F.col("c_nationkey").alias("key")), f.table("supplier").select(F.col("s_nationkey").alias("key")), "key")
@@ -333,17 +311,11 @@ def visible_scores_blind(f: Forum) -> DataFrame:
     return V.visible_scores(f.current_votes, judges_visible=False)
 
 
-@query("SELECT post_id AS target_id, coalesce(score, 0) AS score FROM posts LEFT JOIN scores ON target_type = 'post' AND target_id = post_id WHERE post_id % 10 = 3")
-def scores_of_posts(f: Forum) -> DataFrame:
-    targets = f.posts.filter("post_id % 10 = 3").select(F.lit("post").alias("target_type"), F.col("post_id").alias("target_id"))
-    return V.scores_of(f.current_votes, targets).select("target_id", "score")
-
-
 @query("""
 , t AS (SELECT 'post' AS target_type, post_id AS target_id FROM posts UNION ALL SELECT 'comment', comment_id FROM comments)
 SELECT target_type, target_id, coalesce(score, 0) AS score FROM t LEFT JOIN scores USING (target_type, target_id)
 """)
-def scores_of_items(f: Forum) -> DataFrame:
+def scores_of_posts(f: Forum) -> DataFrame:
     """The scores of all posts and comments."""
     targets = f.posts.select(F.lit("post").alias("target_type"), F.col("post_id").alias("target_id")).union(f.comments.select(F.lit("comment"), "comment_id"))
     return V.scores_of(f.current_votes, targets).select("target_type", "target_id", "score")
@@ -427,25 +399,14 @@ def local_ids(f: Forum) -> DataFrame:
 
 
 @query("""
-, v AS (SELECT session_id, min(viewer) AS viewer FROM actors GROUP BY 1), p AS (SELECT post_id, session_id, viewer, row_number() OVER (PARTITION BY session_id ORDER BY post_id) AS local_id FROM posts JOIN v USING (session_id) WHERE post_id % 4 <> 1)
-SELECT c.comment_id, c.session_id, row_number() OVER (PARTITION BY c.session_id ORDER BY c.comment_id) AS local_id, coalesce(p.local_id, 0) AS local_post_id FROM placed_comments c LEFT JOIN p ON p.post_id = c.post_id
-""")
-def orphan_local_ids(f: Forum) -> DataFrame:
-    viewer = J.actors(f.posts).groupBy("session_id").agg(F.min("viewer").alias("viewer"))
-    numbered = J.local_ids(f.posts.filter("post_id % 4 <> 1").join(viewer, "session_id"), "post_id")
-    comments = R.comments_in_sessions(f.comments, f.posts).join(viewer, "session_id")
-    return J.local_comment_ids(comments, numbered).select("comment_id", "session_id", "local_id", "local_post_id")
-
-
-@query("""
-, p AS (SELECT post_id, session_id, viewer, row_number() OVER (PARTITION BY session_id, viewer ORDER BY post_id) AS local_id FROM posts JOIN actors USING (session_id) WHERE post_id % 4 <> 1),
+, p AS (SELECT post_id, session_id, viewer, row_number() OVER (PARTITION BY session_id, viewer ORDER BY post_id) AS local_id FROM posts JOIN actors USING (session_id) WHERE length(content) >= 20),
 c AS (SELECT comment_id, post_id, session_id, viewer, row_number() OVER (PARTITION BY session_id, viewer ORDER BY comment_id) AS local_id FROM placed_comments JOIN actors USING (session_id))
 SELECT session_id, viewer, count(*) AS n, count(*) FILTER (p.local_id IS NULL) AS n_orphans, CAST(sum(CAST(comment_id AS HUGEINT) * (c.local_id + 3 * coalesce(p.local_id, 0))) AS VARCHAR) AS digest FROM c LEFT JOIN p USING (session_id, viewer, post_id) GROUP BY ALL
 """)
-def orphan_local_ids_of_all(f: Forum) -> DataFrame:
-    """Local ids in the views of all actors of each session, as counts and a digest for each view."""
+def orphan_local_ids(f: Forum) -> DataFrame:
+    """Local ids in the views of all actors of each session, short posts left out, as counts and a digest for each view."""
     viewers = J.actors(f.posts)
-    numbered = J.local_ids(f.posts.filter("post_id % 4 <> 1").join(viewers, "session_id"), "post_id")
+    numbered = J.local_ids(f.posts.filter(F.length("content") >= J.LEAST_CHARS).join(viewers, "session_id"), "post_id")
     rows = J.local_comment_ids(R.comments_in_sessions(f.comments, f.posts).join(viewers, "session_id"), numbered)
     number = F.col("comment_id").cast("decimal(20,0)") * (F.col("local_id") + 3 * F.col("local_post_id")).cast("decimal(15,0)")
     return rows.groupBy("session_id", "viewer").agg(F.count("*").alias("n"), F.count_if(F.col("local_post_id") == 0).alias("n_orphans"), F.sum(number).cast("decimal(38,0)").cast("string").alias("digest"))
@@ -680,20 +641,11 @@ def template_pick(f: Forum) -> DataFrame:
     return f.sessions.select("session_id", templates.pick("prompt_intro", title).alias("intro"), templates.pick("section_next", title).alias("next"), templates.pick("you_marker", title, entry).alias("marker"))
 
 
-@query(f"""
-, d AS (SELECT session_id, p_name AS alias, row_number() OVER (PARTITION BY session_id ORDER BY {_md5("'name:' || title || ':' || p_name")}, p_name) AS p FROM sessions, (SELECT DISTINCT p_name FROM part WHERE p_partkey < 40))
-SELECT session_id, CASE WHEN p <= 5 THEN 'Scientist_' || p ELSE 'Judge_' || (p - 5) END AS name, alias FROM d WHERE p <= 8
-""")
-def session_cast(f: Forum) -> DataFrame:
-    names = f.table("part").filter("p_partkey < 40").select(F.col("p_name").alias("alias")).distinct()
-    return S.cast_names(f.sessions, names, "title", actors=5, judges=3)
-
-
 @query(f"""
 , d AS (SELECT session_id, p_name AS alias, row_number() OVER (PARTITION BY session_id ORDER BY {_md5("'name:' || title || ':' || p_name")}, p_name) AS p FROM sessions, (SELECT DISTINCT p_name FROM part))
 SELECT session_id, CASE WHEN p <= 5 THEN 'Scientist_' || p ELSE 'Judge_' || (p - 5) END AS name, alias FROM d WHERE p <= 8
 """)
-def session_cast_whole(f: Forum) -> DataFrame:
+def session_cast(f: Forum) -> DataFrame:
     """The casts of all sessions, drawn from all names."""
     return S.cast_names(f.sessions, f.table("part").select(F.col("p_name").alias("alias")).distinct(), "title", actors=5, judges=3)
 
@@ -816,10 +768,10 @@ def accuracy_rollup(f: Forum) -> DataFrame:
     return C.accuracy_rollup(_records(f), "lang").withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query(_RECORDS + "SELECT lang AS cell, count(*) AS n, round(count(*) FILTER (correct) / greatest(count(*), 1), 6) AS accuracy FROM rec WHERE scored AND lang IN ('en', 'de', 'fr') GROUP BY 1", views=False)
+@query(_RECORDS + "SELECT lang AS cell, count(*) AS n, round(count(*) FILTER (correct) / greatest(count(*), 1), 6) AS accuracy FROM rec WHERE scored GROUP BY 1", views=False)
 def sweep_summary(f: Forum) -> DataFrame:
     scored = _records(f).filter("scored")
-    return C.sweep_summary({x: sinks.report(scored.filter(F.col("lang") == x), "lang").select("n", F.round("accuracy", 6).alias("accuracy")) for x in ("en", "de", "fr")})
+    return C.sweep_summary({x: sinks.report(scored.filter(F.col("lang") == x), "lang").select("n", F.round("accuracy", 6).alias("accuracy")) for x in ("de", "en", "es", "fr")})
 
 
 @query("SELECT DISTINCT ON (p_type) p_type AS title, p_partkey, p_brand AS gold_letter, 'letter' AS mode FROM part ORDER BY p_type, p_partkey DESC", views=False)
@@ -856,19 +808,12 @@ def exit_histogram(f: Forum) -> DataFrame:
     return results.groupBy("exit_reason").agg(F.count("*").alias("n"), F.sum("rounds").alias("rounds"), normal.alias("normal"))
 
 
-@query("SELECT count(*) AS agents, CAST(sum(event_id % 7) AS BIGINT) AS rounds, count(*) FILTER (event_id % 5 < 2) AS normal_exits FROM events", views=False)
-def experiment_totals(f: Forum) -> DataFrame:
-    reason = F.element_at(F.array(*map(F.lit, ("session_end", "max_rounds", "error", "idle", "left"))), (F.col("event_id") % 5 + 1).cast("int"))
-    results = f.table("events").select(reason.alias("exit_reason"), (F.col("event_id") % 7).alias("rounds"))
-    return C.experiment_summary(results).drop("exit_reasons")
-
-
 _COUNTERS = ("rounds", "successful_rounds", "failed_rounds", "llm_calls", "posts_created", "comments_created", "votes_cast", "total_prompt_tokens", "total_completion_tokens", "llm_errors", "api_errors", "no_tool_responses", "fallback_parses")
 
 
 @query("SELECT count(*) AS agents, " + ", ".join(f"CAST(sum((event_id + {k}) % {k + 7}) AS BIGINT) AS {c}" for k, c in enumerate(_COUNTERS)) + """, count(*) FILTER (event_id % 5 < 2) AS normal_exits,
 (SELECT string_agg(r || '=' || n, ';' ORDER BY r) FROM (SELECT coalesce((['session_end', 'max_rounds', 'error', NULL, 'left'])[event_id % 5 + 1], 'unknown') AS r, count(*) AS n FROM events GROUP BY 1)) AS exit_reasons FROM events""", views=False)
-def experiment_totals_whole(f: Forum) -> DataFrame:
+def experiment_totals(f: Forum) -> DataFrame:
     """All counters and the exit reasons of the summary."""
     reason = F.element_at(F.array(*map(F.lit, ("session_end", "max_rounds", "error", None, "left"))), (F.col("event_id") % 5 + 1).cast("int"))
     counters = [((F.col("event_id") + k) % (k + 7)).alias(c) for k, c in enumerate(_COUNTERS)]
@@ -878,14 +823,14 @@ def experiment_totals_whole(f: Forum) -> DataFrame:
 
 @query("""
 , u AS (SELECT user_id, max(ts) AS seen, count(*) AS n FROM events GROUP BY 1), m AS (SELECT max(ts) AS now FROM events)
-SELECT user_id, CASE WHEN user_id % 10 = 0 THEN 'done' WHEN user_id % 10 = 1 THEN 'failed@' || n WHEN user_id % 10 = 2 THEN 'paused' WHEN epoch(now) - epoch(seen) > 86400 THEN 'stale' ELSE 'running' END AS status FROM u, m
+SELECT user_id, CASE WHEN user_id % 10 = 0 THEN 'completed' WHEN user_id % 10 = 1 THEN CASE WHEN user_id % 20 = 1 THEN 'failed@' || n ELSE 'failed' END WHEN user_id % 10 = 2 THEN 'paused' WHEN epoch(now) - epoch(seen) > 86400 THEN 'stale' ELSE 'running' END AS status FROM u, m
 """)
 def status_ladder(f: Forum) -> DataFrame:
     seen = f.table("events").groupBy("user_id").agg(F.max("ts").alias("seen"), F.count("*").alias("n"))
     last = f.table("events").agg(F.max("ts").alias("now"))
     k = F.col("user_id") % 10
     rows = seen.crossJoin(F.broadcast(last))  # one row
-    return rows.select("user_id", C.run_status(k == 0, k == 1, F.col("n"), F.when(k == 2, "paused"), F.col("seen"), F.col("now")).alias("status"))
+    return rows.select("user_id", C.run_status(k == 0, k == 1, F.when(F.col("user_id") % 20 == 1, F.concat("n", F.lit("/500"))), F.when(k == 2, "paused"), F.col("seen"), F.col("now")).alias("status"))
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE 99 END, event_id) AS place FROM events", views=False)
@@ -952,14 +897,20 @@ def turn_suffix_align(f: Forum) -> DataFrame:
     return rows.select("conv_id", F.array_join(K.align_turns(F.col("v"), F.size("v") - 2), ",").alias("kept"))
 
 
-@query("""
-, r AS (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS rest FROM conversations),
-s AS (SELECT *, CASE WHEN max(rest) OVER (PARTITION BY conv_id) <= 1500 THEN min(turn) OVER (PARTITION BY conv_id) ELSE min(CASE WHEN role = 'user' AND rest <= 1500 THEN turn END) OVER (PARTITION BY conv_id) END AS start FROM r)
-SELECT conv_id, count(*) AS n, min(turn) AS first FROM s WHERE turn >= start GROUP BY 1
+_MOST = 400
+
+
+@query(f"""
+, r AS (SELECT *, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS rest, sum(length(text)) OVER (PARTITION BY conv_id) AS total FROM conversations),
+b AS (SELECT *, min(CASE WHEN role = 'user' AND rest <= {_MOST} THEN turn END) OVER (PARTITION BY conv_id) AS start FROM r),
+k AS (SELECT *, CASE WHEN total <= {_MOST} THEN n WHEN start IS NOT NULL THEN CASE WHEN turn >= start THEN n ELSE 0 END ELSE greatest(0, least(n, {_MOST} - (rest - n))) END AS kept FROM b)
+SELECT conv_id, count(*) FILTER (kept > 0 OR turn >= start OR total <= {_MOST}) AS n, min(turn) FILTER (kept > 0 OR turn >= start OR total <= {_MOST}) AS first, CAST(sum(kept) AS BIGINT) AS kept FROM k GROUP BY 1
 """)
 def length_truncate(f: Forum) -> DataFrame:
+    """Conversations cut to their last user turns that fit, or to their last characters where none does."""
     rows = f.table("conversations").withColumn("n_chars", F.length("text"))
-    return K.truncate_messages(rows, "conv_id", "turn", "n_chars", "role", 1500).groupBy("conv_id").agg(F.count("*").alias("n"), F.min("turn").alias("first"))
+    cut = K.truncate_messages(rows, "conv_id", "turn", "n_chars", "role", _MOST)
+    return cut.groupBy("conv_id").agg(F.count("*").alias("n"), F.min("turn").alias("first"), F.sum("kept").alias("kept"))
 
 
 @query("""
@@ -972,9 +923,266 @@ def turn_broadcast(f: Forum) -> DataFrame:
     return rows.select("vec_id", F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.size("segments").cast("long").alias("n"))
 
 
+# ---- tools and messages
+
+
+@query("""
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'vote' WHEN 1 THEN 'submit' WHEN 2 THEN 'wait' END AS name,
+  CASE event_id % 4 WHEN 0 THEN event_id::VARCHAR WHEN 1 THEN '{"id": ' || user_id || '}' END AS post_id,
+  CASE event_id % 4 WHEN 0 THEN (user_id % 5)::VARCHAR WHEN 1 THEN user_id || '</function' END AS value,
+  CASE event_id % 4 WHEN 0 THEN 'on ' || event_type END AS note
+FROM events
+""", views=False)
+def written_tool_calls(f: Forum) -> DataFrame:
+    """The first call of texts: with an arrow, a comma too many, an empty parameter, without closing tags, without a call."""
+    whole = F.concat(F.lit("Well. <tool_call>\n<function=vote>\n<parameter=post_id>"), "event_id", F.lit("</parameter><parameter=value>=> "), F.col("user_id") % 5, F.lit(",,</parameter>\n<parameter=empty> </parameter><parameter=note>\non "), "event_type", F.lit("\n</parameter></function></tool_call><tool_call><function=wait></function></tool_call>"))
+    loose = F.concat(F.lit("<tool_call><function=submit><parameter=post_id={\"id\": "), "user_id", F.lit("}>\n<parameter=value>"), "user_id", F.lit("</function>"))
+    kind = F.col("event_id") % 4
+    said = F.when(kind == 0, whole).when(kind == 1, loose).when(kind == 2, "<tool_call><function=wait></tool_call> <tool_call><function=vote>").otherwise("<function=vote><parameter=a>1</parameter>")
+    calls = text.with_tool_call(f.table("events").select("event_id", said.alias("said")), "said")
+    return calls.select("event_id", "call.name", *(F.try_element_at("call.arguments", F.lit(k)).alias(k) for k in ("post_id", "value", "note")))
+
+
+@query("""
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END AS n, CASE WHEN event_id % 4 < 3 THEN event_id::VARCHAR END AS post_id,
+  CASE WHEN event_id % 4 = 3 THEN 'comment needs post_id: "' || left(event_type || ' on ' || event_id || repeat('.', 100), 80) || '"' END AS error
+FROM events
+""", views=False)
+def comment_arguments(f: Forum) -> DataFrame:
+    """Comments as a list, as one object, as a list in a text, and as a text that is none."""
+    one = F.concat(F.lit('{"post_id": '), "event_id", F.lit(', "content": "'), "event_type", F.lit('"}'))
+    broken = F.concat("event_type", F.lit(" on "), "event_id", F.lit("." * 100))
+    kind = F.col("event_id") % 4
+    listed = F.concat(F.lit("["), one, F.lit("]"))
+    quoted = F.concat(F.lit('"'), F.replace(listed, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    raw = F.when(kind == 0, F.concat(F.lit("["), one, F.lit(","), one, F.lit("]"))).when(kind == 1, one).when(kind == 2, quoted).otherwise(broken)
+    rows = f.table("events").select("event_id", raw.alias("raw"))
+    parsed = text.comment_list(F.col("raw"))
+    return rows.select("event_id", F.size(parsed).alias("n"), F.get(parsed, F.lit(0))["post_id"].alias("post_id"), text.comment_list_error(F.col("raw")).alias("error"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Error: could not parse arguments: ' || left('{"k": ' || event_type || repeat('x', 300), 200) END AS error FROM events""", views=False)
+def tool_arguments(f: Forum) -> DataFrame:
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"k": '), "event_type", F.lit("x" * 300))).when(F.col("event_id") % 3 == 1, F.col("props"))
+    return f.table("events").select("event_id", text.argument_error(raw).alias("error"))
+
+
+@query("""
+WITH m AS (SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND turn % 2 = 0 THEN NULL ELSE text END AS content, text FROM conversations)
+SELECT conv_id, coalesce(arg_max(text, turn) FILTER (role = 'user'), '') AS last_user, count(*) FILTER (content IS NULL) AS n_blank, md5(string_agg(coalesce(content, '-'), '|' ORDER BY turn)) AS digest FROM m GROUP BY 1
+""", views=False)
+def conversation_messages(f: Forum) -> DataFrame:
+    """Conversations as messages: the last user's, and assistants' contents without those that come with tool calls."""
+    calls = F.when((F.col("role") == "assistant") & (F.col("turn") % 2 == 0), F.array(F.lit("vote"))).otherwise(F.array().cast("array<string>"))
+    rows = f.table("conversations").select("conv_id", F.struct("turn", "role", F.col("text").alias("content"), calls.alias("tool_calls")).alias("m"))
+    rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("messages"))
+    bare = K.without_called_content(F.col("messages"))
+    joined = F.array_join(F.transform(bare, lambda m: F.coalesce(m["content"], F.lit("-"))), "|")
+    blank = F.size(F.filter(bare, lambda m: m["content"].isNull())).cast("long")
+    return rows.select("conv_id", K.last_user_message(F.col("messages")).alias("last_user"), blank.alias("n_blank"), F.md5(joined.cast("binary")).alias("digest"))
+
+
+_PAD = "." * 120
+_SAID = ["the score of P_{a} is +{b}", "P_{a} was scored \u2212{b}", "I upvoted it +{b} because", "Anonymous Scientist said no", "a hidden reviewer agrees", "this negative-scoring approach", "the score of P_{a}, I would say", "x = +{b}, and each voter knows P_{a}", "I will vote on this tomorrow"]
+_FOUND = ["L1:{a}:{b}", "L1:{a}:-{b}", "L2::{b}", "L3::", "L3::", "L4::", "L1:{a}:", "", ""]
+
+
+@query(f"""
+WITH t AS (SELECT post_id, post_id % 9 AS i, (post_id + 4) % 9 AS j, post_id % 97 AS a, post_id % 3 + 1 AS b FROM (SELECT o_orderkey AS post_id FROM orders)),
+x AS (SELECT post_id, replace(replace(({[y for y in _FOUND]})[i + 1], '{{a}}', a::VARCHAR), '{{b}}', b::VARCHAR) AS p, replace(replace(({[y for y in _FOUND]})[j + 1], '{{a}}', a::VARCHAR), '{{b}}', b::VARCHAR) AS q FROM t)
+SELECT post_id, array_to_string(list_sort(list_filter([p, q], lambda v: v <> '')), ' ') AS refs FROM x
+""", views=False)
+def detector_layers(f: Forum) -> DataFrame:
+    """References of all four layers in texts put together from sentences whose references are known."""
+    fill = lambda k: F.replace(F.replace(F.element_at(F.array(*map(F.lit, _SAID)), (k + 1).cast("int")), F.lit("{a}"), (F.col("post_id") % 97).cast("string")), F.lit("{b}"), (F.col("post_id") % 3 + 1).cast("string"))
+    said = F.concat(fill(F.col("post_id") % 9), F.lit(_PAD), fill((F.col("post_id") + 4) % 9))
+    rows = text.with_references(f.posts.select("post_id", said.alias("said")), "said")
+    shown = F.transform("refs", lambda r: F.concat_ws(":", r["layer"], F.coalesce(r["target_post_id"].cast("string"), F.lit("")), F.coalesce(r["value"].cast("string"), F.lit(""))))
+    return rows.select("post_id", F.array_join(F.sort_array(shown), " ").alias("refs"))
+
+
+# ---- reads and writes
+
+
+@query("""
+SELECT session_id, title, coalesce(n_posts, 0) AS n_posts, coalesce(n_comments, 0) AS n_comments FROM sessions
+LEFT JOIN (SELECT p.session_id, count(DISTINCT p.post_id) AS n_posts, count(c.comment_id) AS n_comments FROM posts p LEFT JOIN comments c ON c.post_id = p.post_id AND c.user_id % 10 <> 0 WHERE p.user_id % 10 <> 0 GROUP BY 1) USING (session_id)
+""")
+def actor_sessions(f: Forum) -> DataFrame:
+    """Sessions with the posts and nested comments of actors only, every tenth user being a judge; sessions without posts stay."""
+    role = F.when(F.col("user_id") % 10 == 0, "judge").otherwise("actor")
+    rows = R.actor_sessions(f.sessions, f.posts.withColumn("author_role", role), f.comments.withColumn("author_role", role))
+    comments = F.aggregate("posts", F.lit(0).cast("long"), lambda n, p: n + F.size(p["comments"]))
+    return rows.select("session_id", "title", F.size("posts").cast("long").alias("n_posts"), comments.alias("n_comments"))
+
+
+@query("SELECT session_id, string_agg(author, ',' ORDER BY author) AS names FROM (SELECT DISTINCT session_id, author FROM posts WHERE author_role = 'actor') GROUP BY 1")
+def actors_by_name(f: Forum) -> DataFrame:
+    return R.actors_by_name(f.posts).select("session_id", F.array_join("names", ",").alias("names"))
+
+
+@query("SELECT DISTINCT name FROM (SELECT name FROM users UNION ALL SELECT s_name FROM supplier UNION ALL SELECT c_name FROM customer)")
+def cohort_names(f: Forum) -> DataFrame:
+    return R.cohort_names(f.users.select("name"), f.table("supplier").select(F.col("s_name").alias("name")), f.table("customer").select(F.col("c_name").alias("name")))
+
+
+@query("SELECT session_id FROM sessions WHERE session_id % 4 <> 1")
+def open_sessions(f: Forum) -> DataFrame:
+    closings = f.sessions.filter("session_id % 4 = 1")
+    return R.open_sessions(R.session_states(f.sessions.withColumn("status", F.lit("open")), closings)).select("session_id")
+
+
+@query("SELECT post_id, row_number() OVER (PARTITION BY session_id ORDER BY post_id) AS place FROM posts")
+def posts_in_order(f: Forum) -> DataFrame:
+    """Each session's posts as the ordered listing gives them."""
+    listed = R.listed(f.posts, "session_id", "post_id")
+    return listed.select(F.posexplode("ids")).select(F.col("col").alias("post_id"), (F.col("pos") + 1).alias("place"))
+
+
+def _folder(f: Forum, name: str) -> str:
+    return f"{scratch_root(f.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT p_partkey, p_name, p_brand || chr(10) || '\"' || p_type || '\", é' AS quoted, p_size FROM part", views=False)
+def written_tables(f: Forum) -> DataFrame:
+    """Rows written as JSON lines, then as shards, then as CSV with quotes and line feeds, each read back for the next."""
+    rows = f.table("part").select("p_partkey", "p_name", F.concat("p_brand", F.lit('\n"'), "p_type", F.lit('", é')).alias("quoted"), "p_size")
+    path = _folder(f, "lines")
+    sinks.write_json_lines(rows, path, ["p_partkey"])
+    rows = readers.json_lines(f.spark, path, rows.schema)
+    path = _folder(f, "rounds")
+    sinks.write_shards(rows.withColumn("epoch", F.col("p_size") % 2).withColumn("round", F.col("p_partkey") % 3), path)
+    rows = f.spark.read.schema(rows.schema).json(path).select(*rows.columns)
+    path = _folder(f, "csv")
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    back = readers.csv_questions(f.spark, path)
+    return back.select(F.col("p_partkey").cast("long").alias("p_partkey"), "p_name", "quoted", F.col("p_size").cast("int").alias("p_size"))
+
+
+@query("SELECT kind, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM (SELECT 'user' AS kind, user_id AS id FROM users UNION ALL SELECT 'session', session_id FROM sessions UNION ALL SELECT 'post', post_id FROM posts UNION ALL SELECT 'comment', comment_id FROM comments UNION ALL SELECT 'log', event_id FROM events) GROUP BY 1")
+def appended_tables(f: Forum) -> DataFrame:
+    """Users, sessions, posts, comments and a request log created by appends, each in two parts, and read back."""
+    out = None
+    given = {"user": (sinks.create_users, f.users, "user_id"), "session": (sinks.create_sessions, f.sessions, "session_id"), "post": (sinks.create_posts, f.posts, "post_id"), "comment": (sinks.create_comments, f.comments, "comment_id"), "log": (sinks.log_requests, f.table("events"), "event_id")}
+    for kind, (create, rows, key) in given.items():
+        path = _folder(f, kind)
+        for part in (0, 1):
+            create(rows.filter(F.col(key) % 2 == part), path)
+        one = f.spark.read.parquet(path).select(F.lit(kind).alias("kind"), F.col(key).alias("id"))
+        out = one if out is None else out.union(one)
+    return out.groupBy("kind").agg(F.count("*").alias("n"), F.sum("id").alias("ids"))
+
+
+@query("SELECT n_regionkey AS pool, n_name AS problem FROM nation", views=False)
+def pooled_questions(f: Forum) -> DataFrame:
+    """Question files, one for each region, read one after the other."""
+    paths = []
+    regions = sorted(r[0] for r in f.table("region").select("r_regionkey").collect())  # a fixed handful
+    for k in regions:
+        paths.append(_folder(f, "pool"))
+        listed = f.table("nation").filter(F.col("n_regionkey") == k).agg(F.to_json(F.collect_list(F.struct(F.col("n_name").alias("problem")))))
+        listed.coalesce(1).write.text(paths[-1])
+    return readers.question_pool(f.spark, paths, "problem string").select("pool", "problem")
+
+
+@query("SELECT n_name AS run, n_regionkey AS iteration, 'step ' || n_nationkey AS reason FROM nation", views=False)
+def written_notes(f: Forum) -> DataFrame:
+    """Run notes as `key: value` texts, one file for each nation; a key's last line wins, and its value may hold a colon."""
+    path = _folder(f, "notes")
+    note = F.concat(F.lit("run: "), "n_name", F.lit("\nfailed_iter: 99\nfailed_iter : "), "n_regionkey", F.lit("\nno colon here\nreason: step "), "n_nationkey", F.lit("\ntime: 10:30"))
+    f.table("nation").select("n_nationkey", note.alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    found = readers.key_values(f.spark, f"{path}/*/*.txt")
+    wide = found.groupBy("path").pivot("key", ["run", "failed_iter", "reason"]).agg(F.first("value"))
+    return wide.select("run", F.col("failed_iter").cast("int").alias("iteration"), "reason")
+
+
+@query("SELECT n_name AS run, CASE WHEN n_regionkey < 4 THEN n_nationkey END AS iters, CASE WHEN n_regionkey > 0 THEN n_regionkey END AS completed FROM nation", views=False)
+def listed_runs(f: Forum) -> DataFrame:
+    """Run folders with a manifest, a state or both, one for each nation."""
+    path = _folder(f, "runs")
+    files = f.table("nation").select("n_name", F.lit("manifest.json").alias("file"), F.when(F.col("n_regionkey") < 4, F.to_json(F.struct(F.col("n_nationkey").alias("n")))).alias("text"))
+    files = files.union(f.table("nation").select("n_name", F.lit("state.json"), F.when(F.col("n_regionkey") > 0, F.to_json(F.struct(F.col("n_regionkey").alias("n"))))))
+    sinks.write_run_files(files.filter("text is not null").select(F.concat_ws("/", "n_name", "file").alias("path"), "text"), path)
+    runs = readers.run_folders(f.spark, path)
+    number = lambda c: F.get_json_object(c, "$.n").cast("int")
+    return runs.select("run", number("manifest").alias("iters"), number("state").alias("completed"))
+
+
+@query("SELECT p_brand AS brand, max_by('run_' || p_partkey, p_size * 100000 + p_partkey) AS newest, CAST(max(p_partkey) AS INT) AS step FROM part GROUP BY 1", views=False)
+def newest_runs(f: Forum) -> DataFrame:
+    """Of each brand the newest run folder and the highest step, as directory listings give them."""
+    out = None
+    for brand in sorted(r[0] for r in f.table("part").select("p_brand").distinct().collect()):  # a fixed handful
+        entries = f.table("part").filter(F.col("p_brand") == brand).select(F.concat(F.lit("/x/run_"), "p_partkey").alias("path"), (F.col("p_size") * 100_000 + F.col("p_partkey")).alias("modified"), F.concat(F.lit("/x/step_"), "p_partkey").alias("step_path"))
+        newest = readers.newest_by_prefix(entries, "run_").select(F.substring_index("path", "/", -1).alias("newest"))
+        one = newest.crossJoin(readers.latest_step(entries.select(F.col("step_path").alias("path"))))  # one row each
+        one = one.select(F.lit(brand).alias("brand"), "newest", "step")
+        out = one if out is None else out.union(one)
+    return out
+
+
 # ---- streams
 
 
+def _live(f: Forum) -> Forum:
+    """The same tables as streams."""
+    return Forum(f.spark, f.folder, streaming=True)
+
+
+def _streamed(f: Forum, stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What the stream yields, run as a streaming query over all that is there."""
+    return streaming.replay(stream, scratch_root(f.spark), mode)
+
+
+def _event_votes(f: Forum) -> DataFrame:
+    """Events as votes: users vote on three posts again and again."""
+    value = F.when(F.col("event_type") == "error", -1).otherwise(1)
+    return f.table("events").select(F.col("user_id").alias("voter"), F.lit("post").alias("target_type"), (F.col("event_id") % 3).alias("target_id"), value.alias("value"), F.col("event_id").alias("vote_id"))
+
+
+_EVENT_VOTES = "SELECT user_id AS voter, 'post' AS target_type, event_id % 3 AS target_id, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS value, event_id AS vote_id FROM events"
+
+
+@query(f"SELECT voter, target_type, target_id, value, lag(value) OVER (PARTITION BY voter, target_type, target_id ORDER BY vote_id) AS previous_value, vote_id FROM ({_EVENT_VOTES})", views=False)
+def stream_fold_votes(f: Forum) -> DataFrame:
+    """Each vote with the one that it replaces, from state by voter and target."""
+    return _streamed(f, streaming.fold_votes(_event_votes(_live(f))))
+
+
+@query("SELECT event_id % 10 AS session_id, event_type AS kind, user_id AS item_id, row_number() OVER (PARTITION BY event_id % 10, event_type ORDER BY min(event_id)) AS local_id FROM events GROUP BY 1, 2, 3", views=False)
+def stream_assign_ids(f: Forum) -> DataFrame:
+    """Ids from 1 in the order in which a session's items are first seen."""
+    items = _live(f).table("events").select((F.col("event_id") % 10).alias("session_id"), F.col("event_type").alias("kind"), F.col("user_id").alias("item_id"), F.col("event_id").alias("seq"))
+    return _streamed(f, streaming.assign_ids(items))
+
+
+@query(f"""
+WITH v AS ({_EVENT_VOTES}), l AS (SELECT target_id, arg_max(value, vote_id) AS value FROM v GROUP BY voter, target_id), t AS (SELECT target_id, CAST(sum(value) AS BIGINT) AS score FROM l GROUP BY 1)
+SELECT 'vote' AS kind, vote_id AS item_id, target_id, score FROM v JOIN t USING (target_id) UNION ALL SELECT 'post', o_orderkey, NULL, NULL FROM orders
+""", views=False)
+def stream_deliveries(f: Forum) -> DataFrame:
+    """Posts as they come, and with them the votes so far, each with its target's total."""
+    live = _live(f)
+    posts = live.table("orders").select(F.lit("post").alias("kind"), F.col("o_orderkey").alias("item_id"))
+    items = posts.unionByName(_event_votes(live).withColumn("kind", F.lit("vote")).withColumnRenamed("vote_id", "item_id"), allowMissingColumns=True)
+    path = f"{scratch_root(f.spark)}/deliveries-{uuid.uuid4().hex}"
+    streaming.deliver(items, path, f"{path}-state").awaitTermination()
+    return f.spark.read.option("mergeSchema", True).parquet(f"{path}/delivered").select("kind", "item_id", "target_id", "score")
+
+
+@query("""
+WITH b AS (SELECT user_id, CAST(ts AS DATE) AS round, event_id, event_type, max(CASE WHEN event_id % 501 = 500 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS ended FROM events)
+SELECT user_id, round, count(*) AS batches, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) FILTER (event_type <> 'error') AS items FROM b WHERE ended = 0 GROUP BY ALL
+HAVING count(*) FILTER (event_type <> 'error') > 0 OR count(*) = 1
+""", views=False)
+def drained_rounds(f: Forum) -> DataFrame:
+    """A user's events of a day as the batches of one round, errors as nudges, up to an end marker."""
+    error = F.col("event_type") == "error"
+    batches = f.table("events").select("user_id", F.to_date("ts").alias("round"), F.col("event_id").alias("batch"), F.when(~error, F.array("event_id")).alias("items"), F.when(error, F.lit("continue")).alias("nudge"), (F.col("event_id") % 501 == 500).alias("last"))
+    out = streaming.drained_rounds(batches, "user_id", "round", "batch")
+    return out.select("user_id", "round", "batches", F.nullif(F.array_join("items", ","), F.lit("")).alias("items"))
+
+
 @query("SELECT target_type, target_id, score FROM scores")
 def stream_replay_scores(f: Forum) -> DataFrame:
     """The fold over a stream of votes, its state being the last vote of each voter and target; the result is the batch fold's."""
@@ -988,12 +1196,12 @@ n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED
 SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 1 HOUR AS ended, count(*) AS n_events FROM n GROUP BY user_id, s
 """)
 def stream_idle_sessions(f: Forum) -> DataFrame:
-    return streaming.idle_sessions(f.table("events"))
+    return _streamed(f, streaming.idle_sessions(_live(f).table("events")), "complete")
 
 
 @query("SELECT date_trunc('day', ts) AS started, date_trunc('day', ts) + INTERVAL 1 DAY AS ended, event_type, count(*) AS n_events, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL", views=False)
 def event_tumbling(f: Forum) -> DataFrame:
-    return streaming.event_windows(f.table("events"))
+    return _streamed(f, streaming.event_windows(_live(f).table("events")), "complete")
 
 
 @query("""
@@ -1001,13 +1209,13 @@ SELECT time_bucket(INTERVAL 1 DAY, ts) + to_hours(CAST(k * 12 AS INT)) AS starte
 FROM events, (SELECT unnest([-1, 0, 1]) AS k) WHERE ts >= time_bucket(INTERVAL 1 DAY, ts) + to_hours(CAST(k * 12 AS INT)) AND ts < time_bucket(INTERVAL 1 DAY, ts) + to_hours(CAST(k * 12 + 24 AS INT)) GROUP BY ALL
 """, views=False)
 def event_sliding(f: Forum) -> DataFrame:
-    return streaming.event_windows(f.table("events"), "1 day", "12 hours")
+    return _streamed(f, streaming.event_windows(_live(f).table("events"), "1 day", "12 hours"), "complete")
 
 
 @query("SELECT event_type AS kind, user_id AS item_id FROM events GROUP BY ALL", views=False)
 def stream_without_repeats(f: Forum) -> DataFrame:
-    rows = f.table("events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("item_id"), "ts")
-    return streaming.without_repeats(rows).select("kind", "item_id")
+    rows = _live(f).table("events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("item_id"), "ts")
+    return _streamed(f, streaming.without_repeats(rows).select("kind", "item_id"))
 
 
 @query("SELECT event_type, user_id, count(*) AS n_events FROM events GROUP BY ALL", views=False)

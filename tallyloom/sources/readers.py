@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import strip
+
 #: One training sample of a participant; all turn_ arrays have one entry for each assistant message.
 TRAJECTORY = T.StructType(
     [
@@ -66,11 +68,6 @@ def question_sessions(pool: DataFrame, limit: int = 0) -> DataFrame:
     return out.filter(F.col("title").isNotNull())
 
 
-def strip(c):
-    """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
-
-
 def choice_rows(pool: DataFrame, pattern: str = r"(?i)\\boxed\{\s*([A-D])\s*\}") -> DataFrame:
     """Questions with a gold letter: that of the row, else the one that the pattern finds in its answer; others go."""
     found = F.nullif(F.upper(F.regexp_extract(F.coalesce("answer", F.lit("")), pattern, 1)), F.lit(""))

@@ -18,10 +18,42 @@ def write_shards(schedule: DataFrame, path: str) -> None:
 
 
 def append(rows: DataFrame, path: str) -> None:
-    """Rows added to an append-only table: users, sessions, posts, comments, votes or request logs."""
+    """Rows added to an append-only table."""
     rows.write.mode("append").parquet(path)
 
 
+def _creator(*needed: str):
+    """A writer of new rows; rows without one of the needed columns' values are refused as a whole."""
+
+    def create(rows: DataFrame, path: str) -> None:
+        lacking = [c for c in needed if c not in rows.columns]
+        if lacking:
+            raise ValueError(f"columns are lacking: {', '.join(lacking)}")
+        whole = rows
+        for c in needed:
+            whole = whole.withColumn(c, F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.raise_error(F.lit(f"{c} is null"))))
+        append(whole, path)
+
+    return create
+
+
+create_users = _creator("user_id", "name", "role")
+create_sessions = _creator("session_id", "title")
+create_posts = _creator("post_id", "session_id", "user_id", "content")
+create_comments = _creator("comment_id", "post_id", "user_id", "content")
+log_requests = _creator()
+
+
+def write_run_files(files: DataFrame, folder: str) -> None:
+    """The small text files (path below folder, text) of run folders, written by the driver one at a time; a file that is there is replaced."""
+    spark = files.sparkSession
+    for r in files.toLocalIterator():
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{r.path}")
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+        out.write(bytearray(r.text.encode()))
+        out.close()
+
+
 def failed_requests(log: DataFrame) -> DataFrame:
     """The log rows worth keeping of a request log: errors on session paths, /me or /users."""
     endpoint = F.col("endpoint")

@@ -6,11 +6,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.votes import current_values, scores
 from ..shipping import ship
+from ..sources.scratch import delete
 
 
 def parquet_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -103,50 +104,85 @@ def assign_ids(items: DataFrame) -> DataFrame:
     return grouped.applyInPandasWithState(number, "session_id long, kind string, item_id long, local_id long", "ids array<long>, numbers array<long>", "append", "NoTimeout")
 
 
+def _watermarked(events: DataFrame, time: str, late: str) -> DataFrame:
+    """A stream with its watermark, which takes times with a zone only: those without one are read in the session's, UTC."""
+    if not events.isStreaming:
+        return events
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def idle_sessions(events: DataFrame, gap: str = "1 hour", late: str = "1 hour", key: str = "user_id", time: str = "ts") -> DataFrame:
-    """Sessions of activity: they end when nothing has come for the gap. Batch or stream; a stream needs the watermark."""
-    source = events.withWatermark(time, late) if events.isStreaming else events
-    grouped = source.groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n_events"))
-    return grouped.select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n_events")
+    """Sessions of activity: they end when nothing has come for the gap. Batch or stream; a stream has a watermark."""
+    kind = events.schema[time].dataType
+    grouped = _watermarked(events, time, late).groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n_events"))
+    return grouped.select(key, F.col("w.start").cast(kind).alias("started"), F.col("w.end").cast(kind).alias("ended"), "n_events")
 
 
 def event_windows(events: DataFrame, length: str = "1 day", slide: str | None = None, late: str = "1 hour", time: str = "ts") -> DataFrame:
     """Tumbling or sliding windows: events and their mean value for each type. Batch or stream."""
-    source = events.withWatermark(time, late) if events.isStreaming else events
+    kind = events.schema[time].dataType
     window = F.window(time, length, slide) if slide else F.window(time, length)
-    grouped = source.groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n_events"), F.round(F.avg("value"), 6).alias("mean_value"))
-    return grouped.select(F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "event_type", "n_events", "mean_value")
+    grouped = _watermarked(events, time, late).groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n_events"), F.round(F.avg("value"), 6).alias("mean_value"))
+    return grouped.select(F.col("w.start").cast(kind).alias("started"), F.col("w.end").cast(kind).alias("ended"), "event_type", "n_events", "mean_value")
 
 
 def without_repeats(items: DataFrame, late: str = "1 hour", time: str = "ts", keys: tuple[str, ...] = ("kind", "item_id")) -> DataFrame:
     """Each item once, as long as its repeats come within the watermark."""
     if items.isStreaming:
-        return items.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
+        return _watermarked(items, time, late).dropDuplicatesWithinWatermark(list(keys))
     return items.dropDuplicates(list(keys))
 
 
+def drained(batches: list[list | str | None]) -> tuple[list | str | None, list[list | str | None]]:
+    """(one round's input, what stays in the queue) of the batches that wait for a participant: all up to an end marker (None), which
+    stays, in one list. A nudge (a text) alone is the input itself; among batches it goes. A marker first ends the rounds."""
+    first, rest = batches[0], batches[1:]
+    if first is None or isinstance(first, str) and not rest:
+        return first, rest
+    stop = rest.index(None) if None in rest else len(rest)
+    items = [x for batch in [first, *rest[:stop]] if isinstance(batch, list) for x in batch]
+    return items or None, rest[stop:]
+
+
+def drained_rounds(batches: DataFrame, queue: str, round_: str, order: str) -> DataFrame:
+    """(queue, round, batches, items) of batches (queue, round, order, items array, nudge, last): all that came for a round as one list, as
+    drained() has it. An end marker (last) and what follows it count in no round of the queue; a round of nudges has no items and stays only if there is one."""
+    upto = Window.partitionBy(queue).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    live = batches.withColumn("_ended", F.max(F.col("last").cast("int")).over(upto)).filter("_ended = 0")
+    kind = batches.schema["items"].dataType
+    listed = F.sort_array(F.collect_list(F.struct(order, F.coalesce("items", F.array().cast(kind)).alias("items"))))
+    out = live.groupBy(queue, round_).agg(F.count("*").alias("batches"), F.flatten(F.transform(listed, lambda x: x["items"])).alias("items"))
+    return out.filter((F.size("items") > 0) | (F.col("batches") == 1))
+
+
 def deliver(items: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None, **trigger):
     """Start a query that appends each micro-batch of posts and comments to path and hands it on.
 
     Votes alone never make a delivery: they wait in a table beside path until a post or comment comes, and then ride
-    along. The target score of each vote is its total at that time, over all votes so far, as a re-vote replaces the
-    vote before. Batches are written under their number, so that a batch that runs again overwrites itself.
+    along. The target score of each vote is its total at that time, as a re-vote replaces the vote before. The current votes are
+    kept as a table of their own, one row for each voter and target, written anew with each delivery; earlier ones go, so no
+    batch reads the votes cast before. Batches are written under their number, so that a batch that runs again overwrites itself.
     """
     spark = items.sparkSession
+    cast = ["voter", "target_type", "target_id", "value", "vote_id"]
 
     def batch(df: DataFrame, number: int) -> None:
         df = df.persist()
         df.filter("kind = 'vote'").write.mode("overwrite").parquet(f"{path}/votes/batch={number}")
         news = df.filter("kind <> 'vote'")
         if news.limit(1).count():
-            votes = spark.read.parquet(f"{path}/votes").filter(F.col("batch") <= number)
-            sent = spark.read.parquet(f"{path}/sent").select("upto").filter(F.col("upto") < number) if number and _exists(spark, f"{path}/sent") else None
-            after = sent.agg(F.coalesce(F.max("upto"), F.lit(-1)).alias("upto")) if sent is not None else spark.range(1).select(F.lit(-1).alias("upto"))
-            totals = scores(current_values(votes.select("voter", "target_type", "target_id", "value", F.col("item_id").alias("vote_id"))))
-            riding = votes.crossJoin(F.broadcast(after)).filter("batch > upto").drop("batch", "upto").join(totals, ["target_type", "target_id"])
-            out = news.unionByName(riding, allowMissingColumns=True)
+            before = [n for n in _numbers(spark, f"{path}/current") if n < number]
+            upto = max(before, default=-1)
+            waiting = spark.read.parquet(f"{path}/votes").filter((F.col("batch") <= number) & (F.col("batch") > upto)).drop("batch")
+            now = waiting.withColumn("vote_id", F.col("item_id")).select(*cast)
+            if before:
+                now = now.unionByName(spark.read.parquet(f"{path}/current/batch={upto}"))
+            current_values(now, "vote_id").select(*cast).write.mode("overwrite").parquet(f"{path}/current/batch={number}")
+            totals = scores(spark.read.parquet(f"{path}/current/batch={number}"))
+            out = news.unionByName(waiting.join(totals, ["target_type", "target_id"]), allowMissingColumns=True)
             out.write.mode("overwrite").parquet(f"{path}/delivered/batch={number}")
-            spark.range(1).select(F.lit(number).alias("upto")).write.mode("overwrite").parquet(f"{path}/sent/batch={number}")
+            for old in before[:-1]:  # the last one stays, as this batch may run again
+                delete(spark, f"{path}/current/batch={old}")
             if each:
                 each(spark.read.parquet(f"{path}/delivered/batch={number}"), number)
         df.unpersist()
@@ -154,6 +190,12 @@ def deliver(items: DataFrame, path: str, checkpoint: str, each: Callable[[DataFr
     return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the batches written below path, ascending."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        return []
+    found = [x.getPath() for x in files.listStatus(target)]
+    done = [p.getName() for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(n.removeprefix("batch=")) for n in done if n.startswith("batch="))

@@ -77,9 +77,25 @@ def test_vote_arguments(spark, given, n):
 
 
 def test_tool_calls(spark):
-    raw = '<tool_call><function=vote><parameter=votes>[{"a":1},]</parameter><parameter=why>just so</parameter></function></tool_call> x <tool_call><function=wait></function></tool_call>'
-    got = text.with_tool_calls(spark.createDataFrame([(raw,), (None,)], "x string"), "x").collect()
-    assert [(c.name, dict(c.arguments)) for c in got[0].calls][1] == ("wait", {}) and got[0].calls[0].arguments["why"] == "just so" and got[1].calls == []
+    raw = '<tool_call><function=vote><parameter=votes>[{"a":1}],</parameter><parameter=why>just so</parameter></function></tool_call> x <tool_call><function=wait></function></tool_call>'
+    rows = [raw, None, "", "<function=vote>", "<tool_call>nothing", "<tool_call><function=vote><parameter=value>2</function>", "<tool_call><function=vote><parameter=a=> 3 ><parameter=b></parameter><parameter=c>{x</parameter>", "<tool_call><function=leave></tool_call>"]
+    got = [r.call for r in text.with_tool_call(spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "k int, x string"), "x").orderBy("k").collect()]
+    assert got[0].name == "vote" and dict(got[0].arguments) == {"votes": '[{"a": 1}]', "why": "just so"}
+    assert got[1:5] == [None] * 4 and dict(got[5].arguments) == {"value": "2</function"}
+    assert dict(got[6].arguments) == {"a": "3", "c": "{x"}
+    assert got[7].name == "leave" and dict(got[7].arguments) == {}
+
+
+def test_names_of_participants_only(spark):
+    names = F.create_map(F.lit("Scientist_1"), F.lit("Ada"), F.lit("Judge_1"), F.lit("Bo"))
+    df = spark.createDataFrame([("Scientist_1 and Judge_1 met Scientist_12, xScientist_1\nScientist_1",)], "x string")
+    assert df.select(text.substitute_names(F.col("x"), names)).first()[0] == "Ada and Judge_1 met Scientist_12, xScientist_1\nAda"
+
+
+def test_draining_a_queue():
+    assert ST.drained([[1], [2, 3], "go", [4]]) == ([1, 2, 3, 4], [])
+    assert ST.drained(["go"]) == ("go", []) and ST.drained(["go", [1]]) == ([1], []) and ST.drained([None, [1]]) == (None, [[1]])
+    assert ST.drained([[1], None, [2]]) == ([1], [None, [2]]) and ST.drained(["go", "go"]) == (None, []) and ST.drained(["go", None]) == (None, [None])
 
 
 def test_template_draws(spark):
@@ -164,7 +180,7 @@ def test_summary_and_status(spark):
     rows = [(True, True, 1, None, "2024-01-01"), (False, True, 4, "x", "2024-01-01"), (False, False, None, "paused", "2024-01-01"), (False, False, None, "", "2024-01-01"), (False, False, None, None, "2024-01-02")]
     s = spark.createDataFrame(rows, "d boolean, f boolean, i int, e string, t string")
     status = C.run_status(F.col("d"), F.col("f"), F.col("i"), F.col("e"), F.to_timestamp("t"), F.to_timestamp(F.lit("2024-01-02 12:00:00")))
-    assert [r[0] for r in s.select(status).collect()] == ["done", "failed@4", "paused", "stale", "running"]
+    assert [r[0] for r in s.select(status).collect()] == ["completed", "failed@4", "paused", "stale", "running"]
     assert C.surplus(spark.createDataFrame([(1, k) for k in range(5)], "g int, k int"), "g", "k", 2).count() == 3
 
 
@@ -201,7 +217,9 @@ def test_losses(spark):
 def test_truncating_messages(spark):
     turns = spark.createDataFrame([(1, 0, "user", 10), (1, 1, "assistant", 10), (1, 2, "user", 5), (1, 3, "assistant", 5), (2, 0, "user", 3), (3, 0, "user", 50)], "s int, t int, role string, n int")
     got = lambda most: sorted((r.s, r.t) for r in K.truncate_messages(turns, "s", "t", "n", "role", most).collect())
-    assert got(30) == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0)] and got(12) == [(1, 2), (1, 3), (2, 0)]
+    assert got(30) == [(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (3, 0)] and got(12) == [(1, 2), (1, 3), (2, 0), (3, 0)]
+    kept = lambda most: {(r.s, r.t): r.kept for r in K.truncate_messages(turns, "s", "t", "n", "role", most).collect()}
+    assert kept(12)[3, 0] == 12 and kept(4) == {(1, 3): 4, (2, 0): 3, (3, 0): 4} and kept(7) == {(1, 2): 2, (1, 3): 5, (2, 0): 3, (3, 0): 7}
 
 
 def test_readers(spark, tmp_path):
