@@ -1,6 +1,7 @@
 """A corpus pipeline of the llm operators: language, toxicity, repeated lines, near-duplicates, packing.
 
-run() writes each stage's documents to the shared checkpoint folder and reads them again as the next one's input.
+run() writes each stage's documents to the shared checkpoint folder and reads them again as the next one's input; a stage's own
+intermediate tables, and the documents before it, are deleted as soon as its documents are written.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import language_id, line_dedup, packing, simhash, toxicity
 from tallyloom.llm.queries import held_out
-from tallyloom.llm.scratch import materialize
+from tallyloom.llm.scratch import discard, materialize, temporary
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +59,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before = docs
+        with temporary():
+            docs = materialize(stage(spark, before, sf_dir), name, keep=True)
+        discard(before)
     return docs
