@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import pandas as pd
@@ -127,10 +128,12 @@ def not_code(answer: Column) -> Column:
 
 # The patterns that the layers look for.
 _KEYWORD = re.compile(r"\b(?:scor(?:e|es|ed|ing)|(?:up|down)?vot(?:e|es|ed|ing))\b", re.I)
-_SIGNED = re.compile(r"(?<![\w.])([+\-−])\s*([1-3])\b")
-_POST = re.compile(r"\bP_(\d+)\b")
 _VOTER = re.compile(r"\b(?:anonymous\s+(?:scientist|reviewer|senior|contributor|evaluator|voter|vote)|senior\s+reviewer|senior\s*\(\s*anonymous\s*\)|hidden\s+reviewer|unnamed\s+senior|an?\s+anonymous\s+senior)\b", re.I)
 _QUALIFIER = re.compile(r"\b(?:(?:high|low|negative|positive)[\-\s]?scoring|top[\-\s]?scor(?:ed|ing))\b", re.I)
+# Posts and signed values without what must stand around them, which depends on the window.
+_POST = re.compile(r"P_(\d+)")
+_SIGNED = re.compile(r"([+\-−])\s*([1-3])")
+_WORD, _WORD_OR_POINT = re.compile(r"\w"), re.compile(r"[\w.]")
 
 REFERENCES = T.ArrayType(
     T.StructType(
@@ -155,41 +158,57 @@ class Lexicon:
     layers: tuple[str, ...] = ("L1", "L2", "L3", "L4")
 
 
+class _Marks:
+    """The places of one kind of mark in a text, found once. In a window a mark stands free on either side if the window ends there or
+    no character of a word is next to it; one that the window's end cuts counts as far as it lies inside."""
+
+    def __init__(self, text: str, pattern: re.Pattern, before: re.Pattern, least: int):
+        self._text, self._before, self._least = text, before, least
+        self._found = list(pattern.finditer(text))
+        self._starts = [m.start() for m in self._found]
+
+    def within(self, low: int, high: int):
+        """(match, end) of the marks in the window, in order."""
+        low, high = max(0, low), min(high, len(self._text))
+        for m in self._found[bisect_left(self._starts, low) : bisect_left(self._starts, high)]:
+            end = min(m.end(), high)
+            free = m.start() == low or not self._before.match(self._text, m.start() - 1)
+            if free and end >= m.start(2 if m.re is _SIGNED else 1) + self._least and (end == high or not _WORD.match(self._text, end)):
+                yield m, end
+
+
 def vote_references(text: str | None, lexicon: Lexicon = Lexicon()) -> list[tuple]:
-    """References to votes in a text, layer by layer, as (layer, lo, hi, snippet, target_post_id, value)."""
+    """References to votes in a text, layer by layer, as (layer, lo, hi, snippet, target_post_id, value).
+
+    Keywords, posts and signed values are located once and then paired by distance. L1: a keyword with a post within `near` after it, else the last
+    one before it; the value is the first in reach on either side. L2: a keyword without a post, with a value within 30 after
+    it. L3: an unnamed voter. L4: a qualifier, with the first post within 50 after or 20 before it, if any.
+    """
     if not text:
         return []
-    words = list(re.finditer(lexicon.keyword, text, re.I))
-
-    def signed(part: str):
-        m = _SIGNED.search(part)
-        return (int(m[2]) if m[1] == "+" else -int(m[2]), m.end()) if m else None
-
-    def ref(layer, lo, hi, target=None, value=None):
-        around = text[max(0, lo - 20) : hi + 20].replace("\n", " ").strip()
-        return (layer, lo, hi, around, target, value)
-
-    out, taken = [], set()
-    if "L1" in lexicon.layers:
-        for m in words:
-            right = _POST.search(text[m.end() : m.end() + lexicon.near])
-            left = None if right else _POST.findall(text[max(0, m.start() - lexicon.near) : m.start()])
-            if not right and not left:
-                continue
-            value = signed(text[max(0, m.start() - lexicon.near) : m.end() + lexicon.near])
-            out.append(ref("L1", m.start(), m.end(), int(right[1] if right else left[-1]), value and value[0]))
-            taken.add(m.span())
-    if "L2" in lexicon.layers:
-        for m in words:
-            if m.span() not in taken and (value := signed(text[m.end() : m.end() + 30])):
-                out.append(ref("L2", m.start(), m.end() + value[1], None, value[0]))
-    if "L3" in lexicon.layers:
-        out += [ref("L3", *m.span()) for m in _VOTER.finditer(text)]
-    if "L4" in lexicon.layers:
-        for m in _QUALIFIER.finditer(text):
-            target = _POST.search(text[m.end() : m.end() + 50]) or _POST.search(text[max(0, m.start() - 20) : m.start()])
-            out.append(ref("L4", *m.span(), int(target[1]) if target else None))
-    return out
+    posts, signs = _Marks(text, _POST, _WORD, 1), _Marks(text, _SIGNED, _WORD_OR_POINT, 1)
+    number = lambda hit: hit and int(text[hit[0].start(1) : hit[1]])
+    value = lambda hit: hit and (1 if hit[0][1] == "+" else -1) * int(hit[0][2])
+    first = lambda marks, low, high: next(marks.within(low, high), None)
+    out: dict[str, list[tuple]] = {x: [] for x in ("L1", "L2", "L3", "L4")}
+
+    def add(layer, low, high, target=None, worth=None):
+        around = text[max(0, low - 20) : high + 20].replace("\n", " ").strip()
+        out[layer].append((layer, low, high, around, target, worth))
+
+    for m in re.finditer(lexicon.keyword, text, re.I):
+        low, high = m.span()
+        post = first(posts, high, high + lexicon.near) or next(reversed(list(posts.within(low - lexicon.near, low))), None)
+        if post and "L1" in lexicon.layers:
+            add("L1", low, high, number(post), value(first(signs, low - lexicon.near, high + lexicon.near)))
+        elif sign := first(signs, high, high + 30):
+            add("L2", low, sign[1], None, value(sign))
+    for m in _VOTER.finditer(text):
+        add("L3", *m.span())
+    for m in _QUALIFIER.finditer(text):
+        low, high = m.span()
+        add("L4", low, high, number(first(posts, high, high + 50) or first(posts, low - 20, low)))
+    return [r for layer, found in out.items() if layer in lexicon.layers for r in found]
 
 
 def with_references(rows: DataFrame, text_col: str, lexicon: Lexicon = Lexicon(), out_col: str = "refs") -> DataFrame:
