@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,8 @@ def compare_in_buckets(rows: DataFrame, key: str, member: str | list[str], compa
         dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         dealt = dealt.withColumn("_a", F.least("_own", "_other")).withColumn("_b", F.greatest("_own", "_other"))
         dealt = dealt.withColumn("_own", F.expr("if(_a = _b, -1, _own)")).drop("_n", "_blocks", "_other")
-    dealt = dealt.repartition(key, "_a", "_b").sortWithinPartitions(key, "_a", "_b")
+    # in the order of members too, so that a component's least row is the same member in most of its buckets, and links repeat
+    dealt = dealt.repartition(key, "_a", "_b").sortWithinPartitions(key, "_a", "_b", *([member] if isinstance(member, str) else member))
 
     def run(batches):
         held = None
@@ -109,6 +111,31 @@ def close_prints(keys: DataFrame, most_bits: int, block: int = 2048, sizes: Data
     return compare_in_buckets(keys, "key", ["w0", "w1"], compare, "a0 long, a1 long, b0 long, b1 long", block, sizes)
 
 
+def thinned(links: DataFrame, portion: int = 500_000) -> DataFrame:
+    """(a, b): links with the same components as links (a, b) of any orderable type. Each task takes about `portion` of them and gives a star for
+    each of their components, so that what a group's buckets have found again and again is gone before any join."""
+    tasks = max(1, -(-links.count() // portion))
+    kind = links.schema["a"].dataType.simpleString()
+
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        both = pa.chunked_array([*table.column("a").chunks, *table.column("b").chunks]).combine_chunks().dictionary_encode()
+        both = both.combine_chunks() if isinstance(both, pa.ChunkedArray) else both
+        order = pc.sort_indices(both.dictionary).to_numpy()
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        place = rank[both.indices.to_numpy()]
+        named = both.dictionary.take(pa.array(order))
+        a, b = star_links(place[: table.num_rows], place[table.num_rows :])
+        yield pa.RecordBatch.from_arrays([named.take(pa.array(a)), named.take(pa.array(b))], names=["a", "b"])
+
+    kept = links.select("a", "b").filter("a is not null and b is not null and a <> b")
+    return map_arrow(kept.coalesce(tasks), run, f"a {kind}, b {kind}")
+
+
 def star_links(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The links i-j as a star for each of their components: every other node with the component's least node."""
     nodes, inverse = np.unique(np.concatenate([i, j]), return_inverse=True)

@@ -178,7 +178,11 @@ def decode_ids(docs: DataFrame, ranks_path: str, ids_col: str = "ids", out_col:
 
 
 def round_trip_digest(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, ids_sha256, decoded_sha256 for each row of docs; ids are encoded and decoded in one pass, so they never leave their task."""
+    """id_col, n_tokens, ids_sha256, decoded_sha256 for each row of docs; ids are encoded and decoded in one pass, so they never leave their task.
+
+    Null and empty texts have no tokens, and the hashes of no bytes. Rows that repeat an id, and null ids, are rows of
+    their own; a table without rows gives none; other columns are ignored, so their names can't clash.
+    """
     model = docs.sparkSession.sparkContext.broadcast(tokenizer_json(read_ranks(ranks_path)))
     base = docs.select(id_col, text_col)
     schema = T.StructType([docs.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow
-from .blocks import compare_in_buckets, near_pairs, star_links
+from .blocks import compare_in_buckets, near_pairs, star_links, thinned
 from .components import connected_components
 from .scratch import is_empty, materialize, tidy
 
@@ -187,7 +187,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", embedding_col:
     names = materialize(same.withColumn("at", F.monotonically_increasing_id()), "vectors")
     coded = materialize(with_codes(names, tables, probes, seed), "codes")
     near = materialize(near_candidates(coded, threshold, block), "candidates")
-    members = connected_components(near, "a", "b").select(F.col("node").alias("at"), "component")
+    members = connected_components(thinned(near), "a", "b").select(F.col("node").alias("at"), "component")
     members = materialize(members, "members")
     if is_empty(members):
         found, links = None, None
@@ -199,7 +199,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", embedding_col:
         placed = named.select("h0", "h1", (F.col("copies") - 1).alias("n_links"), F.col("id").alias("component_id"))
     else:
         counts = found.filter("kind = 0").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "at")
-        roots = connected_components(links, "a", "b")
+        roots = connected_components(thinned(links), "a", "b")
         placed = named.join(roots.withColumnRenamed("node", "at"), "at", "left").withColumn("root", F.coalesce("component", "at"))
         placed = materialize(placed, "placed")
         placed = placed.join(placed.groupBy("root").agg(F.min("id").alias("component_id")), "root").join(counts, "at", "left")

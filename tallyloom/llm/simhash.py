@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import map_arrow, ship
-from .blocks import close_prints, compare_in_buckets, near_pairs, star_links
+from .blocks import close_prints, compare_in_buckets, near_pairs, star_links, thinned
 from .components import connected_components
 from .scratch import is_empty, materialize, tidy
 
@@ -103,7 +103,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, most_bits:
     if is_empty(links):
         found = nodes.select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
     else:
-        roots = connected_components(links, "a", "b")
+        roots = connected_components(thinned(links), "a", "b")
         joined = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
         joined = materialize(joined, "joined")
         found = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
@@ -265,7 +265,7 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = materialize(near_candidates(prints), "candidates")
     name = lambda a, b: F.concat(F.hex(a), F.lit("-"), F.hex(b))
     named = worded.withColumn("print", name("w0", "w1"))
-    groups = connected_components(found.select(name("a0", "a1").alias("a"), name("b0", "b1").alias("b")), "a", "b")
+    groups = connected_components(thinned(found.select(name("a0", "a1").alias("a"), name("b0", "b1").alias("b"))), "a", "b")
     members = named.join(groups.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
     several = materialize(members.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component"), "several")
     members = materialize(members.join(several, "component").select("node", "t", "w0", "w1", "component"), "members")
@@ -276,7 +276,7 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         texts = texts.join(members.select("t"), "t", "left_semi").groupBy("t").agg(F.min("text").alias("text")).join(members.select("t", "node"), "t")
         sets = materialize(map_arrow(texts.select("node", "text"), cut, "node long, grams array<long>"), "shingles")
         links = materialize(verified_links(members.drop("t"), sets, least), "links")
-        roots = connected_components(links, "a", "b").withColumnRenamed("component", "root")
+        roots = connected_components(thinned(links), "a", "b").withColumnRenamed("component", "root")
         joined = materialize(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "joined")
         placed = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")
     return rows.select("id", "t", "node").join(materialize(placed, "placed", keep=True), "node")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm import embedding_dedup, exact_dedup, line_dedup, simhash
+from tallyloom.llm import blocks, embedding_dedup, exact_dedup, line_dedup, simhash
 from tallyloom.llm.components import connected_components
 from tallyloom.llm.scratch import running_totals
 
@@ -243,6 +243,18 @@ def test_components_of_stars_and_chains(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_thinned_links_have_the_same_components(spark, kind):
+    rng = random.Random(7)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(250)] * 4 + [(1000 + a, 1000 + b) for a in range(40) for b in range(40)] + [(None, 5), (5, 5)]
+    df = spark.createDataFrame(links, "a long, b long").select(F.col("a").cast(kind), F.col("b").cast(kind)).repartition(8)
+    good = [(int(a), int(b)) for a, b in links if a is not None and a != b]
+    for portion in (100, 1_000_000):
+        out = blocks.thinned(df, portion).collect()
+        assert len(out) < len(good) and plain.components({x for e in good for x in e}, [(int(r.a), int(r.b)) for r in out]) == plain.components({x for e in good for x in e}, good)
+    assert blocks.thinned(df.limit(0)).count() == 0
+
+
 def test_running_totals(spark):
     rng = random.Random(2)
     rows = [(rng.choice([1, 1, 1, 2, 3]), k, rng.randint(0, 9)) for k in range(3000)]

@@ -40,6 +40,13 @@ def test_round_trip(spark):
     assert bpe.round_trip_digest(spark.createDataFrame([], "doc_id long, text string"), RANKS).count() == 0
 
 
+def test_round_trip_of_odd_rows(spark):
+    docs = spark.createDataFrame([(None, None, "x"), (None, "a b", "x"), (3, "", "x"), (3, "a b", "x"), (3, "a b", "x")], "doc_id int, text string, n_tokens string")
+    out = bpe.round_trip_digest(docs, RANKS)
+    none, some = hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"a b").hexdigest()
+    assert out.columns.count("n_tokens") == 1 and sorted((r.doc_id or 0, r.n_tokens, r.decoded_sha256) for r in out.collect()) == [(0, 0, none), (0, 2, some), (3, 0, none), (3, 2, some), (3, 2, some)]
+
+
 MODEL = bpe.ByteBPE(bpe.tokenizer_json(bpe.read_ranks(RANKS)), remembered=500)
 ENCODING = own_encoding()
 
