@@ -54,6 +54,6 @@ def test_stages_take_odd_documents(spark):
         for name, stage in corpus_pipeline.STAGES:
             docs = materialize(stage(spark, docs, SF), name)
             kept[name] = sorted((r.doc_id is None, r.doc_id or 0) for r in docs.select("doc_id").distinct().collect())
-        # texts without letters go; the others are neither toxic nor alike
-        assert all(k == ([(False, 2), (False, 3)] if rows is odd else []) for k in kept.values()), kept
+        # texts without letters go, and the one that the only other text's model tells nothing of; the last is neither toxic nor a copy
+        assert all(k == ([(False, 3)] if rows is odd else []) for k in kept.values()), kept
     assert corpus_pipeline.run(spark, SF).count() > 0
