@@ -204,10 +204,14 @@ def first_judges(f: Forum) -> DataFrame:
     return R.first_users(f.users, "judge", 5).select("user_id", "name")
 
 
-@query("SELECT name, role FROM (SELECT 'user_' || range AS name, 'actor' AS role FROM range(0, 2000)) w WHERE name NOT IN (SELECT name FROM users)")
+@query("""
+, u AS (SELECT 'Scientist_' || user_id AS name FROM users UNION ALL SELECT 'Judge_' || (user_id // 100 * 2) FROM users)
+SELECT name, role FROM (SELECT 'Scientist_' || range AS name, 'actor' AS role FROM range(1, 20001) UNION ALL SELECT 'Judge_' || range, 'judge' FROM range(1, 51)) w WHERE name NOT IN (SELECT name FROM u)
+""")
 def users_missing(f: Forum) -> DataFrame:
-    wanted = f.spark.range(2000).select(F.concat(F.lit("user_"), F.col("id").cast("string")).alias("name"), F.lit("actor").alias("role"))
-    return wanted.join(f.users, "name", "left_anti")
+    """Seed participants that the users don't hold yet, every user being a Scientist and some being judges too."""
+    held = f.users.select(F.concat(F.lit("Scientist_"), "user_id").alias("name")).union(f.users.select(F.concat(F.lit("Judge_"), F.expr("user_id div 100 * 2"))))
+    return sinks.missing_users(held, 20_000, 50)
 
 
 @query("SELECT event_id, user_id, event_type, ts FROM events WHERE user_id = 7", views=False)
@@ -801,11 +805,11 @@ def time_fields(f: Forum) -> DataFrame:
     return f.table("events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.round(minutes, 3).alias("minutes"))
 
 
-@query("SELECT event_type AS exit_reason, count(*) AS n, sum(event_id % 7)::BIGINT AS rounds, count(*) FILTER (event_type IN ('click', 'view')) AS normal FROM events GROUP BY 1", views=False)
+@query("SELECT event_type AS exit_reason, count(*) AS n FROM events GROUP BY 1", views=False)
 def exit_histogram(f: Forum) -> DataFrame:
+    """The exit reasons of the summary, one a row."""
     results = f.table("events").select(F.col("event_type").alias("exit_reason"), (F.col("event_id") % 7).alias("rounds"))
-    normal = F.count_if(F.col("exit_reason").isin("click", "view"))
-    return results.groupBy("exit_reason").agg(F.count("*").alias("n"), F.sum("rounds").alias("rounds"), normal.alias("normal"))
+    return C.experiment_summary(results).select(F.explode("exit_reasons").alias("exit_reason", "n"))
 
 
 _COUNTERS = ("rounds", "successful_rounds", "failed_rounds", "llm_calls", "posts_created", "comments_created", "votes_cast", "total_prompt_tokens", "total_completion_tokens", "llm_errors", "api_errors", "no_tool_responses", "fallback_parses")
@@ -987,6 +991,13 @@ _SAID = ["the score of P_{a} is +{b}", "P_{a} was scored \u2212{b}", "I upvoted
 _FOUND = ["L1:{a}:{b}", "L1:{a}:-{b}", "L2::{b}", "L3::", "L3::", "L4::", "L1:{a}:", "", ""]
 
 
+def _said(f: Forum) -> DataFrame:
+    fill = lambda k: F.replace(F.replace(F.element_at(F.array(*map(F.lit, _SAID)), (k + 1).cast("int")), F.lit("{a}"), (F.col("post_id") % 97).cast("string")), F.lit("{b}"), (F.col("post_id") % 3 + 1).cast("string"))
+    said = F.concat(fill(F.col("post_id") % 9), F.lit(_PAD), fill((F.col("post_id") + 4) % 9))
+    return f.posts.select("post_id", said.alias("said"))
+
+
+
 @query(f"""
 WITH t AS (SELECT post_id, post_id % 9 AS i, (post_id + 4) % 9 AS j, post_id % 97 AS a, post_id % 3 + 1 AS b FROM (SELECT o_orderkey AS post_id FROM orders)),
 x AS (SELECT post_id, replace(replace(({[y for y in _FOUND]})[i + 1], '{{a}}', a::VARCHAR), '{{b}}', b::VARCHAR) AS p, replace(replace(({[y for y in _FOUND]})[j + 1], '{{a}}', a::VARCHAR), '{{b}}', b::VARCHAR) AS q FROM t)
@@ -994,13 +1005,85 @@ SELECT post_id, array_to_string(list_sort(list_filter([p, q], lambda v: v <> '')
 """, views=False)
 def detector_layers(f: Forum) -> DataFrame:
     """References of all four layers in texts put together from sentences whose references are known."""
-    fill = lambda k: F.replace(F.replace(F.element_at(F.array(*map(F.lit, _SAID)), (k + 1).cast("int")), F.lit("{a}"), (F.col("post_id") % 97).cast("string")), F.lit("{b}"), (F.col("post_id") % 3 + 1).cast("string"))
-    said = F.concat(fill(F.col("post_id") % 9), F.lit(_PAD), fill((F.col("post_id") + 4) % 9))
-    rows = text.with_references(f.posts.select("post_id", said.alias("said")), "said")
+    rows = text.with_references(_said(f), "said")
     shown = F.transform("refs", lambda r: F.concat_ws(":", r["layer"], F.coalesce(r["target_post_id"].cast("string"), F.lit("")), F.coalesce(r["value"].cast("string"), F.lit(""))))
     return rows.select("post_id", F.array_join(F.sort_array(shown), " ").alias("refs"))
 
 
+@query(f"""
+WITH t AS (SELECT post_id, post_id % 9 AS i, (post_id + 4) % 9 AS j FROM (SELECT o_orderkey AS post_id FROM orders)),
+x AS (SELECT post_id, unnest([left(({[y for y in _FOUND]})[i + 1], 2), left(({[y for y in _FOUND]})[j + 1], 2)]) AS layer FROM t)
+SELECT post_id, layer, count(*) AS n FROM x WHERE layer <> '' GROUP BY ALL
+""", views=False)
+def detector_layer_counts(f: Forum) -> DataFrame:
+    """The references of the same texts, counted by layer."""
+    rows = text.with_references(_said(f), "said")
+    return rows.select("post_id", F.explode(text.layer_counts(F.col("refs"))).alias("layer", "n")).withColumn("n", F.col("n").cast("long"))
+
+
+@query("SELECT conv_id, CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) % 7 END), 0) AS BIGINT) AS masked, count(*) FILTER (role = 'assistant' AND length(text) % 7 > 0) AS turns, CAST(sum(length(text) % 7 + 4) AS BIGINT) AS n FROM conversations GROUP BY 1", views=False)
+def response_masks(f: Forum) -> DataFrame:
+    """Conversations as token ids: a marker, the role, a line feed, some tokens and an end; assistants' tokens are masked in and numbered by turn."""
+    role = F.when(F.col("role") == "assistant", 8).otherwise(6)
+    ids = F.concat(F.array(F.lit(9), role, F.lit(5)), F.array_repeat(F.lit(1), F.length("text") % 7), F.array(F.lit(7)))
+    rows = f.table("conversations").select("conv_id", F.struct("turn", ids.alias("ids")).alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    rows = K.with_response_mask(rows.select("conv_id", F.flatten("t.ids").alias("ids")), "ids", [9, 8], 7, {5})
+    total = F.aggregate("mask", F.lit(0), lambda n, m: n + m).cast("long")
+    return rows.select("conv_id", total.alias("masked"), F.array_max("segments").cast("long").alias("turns"), F.size("ids").cast("long").alias("n"))
+
+
+@query("SELECT event_id, round(greatest(-2.0, least(2.0, value - 10)), 6) AS clipped, round(value * 3 + event_id, 6) AS score FROM events", views=False)
+def clipped_and_ranked(f: Forum) -> DataFrame:
+    """Clipped values, and scores that eight shards work out and that are merged by index."""
+    rows = f.table("events").select("event_id", "value")
+    scored = K.rank_shards(rows, "event_id", 8, lambda x: x[["event_id"]].assign(score=x["value"] * 3 + x["event_id"]))
+    return rows.join(scored, "event_id").select("event_id", F.round(K.clipped(F.col("value") - 10, 2.0), 6).alias("clipped"), F.round("score", 6).alias("score"))
+
+
+@query("""
+WITH c AS (SELECT conv_id, conv_id // 8 AS batch, count(*) AS n, sum(turn) AS turns FROM conversations GROUP BY 1)
+SELECT conv_id, max(n) OVER (PARTITION BY batch) AS length, CAST(turns - (max(n) OVER (PARTITION BY batch) - n) AS BIGINT) AS total FROM c
+""", views=False)
+def padded_turns(f: Forum) -> DataFrame:
+    """The turns of each conversation filled up with -1 to the longest one of its batch."""
+    rows = f.table("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns")).withColumn("batch", F.expr("conv_id div 8"))
+    padded = K.pad_right(rows, "batch", "turns", F.lit(-1).cast("long"))
+    return padded.select("conv_id", F.size("turns").cast("long").alias("length"), F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + t).alias("total"))
+
+
+@query("SELECT count(*) AS n_posts, round(count(*) / (SELECT count(*) FROM sessions), 6) AS mean_posts FROM posts")
+def mean_posts(f: Forum) -> DataFrame:
+    return C.mean_posts(R.actor_sessions(f.sessions, f.posts, f.comments)).select("n_posts", F.round("mean_posts", 6).alias("mean_posts"))
+
+
+@query("SELECT p_partkey, lower(p_name) AS answer, p_partkey % 3 <> 0 AS plain, p_partkey % 4 < 2 AS failed FROM part", views=False)
+def normal_answers(f: Forum) -> DataFrame:
+    """Free answers with white space, dollar signs or brackets around them, answers that are code, and tools' errors."""
+    k = F.col("p_partkey")
+    wide = F.replace("p_name", F.lit(" "), F.lit(" \n\t "))
+    answer = F.when(k % 4 == 0, F.concat(F.lit("  $$"), wide, F.lit("$ "))).when(k % 4 == 1, F.concat(F.lit("\u00a0"), F.upper(wide))).when(k % 4 == 2, F.concat(F.lit("\\("), wide, F.lit("\\)"))).otherwise(F.col("p_name"))
+    code = F.when(k % 3 == 0, F.concat(F.lit(" \n```python "), "p_name")).when(k % 3 == 1, F.col("p_name"))
+    error = F.when(k % 4 == 0, F.concat(F.lit(" ERROR: "), "p_name")).when(k % 4 == 1, F.concat(F.lit('{"error": "'), "p_name", F.lit('"}'))).otherwise(F.concat("p_name", F.lit(" error")))
+    return f.table("part").select("p_partkey", text.normal_answer(answer).alias("answer"), text.not_code(code).alias("plain"), text.is_tool_error(error).alias("failed"))
+
+
+@query(f"""
+, p AS (SELECT user_id, role, name, unnest(['calm', 'bold', 'terse', 'curious', 'strict']) AS x FROM users), h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {_md5("name || ':' || role || ':' || x")}, x) - 1 AS place FROM p)
+SELECT user_id, max(x) FILTER (place = user_id % 7) AS persona FROM h GROUP BY 1
+""")
+def personas(f: Forum) -> DataFrame:
+    """A persona for each user from a draw of five; slots beyond them have none."""
+    drawn = S.persona(F.col("name"), F.col("role"), (F.col("user_id") % 7).cast("int"), ["calm", "bold", "terse", "curious", "strict"])
+    return f.users.select("user_id", drawn.alias("persona"))
+
+
+@query("SELECT session_id, title, CAST(NULL AS VARCHAR) AS reference_solution FROM sessions WHERE session_id = 3 UNION ALL SELECT session_id, title, 'S' || session_id FROM sessions WHERE session_id = 4")
+def session_details(f: Forum) -> DataFrame:
+    """One session as all see it, and one with its solution."""
+    rows = f.sessions.withColumn("reference_solution", F.concat(F.lit("S"), "session_id"))
+    return R.session_detail(rows, 3).unionByName(R.session_detail(rows, 4, include_solution=True), allowMissingColumns=True)
+
+
 # ---- reads and writes
 
 
@@ -1108,17 +1191,14 @@ def listed_runs(f: Forum) -> DataFrame:
     return runs.select("run", number("manifest").alias("iters"), number("state").alias("completed"))
 
 
-@query("SELECT p_brand AS brand, max_by('run_' || p_partkey, p_size * 100000 + p_partkey) AS newest, CAST(max(p_partkey) AS INT) AS step FROM part GROUP BY 1", views=False)
+@query("SELECT (SELECT max_by('run_' || p_partkey, p_size * 100000 + p_partkey) FROM part WHERE p_brand LIKE '%1') AS newest, (SELECT CAST(max(p_partkey) AS INT) FROM part) AS step", views=False)
 def newest_runs(f: Forum) -> DataFrame:
-    """Of each brand the newest run folder and the highest step, as directory listings give them."""
-    out = None
-    for brand in sorted(r[0] for r in f.table("part").select("p_brand").distinct().collect()):  # a fixed handful
-        entries = f.table("part").filter(F.col("p_brand") == brand).select(F.concat(F.lit("/x/run_"), "p_partkey").alias("path"), (F.col("p_size") * 100_000 + F.col("p_partkey")).alias("modified"), F.concat(F.lit("/x/step_"), "p_partkey").alias("step_path"))
-        newest = readers.newest_by_prefix(entries, "run_").select(F.substring_index("path", "/", -1).alias("newest"))
-        one = newest.crossJoin(readers.latest_step(entries.select(F.col("step_path").alias("path"))))  # one row each
-        one = one.select(F.lit(brand).alias("brand"), "newest", "step")
-        out = one if out is None else out.union(one)
-    return out
+    """The newest run folder with a prefix, and the highest step, of directory listings."""
+    name = F.when(F.col("p_brand").endswith("1"), F.concat(F.lit("/x/run_"), "p_partkey")).otherwise(F.concat(F.lit("/x/old_run_"), "p_partkey"))
+    entries = f.table("part").select(name.alias("path"), (F.col("p_size") * 100_000 + F.col("p_partkey")).alias("modified"))
+    newest = readers.newest_by_prefix(entries, "run_").select(F.substring_index("path", "/", -1).alias("newest"))
+    steps = f.table("part").select(F.concat(F.lit("/x/step_"), "p_partkey").alias("path"))
+    return newest.crossJoin(readers.latest_step(steps))  # one row each
 
 
 # ---- streams
