@@ -117,7 +117,7 @@ def _wilson(pos: Column, n: Column, side: int, z: float = 1.96) -> Column:
     return (p + z * z / (2 * n) + side * z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", support: int = 3, lift: float = 2.0, prefix: tuple[int, int] = (4, 8), exceptions: tuple[str, ...] = (), most_terms: int = 100_000) -> Lexicon:
+def fit_lexicon(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", support: int = 3, lift: float = 2.5, prefix: tuple[int, int] = (4, 8), exceptions: tuple[str, ...] = (), most_terms: int = 100_000) -> Lexicon:
     """A lexicon from labelled documents: the fit reads about most_rows of them (a documented bound), chosen by hash.
 
     Terms are words and beginnings of words. A document counts log2(1 + n) for a term that occurs n times in it, since toxic terms

@@ -123,7 +123,7 @@ def kept_by_language(rows, languages, trigrams, buckets, trust=0.9, weight=60, l
     return kept
 
 
-def toxic(rows, labelled, fold, support=3, lift=2.0):
+def toxic(rows, labelled, fold, support=3, lift=2.5):
     """rows: (id, text); labelled: {id: 0 or 1}; the ids that a lexicon, learned term by term from the labelled rows, finds toxic at 0.3."""
     texts = {i: fold(t) for i, t in rows}
     train = sorted({(dict(rows)[i] or "", y) for i, y in labelled.items() if i in texts})
