@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import discard, is_empty, materialize
+from .scratch import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,14 +31,12 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """
     e = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
     e = materialize(e.filter("u > v").distinct(), "edges")
-    if not is_empty(e):
-        seen = None
-        while True:
-            n = materialize(_small_star(_large_star(e)), "edges")
-            now = n.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-            discard(e)
-            e = n
-            if now == seen:
-                break
-            seen = now
+    total = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    seen = total(e)
+    while seen[0]:
+        n = materialize(_small_star(_large_star(e)), "edges")
+        discard(e)
+        e, before, seen = n, seen, total(n)
+        if seen == before:
+            break
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
