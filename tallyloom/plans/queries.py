@@ -699,7 +699,10 @@ def url_segment(f: Forum) -> DataFrame:
     return f.table("pages").select("page_id", F.regexp_extract("url", r"://[^/]*/([a-z]+)/", 1).alias("lang"), text.session_in_path(path).alias("session"))
 
 
-@query()
+@query("""
+, r AS (SELECT post_id, content, instr(content, 'scored') - 1 AS lo FROM posts WHERE post_id % 7 <> 0)
+SELECT post_id, 'L1' AS layer, CAST(lo AS INT) AS lo, CAST(lo + 6 AS INT) AS hi, trim(substr(content, CAST(greatest(lo - 20, 0) + 1 AS INT), CAST(lo + 26 - greatest(lo - 20, 0) AS INT))) AS snippet, post_id % 5 AS target_post_id, CAST(NULL AS INT) AS value FROM r
+""")
 def detector_refs(f: Forum) -> DataFrame:
     refs = text.with_references(f.posts.select("post_id", "content"), "content").select("post_id", F.explode("refs").alias("r"))
     return refs.select("post_id", "r.*")
