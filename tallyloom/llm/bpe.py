@@ -86,14 +86,15 @@ class ByteBPE:
             self._learn_joined(joined[s : s + 4096])
         for piece in new:
             if piece not in known:
-                known[piece] = self._encode(piece).tobytes()
+                known[piece] = self.ids_of(piece).tobytes()
         return np.frombuffer(b"".join([known[p] for p in pieces]), dtype="<u4")
 
-    def _encode(self, text: str) -> np.ndarray:
+    def ids_of(self, text: str) -> np.ndarray:
+        """The ids of a text, nothing remembered."""
         return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def _learn_joined(self, pieces: list[str]) -> None:
-        ids = self._encode("".join(pieces))
+        ids = self.ids_of("".join(pieces))
         ends = np.cumsum([len(p.encode()) for p in pieces])
         cuts = np.searchsorted(self.byte_offsets(ids), ends).tolist()
         raw, start = ids.tobytes(), 0

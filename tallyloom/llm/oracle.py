@@ -124,6 +124,27 @@ _SHARDS = "SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, true AS gaples
 _PIECES = "SELECT doc_id, true AS whole, true AS fits FROM documents"
 _BYTES = "SELECT doc_id, sha256(coalesce(text, '')) AS decoded_sha256, strlen(coalesce(text, '')) > 0 AS has_tokens FROM documents"
 
+#: The exact columns of the whitening; sums of a component's numbers have a row each.
+_DEVIATION = """
+WITH x AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), f AS (
+  SELECT DISTINCT x FROM x
+), u AS (
+  SELECT unnest(range(1, len(x) + 1)) AS i, unnest(x) AS v FROM f
+), s AS (
+  SELECT i, sum(v) AS s, count(*) AS n FROM u GROUP BY i
+), e AS (
+  SELECT row_number() OVER () AS r, vec_id, x FROM x
+), p AS (
+  SELECT r, vec_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS v FROM e
+), d AS (
+  SELECT r, vec_id, max(n) AS n, CAST(sum((n * v - s) * (n * v - s)) AS BIGINT) AS deviation FROM p JOIN s USING (i) GROUP BY r, vec_id
+)
+SELECT vec_id, CAST(c AS INT) AS component, n, deviation FROM d, range(1, 5) t(c)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": _LINES,
     "op2_url_filter": _URLS,
@@ -134,4 +155,5 @@ ORACLE_SQL: dict[str, str] = {
     "sharding_law": _SHARDS,
     "packing_law": _PIECES,
     "byte_bpe_round_trip": _BYTES,
+    "whitening_deviation": _DEVIATION,
 }

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, language_id, line_dedup, packing, sharding, simhash, toxicity, url_filter
+from . import alignment, bpe, embedding_dedup, exact_dedup, language_id, line_dedup, packing, pair_bpe, sharding, simhash, toxicity, url_filter, whitening
 from .scratch import materialize, scratch_root
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -105,6 +105,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op11_pair_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_bpe.round_trip_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
+        return alignment.align_corpus(_table(spark, sf_dir, "documents"), a.read(), b.read())
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def whitening_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op13_whitening's exact columns, which SQL can express."""
+    return op13_whitening(spark, sf_dir).select("vec_id", "component", "n", "deviation")
+
+
 def page_evidence(pages: DataFrame) -> DataFrame:
     """pages with text (what shows), lang (the markup's), host, and address: the path's language segment, else the host's last label."""
     markup = F.regexp_extract("html", r"(?i)<html\b[^<>]*\slang=[\"']?([a-zA-Z-]+)", 1)
@@ -142,5 +160,5 @@ def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_url_filter, op3_sharding, op4_packing, op5_exact_dedup, op6_embedding_dedup, op7_simhash, op8_toxicity, op9_language_id, op10_byte_bpe, page_language, url_redirects, sharding_law, packing_law, near_copies, byte_bpe_round_trip)
+    for f in (op1_line_dedup, op2_url_filter, op3_sharding, op4_packing, op5_exact_dedup, op6_embedding_dedup, op7_simhash, op8_toxicity, op9_language_id, op10_byte_bpe, op11_pair_bpe, op12_alignment, op13_whitening, whitening_deviation, page_language, url_redirects, sharding_law, packing_law, near_copies, byte_bpe_round_trip)
 }
