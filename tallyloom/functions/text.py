@@ -42,21 +42,26 @@ def last_match(text: Column, pattern: str, group: int = 1) -> Column:
     return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(-1))
 
 
+# Where answers give their letter, and where gold answers do.
+LETTER_GIVEN = r"(?iU)\\boxed\{\s*([A-D])\s*\}|(?:answer is|answer:|final answer)\s*\(?\s*([A-D])\s*\)?"
+LETTER_SAID = r"(?iU)(?:answer is|answer:)\s*\(?\s*([ABCD])\s*\)?"
+GOLD_LETTER = r"(?U)\\boxed\{\s*([A-D])\s*\}"
+BOX = r"(?s)\\boxed\{(.+?)\}"
+
+
 def boxed_letter(text: Column) -> Column:
-    """The letter of the last boxed or `answer is` letter, upper case, or null."""
-    hit = last_match(text, r"(?i)(\\boxed\{\s*\(?[A-D]\)?\s*\}|answer\s+is\s*:?\s*\(?[A-D]\b)", 1)
-    return F.nullif(F.upper(F.regexp_extract(hit, r"(?i)([A-D])\)?\s*\}?$", 1)), F.lit(""))
+    """The letter given last, in a box by itself or after words that announce it, upper case, or null."""
+    return F.upper(F.concat(last_match(text, LETTER_GIVEN, 1), last_match(text, LETTER_GIVEN, 2)))
 
 
 def answer_letter(text: Column) -> Column:
-    """The letter of the last `answer is (X)`, upper case, or null."""
-    return F.upper(last_match(text, r"(?i)answer\s+is\s*:?\s*\(?([A-D])\)?", 1))
+    """The letter of the last `answer is` or `answer:`, with or without brackets, upper case, or null."""
+    return F.upper(last_match(text, LETTER_SAID, 1))
 
 
 def unboxed(text: Column) -> Column:
-    """The inside of the first box up to its first closing brace, or the text itself."""
-    inner = F.regexp_extract(text, r"(?s)\\boxed\{(.+?)\}", 1)
-    return F.when(inner != "", inner).otherwise(text)
+    """The inside of the first box up to its first closing brace, or the text itself, stripped."""
+    return strip(F.when(text.rlike(BOX), F.regexp_extract(text, BOX, 1)).otherwise(text))
 
 
 def normal_answer(text: Column) -> Column:
@@ -91,33 +96,67 @@ def _sql(c: Column) -> str:
 
 
 def to_integer(c: Column) -> Column:
-    """A whole number from text or number: signs and blanks allowed, fractions cut off; null otherwise."""
-    text = strip(c.cast("string"))
-    cleaned = F.regexp_replace(text, r"^\+", "")
-    return F.when(cleaned.rlike(r"^-?\d+(\.\d*)?$"), cleaned.try_cast("double").try_cast("bigint"))
+    """The whole number that a text is, or null: signs before it, blanks around it and single underscores between digits are allowed, fractions
+    aren't. Numbers beyond a long are null."""
+    digits = strip(F.regexp_replace(strip(c.cast("string")), r"^\++", ""))
+    return F.when(digits.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$"), F.replace(digits, F.lit("_"), F.lit("")).try_cast("bigint"))
+
+
+def json_integer(value: Column) -> Column:
+    """The whole number of a JSON value (variant), or null: numbers lose their fraction, texts are read as to_integer does, true is 1."""
+    kind = F.schema_of_variant(value)
+    as_kind = lambda t: F.try_variant_get(value, "$", t)
+    return (
+        F.when(kind == "STRING", to_integer(as_kind("string")))
+        .when(kind == "BIGINT", as_kind("bigint"))
+        .when(kind == "BOOLEAN", as_kind("boolean").cast("bigint"))
+        .when((kind == "DOUBLE") | kind.startswith("DECIMAL"), as_kind("double").try_cast("bigint"))
+    )
 
 
 def first_text(body: Column, keys: list[str]) -> Column:
-    """The first non-empty text among the keys of a JSON object, in their order, stripped; '' without any."""
-    found = [F.nullif(F.get_json_object(body, f"$.{k}"), F.lit("")) for k in keys]
-    return strip(F.coalesce(*found, F.lit("")))
+    """The first non-empty text among the keys of a JSON object, in their order, stripped; '' without any. Numbers, lists and objects are no texts."""
+    parsed = F.try_parse_json(body)
+    value = lambda k: F.try_variant_get(parsed, f"$.{k}", "variant")
+    texts = [F.nullif(F.when(F.schema_of_variant(value(k)) == "STRING", F.try_variant_get(parsed, f"$.{k}", "string")), F.lit("")) for k in keys]
+    return strip(F.coalesce(*texts, F.lit("")))
 
 
 def first_integer(body: Column, keys: list[str]) -> Column:
-    return F.coalesce(*(to_integer(F.get_json_object(body, f"$.{k}")) for k in keys))
+    """The first whole number among the keys of a JSON object, in their order, as json_integer reads it."""
+    parsed = F.try_parse_json(body)
+    return F.coalesce(*(json_integer(F.try_variant_get(parsed, f"$.{k}", "variant")) for k in keys))
 
 
 def vote_list(argument: Column) -> Column:
-    """A votes argument as array<struct<target_type, target_id, value>>: a JSON list, one object, or either as a JSON string."""
-    kind = "array<struct<target_type:string,target_id:string,value:string>>"
-    inner = F.coalesce(F.get_json_object(argument, "$"), argument)
-    inner = F.when(inner.startswith('"'), F.get_json_object(F.concat(F.lit('{"a":'), inner, F.lit("}")), "$.a")).otherwise(inner)
-    listed = F.when(strip(inner).startswith("{"), F.concat(F.lit("["), inner, F.lit("]"))).otherwise(inner)
-    return F.coalesce(F.from_json(listed, kind), F.array().cast(kind))
+    """A votes argument, given as JSON, as array<struct<target_type string, target_id long, value long>>: a list, one object, or either as JSON in a text.
+    Without a type the target is a post; numbers are read as json_integer does. Anything else gives no votes, an unreadable text also an error (vote_list_error)."""
+    votes = _votes(argument)
+    one = lambda v: F.struct(
+        F.coalesce(F.try_variant_get(v, "$.target_type", "string"), F.lit("post")).alias("target_type"),
+        json_integer(F.try_variant_get(v, "$.target_id", "variant")).alias("target_id"),
+        json_integer(F.try_variant_get(v, "$.value", "variant")).alias("value"),
+    )
+    kind = F.schema_of_variant(votes)
+    listed = F.when(kind.startswith("ARRAY"), F.try_variant_get(votes, "$", "array<variant>")).when(kind.startswith("OBJECT"), F.array(votes))
+    return F.coalesce(F.transform(F.filter(listed, lambda v: F.schema_of_variant(v).startswith("OBJECT")), one), F.array().cast("array<struct<target_type:string,target_id:bigint,value:bigint>>"))
+
+
+def _votes(argument: Column) -> Column:
+    outer = F.try_parse_json(argument)
+    return F.when(F.schema_of_variant(outer) == "STRING", F.try_parse_json(F.try_variant_get(outer, "$", "string"))).otherwise(outer)
+
+
+def vote_list_error(argument: Column) -> Column:
+    """Why a votes argument, given as JSON, gives no votes: a text that isn't JSON; null otherwise."""
+    outer = F.try_parse_json(argument)
+    said = F.try_variant_get(outer, "$", "string")
+    return F.when((F.schema_of_variant(outer) == "STRING") & F.try_parse_json(said).isNull(), F.concat(F.lit("could not parse votes: "), F.left(said, F.lit(200))))
 
 
 def is_tool_error(text: Column) -> Column:
-    return F.lower(strip(text)).startswith("error") | F.contains(text, F.lit('"error"'))
+    """Whether a tool's result is an error: it starts with Error, or lists errors and not an empty list of them."""
+    return text.startswith("Error") | (F.contains(text, F.lit('"errors": [')) & ~F.contains(text, F.lit('"errors": []')))
 
 
 def not_code(answer: Column) -> Column:

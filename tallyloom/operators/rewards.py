@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import in_range_parts
+
 #: A slope is fitted over sessions with so many posts, and used if so steep.
 FIT_POSTS, LEAST_SLOPE, LEAST_SPREAD = 4, 0.01, 1e-9
 
@@ -85,7 +87,7 @@ def indexed_quantiles(rows: DataFrame, value: str, shares: list[float]) -> DataF
     """One row, q0, q1, ...: the elements int(p * (n - 1)) of all sorted values, without gathering them: counts of distinct
     values are added up by range partitions, and only the counts of partitions are ordered in one place."""
     counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    placed = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id())
+    placed = in_range_parts(counts, ["v"], "counts").withColumnRenamed("_part", "part")
     sizes = placed.groupBy("part").agg(F.sum("n").alias("size"))
     before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
     total = sizes.agg(F.sum("size").alias("total"))

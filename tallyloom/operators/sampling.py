@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.templates import hash_number
+from ..sources.scratch import in_range_parts
 
 
 def draw_order(seed: str, key: Column) -> Column:
@@ -84,9 +85,10 @@ def shuffled_choices(row_key: Column, right: Column, wrong: list[Column], seed:
 def length_batches(samples: DataFrame, key: str, length: str, batch: int, seed: str, epoch: int = 0) -> DataFrame:
     """Samples sorted by length in batches, with the order in which the epoch takes the batches (`turn`).
 
-    The places by length come from counts of range partitions, so no task sorts all samples.
+    The places by length come from counts of range partitions, so no task sorts all samples; rows that tie in length and key, and null lengths, which come
+    first, stay too.
     """
-    ranged = samples.repartitionByRange(length, key).withColumn("_part", F.spark_partition_id())
+    ranged = in_range_parts(samples, [length, key], "by-length")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))  # a row for each partition
     place = F.row_number().over(Window.partitionBy("_part").orderBy(length, key)) - 1 + F.col("_before")

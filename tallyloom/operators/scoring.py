@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from ..functions.text import category_prefix, normal_answer, unboxed
 
 
 def majority(rows: DataFrame, group: str, prediction: str, order: str) -> DataFrame:
@@ -14,17 +17,34 @@ def majority(rows: DataFrame, group: str, prediction: str, order: str) -> DataFr
     return counted.groupBy(group).agg(best.alias("b")).select(group, F.col("b.p").alias(prediction), F.coalesce("b._n", F.lit(0)).alias("votes"))
 
 
-def scored_records(predictions: DataFrame, gold: DataFrame, key: str, prediction: str = "prediction", answer: str = "answer") -> DataFrame:
+def scored_records(predictions: DataFrame, gold: DataFrame, key: str, prediction: str = "prediction", answer: str = "answer", mode: str = "letter") -> DataFrame:
     """Predictions with gold answers and columns matched, has_gold, has_prediction, scored and correct.
 
-    What has no match or no gold isn't scored; what has no prediction is scored as wrong.
+    In mode letter texts are compared in upper case, and what has no gold, or an empty one, isn't scored. In mode boxed gold is the inside of its box and both sides are
+    compared as free answers; no gold counts as an empty one. What has no match isn't scored; what has no prediction is scored as wrong.
     """
+    if mode not in ("letter", "boxed"):
+        raise ValueError(f"no such mode: {mode}")
     known = gold.withColumn("_known", F.lit(True))
     joined = predictions.join(known, key, "left")
-    matched, has_gold = F.coalesce("_known", F.lit(False)), F.col(answer).isNotNull()
+    matched = F.coalesce("_known", F.lit(False))
+    given, wanted = F.col(prediction), F.col(answer)
+    if mode == "boxed":
+        has_gold = F.lit(True)
+        given, wanted = normal_answer(given), normal_answer(unboxed(F.coalesce(wanted, F.lit(""))))
+    elif isinstance(gold.schema[answer].dataType, StringType):
+        has_gold = wanted.isNotNull() & (wanted != "")
+        given, wanted = F.upper(given), F.upper(wanted)
+    else:
+        has_gold = wanted.isNotNull()
     out = joined.withColumn("matched", matched).withColumn("has_gold", F.col("matched") & has_gold).withColumn("has_prediction", F.col(prediction).isNotNull())
     out = out.withColumn("scored", F.col("has_gold"))
-    return out.withColumn("correct", F.coalesce(F.col("scored") & (F.col(prediction) == F.col(answer)), F.lit(False))).drop("_known")
+    return out.withColumn("correct", F.coalesce(F.col("scored") & (given == wanted), F.lit(False))).drop("_known")
+
+
+def record_category(category: Column, depth: int = 2) -> Column:
+    """A record's category for breakdowns: the gold row's path to a depth, `unknown` without one."""
+    return F.coalesce(category_prefix(category, depth), F.lit("unknown"))
 
 
 def scoring_counters(records: DataFrame) -> DataFrame:

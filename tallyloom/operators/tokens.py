@@ -100,8 +100,9 @@ def broadcast_turns(segments: Column, values: Column, otherwise: Column) -> Colu
 
 
 def trainable_mask(mask: Column, segments: Column, trainable: Column) -> Column:
-    """The mask with the tokens of turns that aren't trained on set to zero."""
-    return F.zip_with(mask, segments, lambda m, s: F.when((s > 0) & ~F.coalesce(F.get(trainable, s - 1), F.lit(False)), 0).otherwise(m))
+    """The mask with the tokens of turns that aren't trained on set to zero. Without a list (null) all turns are trained on; one that the list is too short for isn't."""
+    masked = F.zip_with(mask, segments, lambda m, s: F.when((s > 0) & ~F.coalesce(F.get(trainable, s - 1), F.lit(False)), 0).otherwise(m))
+    return F.when(trainable.isNull(), mask).otherwise(masked)
 
 
 def token_rows(samples: DataFrame, key: str, arrays: list[str]) -> DataFrame:
@@ -128,14 +129,14 @@ def masked_mean(x: Column, mask: Column) -> Column:
 
 
 def surrogate(log_p: Column, old_log_p: Column, advantage: Column, low: float = 0.2, high: float = 0.25, bound: float = 20.0) -> dict[str, Column]:
-    """Token columns of the clipped surrogate loss: ratio, loss, clipped, clipped_low, clipped_high and drift."""
+    """Token columns of the clipped surrogate loss: ratio, loss, clipped (the clipped term is the greater one, which depends on the advantage's sign), clipped_low, clipped_high and drift."""
     delta = clipped(log_p - old_log_p, bound)
     ratio = F.exp(delta)
     cut = F.greatest(F.lit(1 - low), F.least(F.lit(1 + high), ratio))
     return {
         "ratio": ratio,
         "loss": F.greatest(-advantage * ratio, -advantage * cut),
-        "clipped": (ratio != cut).cast("double"),
+        "clipped": (-advantage * cut > -advantage * ratio).cast("double"),
         "clipped_low": (ratio < 1 - low).cast("double"),
         "clipped_high": (ratio > 1 + high).cast("double"),
         "drift": 0.5 * (log_p - old_log_p) * (log_p - old_log_p),
@@ -148,8 +149,8 @@ def weighted_regression(log_p: Column, advantage: Column) -> Column:
 
 
 def k3(log_p: Column, reference: Column, bound: float = 10.0) -> Column:
-    """exp(d) - d - 1 with d = reference - log_p, bounded."""
-    d = clipped(reference - log_p, bound)
+    """exp(d) - d - 1 with d = log_p - reference, bounded."""
+    d = clipped(log_p - reference, bound)
     return F.exp(d) - d - 1
 
 

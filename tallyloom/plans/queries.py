@@ -17,7 +17,7 @@ from ..operators import tokens as K
 from ..operators import trajectory as J
 from ..operators import votes as V
 from ..sources import readers, sinks
-from ..sources.scratch import scratch_root
+from ..sources.scratch import in_range_parts, scratch_root
 from ..streaming import forum as streaming
 from .forum import VIEWS, Forum
 
@@ -252,7 +252,7 @@ def sessions_newest_first(f: Forum) -> DataFrame:
     last = f.posts.groupBy("session_id").agg(F.max("created_at").alias("last_post"))
     rows = f.sessions.select("session_id").join(last, "session_id", "left")
     order = [F.col("last_post").desc_nulls_last(), F.col("session_id")]
-    ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())  # so that no task sorts all sessions
+    ranged = in_range_parts(rows, order, "by-newest")  # so that no task sorts all sessions
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))  # a row for each partition
     place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
@@ -663,9 +663,12 @@ def choice_shuffle(f: Forum) -> DataFrame:
     return f.table("part").select("p_partkey", drawn.alias("x")).select("p_partkey", F.array_join("x.choices", "|").alias("choices"), F.col("x.letter").alias("letter"))
 
 
-@query("SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY n_chars, doc_id) - 1) / 16) AS BIGINT) AS batch FROM documents", views=False)
+@query(f"""
+SELECT doc_id, batch, {_md5("'b:0:' || batch")} AS turn, sha256(text) AS text_sha256 FROM (SELECT doc_id, text, CAST(floor((row_number() OVER (ORDER BY n_chars, doc_id) - 1) / 16) AS BIGINT) AS batch FROM documents)
+""", views=False)
 def length_batches(f: Forum) -> DataFrame:
-    return S.length_batches(f.table("documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 16, "b").select("doc_id", "batch")
+    batches = S.length_batches(f.table("documents"), "doc_id", "n_chars", 16, "b")
+    return batches.select("doc_id", "batch", "turn", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("SELECT CAST(doc_id % 8 AS INT) AS shard, count(*) AS n FROM documents GROUP BY 1", views=False)
@@ -676,15 +679,25 @@ def round_robin_shards(f: Forum) -> DataFrame:
 # ---- text
 
 
-@query("""
-, a AS (SELECT post_id, 'Work \\boxed{' || post_id || '} then \\boxed{' || substr('ABCD', CAST(post_id % 4 AS INT) + 1, 1) || '}. The answer is (' || substr('ABCD', CAST(post_id % 3 AS INT) + 1, 1) || ')' AS x FROM posts)
-SELECT post_id, substr('ABCD', CAST(post_id % 3 AS INT) + 1, 1) AS last_letter, substr('ABCD', CAST(post_id % 3 AS INT) + 1, 1) AS answer, CAST(post_id AS VARCHAR) AS inside FROM a
-""")
+#: Answers that rival readings of the rules tell apart, each with the letter given last, the letter said last, and the inside of its box.
+_ANSWERS = [
+    (r"Work \boxed{ a } and Final answer ( b )", "B", None, "a"),
+    (r"Answer: C, surely not \boxed{(D)}", "C", "C", "(D)"),
+    ("the answer is: d", None, None, "the answer is: d"),
+    ("ANSWER IS (B) then answer:A) ", "A", "A", "ANSWER IS (B) then answer:A)"),
+    ("\\boxed{\n 5 } or \\boxed{6}", None, None, "5"),
+    (r" so \boxed{B}, as the answer is (d), no: \boxed{c}", "C", "D", "B"),
+    (" none ", None, None, "none"),
+]
+_answer_sql = lambda k: "[" + ", ".join("NULL" if a[k] is None else "'" + a[k].replace("'", "''") + "'" for a in _ANSWERS) + "][post_id % 7 + 1]"
+
+
+@query(f", a AS (SELECT post_id, {_answer_sql(0)} AS x FROM posts) SELECT post_id, x, {_answer_sql(1)} AS last_letter, {_answer_sql(2)} AS answer, {_answer_sql(3)} AS inside FROM a")
 def boxed_answers(f: Forum) -> DataFrame:
-    letter = lambda n: F.substring(F.lit("ABCD"), (F.col("post_id") % n).cast("int") + 1, F.lit(1))
-    x = F.concat(F.lit("Work \\boxed{"), F.col("post_id").cast("string"), F.lit("} then \\boxed{"), letter(4), F.lit("}. The answer is ("), letter(3), F.lit(")"))
+    """Each post with an answer of its own kind; SQL has what the rules give for each."""
+    x = F.element_at(F.array(*(F.lit(a[0]) for a in _ANSWERS)), (F.col("post_id") % 7 + 1).cast("int"))
     rows = f.posts.select("post_id", x.alias("x"))
-    return rows.select("post_id", text.boxed_letter(F.col("x")).alias("last_letter"), text.answer_letter(F.col("x")).alias("answer"), text.unboxed(F.col("x")).alias("inside"))
+    return rows.select("post_id", "x", text.boxed_letter(F.col("x")).alias("last_letter"), text.answer_letter(F.col("x")).alias("answer"), text.unboxed(F.col("x")).alias("inside"))
 
 
 @query("SELECT doc_id, lang || '/' || source AS five, lang AS one, right(text, 50) AS tail, CASE WHEN length(text) > 40 THEN left(text, 40) || '...' ELSE text END AS short FROM documents", views=False)
@@ -718,20 +731,30 @@ def detector_any(f: Forum) -> DataFrame:
     return one.groupBy("session_id").agg(F.bool_or(F.col("n") > 0).alias("has_ref"), F.count("r.layer").alias("n_refs"), shown.alias("ids"))
 
 
-@query("SELECT post_id, 'post' AS target_type, CAST(post_id AS VARCHAR) AS target_id, CASE WHEN post_id % 3 = 2 THEN NULL ELSE CAST(post_id % 3 AS BIGINT) + 1 END AS value FROM posts")
+@query("""
+SELECT post_id, CASE WHEN post_id % 5 = 4 THEN 'comment' ELSE 'post' END AS target_type, post_id AS target_id, [2, 9007199254740993, NULL, 2, -1, 1][post_id % 6 + 1] AS value, CAST(NULL AS VARCHAR) AS error FROM posts WHERE post_id % 11 <> 0
+UNION ALL SELECT post_id, NULL, NULL, NULL, 'could not parse votes: [' || post_id FROM posts WHERE post_id % 11 = 0
+""")
 def json_votes_coerce(f: Forum) -> DataFrame:
+    """Votes as a list, as one object and as JSON in a text, their values as texts and numbers; texts that are no JSON give an error."""
     n = F.col("post_id").cast("string")
-    value = F.when(F.col("post_id") % 3 == 2, '"x"').otherwise(F.concat(F.lit('"+'), (F.col("post_id") % 3 + 1).cast("string"), F.lit('"')))
-    one = F.concat(F.lit('{"target_type":"post","target_id":'), n, F.lit(',"value":'), value, F.lit("}"))
-    argument = F.when(F.col("post_id") % 2 == 0, one).otherwise(F.concat(F.lit("["), one, F.lit("]")))
-    rows = f.posts.select("post_id", F.explode(text.vote_list(argument)).alias("v"))
-    return rows.select("post_id", "v.target_type", "v.target_id", text.to_integer(F.col("v.value")).alias("value"))
+    value = F.element_at(F.array(*map(F.lit, ('" +2 "', '"9007199254740993"', '"3.5"', "2.9", "-1", "true"))), (F.col("post_id") % 6 + 1).cast("int"))
+    kind = F.when(F.col("post_id") % 5 == 4, F.lit('"target_type":"comment",')).otherwise("")
+    one = F.concat(F.lit("{"), kind, F.lit('"target_id":'), n, F.lit(',"value":'), value, F.lit("}"))
+    listed = F.when(F.col("post_id") % 2 == 0, one).otherwise(F.concat(F.lit("["), one, F.lit("]")))
+    quoted = F.concat(F.lit('"'), F.replace(listed, F.lit('"'), F.lit('\\"')), F.lit('"'))
+    argument = F.when(F.col("post_id") % 11 == 0, F.concat(F.lit('"['), n, F.lit('"'))).when(F.col("post_id") % 3 == 0, quoted).otherwise(listed)
+    rows = f.posts.select("post_id", F.explode_outer(text.vote_list(argument)).alias("v"), text.vote_list_error(argument).alias("error"))
+    return rows.select("post_id", "v.target_type", "v.target_id", "v.value", "error")
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 'user ' || user_id AS body FROM events", views=False)
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 'user ' || user_id AS body, [2, 7, 9007199254740993, NULL, 12, 4][event_id % 6 + 1] AS number FROM events", views=False)
 def body_fields(f: Forum) -> DataFrame:
-    body = F.to_json(F.struct(F.lit("").alias("text"), F.concat(F.lit(" user "), F.col("user_id").cast("string"), F.lit(" ")).alias("body")))
-    return f.table("events").select("event_id", text.first_integer(F.col("props"), ["missing", "k"]).alias("k"), text.first_text(body, ["content", "text", "body"]).alias("body"))
+    """Bodies whose first keys hold numbers, objects and empty texts, and numbers in several spellings."""
+    body = F.concat(F.lit('{"content": 5, "text": {"a": 1}, "message": "", "body": " user '), F.col("user_id").cast("string"), F.lit(' "}'))
+    number = F.element_at(F.array(*map(F.lit, ('{"a": "x", "b": 2.7}', '{"a": "3.5", "b": " 7 "}', '{"a": "9007199254740993"}', '{"a": [1], "b": null}', '{"a": "1_2"}', '{"b": 4, "a": "+"}'))), (F.col("event_id") % 6 + 1).cast("int"))
+    fields = [text.first_integer(F.col("props"), ["missing", "k"]).alias("k"), text.first_text(body, ["content", "text", "message", "body"]).alias("body"), text.first_integer(number, ["a", "b"]).alias("number")]
+    return f.table("events").select("event_id", *fields)
 
 
 @query("SELECT p_partkey, substr(p_brand, 1, 5) AS head, CASE WHEN p_partkey % 3 > 0 THEN '+' ELSE '' END || (p_partkey % 3 - 0) AS signed, CAST(p_partkey AS INT) - 1 AS slot FROM part", views=False)
@@ -752,16 +775,17 @@ def majority_vote(f: Forum) -> DataFrame:
 
 
 _RECORDS = """
-WITH pred AS (SELECT doc_id, lang, CASE WHEN doc_id % 11 <> 0 THEN CAST(('0x' || substr(md5('p:' || doc_id), 1, 8))::BIGINT % 2 AS INT) END AS prediction FROM documents),
-gold AS (SELECT doc_id, CASE WHEN doc_id % 13 <> 0 THEN quality END AS answer FROM labels),
-rec AS (SELECT p.*, g.answer, g.doc_id IS NOT NULL AS matched, g.doc_id IS NOT NULL AND g.answer IS NOT NULL AS scored, coalesce(p.prediction = g.answer, false) AS correct FROM pred p LEFT JOIN gold g USING (doc_id))
+WITH pred AS (SELECT doc_id, lang, CASE WHEN doc_id % 11 <> 0 THEN ['A', 'b'][('0x' || substr(md5('p:' || doc_id), 1, 8))::BIGINT % 2 + 1] END AS prediction FROM documents),
+gold AS (SELECT doc_id, CASE doc_id % 13 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE ['a', 'B'][quality + 1] END AS answer FROM labels),
+rec AS (SELECT p.*, nullif(g.answer, '') AS answer, g.doc_id IS NOT NULL AS matched, coalesce(g.answer <> '', false) AS scored, coalesce(lower(p.prediction) = lower(nullif(g.answer, '')), false) AS correct FROM pred p LEFT JOIN gold g USING (doc_id))
 """
 
 
 def _records(f: Forum) -> DataFrame:
-    guess = F.pmod(S.draw_order("p", F.col("doc_id")), F.lit(2)).cast("int")
+    guess = F.element_at(F.array(F.lit("A"), F.lit("b")), (F.pmod(S.draw_order("p", F.col("doc_id")), F.lit(2)) + 1).cast("int"))
     predictions = f.table("documents").select("doc_id", "lang", F.when(F.col("doc_id") % 11 != 0, guess).alias("prediction"))
-    gold = f.table("labels").select("doc_id", F.when(F.col("doc_id") % 13 != 0, F.col("quality")).alias("answer"))
+    letter = F.when(F.col("doc_id") % 13 == 1, "").when(F.col("doc_id") % 13 != 0, F.element_at(F.array(F.lit("a"), F.lit("B")), F.col("quality").cast("int") + 1))
+    gold = f.table("labels").select("doc_id", letter.alias("answer"))
     return C.scored_records(predictions, gold, "doc_id")
 
 
@@ -781,23 +805,38 @@ def sweep_summary(f: Forum) -> DataFrame:
     return C.sweep_summary({x: sinks.report(scored.filter(F.col("lang") == x), "lang").select("n", F.round("accuracy", 6).alias("accuracy")) for x in ("de", "en", "es", "fr")})
 
 
-@query("SELECT DISTINCT ON (p_type) p_type AS title, p_partkey, p_brand AS gold_letter, 'letter' AS mode FROM part ORDER BY p_type, p_partkey DESC", views=False)
+@query("""
+SELECT DISTINCT ON (title) title, p_partkey, gold_letter, 'letter' AS mode FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_type END AS title, p_partkey, p_brand AS gold_letter FROM part WHERE p_partkey % 7 <> 0) ORDER BY title, p_partkey DESC
+""", views=False)
 def title_index(f: Forum) -> DataFrame:
-    pool = f.table("part").select(F.col("p_type").alias("title"), "p_partkey", F.col("p_brand").alias("gold_letter"))
-    return readers.title_index(pool, "p_partkey")
+    """Rows with a problem and a title, with either, and with neither."""
+    k = F.col("p_partkey")
+    title = F.when(k % 7 == 0, "").otherwise(F.when(k % 2 == 0, F.col("p_type")).otherwise(F.when(k % 3 == 0, F.lit("other")).otherwise(F.col("p_type"))))
+    problem = F.when(k % 7 == 0, "").when(k % 3 == 0, F.col("p_brand"))
+    pool = f.table("part").select(problem.alias("problem"), title.alias("title"), "p_partkey", F.col("p_brand").alias("gold_letter"))
+    return readers.title_index(pool, "p_partkey").drop("problem")
 
 
-@query("SELECT p_name AS title, '' AS description, CASE WHEN p_size % 3 = 0 THEN p_type ELSE p_type || chr(10) || chr(10) || 'Final answer: ' || p_brand END AS reference_solution FROM part WHERE p_size % 5 <> 0", views=False)
+@query("""
+SELECT CASE p_size % 5 WHEN 1 THEN p_name ELSE 'Q ' || p_partkey END AS title, '' AS description,
+  CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_type END || CASE WHEN p_size % 3 = 0 THEN '' ELSE chr(10) || chr(10) || 'Final answer: ' || p_brand END AS reference_solution FROM part WHERE p_size % 5 <> 0
+""", views=False)
 def question_sessions(f: Forum) -> DataFrame:
-    size = F.col("p_size")
-    pool = f.table("part").select(F.when(size % 5 != 0, F.col("p_name")).otherwise("").alias("problem"), F.lit(None).cast("string").alias("title"), F.col("p_type").alias("solution"), F.when(size % 3 != 0, F.col("p_brand")).alias("answer"))
+    """Questions with a problem only, a title only, both and neither, and with one or two solutions."""
+    size, p = F.col("p_size"), f.table("part").withColumn("q", F.concat(F.lit("Q "), F.col("p_partkey").cast("string")))
+    pool = p.select(
+        F.when(size % 5 == 0, "").otherwise(F.col("p_name")).alias("problem"), F.when(size % 5 > 1, F.col("q")).when(size % 5 == 1, F.lit("")).alias("title"),
+        F.when(size % 2 == 0, F.col("p_name")).otherwise("").alias("reference_solution"), F.col("p_type").alias("solution"), F.when(size % 3 != 0, F.col("p_brand")).alias("answer"),
+    )
     return readers.question_sessions(pool)
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'B' ELSE 'C' END AS gold_letter FROM part WHERE p_partkey % 4 < 2", views=False)
+@query("SELECT p_partkey, ['B', 'C', 'A'][p_partkey % 5 + 1] AS gold_letter FROM part WHERE p_partkey % 5 < 3", views=False)
 def choice_rows(f: Forum) -> DataFrame:
-    k = F.col("p_partkey") % 4
-    pool = f.table("part").select("p_partkey", F.when(k == 0, "B").otherwise("").alias("gold_letter"), F.when(k == 1, r"so \boxed{c}").otherwise("none").alias("answer"))
+    """Rows with a gold letter of their own, with one or two boxed ones, with a boxed one in lower case, and with none."""
+    k = F.col("p_partkey") % 5
+    answer = F.element_at(F.array(*map(F.lit, (r"\boxed{D}", r"so \boxed{ C }", r"\boxed{A} not \boxed{B}", r"\boxed{c}", "none"))), (k + 1).cast("int"))
+    pool = f.table("part").select("p_partkey", F.when(k == 0, "B").otherwise("").alias("gold_letter"), answer.alias("answer"))
     return readers.choice_rows(pool).select("p_partkey", "gold_letter")
 
 
@@ -858,7 +897,7 @@ WITH tok AS (
   SELECT vec_id, label, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS log_p FROM embeddings
 ), t AS (
   SELECT vec_id, label, pos, log_p, log_p * 0.5 AS old_log_p, log_p * 0.25 AS ref_log_p, CAST((vec_id + pos) % 3 <> 0 AS INT) AS mask, (vec_id % 5 - 2) * 0.5 AS advantage FROM tok WHERE pos > 0
-), x AS (SELECT *, exp(greatest(-20, least(20, log_p - old_log_p))) AS ratio, greatest(-10, least(10, ref_log_p - log_p)) AS d FROM t)
+), x AS (SELECT *, exp(greatest(-20, least(20, log_p - old_log_p))) AS ratio, greatest(-10, least(10, log_p - ref_log_p)) AS d FROM t)
 """
 
 
@@ -871,7 +910,7 @@ def _tokens(f: Forum) -> DataFrame:
 _MM = "round(sum({0} * mask) / greatest(sum(mask), 1), 6)"
 
 
-@query(_TOKENS + f"SELECT label, {_MM.format('ratio')} AS ratio, {_MM.format('greatest(-advantage * ratio, -advantage * greatest(0.8, least(1.25, ratio)))')} AS loss, {_MM.format('CAST(ratio < 0.8 OR ratio > 1.25 AS DOUBLE)')} AS clipped, {_MM.format('0.5 * (log_p - old_log_p) * (log_p - old_log_p)')} AS drift FROM x GROUP BY 1", views=False)
+@query(_TOKENS + f"SELECT label, {_MM.format('ratio')} AS ratio, {_MM.format('greatest(-advantage * ratio, -advantage * greatest(0.8, least(1.25, ratio)))')} AS loss, {_MM.format('CAST((advantage > 0 AND ratio > 1.25) OR (advantage < 0 AND ratio < 0.8) AS DOUBLE)')} AS clipped, {_MM.format('0.5 * (log_p - old_log_p) * (log_p - old_log_p)')} AS drift FROM x GROUP BY 1", views=False)
 def ppo_clip_stats(f: Forum) -> DataFrame:
     out = K.loss_stats(_tokens(f), "label")
     return out.select("label", *(F.round(c, 6).alias(c) for c in ("ratio", "loss", "clipped", "drift")))
@@ -1059,14 +1098,15 @@ def mean_posts(f: Forum) -> DataFrame:
     return C.mean_posts(R.actor_sessions(f.sessions, f.posts, f.comments)).select("n_posts", F.round("mean_posts", 6).alias("mean_posts"))
 
 
-@query("SELECT p_partkey, lower(p_name) AS answer, p_partkey % 3 <> 0 AS plain, p_partkey % 4 < 2 AS failed FROM part", views=False)
+@query("SELECT p_partkey, lower(p_name) AS answer, p_partkey % 3 <> 0 AS plain, p_partkey % 6 IN (0, 2) AS failed FROM part", views=False)
 def normal_answers(f: Forum) -> DataFrame:
     """Free answers with white space, dollar signs or brackets around them, answers that are code, and tools' errors."""
     k = F.col("p_partkey")
     wide = F.replace("p_name", F.lit(" "), F.lit(" \n\t "))
     answer = F.when(k % 4 == 0, F.concat(F.lit("  $$"), wide, F.lit("$ "))).when(k % 4 == 1, F.concat(F.lit("\u00a0"), F.upper(wide))).when(k % 4 == 2, F.concat(F.lit("\\("), wide, F.lit("\\)"))).otherwise(F.col("p_name"))
     code = F.when(k % 3 == 0, F.concat(F.lit(" \n```python "), "p_name")).when(k % 3 == 1, F.col("p_name"))
-    error = F.when(k % 4 == 0, F.concat(F.lit(" ERROR: "), "p_name")).when(k % 4 == 1, F.concat(F.lit('{"error": "'), "p_name", F.lit('"}'))).otherwise(F.concat("p_name", F.lit(" error")))
+    said = ("Error: no ", "error x ", '{"errors": ["a"]} ', '{"errors": []} ', '{"error": "x"} ', " Error ")
+    error = F.concat(F.element_at(F.array(*map(F.lit, said)), (k % 6 + 1).cast("int")), "p_name")
     return f.table("part").select("p_partkey", text.normal_answer(answer).alias("answer"), text.not_code(code).alias("plain"), text.is_tool_error(error).alias("failed"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import strip
+from ..functions.text import GOLD_LETTER, strip
 
 #: One training sample of a participant; all turn_ arrays have one entry for each assistant message.
 TRAJECTORY = T.StructType(
@@ -61,22 +61,25 @@ def question_sessions(pool: DataFrame, limit: int = 0) -> DataFrame:
     The limit counts rows before those without title go, as `n_read` of the source does; 0 takes all.
     """
     text = lambda c: F.nullif(F.col(c), F.lit("")) if c in pool.columns else F.lit(None).cast("string")
-    solution, answer = F.coalesce(text("solution"), F.lit("")), text("answer")
+    solution, answer = F.coalesce(text("reference_solution"), text("solution"), F.lit("")), text("answer")
     reference = F.when(answer.isNotNull(), strip(F.concat(solution, F.lit("\n\nFinal answer: "), answer))).otherwise(solution)
     rows = pool.limit(limit) if limit else pool
-    out = rows.select(F.coalesce(text("problem"), text("title")).alias("title"), F.coalesce(text("description"), F.lit("")).alias("description"), reference.alias("reference_solution"))
+    out = rows.select(F.coalesce(text("title"), text("problem")).alias("title"), F.coalesce(text("description"), F.lit("")).alias("description"), reference.alias("reference_solution"))
     return out.filter(F.col("title").isNotNull())
 
 
-def choice_rows(pool: DataFrame, pattern: str = r"(?i)\\boxed\{\s*([A-D])\s*\}") -> DataFrame:
-    """Questions with a gold letter: that of the row, else the one that the pattern finds in its answer; others go."""
-    found = F.nullif(F.upper(F.regexp_extract(F.coalesce("answer", F.lit("")), pattern, 1)), F.lit(""))
+def choice_rows(pool: DataFrame, pattern: str = GOLD_LETTER) -> DataFrame:
+    """Questions with a gold letter: that of the row, else the one that the pattern finds first in its answer, in upper case as it stands; others go."""
+    found = F.nullif(F.regexp_extract(F.coalesce("answer", F.lit("")), pattern, 1), F.lit(""))
     own = F.nullif(F.col("gold_letter"), F.lit("")) if "gold_letter" in pool.columns else F.lit(None).cast("string")
     return pool.withColumn("gold_letter", F.coalesce(own, found)).filter("gold_letter is not null")
 
 
 def title_index(pool: DataFrame, order_col: str) -> DataFrame:
-    """One row for each title, the last by order_col, and `mode`: letter if any row has a gold letter, else boxed."""
+    """One row for each title, the last by order_col, and `mode`: letter if any row has a gold letter, else boxed. The title is the problem where the
+    row has one, else its title; rows without either go."""
+    text = lambda c: F.nullif(F.col(c), F.lit("")) if c in pool.columns else F.lit(None).cast("string")
+    pool = pool.withColumn("title", F.coalesce(text("problem"), text("title")))
     columns = [c for c in pool.columns if c != "title"]
     last = pool.filter("title is not null").groupBy("title").agg(F.max_by(F.struct(*columns), F.col(order_col)).alias("row"))
     mode = pool.agg(F.when(F.coalesce(F.bool_or(F.coalesce("gold_letter", F.lit("")) != ""), F.lit(False)), "letter").otherwise("boxed").alias("mode"))

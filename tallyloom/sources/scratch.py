@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _roots: dict[str, str] = {}
 
@@ -33,3 +34,18 @@ def scratch_root(spark: SparkSession) -> str:
         files.mkdirs(target)
         files.deleteOnExit(target)  # when the driver's JVM ends
     return _roots[app]
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written as Parquet in the application's folder and read again, so that all who read it see the same rows in the same partitions."""
+    path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_range_parts(df: DataFrame, order: list, label: str) -> DataFrame:
+    """df dealt into ranges of the order, with `_part`, the number of a row's range: no task sorts all rows.
+
+    The rows are written with their number: an exchange that is planned again may deal them otherwise.
+    """
+    return written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), label)

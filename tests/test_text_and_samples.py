@@ -57,10 +57,10 @@ def test_vote_language(spark, content, uses):
 @pytest.mark.parametrize(
     "f,given,wanted",
     [
-        (text.boxed_letter, r"\boxed{B} then \boxed{(c)}", "C"), (text.boxed_letter, "the answer is: d.", "D"), (text.boxed_letter, "nothing", None), (text.answer_letter, "answer is A. Answer is (b)", "B"),
+        (text.boxed_letter, r"\boxed{B} then \boxed{(c)}", "B"), (text.boxed_letter, "the answer is: d.", None), (text.boxed_letter, "Answer: B", "B"), (text.boxed_letter, "final answer ( B )", "B"), (text.answer_letter, "final answer B", None), (text.unboxed, r"\boxed{ 5 }", "5"), (text.is_tool_error, '{"errors": ["a"]}', True), (text.is_tool_error, '{"errors": []}', False), (text.is_tool_error, "error x", False), (text.to_integer, "9007199254740993", 9007199254740993), (text.to_integer, "3.5", None), (lambda c: text.first_text(c, ["a", "b", "c"]), '{"a":5,"b":{"a":1},"c":" x"}', "x"), (lambda c: text.first_integer(c, ["a", "b"]), '{"a":"3.5","b":"4"}', 4), (text.boxed_letter, "nothing", None), (text.answer_letter, "answer is A. Answer is (b)", "B"),
         (text.answer_letter, "none", None), (text.unboxed, r"\boxed{x+{1}}", "x+{1"), (text.unboxed, "plain", "plain"), (text.normal_answer, " $ A  B$ ", "a b"), (lambda c: text.truncated(c, 3), "abcd", "abc..."),
         (lambda c: text.truncated(c, 3), "abc", "abc"), (lambda c: text.tail(c, 2), "abcd", "cd"), (lambda c: text.category_prefix(c, 2), "a/b/c", "a/b"), (text.session_in_path, "/sessions/x1/posts", "x1"),
-        (text.session_in_path, "/admin/sessions/y", "y"), (text.session_in_path, "/users", None), (text.to_integer, "+3", 3), (text.to_integer, " -2.7 ", -2), (text.to_integer, "x", None), (text.to_integer, "", None),
+        (text.session_in_path, "/admin/sessions/y", "y"), (text.session_in_path, "/users", None), (text.to_integer, "+3", 3), (text.to_integer, " -2 ", -2), (text.to_integer, "x", None), (text.to_integer, "", None),
         (text.slot_index, "Name_7", 6), (text.slot_index, "Name", -1), (text.is_tool_error, "Error: no", True), (text.is_tool_error, "fine", False), (text.not_code, "```py", False), (text.not_code, None, True),
         (text.strip, "　a b \n", "a b"), (lambda c: text.first_text(c, ["content", "text"]), '{"content":"","text":" hi "}', "hi"), (lambda c: text.first_text(c, ["content", "text"]), '{"content":" ","text":"hi"}', ""),
         (lambda c: text.first_integer(c, ["value", "v"]), '{"value":"x","v":2.7}', 2),
@@ -151,6 +151,9 @@ def test_casts_choices_and_batches(spark):
         by_batch.setdefault(r.batch, []).append(r.n)
     assert [len(by_batch[k]) for k in sorted(by_batch)] == [8] * 6 + [2]
     assert all(max(by_batch[k]) <= min(by_batch[k + 1]) for k in range(6))
+    wide = spark.range(200_000).select((F.col("id") % 997).alias("n"), F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    placed = S.length_batches(wide, "k", "n", 16, "s")
+    assert placed.count() == 200_000 and placed.select("batch").distinct().count() == 12_500 and placed.groupBy("batch").count().filter("count <> 16").count() == 0
     drawn = S.python_choice(spark.createDataFrame([("name:x",)], "s string"), "s", ["a", "b", "c"]).first().choice
     import random
 
@@ -167,6 +170,10 @@ def test_scoring(spark):
     pred = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", None), ("d", "9"), ("e", "1")], "t string, prediction string")
     n = C.scoring_counters(C.scored_records(pred, gold, "t")).first()
     assert (n.n, n.n_no_match, n.n_no_gold, n.n_no_pred, n.n_scored, n.n_correct) == (5, 1, 1, 1, 3, 1) and n.accuracy == pytest.approx(1 / 3)
+    letters = C.scoring_counters(C.scored_records(spark.createDataFrame([("a", "b"), ("b", "C"), ("c", "x")], "t string, prediction string"), spark.createDataFrame([("a", "B"), ("b", "c"), ("c", "")], "t string, answer string"), "t")).first()
+    assert (letters.n_scored, letters.n_correct, letters.n_no_gold) == (2, 2, 1)
+    boxed = C.scoring_counters(C.scored_records(spark.createDataFrame([("a", " X  1")], "t string, prediction string"), spark.createDataFrame([("a", r"so \\boxed{ x 1 }")], "t string, answer string"), "t", mode="boxed")).first()
+    assert (boxed.n_scored, boxed.n_correct, boxed.n_no_gold) == (1, 1, 0)
     empty = C.scoring_counters(C.scored_records(pred.limit(0), gold, "t")).first()
     assert empty.accuracy == 0.0
     report = sinks.report(C.scored_records(pred, gold, "t").filter("scored"), "t").first()
@@ -209,7 +216,7 @@ def test_losses(spark):
     df = spark.createDataFrame(rows, "g int, pos int, mask int, log_p double, old_log_p double, ref_log_p double, advantage double")
     r = K.loss_stats(df, "g", beta=0.5).first()
     assert r.loss == pytest.approx((-2.0 - 2.5) / 2) and r.clipped_high == 0.5 and r.clipped_low == 0 and r.drift == pytest.approx(0.25)
-    assert r.kl == pytest.approx((0 + 2.718281828 ** -2 + 2 - 1) / 2) and r.total == pytest.approx(r.loss + 0.5 * r.kl)
+    assert r.kl == pytest.approx((0 + 2.718281828 ** 2 - 2 - 1) / 2) and r.total == pytest.approx(r.loss + 0.5 * r.kl)
     none = K.loss_stats(df.withColumn("mask", F.lit(0)), "g").first()
     assert none.loss == 0 and none.total == 0
 
@@ -223,16 +230,17 @@ def test_truncating_messages(spark):
 
 
 def test_readers(spark, tmp_path):
-    (tmp_path / "a.json").write_text(json.dumps([{"problem": "P", "solution": "S", "answer": "A", "gold_letter": ""}, {"title": "", "solution": "x"}, {"title": "T", "answer": r"\boxed{c}"}]))
+    (tmp_path / "a.json").write_text(json.dumps([{"problem": "P", "solution": "S", "answer": "A", "gold_letter": ""}, {"title": "", "solution": "x"}, {"title": "T", "answer": r"\boxed{C}"}, {"problem": "U", "title": "V", "solution": "x", "reference_solution": "y", "answer": r"\boxed{c}"}]))
     (tmp_path / "b.json").write_text(json.dumps([{"problem": "Q", "answer": "none", "gold_letter": "D"}]))
     pool = readers.question_pool(spark, [str(tmp_path / "a.json"), str(tmp_path / "b.json")])
-    assert pool.count() == 4
+    assert pool.count() == 5
     s = readers.question_sessions(pool).collect()
-    assert [(r.title, r.reference_solution) for r in s][0] == ("P", "S\n\nFinal answer: A") and len(s) == 3
+    assert [(r.title, r.reference_solution) for r in s][0] == ("P", "S\n\nFinal answer: A") and len(s) == 4 and ("V", "y\n\nFinal answer: \\boxed{c}") in [(r.title, r.reference_solution) for r in s]
     assert readers.question_sessions(pool, 2).count() == 1
     assert sorted(r.gold_letter for r in readers.choice_rows(pool).collect()) == ["C", "D"]
     index = readers.title_index(spark.createDataFrame([("x", "a", 1), ("x", "b", 2), ("y", "", 3)], "title string, gold_letter string, at int"), "at").collect()
     assert {(r.title, r.gold_letter, r["mode"]) for r in index} == {("x", "b", "letter"), ("y", "", "letter")}
+    assert readers.title_index(spark.createDataFrame([("p", "t", "", 1), ("", "t", "", 2), (None, "", "", 3)], "problem string, title string, gold_letter string, at int"), "at").select("title", "mode").collect() == [("p", "boxed"), ("t", "boxed")]
     (tmp_path / "f.txt").write_text("a: 1\nnothing\nb: x: y\na: 2\n")
     assert {r.key: r.value for r in readers.key_values(spark, str(tmp_path / "f.txt")).collect()} == {"a": "2", "b": "x: y"}
     assert readers.layered({"a": 1, "b": 2}, {"b": 3}) == {"a": 1, "b": 3}
