@@ -79,8 +79,7 @@ _ORDER = ("created_at", "type_rank", "order_id", "entry_id", "author")
 
 
 def session_entries(posts: DataFrame, comments: DataFrame | None = None, votes: DataFrame | None = None) -> DataFrame:
-    """The timeline that all viewers of a session share, numbered and put in order once: local ids, place from 1, and for votes
-    the target's sum up to and with them (running). comments and votes have session_id."""
+    """The timeline that all viewers of a session share, numbered and put in order once: local ids and place from 1. comments and votes have session_id."""
     session = Window.partitionBy("session_id")
     numbered = posts.withColumn("local_id", F.row_number().over(session.orderBy("post_id")))
     if comments is not None:
@@ -90,34 +89,26 @@ def session_entries(posts: DataFrame, comments: DataFrame | None = None, votes:
     if votes is not None and "previous_value" not in votes.columns:
         votes = votes.withColumn("previous_value", F.lit(None).cast("int"))
     entries = timeline(numbered, comments, votes, ("session_id",))
-    entries = entries.withColumn("place", F.row_number().over(session.orderBy(*_ORDER)))
-    if votes is not None:
-        upto = Window.partitionBy("session_id", "target_type", "target_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-        entries = entries.withColumn("running", F.when(F.col("kind") == "vote", F.sum("value").over(upto)))
-    return entries
+    return entries.withColumn("place", F.row_number().over(session.orderBy(*_ORDER)))
 
 
 def viewed(entries: DataFrame) -> DataFrame:
-    """Session entries as each of the session's actors with posts sees them, with the columns of turn_segments and cur_score.
+    """Session entries as each of the session's actors with posts sees them, with the columns of turn_segments and, for votes of others, cur_score.
 
-    Each entry meets each viewer in one join by session: the viewer's turn is the number of own posts at earlier places, and the sum that
-    it sees for a vote is the running one less its own votes so far. So nothing is sorted or dealt anew for each viewer.
+    A viewer's row for an entry holds nothing of the viewer's other rows: the turn is a running count of own posts, and cur_score a running sum of the votes of others on
+    the target, both over the rows of one viewer in the order of places. So time and space grow with the rows that are shown, however many posts and
+    votes a viewer has.
     """
     own = (F.col("kind") == "post") & (F.col("author_role") == "actor")
-    viewers = entries.filter(own).groupBy("session_id", F.col("author").alias("viewer")).agg(F.collect_list("place").alias("_places"))
-    votes = "running" in entries.columns
-    if votes:
-        vote = F.struct("target_type", "target_id", "place", F.col("value").cast("long").alias("value"))
-        given = entries.filter("kind = 'vote'").groupBy("session_id", F.col("author").alias("viewer")).agg(F.collect_list(vote).alias("_given"))
-        viewers = viewers.join(given, ["session_id", "viewer"], "left")
-    rows = entries.join(viewers, "session_id")
-    rows = rows.withColumn("is_self", own & (F.col("author") == F.col("viewer"))).withColumn("turns", F.size("_places").cast("long"))
-    rows = rows.withColumn("turn", F.size(F.filter("_places", lambda x: x < F.col("place"))).cast("long")).drop("_places")
-    if votes:
-        mine = F.filter("_given", lambda x: (x["target_id"] == F.col("target_id")) & (x["target_type"] == F.col("target_type")) & (x["place"] <= F.col("place")))
-        less = F.when(F.col("_given").isNull(), F.lit(0)).otherwise(F.aggregate(mine, F.lit(0).cast("long"), lambda done, x: done + x["value"]))
-        rows = rows.withColumn("cur_score", F.when(F.col("kind") == "vote", F.col("running") - less)).drop("_given", "running")
-    return rows
+    viewers = entries.filter(own).groupBy("session_id", F.col("author").alias("viewer")).agg(F.count("*").alias("turns"))
+    rows = entries.join(viewers, "session_id").withColumn("is_self", own & (F.col("author") == F.col("viewer")))
+    by = Window.partitionBy("session_id", "viewer")
+    if "value" in entries.columns:
+        of_target = Window.partitionBy("session_id", "viewer", "target_type", "target_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+        others = F.when(F.col("author") != F.col("viewer"), F.col("value").cast("long"))
+        rows = rows.withColumn("cur_score", F.when(F.col("kind") == "vote", F.sum(others).over(of_target)))
+    before = F.sum(F.col("is_self").cast("int")).over(by.orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("turn", F.coalesce(before, F.lit(0)))
 
 
 #: Columns that a timeline lacks without comments or votes.
@@ -201,20 +192,27 @@ def trajectories(entries: DataFrame, sessions: DataFrame, rewards: DataFrame, na
     """
     shared, votes = "viewer" not in entries.columns, "value" in entries.columns
     entries = entries.withColumns({c: F.lit(None).cast(kind) for c, kind in _ABSENT.items() if c not in entries.columns})
-    entries = entries.join(sessions.select("session_id", F.col("title").alias("_title")), "session_id")
+    heads = sessions.select("session_id", F.col("title").alias("_title"))  # what a session's entries and turns share
     if names is not None:
         maps = names.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "alias"))).alias("_names"))
-        entries = entries.join(maps, "session_id", "left")
+        heads = heads.join(maps, "session_id", "left")
         known = F.col("_names")
         alias = lambda c: F.coalesce(F.when(known.isNotNull(), F.try_element_at(known, c)), c)
-        entries = entries.withColumn("content", substitute_names(F.col("content"), known)).withColumn("_shown_title", substitute_names(F.col("_title"), known))
+        entries = entries.join(heads, "session_id").withColumn("content", substitute_names(F.col("content"), known))
+        heads = heads.withColumn("_shown_title", substitute_names(F.col("_title"), known))
     else:
         alias = lambda c: c
-        entries = entries.withColumn("_shown_title", F.col("_title"))
+        entries = entries.join(heads, "session_id")
+        heads = heads.withColumn("_shown_title", F.col("_title"))
     seed = F.col("_title")
     keys = [c for c in ("session_id",) if c in rewards.columns]
     given = rewards.select(*keys, F.lit("post").alias("kind"), F.col("post_id").alias("entry_id"), "reward", "advantage")
     entries = wordings(entries, seed, alias(F.col("author")), F.col("content"), votes).join(given, [*keys, "kind", "entry_id"], "left")
+    # each entry is copied for each viewer, so it carries no more than what a viewer's turn is made of
+    posted = (F.col("kind") == "post") & (F.col("author_role") == "actor")
+    entries = entries.withColumn("content", F.when(posted, strip(F.col("content")))).withColumn("_own_text", F.when(~posted, F.col("_own_text")))
+    needed = ["session_id", "viewer", *_ORDER, "place", "kind", "author_role", "value", "target_type", "target_id", "content", "_text", "_own_text", "reward", "advantage"]
+    entries = entries.select(*(c for c in needed if c in entries.columns))
     if shared:
         seg = viewed(entries)
         seg = seg.filter(~((F.col("kind") == "vote") & (F.col("author") == F.col("viewer")))) if votes else seg
@@ -225,14 +223,13 @@ def trajectories(entries: DataFrame, sessions: DataFrame, rewards: DataFrame, na
     text = F.when(F.col("author") == F.col("viewer"), F.col("_own_text")).otherwise(F.col("_text"))
     if votes:
         text = F.when(F.col("kind") == "vote", _fill(F.col("_text"), cur=score_text(F.col("cur_score")))).otherwise(text)
-    live = seg.filter(F.col("turn") < F.col("turns")).withColumn("_shown", F.when(~F.col("is_self"), text)).withColumn("_alias", alias(F.col("viewer")))
+    live = seg.filter(F.col("turn") < F.col("turns")).withColumn("_shown", F.when(~F.col("is_self"), text))
     # keyed by session and viewer, so that the rows stay where they lie
     turn = live.groupBy("session_id", "viewer", "turn").agg(
-        F.first("_title").alias("_title"), F.first("_shown_title").alias("_shown_title"), F.first("_alias").alias("_alias"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~F.col("is_self"), F.struct("place", "_shown")))), lambda x: x["_shown"]), "\n").alias("updates"),
-        F.max(F.when(F.col("is_self"), F.struct(F.col("entry_id").alias("post_id"), strip(F.col("content")).alias("content"), "reward", "advantage"))).alias("own"),
+        F.max(F.when(F.col("is_self"), F.struct(F.col("entry_id").alias("post_id"), "content", "reward", "advantage"))).alias("own"),
     )
-    turn = turn.select("session_id", "viewer", "_title", "_shown_title", "_alias", "turn", strip(F.col("updates")).alias("updates"), "own.*")
+    turn = turn.join(heads, "session_id").select("session_id", "viewer", "_title", "_shown_title", alias(F.col("viewer")).alias("_alias"), "turn", strip(F.col("updates")).alias("updates"), "own.*")
     following = pick("section_next", seed)
     first = F.concat_ws("\n", _fill(pick("prompt_intro", seed), name=F.col("_alias")), F.lit(""), pick("section_problem", seed), F.lit(""), strip(F.col("_shown_title")), F.lit(""), F.when(F.col("updates") != "", F.concat(pick("section_discussion", seed), F.lit("\n\n"), F.col("updates"), F.lit("\n"))), following)
     later = F.concat(F.when(F.col("updates") == "", pick("no_new_content", seed)).otherwise(F.col("updates")), F.lit("\n\n"), following)

@@ -67,12 +67,8 @@ def running_scores(votes: DataFrame, order: str = "vote_id") -> DataFrame:
 def viewer_running_scores(votes: DataFrame, viewers: DataFrame, order: str = "vote_id") -> DataFrame:
     """What each viewer of a session sees: votes of others with the running sum for the target, own votes left out.
 
-    The sum without own votes is that of all, worked out once, less that of the viewer's own so far. Only the rows that are shown are copied.
+    Each row that is shown stands for itself in one running sum a viewer and target, so time and space grow with the rows shown.
     """
-    place = F.struct(F.col(order), F.col("voter"))
-    vote = F.struct("target_type", "target_id", place.alias("place"), F.col("value").cast("long").alias("value"))
-    given = votes.groupBy("session_id", F.col("voter").alias("viewer")).agg(F.collect_list(vote).alias("_given"))
-    seen = running_scores(votes, order).join(viewers.join(given, ["session_id", "viewer"], "left"), "session_id").filter(F.col("voter") != F.col("viewer"))
-    mine = F.filter("_given", lambda x: (x["target_id"] == F.col("target_id")) & (x["target_type"] == F.col("target_type")) & (x["place"] <= place))
-    less = F.when(F.col("_given").isNull(), F.lit(0)).otherwise(F.aggregate(mine, F.lit(0).cast("long"), lambda done, x: done + x["value"]))
-    return seen.withColumn("cur_score", F.col("cur_score") - less).drop("_given")
+    seen = votes.join(viewers, "session_id").filter(F.col("voter") != F.col("viewer"))
+    upto = Window.partitionBy("session_id", "viewer", "target_type", "target_id").orderBy(order, "voter").rowsBetween(Window.unboundedPreceding, 0)
+    return seen.withColumn("cur_score", F.sum("value").over(upto))
