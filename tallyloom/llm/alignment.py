@@ -2,7 +2,7 @@
 
 Two tokens are linked if their byte ranges overlap; the connected components of these links are the minimal groups, since a
 place where tokens of both sides end is spanned by no link. Neither vocabulary joins a space to what stands before it,
-so texts are cut before spaces, and each distinct word of a task is aligned once.
+so texts are cut before spaces, and each distinct word of a portion of texts is aligned once.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import map_arrow
-from .batches import array_of, portions
+from .batches import array_of, decimal_text, gathered, portions, slices
 from .bpe import ByteBPE
 from .scratch import materialize, tidy
 
@@ -71,90 +72,99 @@ def minimal_groups(n_a: int, n_b: int, i: np.ndarray, j: np.ndarray) -> tuple[np
 
 
 class Aligner:
-    """Aligns texts by a byte-level vocabulary (A) and a sentencepiece model (B). What distinct words give is remembered, up to a bound."""
+    """Aligns words by a byte-level vocabulary (A) and a sentencepiece model (B)."""
 
-    def __init__(self, model_a: str, model_b: bytes, remembered: int = 150_000):
+    def __init__(self, model_a: str, model_b: bytes):
         import sentencepiece
 
         spec = json.loads(model_a)
         spec["added_tokens"], spec["post_processor"] = [], None  # special tokens' strings are plain text
         self._a = ByteBPE(json.dumps(spec))
+        self._a.forget()
         self._b = sentencepiece.SentencePieceProcessor(model_proto=model_b)
         pieces = [self._b.id_to_piece(k) for k in range(self._b.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
             raise ValueError("pieces that hold a space after other characters aren't supported")
-        self._b_bytes = [bytes([int(p[3:5], 16)]) if self._b.is_byte(k) else b"" if self._b.is_control(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
-        self._b_lengths = np.array([len(x) for x in self._b_bytes])
-        self._a_lengths = np.array([len(x) for x in self._a.table])
+        self._space = self._b.piece_to_id("▁")
+        b_bytes = [bytes([int(p[3:5], 16)]) if self._b.is_byte(k) else b"" if self._b.is_control(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
+        self._sides = []  # of A and B: each id's length, and its bytes in one array
+        for table in (self._a.table, b_bytes):
+            lengths = np.array([len(x) for x in table], dtype=np.int64)
+            self._sides.append((lengths, np.frombuffer(b"".join(table), dtype=np.uint8), np.cumsum(lengths) - lengths))
         self.width = len(pieces)  # a pair's key is a * width + b
-        self._remembered, self._known = remembered, {}
 
     def words(self, text: str) -> list[str]:
         return _BREAK.split(" " + text)
 
-    def align(self, words: list[str]) -> list[tuple[np.ndarray, bytes, bytes, bool]]:
-        """For each word, which starts with a space: the numbers of A and B tokens, groups and links; the groups as text; the links' keys as bytes
-        in order; whether both sides give the word's bytes."""
-        known = self._known
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > self._remembered:
-            known.clear()
-            new = list(dict.fromkeys(words))
-        for s in range(0, len(new), 8192):
-            self._learn(new[s : s + 8192])
-        return [known[w] for w in words]
-
-    def _encode(self, words: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        a = [self._a.ids_of(w) for w in words if w[-1].isspace()]
-        whole = [w for w in words if not w[-1].isspace()]
-        if whole:  # one text, as neither side joins words; told apart by bytes
-            ids = self._a.ids_of("".join(whole))
-            ends = np.cumsum([len(w.encode()) for w in whole])
-            cuts = np.searchsorted(np.cumsum(self._a_lengths[ids]), ends) + 1
-            whole_ids = iter(np.split(ids, cuts[:-1]))
-            loose = iter(a)
-            a = [next(loose) if w[-1].isspace() else next(whole_ids) for w in words]
-        b = self._b.encode([w[1:] for w in words], num_threads=1)
-        # the model adds the first space, but for an empty text
-        b = [np.array(x if w != " " else self._space(), dtype=np.int64) for x, w in zip(b, words, strict=True)]
-        return a, b
-
-    def _space(self) -> list[int]:
-        return [self._b.piece_to_id("▁")]
-
-    def _learn(self, words: list[str]) -> None:
-        a, b = self._encode(words)
-        n_a, n_b = (np.array([len(x) for x in side], dtype=np.int64) for side in (a, b))
-        ids_a, ids_b = np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)
+    def _encode(self, words: list[str], size: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and for B the ids of all words, one after the other, and their numbers; each word starts with a space and is of `size` bytes."""
+        ragged = [k for k, w in enumerate(words) if w[-1].isspace()]
+        if ragged:  # what follows white space may join it
+            single = [self._a.ids_of(w) for w in words]
+            a = np.concatenate(single).astype(np.int64), np.array([len(x) for x in single], dtype=np.int64)
+        else:  # one text, as no token spans two words; told apart by bytes
+            ids = self._a.ids_of("".join(words)).astype(np.int64)
+            stops = np.searchsorted(np.cumsum(self._sides[0][0][ids]), np.cumsum(size)) + 1
+            a = ids, np.diff(stops, prepend=0)
+        lists = self._b.encode([w[1:] for w in words], num_threads=1)
+        for k in ragged:
+            if words[k] == " ":  # the model adds the first space, but to an empty text
+                lists[k] = [self._space]
+        counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        return [a, (np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=int(counts.sum())), counts)]
+
+    def align(self, words: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+        """For distinct words that start with a space: the numbers of A and B tokens, groups and links (words x 4), each one's groups as text, the keys of the
+        links of all words in order, and whether both sides give the word's bytes."""
+        portions_ = [self._align(words[s : s + 16384]) for s in range(0, len(words), 16384)]
+        if not portions_:
+            return np.zeros((0, 4), dtype=np.int64), [], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+        numbers, shown, keys, fine = zip(*portions_, strict=True)
+        return np.concatenate(numbers), list(chain.from_iterable(shown)), np.concatenate(keys), np.concatenate(fine)
+
+    def _align(self, words: list[str]):
+        loose = [k for k, w in enumerate(words) if w[-1].isspace()]
+        if loose and len(loose) < len(words):  # those that end in white space by themselves, so that the others are encoded as one text
+            whole = sorted(set(range(len(words))) - set(loose))
+            numbers, shown, fine = np.zeros((len(words), 4), dtype=np.int64), [b""] * len(words), np.zeros(len(words), dtype=bool)
+            keys: list = [None] * len(words)
+            for some in (whole, loose):
+                n, text, k, good = self._align([words[x] for x in some])
+                numbers[some], fine[some] = n, good
+                for x, t, link in zip(some, text, np.split(k, np.cumsum(n[:, 3])[:-1]), strict=True):
+                    shown[x], keys[x] = t, link
+            return numbers, shown, np.concatenate(keys), fine
         raw = [w.encode() for w in words]
-        size = np.array([len(r) for r in raw], dtype=np.int64)
+        size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        joined = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        owner = np.repeat(np.arange(len(words)), size)
         fine = np.ones(len(words), dtype=bool)
-        for lengths, ids, table, n in ((self._a_lengths, ids_a, self._a.table, n_a), (self._b_lengths, ids_b, self._b_bytes, n_b)):
-            ends = np.cumsum(n)
+        encoded = self._encode(words, size)
+        for (ids, counts), (lengths, flat, starts) in zip(encoded, self._sides, strict=True):
             total = np.concatenate([[0], np.cumsum(lengths[ids])])
-            fine &= total[ends] - total[ends - n] == size
-            if b"".join([table[k] for k in ids.tolist()]) != b"".join(raw):
-                stops = ends.tolist()
-                fine &= [b"".join([table[k] for k in ids[s:e].tolist()]) == r for s, e, r in zip([0, *stops[:-1]], stops, raw, strict=True)]
-        keep_a, keep_b = np.repeat(fine, n_a), np.repeat(fine, n_b)
-        ids_a, ids_b, n_a, n_b = ids_a[keep_a], ids_b[keep_b], n_a * fine, n_b * fine
-        i, j = overlaps(np.cumsum(self._a_lengths[ids_a]), np.cumsum(self._b_lengths[ids_b]))
+            ends = np.cumsum(counts)
+            same = total[ends] - total[ends - counts] == size
+            fine &= same
+            back = gathered(flat, starts[ids], lengths[ids])
+            if same.all():
+                fine[owner[back != joined]] = False
+            else:
+                cut = np.split(back, total[ends][:-1])
+                fine &= [a.tobytes() == b for a, b in zip(cut, raw, strict=True)]
+        (ids_a, n_a), (ids_b, n_b) = ((ids[np.repeat(fine, counts)], counts * fine) for ids, counts in encoded)
+        i, j = overlaps(np.cumsum(self._sides[0][0][ids_a]), np.cumsum(self._sides[1][0][ids_b]))
         group_a, group_b = minimal_groups(len(ids_a), len(ids_b), i, j)
-        keys = ids_a[i] * self.width + ids_b[j]
         word_a = np.repeat(np.arange(len(words)), n_a)
-        n_links = np.bincount(word_a[i], minlength=len(words))
-        first = np.flatnonzero(np.concatenate([[True], group_a[1:] != group_a[:-1]])) if len(group_a) else group_a
-        n_groups = np.bincount(word_a[first], minlength=len(words))
-        # the text of each group, then of each word
-        count = len(first)
-        ends_a, ends_b = (np.searchsorted(g, np.arange(count), side="right").tolist() for g in (group_a, group_b))
-        shown_a, shown_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-        shown = [f"{','.join(shown_a[p:q])}|{','.join(shown_b[s:e])}" for p, q, s, e in zip([0, *ends_a], ends_a, [0, *ends_b], ends_b, strict=False)]
-        numbers = np.stack([n_a, n_b, n_groups, n_links], axis=1)
-        links, at, link = keys.tobytes(), 0, 0
-        for k, (w, g, n, good) in enumerate(zip(words, n_groups.tolist(), n_links.tolist(), fine.tolist(), strict=True)):
-            self._known[w] = (numbers[k], ";".join(shown[at : at + g]).encode(), links[8 * link : 8 * (link + n)], good)
-            at, link = at + g, link + n
+        first = np.flatnonzero(np.diff(group_a, prepend=-1))
+        numbers = np.stack([n_a, n_b, np.bincount(word_a[first], minlength=len(words)), np.bincount(word_a[i], minlength=len(words))], axis=1)
+        # the groups as text: the ids of both sides by group, each with what follows it
+        place = np.concatenate([2 * group_a, 2 * group_b + 1])
+        order = np.argsort(place, kind="stable")
+        place, ids = place[order], np.concatenate([ids_a, ids_b])[order]
+        step = np.diff(place, append=-1)
+        text, ends = decimal_text(ids, np.where(step == 0, ord(","), np.where((step == 1) & (place % 2 == 0), ord("|"), ord(";"))).astype(np.uint8))
+        upto = np.cumsum(n_a + n_b)
+        return numbers, slices(text, np.concatenate([[0], ends])[upto], 1), ids_a[i] * self.width + ids_b[j], fine
 
 
 _loaded: dict[str, Aligner] = {}
@@ -169,11 +179,10 @@ def load(model_a: str, model_b: bytes) -> Aligner:
 
 
 def align_texts(aligner: Aligner, texts: pa.Array):
-    """For each text of a string array (null as empty): numbers of A and B tokens, groups and links (n x 4), the groups as bytes, and the links' keys, with the
-    numbers of links as ends. A text that either side can't give back has none of them."""
+    """For each text of a string array (null as empty): numbers of A and B tokens, groups and links (n x 4), the groups as bytes, and the links' keys. A text that either side can't give back has none of them."""
     texts = pc.fill_null(texts, "")
     n = len(texts)
-    numbers, groups, keys = np.zeros((n, 4), dtype=np.int64), [b""] * n, [b""] * n
+    numbers, groups, keys = np.zeros((n, 4), dtype=np.int64), [b""] * n, [np.zeros(0, dtype=np.int64)] * n
     uneven = pc.match_substring_regex(texts, _UNEVEN).to_numpy(zero_copy_only=False)
     lists: list[tuple[int, list[int]]] = []
     vocabulary: dict[str, int] = {}
@@ -187,12 +196,8 @@ def align_texts(aligner: Aligner, texts: pa.Array):
         lists = [(row, at[s:e]) for row, s, e in zip(rows.tolist(), offsets, offsets[1:], strict=False)]
     for row in np.flatnonzero(uneven).tolist():
         lists.append((row, [vocabulary.setdefault(w, len(vocabulary)) for w in aligner.words(texts[row].as_py())]))
-    known = aligner.align(list(vocabulary))
-    if not known:
-        return numbers, groups, keys
-    figures = np.stack([k[0] for k in known])
-    shown, links = [k[1] for k in known], [k[2] for k in known]
-    good = np.array([k[3] for k in known])
+    figures, shown, links, good = aligner.align(list(vocabulary))
+    starts = np.cumsum(figures[:, 3]) - figures[:, 3]
     empty = (pc.binary_length(texts).to_numpy(zero_copy_only=False) == 0).tolist()
     for row, words in lists:
         at = np.array(words)
@@ -200,7 +205,7 @@ def align_texts(aligner: Aligner, texts: pa.Array):
             continue
         numbers[row] = figures[at].sum(axis=0)
         groups[row] = b";".join([shown[k] for k in words])
-        keys[row] = b"".join([links[k] for k in words])
+        keys[row] = gathered(links, starts[at], figures[at, 3])
     return numbers, groups, keys
 
 
@@ -231,7 +236,7 @@ def align_corpus(docs: DataFrame, model_a: str, model_b: bytes, id_col: str = "d
         number = TaskContext.get().partitionId() << 32
         for k, table in enumerate(portions(batches, portion)):
             numbers, groups, keys = align_texts(aligner, array_of(table, "text"))
-            rows = [np.unique(np.frombuffer(x, dtype=np.int64), return_counts=True) for x in keys]
+            rows = [np.unique(x, return_counts=True) for x in keys]
             ends = np.cumsum([0] + [len(r[0]) for r in rows]).astype(np.int32)
             pairs, place, held = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True, return_counts=True)
             place = place.astype(np.int32)

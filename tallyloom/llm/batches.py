@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 
 
@@ -26,3 +27,27 @@ def array_of(table: pa.Table, column: str) -> pa.Array:
     if not isinstance(whole, pa.ChunkedArray):
         return whole
     return pa.concat_arrays(whole.chunks) if whole.num_chunks else pa.array([], whole.type)
+
+
+def decimal_text(values: np.ndarray, separators: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Numbers below 10^9 in decimal, each followed by its separator (a byte), as one text, and where each number's part ends."""
+    places = 10 ** np.arange(max(1, len(str(int(values.max(initial=0))))) - 1, -1, -1, dtype=np.int64)
+    shown = np.empty((len(values), len(places) + 1), dtype=np.uint8)
+    shown[:, :-1] = values[:, None] // places % 10 + 48
+    shown[:, -1] = separators
+    kept = np.ones(shown.shape, dtype=bool)
+    kept[:, :-1] = values[:, None] >= places
+    kept[:, -2] = True
+    return shown[kept].tobytes(), np.cumsum(kept.sum(axis=1))
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ranges [start, start + length) of flat, one after the other."""
+    ends = np.cumsum(lengths)
+    return flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def slices(raw: bytes, ends: np.ndarray, less: int = 0) -> list[bytes]:
+    """raw cut at the ends, without the last `less` bytes of each part that has any."""
+    stops = ends.tolist()
+    return [raw[a : max(a, b - less)] for a, b in zip([0, *stops[:-1]], stops, strict=True)] if stops else []

@@ -89,6 +89,10 @@ class ByteBPE:
                 known[piece] = self.ids_of(piece).tobytes()
         return np.frombuffer(b"".join([known[p] for p in pieces]), dtype="<u4")
 
+    def forget(self) -> None:
+        """Let the library keep no words of its own, for callers that encode each word once."""
+        self._tokenizer.model._resize_cache(0)
+
     def ids_of(self, text: str) -> np.ndarray:
         """The ids of a text, nothing remembered."""
         return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
