@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..shipping import map_arrow
-from .batches import array_of, portions
+from .batches import array_of, decimal_text, gathered, portions, slices
 from .bpe import byte_characters
-from .packing import _OTHER, _PIECES, PieceEncoder
+from .packing import _OTHER, _PIECES
 
 
 class PairIndex:
@@ -108,14 +108,19 @@ class PairIndex:
         return symbol[:n][there].astype("<u4"), np.bincount(owner[there], minlength=len(pieces))
 
 
-class PairEncoder(PieceEncoder):
-    """Ids of whole texts as PieceEncoder gives them, and as the library's, merged by the pair index; tokens and ids back to text."""
+class PairEncoder:
+    """Ids of whole texts by a lower-casing tokenizers vocabulary of words with ends, and back: as the library gives them, merged by the pair index.
+
+    Texts of common letters and signs are cut into pieces by Arrow, others word by word by the library's normalizer and pre-tokenizer. A portion's
+    distinct pieces are merged together; what they give is remembered, up to a bound.
+    """
 
     def __init__(self, model: str, remembered: int = 150_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(model)
-        self._remembered, self._known = remembered, {}
+        self._remembered = remembered
+        self._known: dict[bytes, bytes] = {}
         spec = json.loads(model)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self._index = PairIndex(spec["model"]["vocab"], merges, spec["model"]["end_of_word_suffix"] or "")
@@ -125,8 +130,9 @@ class PairEncoder(PieceEncoder):
         self.tokens = [""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             self.tokens[i] = token
-        self._numbers = [str(i) for i in range(len(self.tokens))]
-        self._shown: dict[bytes, tuple[bytes, bytes]] = {}
+        table = [t.encode() + b" " for t in self.tokens]
+        self._lengths = np.array([len(t) for t in table], dtype=np.int64)
+        self._bytes, self._starts = np.frombuffer(b"".join(table), dtype=np.uint8), np.cumsum(self._lengths) - self._lengths
 
     def _cut(self, word: str) -> list[bytes | int]:
         """A word's pieces as bytes, and the ids of the special tokens in it, in order."""
@@ -140,60 +146,79 @@ class PairEncoder(PieceEncoder):
             word = word[at + len(special) :]
         return found
 
-    def _learn(self, words: list[str], plain: bool) -> None:
-        if plain:
-            cut = [[p.encode() for p in _PIECES.findall(w.lower())] for w in words]
-        else:
-            cut = [self._cut(w) for w in words]
-        pieces = list({p for x in cut for p in x if isinstance(p, bytes)})
-        ids, counts = self._index.encode(pieces)
-        raw, ends = ids.tobytes(), (4 * np.cumsum(counts)).tolist()
-        made: dict = dict(zip(pieces, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True)) if pieces else {}
-        made |= {i: np.array([i], dtype="<u4").tobytes() for i in self._special.values()}
-        self._known.update((w, b"".join([made[p] for p in x])) for w, x in zip(words, cut, strict=True))
+    def pieces(self, texts: pa.Array) -> tuple[list[bytes | int], list[list[int]]]:
+        """The distinct pieces of all texts (special tokens as their ids), and each text's pieces by number. Null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        other = pc.match_substring_regex(texts, _OTHER).to_numpy(zero_copy_only=False)
+        number: dict[bytes | int, int] = {}
+        out: list[list[int]] = [[] for _ in range(len(texts))]
+        for rows, plain in ((np.flatnonzero(~other), True), (np.flatnonzero(other), False)):
+            if not len(rows):
+                continue
+            some = texts.take(pa.array(rows))
+            if plain:
+                some = pc.replace_substring_regex(pc.utf8_lower(some), f"({_PIECES.pattern})", r"\1 ")
+            words = pc.ascii_split_whitespace(some)
+            numbered = words.flatten().dictionary_encode()
+            places = numbered.indices.to_numpy(zero_copy_only=False).tolist()
+            offsets = words.offsets.to_numpy()
+            offsets = (offsets - offsets[0]).tolist()
+            if plain:
+                own = [number.setdefault(p.encode(), len(number)) for p in numbered.dictionary.to_pylist() if p]
+                blank = len(own) < len(numbered.dictionary)  # the library's own end of a text that ends in white space
+                if blank:
+                    gap = numbered.dictionary.to_pylist().index("")
+                    own.insert(gap, -1)
+                for row, s, e in zip(rows.tolist(), offsets, offsets[1:], strict=False):
+                    mine = [own[k] for k in places[s:e]]
+                    out[row] = [k for k in mine if k >= 0] if blank else mine
+            else:
+                own_ = [[number.setdefault(p, len(number)) for p in self._cut(w)] for w in numbered.dictionary.to_pylist()]
+                for row, s, e in zip(rows.tolist(), offsets, offsets[1:], strict=False):
+                    out[row] = [p for k in places[s:e] for p in own_[k]]
+        return list(number), out
+
+    def ids_of(self, pieces: list[bytes | int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after the other, and the number of each piece's ids."""
+        known = self._known
+        new = [p for p in pieces if isinstance(p, bytes) and p not in known]
+        if len(known) + len(new) > self._remembered:
+            known.clear()
+            new = [p for p in pieces if isinstance(p, bytes)]
+        if new:
+            ids, counts = self._index.encode(new)
+            known.update(zip(new, slices(ids.tobytes(), 4 * np.cumsum(counts)), strict=True))
+        found = [known[p] if isinstance(p, bytes) else np.array([p], dtype="<u4").tobytes() for p in pieces]
+        return np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), dtype=np.int64, count=len(found)) >> 2
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string array; null counts as empty."""
+        pieces, places = self.pieces(texts)
+        ids, counts = self.ids_of(pieces)
+        starts = np.cumsum(counts) - counts
+        return [gathered(ids, starts[mine], counts[mine]) if mine else ids[:0] for mine in places]
 
     def decode(self, ids) -> str:
         """The tokens joined by spaces, special ones too, as a vocabulary without a decoder gives them back."""
         return " ".join([self.tokens[i] for i in ids])
 
     def digest_all(self, texts: pa.Array) -> list[tuple[int, str, str]]:
-        """For each text: the number of its ids, the hash of the decimal ids joined by spaces, and that of the decoded text."""
-        texts = pc.fill_null(texts, "")
-        out: list = []
-        words = pc.ascii_split_whitespace(texts)
-        numbered = words.flatten().dictionary_encode()
-        distinct = numbered.dictionary.to_pylist()
-        other = pc.match_substring_regex(numbered.dictionary, _OTHER).to_numpy(zero_copy_only=False)
-        found: list = [b""] * len(distinct)
-        for rows, plain in ((np.flatnonzero(~other), True), (np.flatnonzero(other), False)):
-            if not len(rows):
-                continue
-            ids, lengths = self._ids_of([distinct[k] for k in rows.tolist()], plain)
-            raw, ends = ids.tobytes(), (4 * np.cumsum(lengths)).tolist()
-            for k, s, e in zip(rows.tolist(), [0, *ends[:-1]], ends, strict=True):
-                found[k] = raw[s:e]
-        if len(self._shown) > self._remembered:
-            self._shown.clear()
-        shown = []
-        for raw in found:
-            known = self._shown.get(raw)
-            if known is None:
-                ids = np.frombuffer(raw, dtype="<u4").tolist()
-                known = self._shown[raw] = (" ".join([self._numbers[i] for i in ids]).encode(), self.decode(ids).encode())
-            shown.append(known)
-        numbers, backs = [s[0] for s in shown], [s[1] for s in shown]
-        lengths = np.array([len(raw) >> 2 for raw in found], dtype=np.int64)
-        at = numbered.indices.to_numpy(zero_copy_only=False)
-        at_lengths = lengths[at] if len(at) else np.zeros(0, np.int64)
-        offsets = words.offsets.to_numpy()
-        offsets = (offsets - offsets[0]).tolist()
-        upto = np.concatenate([[0], np.cumsum(at_lengths)]).tolist()
-        places, some = at.tolist(), at_lengths.all()
-        for s, e in zip(offsets, offsets[1:], strict=False):
-            mine = places[s:e]
-            if not some:  # words that give no token
-                mine = [k for k in mine if lengths[k]]
-            out.append((upto[e] - upto[s], hashlib.sha256(b" ".join([numbers[k] for k in mine])).hexdigest(), hashlib.sha256(b" ".join([backs[k] for k in mine])).hexdigest()))
+        """For each text: the number of its ids, the hash of the decimal ids joined by spaces, and that of the decoded text. The ids and tokens of
+        each distinct piece are written once."""
+        pieces, places = self.pieces(texts)
+        ids, counts = self.ids_of(pieces)
+        upto = np.cumsum(counts)
+        text, ends = decimal_text(ids.astype(np.int64), np.full(len(ids), ord(" "), dtype=np.uint8))
+        numbers = slices(text, np.concatenate([[0], ends])[upto], 1)
+        lengths = self._lengths[ids]
+        back = gathered(self._bytes, self._starts[ids], lengths).tobytes()
+        backs = slices(back, np.concatenate([[0], np.cumsum(lengths)])[upto], 1)
+        out, some = [], counts.all()
+        for mine in places:
+            if not some:  # pieces that give no token
+                mine = [k for k in mine if counts[k]]
+            n = int(counts[mine].sum()) if mine else 0
+            out.append((n, hashlib.sha256(b" ".join([numbers[k] for k in mine])).hexdigest(), hashlib.sha256(b" ".join([backs[k] for k in mine])).hexdigest()))
         return out
 
 
