@@ -10,7 +10,7 @@ def portions(batches, most: int):
     """Tables of whole rows of about `most` bytes, in order; a row that is larger comes with few others."""
     held, size = [], 0
     for batch in batches:
-        step = max(1, batch.num_rows * most // max(1, batch.nbytes))
+        step = max(1, batch.num_rows * most // (4 * max(1, batch.nbytes)))
         for s in range(0, batch.num_rows, step):
             held.append(batch.slice(s, step))
             size += held[-1].nbytes
