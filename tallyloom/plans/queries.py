@@ -19,6 +19,7 @@ from ..operators import votes as V
 from ..sources import readers, sinks
 from ..sources.scratch import in_range_parts, scratch_root
 from ..streaming import forum as streaming
+from ..streaming import stateful
 from .forum import VIEWS, Forum
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1272,25 +1273,139 @@ def stream_fold_votes(f: Forum) -> DataFrame:
     return _streamed(f, streaming.fold_votes(_event_votes(_live(f))))
 
 
+def _event_parts(f: Forum, rows: DataFrame, n: int = 3) -> list[DataFrame]:
+    """Rows made of events (with event_id) in n parts by event_id, as they arrive."""
+    total = f.table("events").count()
+    part = F.least(F.lit(n - 1), F.expr(f"event_id * {n} div {total}"))
+    return [rows.filter(part == k).drop("event_id") for k in range(n)]
+
+
+_PART = "least(2, event_id * 3 // (SELECT count(*) FROM events))"
+
+
 @query("SELECT event_id % 10 AS session_id, event_type AS kind, user_id AS item_id, row_number() OVER (PARTITION BY event_id % 10, event_type ORDER BY min(event_id)) AS local_id FROM events GROUP BY 1, 2, 3", views=False)
 def stream_assign_ids(f: Forum) -> DataFrame:
-    """Ids from 1 in the order in which a session's items are first seen."""
-    items = _live(f).table("events").select((F.col("event_id") % 10).alias("session_id"), F.col("event_type").alias("kind"), F.col("user_id").alias("item_id"), F.col("event_id").alias("seq"))
-    return _streamed(f, streaming.assign_ids(items))
+    """Ids from 1 in the order in which a session's items are first seen, over three micro-batches that repeat items."""
+    items = f.table("events").select("event_id", (F.col("event_id") % 10).alias("session_id"), F.col("event_type").alias("kind"), F.col("user_id").alias("item_id"), F.col("event_id").alias("seq"))
+    return streaming.in_batches(_event_parts(f, items), stateful.assign_ids, _folder(f, "ids"))
+
+
+_SAID_EVENTS = f"""
+WITH i AS (
+  SELECT user_id % 20 AS session_id, {_PART} AS part, event_id AS item_id, 'user_' || user_id AS author, CASE WHEN user_id % 5 = 0 THEN 'judge' ELSE 'actor' END AS author_role,
+    CASE event_type WHEN 'signup' THEN 'post' WHEN 'click' THEN 'comment' ELSE 'vote' END AS kind, event_id % 3 AS target_id, CASE event_type WHEN 'error' THEN -1 ELSE 2 END AS value FROM events
+  WHERE NOT (user_id % 20 < 3 AND event_type IN ('signup', 'click') AND {_PART} = user_id % 20)
+), n AS (
+  SELECT session_id, part, row_number() OVER (PARTITION BY session_id ORDER BY part) - 1 AS delivery FROM (SELECT DISTINCT session_id, part FROM i WHERE kind <> 'vote')
+), v AS (
+  SELECT *, lag(value) OVER (PARTITION BY session_id, author, target_id ORDER BY item_id) AS previous_value FROM i WHERE kind = 'vote'
+), c AS (
+  SELECT n.session_id, n.part, v.author, v.target_id, arg_max(v.value, v.item_id) AS value FROM n JOIN v ON v.session_id = n.session_id AND v.part <= n.part GROUP BY ALL
+), t AS (
+  SELECT session_id, part, target_id, CAST(sum(value) AS BIGINT) AS target_score FROM c GROUP BY ALL
+), d AS (
+  SELECT i.session_id, n.delivery, i.kind, i.item_id, i.author, i.author_role, NULL AS target_id, NULL AS value, NULL AS previous_value, NULL AS target_score FROM i JOIN n USING (session_id, part) WHERE kind <> 'vote'
+  UNION ALL SELECT v.session_id, m.delivery, v.kind, v.item_id, v.author, v.author_role, v.target_id, v.value, v.previous_value, t.target_score
+  FROM v JOIN (SELECT a.*, b.part AS of FROM n a, (SELECT DISTINCT part FROM i) b WHERE a.part >= b.part QUALIFY row_number() OVER (PARTITION BY a.session_id, b.part ORDER BY a.part) = 1) m
+    ON m.session_id = v.session_id AND m.of = v.part JOIN t ON t.session_id = m.session_id AND t.part = m.part AND t.target_id = v.target_id
+)
+"""
 
 
-@query(f"""
-WITH v AS ({_EVENT_VOTES}), l AS (SELECT target_id, arg_max(value, vote_id) AS value FROM v GROUP BY voter, target_id), t AS (SELECT target_id, CAST(sum(value) AS BIGINT) AS score FROM l GROUP BY 1)
-SELECT 'vote' AS kind, vote_id AS item_id, target_id, score FROM v JOIN t USING (target_id) UNION ALL SELECT 'post', o_orderkey, NULL, NULL FROM orders
-""", views=False)
+def _said_events(f: Forum) -> list[DataFrame]:
+    """Events as posts, comments and votes of sessions; in some sessions a part brings votes only."""
+    e, total = f.table("events"), f.table("events").count()
+    session, kind = F.col("user_id") % 20, F.when(F.col("event_type") == "signup", "post").when(F.col("event_type") == "click", "comment").otherwise("vote")
+    vote = lambda c: F.when(kind == "vote", c)
+    rows = e.filter(~((session < 3) & (kind != "vote") & (F.least(F.lit(2), F.expr(f"event_id * 3 div {total}")) == session))).select(
+        "event_id", session.alias("session_id"), kind.alias("kind"), F.col("event_id").alias("item_id"), F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("author"),
+        F.when(F.col("user_id") % 5 == 0, "judge").otherwise("actor").alias("author_role"), F.col("props").alias("content"), vote(F.lit("post")).alias("target_type"),
+        vote(F.col("event_id") % 3).alias("target_id"), vote(F.when(F.col("event_type") == "error", -1).otherwise(2)).cast("long").alias("value"),
+    )
+    return _event_parts(f, rows)
+
+
+@query(_SAID_EVENTS + "SELECT *, row_number() OVER (PARTITION BY session_id, delivery ORDER BY CASE kind WHEN 'post' THEN 0 WHEN 'comment' THEN 1 ELSE 2 END, item_id) - 1 AS place FROM d", views=False)
 def stream_deliveries(f: Forum) -> DataFrame:
-    """Posts as they come, and with them the votes so far, each with its target's total."""
-    live = _live(f)
-    posts = live.table("orders").select(F.lit("post").alias("kind"), F.col("o_orderkey").alias("item_id"))
-    items = posts.unionByName(_event_votes(live).withColumn("kind", F.lit("vote")).withColumnRenamed("vote_id", "item_id"), allowMissingColumns=True)
-    path = f"{scratch_root(f.spark)}/deliveries-{uuid.uuid4().hex}"
-    streaming.deliver(items, path, f"{path}-state").awaitTermination()
-    return f.spark.read.option("mergeSchema", True).parquet(f"{path}/delivered").select("kind", "item_id", "target_id", "score")
+    """What three micro-batches deliver: posts and comments as they come, and with them the votes so far, each with its target's total then."""
+    out = streaming.in_batches(_said_events(f), stateful.deliveries, _folder(f, "deliveries"))
+    return out.select("session_id", "delivery", "place", "kind", "item_id", "author", "author_role", "target_id", "value", "previous_value", "target_score")
+
+
+@query(_SAID_EVENTS + """
+, r AS (SELECT DISTINCT session_id, author AS recipient, CASE WHEN author LIKE '%3' THEN 1 ELSE 0 END AS since, CASE WHEN author LIKE '%7' THEN 2 END AS until FROM i)
+SELECT d.session_id, delivery, recipient, count(*) AS n, count(*) FILTER (kind = 'vote' AND author_role = 'judge') AS n_anonymous, CAST(sum(item_id) AS BIGINT) AS items
+FROM d JOIN r ON r.session_id = d.session_id AND since <= delivery AND (until IS NULL OR until > delivery) WHERE author <> recipient GROUP BY ALL
+""", views=False)
+def stream_fan_out(f: Forum) -> DataFrame:
+    """Deliveries of three micro-batches to recipients of whom some come late and some leave, as counts for each recipient and delivery."""
+    parts = _said_events(f)
+    name = F.col("author")
+    people = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("session_id", name.alias("recipient"), F.when(name.endswith("3"), 1).otherwise(0).alias("since"), F.when(name.endswith("7"), 2).alias("until")).distinct()
+    sent = streaming.fan_out(parts, stateful.deliveries, people, _folder(f, "sent"))
+    return sent.groupBy("session_id", "delivery", "recipient").agg(F.count("*").alias("n"), F.count_if(F.col("author") == "Anonymous Scientist").alias("n_anonymous"), F.sum("item_id").alias("items"))
+
+
+@query("""
+WITH RECURSIVE a AS (
+  SELECT user_id AS queue, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i,
+    CASE WHEN event_id % 301 = 300 THEN 'end' WHEN event_type = 'view' THEN 'ready' WHEN event_type = 'error' THEN 'nudge' ELSE 'items' END AS action FROM events
+), s AS (
+  SELECT queue, CAST(0 AS BIGINT) AS i, false AS ready, false AS ended, '' AS items, 0 AS waiting, false AS stop, CAST(NULL AS BIGINT) AS round, CAST(NULL AS VARCHAR) AS out_items, CAST(NULL AS VARCHAR) AS out_nudge, CAST(NULL AS BOOLEAN) AS out_ended, CAST(0 AS BIGINT) AS rounds FROM a WHERE i = 1
+  UNION ALL
+  SELECT queue, i,
+    CASE WHEN does IS NOT NULL THEN false ELSE ready OR action = 'ready' END, coalesce(does = 'ended', false), CASE WHEN does IS NOT NULL THEN '' WHEN action = 'items' AND NOT stop THEN items || ',' || event_id ELSE items END,
+    CASE WHEN does IS NOT NULL THEN 0 WHEN action IN ('items', 'nudge') AND NOT stop THEN waiting + 1 ELSE waiting END, stop OR (action = 'end' AND does IS NULL),
+    CASE WHEN does IS NOT NULL THEN rounds END, CASE WHEN does = 'items' THEN ltrim(items || CASE WHEN action = 'items' THEN ',' || event_id ELSE '' END, ',') END, CASE WHEN does = 'nudge' THEN 'continue' END, does = 'ended', rounds + CASE WHEN does IS NULL THEN 0 ELSE 1 END
+  FROM (
+    SELECT s.queue, s.i + 1 AS i, s.ready, s.items, s.waiting, s.stop, s.rounds, a.event_id, a.action,
+      CASE WHEN s.ready THEN CASE a.action WHEN 'items' THEN 'items' WHEN 'nudge' THEN 'nudge' WHEN 'end' THEN 'ended' END
+        WHEN a.action = 'ready' THEN CASE WHEN s.waiting = 0 THEN CASE WHEN s.stop THEN 'ended' END WHEN s.items <> '' THEN 'items' WHEN s.waiting = 1 AND NOT s.stop THEN 'nudge' ELSE 'ended' END END AS does
+    FROM s JOIN a ON a.queue = s.queue AND a.i = s.i + 1 WHERE NOT s.ended
+  )
+)
+SELECT queue, round, out_items AS items, out_nudge AS nudge, out_ended AS ended FROM s WHERE round IS NOT NULL
+""", views=False)
+def stream_drained_rounds(f: Forum) -> DataFrame:
+    """Rounds of users' queues over three micro-batches: events are batches of one item, errors nudges, and a view says that the user waits for input."""
+    kind = F.col("event_type")
+    action = F.when(F.col("event_id") % 301 == 300, "end").when(kind == "view", "ready").when(kind == "error", "nudge").otherwise("items")
+    rows = f.table("events").select(
+        "event_id", F.col("user_id").alias("queue"), F.col("event_id").alias("seq"), action.alias("action"), F.when(action == "items", F.array(F.col("event_id").cast("string"))).alias("items"), F.when(action == "nudge", "continue").alias("nudge")
+    )
+    out = streaming.in_batches(_event_parts(f, rows), stateful.drained_rounds, _folder(f, "queues"))
+    return out.select("queue", "round", F.array_join("items", ",").alias("items"), "nudge", "ended")
+
+
+@query("""
+WITH r AS (
+  SELECT user_id * 10 + (day(ts) - 1) // 7 AS session_id, epoch_us(ts) // 1000 AS t, event_type <> 'view' AS content, CASE WHEN event_id % 97 = 0 OR day(ts) >= 20 THEN 2 WHEN day(ts) >= 10 THEN 1 ELSE 0 END AS part FROM events
+), m AS (
+  SELECT max(t) FILTER (part < 2) - 3600000 AS early, max(t) - 3600000 AS w FROM r
+), k AS (
+  SELECT session_id, t, content, w FROM r, m WHERE t <= w AND NOT (part = 2 AND t <= early)
+), c AS (
+  SELECT *, lead(t) OVER (PARTITION BY session_id ORDER BY t) AS n, row_number() OVER (PARTITION BY session_id ORDER BY t) AS i, t + 43200000 AS due FROM k WHERE content
+), x AS (
+  SELECT *, least(greatest(due, coalesce((SELECT max(v.t) + 36000000 FROM k v WHERE v.session_id = c.session_id AND NOT v.content AND v.t <= c.due), 0)), due + 14400000) AS finish FROM c
+), y AS (
+  SELECT * REPLACE (CASE WHEN EXISTS (SELECT 1 FROM k v WHERE v.session_id = x.session_id AND NOT v.content AND v.t > x.due AND v.t <= x.finish) THEN due + 14400000 ELSE finish END AS finish) FROM x
+), e AS (
+  SELECT session_id, min(i) AS last FROM y WHERE (n IS NULL OR finish < n) AND finish <= w GROUP BY 1
+)
+SELECT session_id, make_timestamp((t + 21600000) * 1000) AS acted_at, 'nudge' AS action FROM y LEFT JOIN e USING (session_id) WHERE (last IS NULL OR i <= last) AND (n IS NULL OR t + 21600000 < n) AND t + 21600000 <= w
+UNION ALL SELECT session_id, make_timestamp(finish * 1000), 'end' FROM y JOIN e USING (session_id) WHERE i = last
+""", views=False)
+def stream_idle_rounds(f: Forum) -> DataFrame:
+    """A user's weeks as sessions: six hours without new content are an idle round, and a view keeps judges busy for ten hours, of which four are waited for. Of three micro-batches the last one
+    brings rows of all times, of which those behind the watermark are dropped."""
+    ts = F.col("ts").cast("timestamp")
+    e = f.table("events").withColumn("ts", ts)
+    part = F.when((F.col("event_id") % 97 == 0) | (F.dayofmonth("ts") >= 20), 2).when(F.dayofmonth("ts") >= 10, 1).otherwise(0)
+    rows = e.select((F.col("user_id") * 10 + F.expr("(day(ts) - 1) div 7")).alias("session_id"), "ts", (F.col("event_type") != "view").alias("content"), F.when(F.col("event_type") == "view", F.col("ts") + F.expr("INTERVAL 10 HOURS")).alias("busy_until"), part.alias("part"))
+    idle = lambda s: stateful.idle_rounds(s, 6 * 3600, 4 * 3600)
+    out = streaming.in_batches([rows.filter(F.col("part") == k).drop("part") for k in range(3)], idle, _folder(f, "idle"))
+    return out.withColumn("acted_at", F.col("acted_at").cast("timestamp_ntz"))
 
 
 @query("""

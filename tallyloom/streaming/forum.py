@@ -1,4 +1,4 @@
-"""Streaming forms: vote folds, score updates, id assignment, delivery batches, idle sessions and event windows."""
+"""Streaming forms: vote folds, runs over arriving files, fan-out, sessions of activity and event windows."""
 
 from __future__ import annotations
 
@@ -9,9 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.votes import current_values, scores
+from ..operators.relational import deliveries
 from ..shipping import ship
-from ..sources.scratch import delete
 
 
 def parquet_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -42,25 +41,6 @@ def fold_votes(votes: DataFrame) -> DataFrame:
     return grouped.applyInPandasWithState(update, schema, "value long, vote_id long", "append", "NoTimeout")
 
 
-def score_changes(votes: DataFrame) -> DataFrame:
-    """The folded votes as additions to their targets' scores."""
-    return fold_votes(votes).select("target_type", "target_id", (F.col("value") - F.coalesce("previous_value", F.lit(0))).alias("change"))
-
-
-def streamed_scores(votes: DataFrame) -> DataFrame:
-    """(target_type, target_id, score) in complete or update mode from already validated, never repeated additions."""
-    return votes.groupBy("target_type", "target_id").agg(F.sum("change").alias("score"))
-
-
-def replay_scores(spark: SparkSession, path: str, schema, checkpoint: str, name: str) -> DataFrame:
-    """Scores after all available votes have run through the fold; checkpoint is a folder that all executors reach."""
-    changes = score_changes(parquet_stream(spark, path, schema))
-    out = f"{checkpoint}/{name}-changes"
-    query = changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{checkpoint}/{name}").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return streamed_scores(spark.read.parquet(out))
-
-
 def replay(stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
     """What a stream yields over all that is available now, as a table below checkpoint, a folder that all executors reach.
 
@@ -84,24 +64,39 @@ def replay(stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{out}/batch={max(numbers)}")
 
 
-def assign_ids(items: DataFrame) -> DataFrame:
-    """A stream of (session_id, kind, item_id, seq) with local_id: the number, from 1 for each session and kind, in the
-    order in which items are first seen. Repeated items keep theirs."""
-    ship(items.sparkSession)
+def in_batches(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], folder: str, each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
+    """What the stream that build makes of a folder of files yields as the parts arrive in it one after the other: each part is written there, and the query is
+    started again from its checkpoint, so a part is a micro-batch. With each, micro-batches are handed to it with their number instead of being written.
+
+    folder is one that all executors reach. Restarts lose nothing and repeat nothing: the query knows which files it has read.
+    """
+    spark, schema = parts[0].sparkSession, parts[0].schema
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = build(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+        writer = stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        writer = writer.foreachBatch(each) if each else writer.format("parquet").option("path", f"{folder}/out")
+        writer.start().awaitTermination()
+    return None if each else spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
-    def number(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        known = dict(zip(*state.get, strict=True)) if state.exists else {}
-        rows = pd.concat(list(frames)).sort_values("seq")
-        out = []
-        for item in rows["item_id"]:
-            if item not in known:
-                known[item] = len(known) + 1
-                out.append((*key, item, known[item]))
-        state.update((list(known), list(known.values())))
-        yield pd.DataFrame(out, columns=["session_id", "kind", "item_id", "local_id"])
 
-    grouped = items.groupBy("session_id", "kind")
-    return grouped.applyInPandasWithState(number, "session_id long, kind string, item_id long, local_id long", "ids array<long>, numbers array<long>", "append", "NoTimeout")
+def fan_out(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], recipients: DataFrame, folder: str) -> DataFrame:
+    """Deliveries (session_id, delivery, kind, item_id, author, author_role, ...) of a stream to their session's recipients, as R.deliveries has them, with the delivery's number.
+
+    recipients (session_id, recipient, since, until) says from which delivery on a recipient is active and at which it has left (null: it hasn't). Micro-batches
+    are written under their number, so one that runs again replaces itself.
+    """
+
+    def send(df: DataFrame, number: int) -> None:
+        active = df.select("session_id", "delivery").distinct().join(recipients, "session_id").filter("since <= delivery and (until is null or until > delivery)")
+        rank = F.when(F.col("kind") == "post", 0).when(F.col("kind") == "comment", 1).otherwise(2)
+        # a session and delivery is one key, so that a recipient gets what came while it was active
+        key = F.struct("session_id", "delivery").alias("session_id")
+        sent = deliveries(df.select(key, "kind", rank.alias("type_rank"), "item_id", "author", "author_role"), active.select(key, "recipient"))
+        sent.select("session_id.session_id", "session_id.delivery", *(c for c in sent.columns if c != "session_id")).write.mode("overwrite").parquet(f"{folder}/sent/batch={number}")
+
+    in_batches(parts, build, folder, send)
+    return parts[0].sparkSession.read.parquet(f"{folder}/sent").drop("batch")
 
 
 def _watermarked(events: DataFrame, time: str, late: str) -> DataFrame:
@@ -133,69 +128,11 @@ def without_repeats(items: DataFrame, late: str = "1 hour", time: str = "ts", ke
     return items.dropDuplicates(list(keys))
 
 
-def drained(batches: list[list | str | None]) -> tuple[list | str | None, list[list | str | None]]:
-    """(one round's input, what stays in the queue) of the batches that wait for a participant: all up to an end marker (None), which
-    stays, in one list. A nudge (a text) alone is the input itself; among batches it goes. A marker first ends the rounds."""
-    first, rest = batches[0], batches[1:]
-    if first is None or isinstance(first, str) and not rest:
-        return first, rest
-    stop = rest.index(None) if None in rest else len(rest)
-    items = [x for batch in [first, *rest[:stop]] if isinstance(batch, list) for x in batch]
-    return items or None, rest[stop:]
-
-
 def drained_rounds(batches: DataFrame, queue: str, round_: str, order: str) -> DataFrame:
-    """(queue, round, batches, items) of batches (queue, round, order, items array, nudge, last): all that came for a round as one list, as
-    drained() has it. An end marker (last) and what follows it count in no round of the queue; a round of nudges has no items and stays only if there is one."""
+    """(queue, round, batches, items) of batches (queue, round, order, items array, nudge, last): all that came for a round as one list. An end marker (last) and what follows it count in no round of the queue; a round of nudges has no items and stays only if there is one."""
     upto = Window.partitionBy(queue).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     live = batches.withColumn("_ended", F.max(F.col("last").cast("int")).over(upto)).filter("_ended = 0")
     kind = batches.schema["items"].dataType
     listed = F.sort_array(F.collect_list(F.struct(order, F.coalesce("items", F.array().cast(kind)).alias("items"))))
     out = live.groupBy(queue, round_).agg(F.count("*").alias("batches"), F.flatten(F.transform(listed, lambda x: x["items"])).alias("items"))
     return out.filter((F.size("items") > 0) | (F.col("batches") == 1))
-
-
-def deliver(items: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None, **trigger):
-    """Start a query that appends each micro-batch of posts and comments to path and hands it on.
-
-    Votes alone never make a delivery: they wait in a table beside path until a post or comment comes, and then ride
-    along. The target score of each vote is its total at that time, as a re-vote replaces the vote before. The current votes are
-    kept as a table of their own, one row for each voter and target, written anew with each delivery; earlier ones go, so no
-    batch reads the votes cast before. Batches are written under their number, so that a batch that runs again overwrites itself.
-    """
-    spark = items.sparkSession
-    cast = ["voter", "target_type", "target_id", "value", "vote_id"]
-
-    def batch(df: DataFrame, number: int) -> None:
-        df = df.persist()
-        df.filter("kind = 'vote'").write.mode("overwrite").parquet(f"{path}/votes/batch={number}")
-        news = df.filter("kind <> 'vote'")
-        if news.limit(1).count():
-            before = [n for n in _numbers(spark, f"{path}/current") if n < number]
-            upto = max(before, default=-1)
-            waiting = spark.read.parquet(f"{path}/votes").filter((F.col("batch") <= number) & (F.col("batch") > upto)).drop("batch")
-            now = waiting.withColumn("vote_id", F.col("item_id")).select(*cast)
-            if before:
-                now = now.unionByName(spark.read.parquet(f"{path}/current/batch={upto}"))
-            current_values(now, "vote_id").select(*cast).write.mode("overwrite").parquet(f"{path}/current/batch={number}")
-            totals = scores(spark.read.parquet(f"{path}/current/batch={number}"))
-            out = news.unionByName(waiting.join(totals, ["target_type", "target_id"]), allowMissingColumns=True)
-            out.write.mode("overwrite").parquet(f"{path}/delivered/batch={number}")
-            for old in before[:-1]:  # the last one stays, as this batch may run again
-                delete(spark, f"{path}/current/batch={old}")
-            if each:
-                each(spark.read.parquet(f"{path}/delivered/batch={number}"), number)
-        df.unpersist()
-
-    return items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
-
-
-def _numbers(spark: SparkSession, path: str) -> list[int]:
-    """The numbers of the batches written below path, ascending."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(target):
-        return []
-    found = [x.getPath() for x in files.listStatus(target)]
-    done = [p.getName() for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(n.removeprefix("batch=")) for n in done if n.startswith("batch="))
