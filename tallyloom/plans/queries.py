@@ -16,7 +16,7 @@ from ..operators import scoring as C
 from ..operators import tokens as K
 from ..operators import trajectory as J
 from ..operators import votes as V
-from ..sources import readers, sinks
+from ..sources import readers, sinks, sqlite
 from ..sources.scratch import in_range_parts, scratch_root
 from ..streaming import forum as streaming
 from ..streaming import stateful
@@ -1273,6 +1273,37 @@ def stream_fold_votes(f: Forum) -> DataFrame:
     return _streamed(f, streaming.fold_votes(_event_votes(_live(f))))
 
 
+@query("SELECT c_custkey, c_name, c_nationkey, round(c_acctbal, 2) AS c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 10 <> 3 AND c_nationkey < 20", views=False)
+def sqlite_tables(f: Forum) -> DataFrame:
+    """Customers written as databases by four tasks, and read back in four parts with a pushed filter."""
+    folder = _folder(f, "customers")
+    sqlite.write_sqlite(f.table("customer").filter("c_custkey % 10 <> 3").repartition(4), folder, "customer")
+    rows = sqlite.sqlite_table(f.spark, folder, "customer", 4).filter("c_nationkey < 20")
+    return rows.select("c_custkey", "c_name", "c_nationkey", F.round("c_acctbal", 2).alias("c_acctbal"), "c_mktsegment")
+
+
+@query("""
+SELECT 'posts' AS kind, o_orderkey + 1 AS id, o_orderpriority AS content, CAST(NULL AS BIGINT) AS value FROM orders
+UNION ALL SELECT 'comments', event_id + 1, event_type, NULL FROM events UNION ALL SELECT 'votes', p_partkey + 1, NULL, p_size FROM part
+""", views=False)
+def stream_sqlite_news(f: Forum) -> DataFrame:
+    """Posts, comments and votes of a database as a stream with a cursor for each table, restarted after the database has grown."""
+    folder, spark = _folder(f, "forum"), f.spark
+    tables = {
+        "posts": f.table("orders").select((F.col("o_orderkey") + 1).alias("post_id"), F.col("o_orderpriority").alias("content")),
+        "comments": f.table("events").select((F.col("event_id") + 1).alias("comment_id"), F.col("event_type").alias("content")),
+        "votes": f.table("part").select((F.col("p_partkey") + 1).alias("vote_id"), F.col("p_size").cast("long").alias("value")),
+    }
+    keys = {name: rows.columns[0] for name, rows in tables.items()}
+    half = {name: rows.agg(F.max(keys[name])).first()[0] // 2 for name, rows in tables.items()}
+    for later in (False, True):
+        for name, rows in tables.items():
+            sqlite.write_sqlite(rows.filter((F.col(keys[name]) > half[name]) == F.lit(later)), f"{folder}/db", name, "append")
+        news = sqlite.sqlite_news(spark, f"{folder}/db", keys, 4)
+        news.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(news.schema).parquet(f"{folder}/out").select(F.col("source_table").alias("kind"), F.coalesce(*keys.values()).alias("id"), "content", "value")
+
+
 def _event_parts(f: Forum, rows: DataFrame, n: int = 3) -> list[DataFrame]:
     """Rows made of events (with event_id) in n parts by event_id, as they arrive."""
     total = f.table("events").count()
