@@ -43,6 +43,8 @@ class PairIndex:
 
     def _rank(self, pairs: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where it has none."""
+        if not len(self._pairs):
+            return np.full(len(pairs), -1)
         at = np.minimum(np.searchsorted(self._pairs, pairs), len(self._pairs) - 1)
         return np.where(self._pairs[at] == pairs, self._ranks[at], -1)
 
