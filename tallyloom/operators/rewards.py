@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import in_range_parts
+from .running import running_sums
 
 #: A slope is fitted over sessions with so many posts, and used if so steep.
 FIT_POSTS, LEAST_SLOPE, LEAST_SPREAD = 4, 0.01, 1e-9
@@ -77,25 +77,27 @@ def advantages(rewards: DataFrame, baseline="mean_session", scale="session_std",
     return rewards.withColumn("advantage", (x - base) / by).drop("_mean", "_n", "_std")
 
 
-def indexed_quantile(value: str, p: float) -> Column:
-    """The element int(p * (n - 1)) of the sorted values. It gathers the group's values: for groups of a report's size."""
-    listed = F.sort_array(F.collect_list(value))
-    return F.element_at(listed, (F.floor(F.lit(p) * (F.count(value) - 1)) + 1).cast("int"))
+def group_quantiles(rows: DataFrame, group: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(group, q0, q1, ...): for each group the elements int(p * (n - 1)) of its n sorted values that aren't null, as they stand in the list.
+
+    The counts of a group's distinct values are summed up over ranges of (group, value), so a group that holds most rows is selected from by many tasks.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    ends = running_sums(counts, group, ["_v"], "_n", "_end")
+    totals = counts.groupBy(*group).agg(F.sum("_n").alias("_total"))
+    if group:
+        ends = ends.alias("e").join(totals.alias("t"), [F.col(f"e.{c}").eqNullSafe(F.col(f"t.{c}")) for c in group]).select("e.*", "_total")
+    else:
+        ends = ends.crossJoin(F.broadcast(totals))  # one row
+    want = [F.floor(F.lit(p) * (F.col("_total") - 1)) for p in shares]
+    picked = [F.max(F.when((F.col("_end") > w) & (F.col("_end") - F.col("_n") <= w), F.col("_v"))).alias(f"q{k}") for k, w in enumerate(want)]
+    return ends.groupBy(*group).agg(*picked)
 
 
 def indexed_quantiles(rows: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """One row, q0, q1, ...: the elements int(p * (n - 1)) of all sorted values, without gathering them: counts of distinct
-    values are added up by range partitions, and only the counts of partitions are ordered in one place."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    placed = in_range_parts(counts, ["v"], "counts").withColumnRenamed("_part", "part")
-    sizes = placed.groupBy("part").agg(F.sum("n").alias("size"))
-    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
-    total = sizes.agg(F.sum("size").alias("total"))
-    inside = F.sum("n").over(Window.partitionBy("part").orderBy("v"))
-    ends = placed.withColumn("upto", inside).join(F.broadcast(before), "part").crossJoin(F.broadcast(total))
-    end = F.col("before") + F.col("upto")
-    want = [F.floor(F.lit(p) * (F.col("total") - 1)) for p in shares]
-    return ends.agg(*(F.max(F.when((end > w) & (end - F.col("n") <= w), F.col("v"))).alias(f"q{k}") for k, w in enumerate(want)))
+    """One row, q0, q1, ...: the elements int(p * (n - 1)) of all sorted values, without gathering them; null where there are none."""
+    one = rows.select(F.lit(0).alias("_all"), value)
+    return group_quantiles(one, ["_all"], value, shares).agg(*(F.max(f"q{k}").alias(f"q{k}") for k in range(len(shares))))
 
 
 def reward_metrics(rows: DataFrame, reward: str = "reward", advantage: str = "advantage") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.templates import hash_number
-from ..sources.scratch import in_range_parts
+from .running import numbered
 
 
 def draw_order(seed: str, key: Column) -> Column:
@@ -57,20 +58,51 @@ def iterations(spark, epochs: int, rounds: int) -> DataFrame:
     return grid.withColumn("iteration", (F.col("epoch") - 1) * rounds + F.col("round") + 1)
 
 
+def permuted(k: Column, n: int, key: Column) -> Column:
+    """Where a permutation of 0..n-1, drawn by key, takes k: the k-th pick of a draw without replacement, known without the other picks.
+
+    A Feistel network over the smallest rectangle of n cells or more permutes its cells; from a cell beyond n it goes on until it is below. The rectangle has
+    less than a root of n cells beyond, and no walk is longer than those.
+    """
+    rows = math.isqrt(max(1, n) - 1) + 1
+    columns = -(-n // rows)
+    number = lambda i, x: hash_number(F.concat_ws(":", key, i.cast("string"), x.cast("string")))
+
+    def mixed(at: Column) -> Column:
+        begin = F.struct(F.floor(at / columns).cast("long").alias("l"), F.pmod(at, F.lit(columns)).cast("long").alias("r"))
+        left = lambda c, i: F.struct(F.pmod(c["l"] + number(i, c["r"]), F.lit(rows)).cast("long").alias("l"), c["r"].alias("r"))
+        right = lambda c, i: F.struct(c["l"].alias("l"), F.pmod(c["r"] + number(i, c["l"]), F.lit(columns)).cast("long").alias("r"))
+        steps = F.array(*(F.lit(i) for i in range(4)))
+        return F.aggregate(steps, begin, lambda c, i: F.when(i % 2 == 0, left(c, i)).otherwise(right(c, i)), lambda c: c["l"] * columns + c["r"])
+
+    beyond = rows * columns - n
+    out = mixed(k.cast("long"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(beyond)), out, lambda v, _: F.when(v >= n, mixed(v)).otherwise(v)) if beyond else out
+
+
 def cast_names(sessions: DataFrame, pool: DataFrame, seed_col: str, prefix: str = "name", actors: int = 32, judges: int = 32) -> DataFrame:
-    """(session_id, name, alias): for each session a draw from the name pool without replacement; the first go to
-    Scientist_1.., the next to Judge_1... The pool is a settings table of a few hundred names."""
-    drawn = sessions.select("session_id", seed_col).crossJoin(pool.select("alias"))  # broadcast by its size, or dealt
-    order = Window.partitionBy("session_id").orderBy(hash_number(F.concat(F.lit(prefix + ":"), F.col(seed_col).cast("string"), F.lit(":"), F.col("alias"))), "alias")
-    placed = drawn.withColumn("_p", F.row_number().over(order)).filter(F.col("_p") <= actors + judges)
-    name = F.when(F.col("_p") <= actors, F.concat(F.lit("Scientist_"), F.col("_p"))).otherwise(F.concat(F.lit("Judge_"), F.col("_p") - actors))
+    """(session_id, name, alias): for each session a draw from the pool of distinct names (alias) without replacement; the first go to
+    Scientist_1.., the next to Judge_1... A pool that is too small gives all its names.
+
+    A session's picks are places in the ordered pool, worked out for it alone and joined by number: the rows made are those that are returned.
+    """
+    names = numbered(pool.select("alias"), ["alias"], "_number")
+    n = names.count()
+    if not n:
+        return sessions.select("session_id", F.lit("").alias("name"), F.lit("").alias("alias")).limit(0)
+    picks = sessions.select("session_id", seed_col, F.explode(F.sequence(F.lit(0), F.lit(min(actors + judges, n) - 1))).alias("_k"))
+    key = F.concat(F.lit(prefix + ":"), F.col(seed_col).cast("string"))
+    placed = picks.withColumn("_number", permuted(F.col("_k"), n, key)).join(names, "_number")
+    name = F.when(F.col("_k") < actors, F.concat(F.lit("Scientist_"), F.col("_k") + 1)).otherwise(F.concat(F.lit("Judge_"), F.col("_k") - actors + 1))
     return placed.select("session_id", name.alias("name"), "alias")
 
 
-def persona(key: Column, role: Column, slot: Column, pool: list[str]) -> Column:
-    """The slot's persona in a draw from the pool for (key, role); null for a slot outside it."""
-    hashed = F.transform(F.array(*map(F.lit, pool)), lambda x: F.struct(hash_number(F.concat_ws(":", key.cast("string"), role, x)).alias("h"), x.alias("x")))
-    return F.get(F.array_sort(hashed), slot)["x"]
+def persona(key: Column, role: Column, slot: Column, pool: list[str], most: int = 32) -> Column:
+    """The slot's persona in a draw of at most so many from the pool for (key, role); null for a slot outside it."""
+    if not pool:
+        return F.lit(None).cast("string")
+    drawn = permuted(slot, len(pool), F.concat_ws(":", key.cast("string"), role))
+    return F.when((slot >= 0) & (slot < min(len(pool), most)), F.element_at(F.array(*map(F.lit, pool)), (drawn + 1).cast("int")))
 
 
 def shuffled_choices(row_key: Column, right: Column, wrong: list[Column], seed: str) -> Column:
@@ -88,11 +120,7 @@ def length_batches(samples: DataFrame, key: str, length: str, batch: int, seed:
     The places by length come from counts of range partitions, so no task sorts all samples; rows that tie in length and key, and null lengths, which come
     first, stay too.
     """
-    ranged = in_range_parts(samples, [length, key], "by-length")
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))  # a row for each partition
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(length, key)) - 1 + F.col("_before")
-    placed = ranged.join(F.broadcast(before), "_part").withColumn("batch", F.floor(place / batch).cast("long")).drop("_part", "_before")
+    placed = numbered(samples, [length, key], "_place").withColumn("batch", F.floor(F.col("_place") / batch).cast("long")).drop("_place")
     return placed.withColumn("turn", hash_number(F.concat_ws(":", F.lit(seed), F.lit(epoch), F.col("batch").cast("string"))))
 
 

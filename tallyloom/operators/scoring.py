@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import category_prefix, normal_answer, unboxed
+from .rewards import group_quantiles
 
 
 def majority(rows: DataFrame, group: str, prediction: str, order: str) -> DataFrame:
@@ -78,11 +79,13 @@ def experiment_summary(results: DataFrame) -> DataFrame:
 
 
 def compare_policies(rows: DataFrame, tag: str = "tag", reward: str = "reward", advantage: str = "advantage") -> DataFrame:
-    """For each tag: samples, mean reward, share of positive rewards in per cent, mean and mean absolute advantage."""
-    return rows.groupBy(tag).agg(
+    """For each tag: samples, mean reward, share of positive rewards in per cent, mean and mean absolute advantage, and its p10 and p90 by index."""
+    means = rows.groupBy(tag).agg(
         F.count("*").alias("n_samples"), F.avg(reward).alias("reward_mean"), (F.avg((F.col(reward) > 0).cast("int")) * 100).alias("reward_pos_pct"),
         F.avg(advantage).alias("advantage_mean"), F.avg(F.abs(advantage)).alias("advantage_abs_mean"),
     )
+    q = group_quantiles(rows, [tag], advantage, [0.1, 0.9]).select(F.col(tag).alias("_tag"), F.col("q0").alias("advantage_p10"), F.col("q1").alias("advantage_p90"))
+    return means.join(q, F.col(tag).eqNullSafe(F.col("_tag")), "left").drop("_tag")
 
 
 def sweep_summary(reports: dict[str, DataFrame]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,45 +47,103 @@ def truncate_ids(ids: Column, user_starts: Column, most: int) -> Column:
     return F.when(n <= most, ids).otherwise(F.slice(ids, cut + 1, n - cut))
 
 
-def response_mask(ids: list[int], start: list[int], end: int, newline: set[int], think: tuple[int, int] | None = None) -> tuple[list[int], list[int]]:
-    """(mask, segments): 1 on the tokens of assistant turns, and the turn's number from 1.
+def _next(places: np.ndarray, at: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+    """The first of the ascending places from `at` on, but `otherwise` at most."""
+    if not len(places):
+        return otherwise
+    k = np.searchsorted(places, at)
+    return np.where(k < len(places), np.minimum(places[np.minimum(k, len(places) - 1)], otherwise), otherwise)
 
-    A turn begins with the marker `start`; line feeds after it, and a think block (open, close) with its line feeds, don't
-    count. It ends before `end`. A turn without tokens takes no number.
+
+def response_masks(ids: np.ndarray, ends: np.ndarray, start: list[int], end: int, newline: set[int], think: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(mask, segments) of all token ids of many samples, one after the other, given where each sample ends: 1 on the tokens of assistant turns, and the turn's number from 1.
+
+    A turn begins with the marker `start` (two ids) with something after it; line feeds after it, and a think block (open, close) with its line feeds, don't count. It
+    ends before the next `end`, or with the sample. A turn without tokens takes no number. A marker inside a turn that hasn't ended begins a turn of its own,
+    to which the tokens from there on belong.
     """
-    mask, segments = [0] * len(ids), [0] * len(ids)
-    at, turn, width = 0, 0, len(start)
-    while at <= len(ids) - width:
-        if ids[at : at + width] != start:
-            at += 1
-            continue
-        at += width
-        while at < len(ids) and ids[at] in newline:
-            at += 1
-        if think and at < len(ids) and ids[at] == think[0] and think[1] in ids[at:]:
-            at = ids.index(think[1], at) + 1
-            while at < len(ids) and ids[at] in newline:
-                at += 1
-        stop = ids.index(end, at) if end in ids[at:] else len(ids)
-        if stop > at:
-            turn += 1
-            mask[at:stop] = [1] * (stop - at)
-            segments[at:stop] = [turn] * (stop - at)
-        at = stop
+    mask, segments = np.zeros(len(ids), dtype=np.int32), np.zeros(len(ids), dtype=np.int32)
+    found = np.flatnonzero((ids[:-1] == start[0]) & (ids[1:] == start[1]))
+    last = ends[np.searchsorted(ends, found, side="right")]
+    found, last = found[found + 2 < last], last[found + 2 < last]
+    if not len(found):
+        return mask, segments
+    words = np.flatnonzero(~np.isin(ids, list(newline)))
+    begin = _next(words, found + 2, last)
+    if think:
+        opens = (begin < last) & (ids[np.minimum(begin, len(ids) - 1)] == think[0])
+        close = _next(np.flatnonzero(ids == think[1]), begin, last)
+        begin = np.where(opens & (close < last), _next(words, close + 1, last), begin)
+    stop = _next(np.flatnonzero(ids == end), begin, last)
+    full = stop > begin
+    begin, stop, last = begin[full], stop[full], last[full]
+    if not len(begin):
+        return mask, segments
+    turn = np.arange(len(begin)) - np.searchsorted(last, last) + 1  # numbered within the sample
+    # a later turn takes its tokens from the turns before: of turns that end together, those that a later one covers are gone, and the others end where the next begins
+    order = np.lexsort((np.arange(len(begin)), stop))
+    rows = begin[order] + np.cumsum(np.diff(stop[order], prepend=stop[order][0]) > 0) * (len(ids) + 1)
+    least = np.minimum.accumulate(rows[::-1])[::-1]
+    kept = np.append(rows[:-1] < least[1:], True)
+    order = order[kept]
+    order = order[np.argsort(begin[order], kind="stable")]
+    first, until, number = begin[order], stop[order], turn[order]
+    until = np.minimum(until, np.append(first[1:], len(ids)))
+    lengths = until - first
+    places = np.repeat(first - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+    mask[places] = 1
+    segments[places] = np.repeat(number, lengths)
     return mask, segments
 
 
 def with_response_mask(samples: DataFrame, ids_col: str, start: list[int], end: int, newline: set[int], think: tuple[int, int] | None = None) -> DataFrame:
-    """Columns mask and segments of each sample's token ids; a scan with state, so an Arrow function."""
+    """Columns mask and segments of each sample's token ids (null as none), as response_masks has them, batch by batch in Arrow arrays."""
     ship(samples.sparkSession)
 
     @F.pandas_udf("mask array<int>, segments array<int>")
     def masked(ids: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([response_mask(list(x), start, end, newline, think) for x in ids], columns=["mask", "segments"])
+        rows = [np.asarray([] if x is None else x, dtype=np.int64) for x in ids]
+        ends = np.cumsum([len(r) for r in rows])
+        both = response_masks(np.concatenate(rows), ends, start, end, newline, think)
+        return pd.DataFrame({n: pd.Series(np.split(v, ends[:-1]), dtype=object) for n, v in zip(("mask", "segments"), both, strict=True)})
 
     return samples.withColumn("_m", masked(ids_col)).select("*", "_m.mask", "_m.segments").drop("_m")
 
 
+def user_starts(ids: Column, start: int, user: int) -> Column:
+    """Where user turns begin in token ids, from 0: a start marker followed by the user's role."""
+    places = F.sequence(F.lit(0), F.size(ids) - 2)
+    return F.when(F.size(ids) > 1, F.filter(places, lambda i: (F.get(ids, i) == start) & (F.get(ids, i + 1) == user))).otherwise(F.array().cast("array<int>"))
+
+
+def prepare_samples(samples: DataFrame, start: int, user: int, assistant: int, end: int, newline: set[int], think: tuple[int, int] | None = None, most: int = 8192, clip: float = 0.0) -> DataFrame:
+    """Samples (ids, turn_advantages, turn_trainable) made ready for training, with the columns ids, mask, segments, advantages (one a token), truncated and outcome.
+
+    Ids longer than most are cut to the earliest user turn whose tail fits, else to their end. Advantages are clipped, and the last of them go to the turns that are
+    left. Without a list, or with an empty one, a sample has the one advantage 0; without turn_trainable all turns are trained on. outcome is kept, turn_mismatch (no turns, or
+    more than advantages) or mask_empty (no turn that is left is trained on); what isn't kept has no advantages. Null ids count as none.
+    """
+    ids = F.coalesce("ids", F.array().cast(samples.schema["ids"].dataType))
+    cut = F.when(F.size(ids) > most, truncate_ids(ids, user_starts(ids, start, user), most)).otherwise(ids) if most > 0 else ids
+    rows = samples.withColumn("truncated", F.size(ids) > most if most > 0 else F.lit(False)).withColumn("ids", cut)
+    rows = with_response_mask(rows, "ids", [start, assistant], end, newline, think)
+    given = F.when(F.size("turn_advantages") > 0, F.col("turn_advantages")).otherwise(F.array(F.lit(0.0)))
+    turns = F.coalesce(F.array_max("segments"), F.lit(0))
+    rows = rows.withColumn("_values", align_turns(F.transform(given, lambda a: clipped(a, clip)), turns)).withColumn("_trained", align_turns(F.col("turn_trainable"), turns))
+    rows = rows.withColumn("mask", trainable_mask(F.col("mask"), F.col("segments"), F.col("_trained")))
+    outcome = F.when(F.col("_values").isNull(), "turn_mismatch").when(F.exists("mask", lambda m: m > 0), "kept").otherwise("mask_empty")
+    rows = rows.withColumn("outcome", outcome).withColumn("advantages", F.when(F.col("outcome") == "kept", broadcast_turns(F.col("segments"), F.col("_values"), F.lit(0.0))))
+    return rows.drop("_values", "_trained")
+
+
+def preparation_counts(prepared: DataFrame) -> DataFrame:
+    """One row: samples that are kept, truncated ones, those dropped for either reason, and the longest one kept."""
+    n = lambda c, name: F.count_if(c).alias(name)
+    outcome = F.col("outcome")
+    longest = F.coalesce(F.max(F.when(outcome == "kept", F.size("ids"))), F.lit(0)).alias("max_tokens")
+    return prepared.agg(n(outcome == "kept", "kept"), n(F.col("truncated"), "truncated"), n(outcome == "mask_empty", "mask_empty"), n(outcome == "turn_mismatch", "turn_mismatch"), longest)
+
+
 def align_turns(values: Column, n_turns: Column) -> Column:
     """The last n_turns values, which truncation leaves; null where there are fewer values or no turns."""
     return F.when((n_turns > 0) & (F.size(values) >= n_turns), F.slice(values, -n_turns, n_turns))

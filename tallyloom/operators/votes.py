@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running_sums
+
 #: A vote names its voter and its target.
 CAST = ["voter", "target_type", "target_id"]
 
@@ -60,8 +62,7 @@ def visible_scores(votes: DataFrame, judges_visible: bool) -> DataFrame:
 
 def running_scores(votes: DataFrame, order: str = "vote_id") -> DataFrame:
     """Votes with cur_score: the sum for their target up to and with themselves."""
-    upto = Window.partitionBy("target_type", "target_id").orderBy(order, "voter").rowsBetween(Window.unboundedPreceding, 0)
-    return votes.withColumn("cur_score", F.sum("value").over(upto))
+    return running_sums(votes, ["target_type", "target_id"], [order, "voter"], "value", "cur_score")
 
 
 def viewer_running_scores(votes: DataFrame, viewers: DataFrame, order: str = "vote_id") -> DataFrame:

@@ -16,8 +16,9 @@ from ..operators import scoring as C
 from ..operators import tokens as K
 from ..operators import trajectory as J
 from ..operators import votes as V
-from ..sources import readers, sinks, sqlite
-from ..sources.scratch import in_range_parts, scratch_root
+from ..operators.running import numbered
+from ..sources import merge, readers, sinks, sqlite
+from ..sources.scratch import scratch_root
 from ..streaming import forum as streaming
 from ..streaming import stateful
 from .forum import VIEWS, Forum
@@ -96,10 +97,19 @@ def reward_metrics(f: Forum) -> DataFrame:
     return out.select("n_samples", *(F.round(c, 6).alias(c) for c in out.columns[1:]))
 
 
-@query("SELECT session_id % 3 AS tag, count(*) AS n_samples, round(avg(reward), 6) AS reward_mean, round(100 * avg(CAST(reward > 0 AS INT)), 6) AS reward_pos_pct, round(avg(advantage), 4) + 0.0 AS advantage_mean, round(avg(abs(advantage)), 6) AS advantage_abs_mean FROM advantaged GROUP BY 1")
+@query("""
+, g AS (SELECT CASE WHEN session_id % 7 < 5 THEN 'hot' ELSE 'tag ' || session_id % 7 END AS tag, reward, round(advantage, 4) + 0.0 AS advantage FROM advantaged),
+l AS (SELECT tag, list_sort(list(advantage)) AS x, count(*) AS n FROM g GROUP BY 1)
+SELECT tag, count(*) AS n_samples, round(avg(reward), 6) AS reward_mean, round(100 * avg(CAST(reward > 0 AS INT)), 6) AS reward_pos_pct, round(avg(advantage), 4) + 0.0 AS advantage_mean, round(avg(abs(advantage)), 4) AS advantage_abs_mean,
+  any_value(x[CAST(floor(0.1 * (n - 1)) AS INT) + 1]) AS advantage_p10, any_value(x[CAST(floor(0.9 * (n - 1)) AS INT) + 1]) AS advantage_p90 FROM g JOIN l USING (tag) GROUP BY 1
+""")
 def policy_comparison(f: Forum) -> DataFrame:
-    out = C.compare_policies(_advantaged(f).withColumn("tag", F.col("session_id") % 3))
-    return out.select("tag", "n_samples", F.round("reward_mean", 6).alias("reward_mean"), F.round("reward_pos_pct", 6).alias("reward_pos_pct"), (F.round("advantage_mean", 4) + 0.0).alias("advantage_mean"), F.round("advantage_abs_mean", 6).alias("advantage_abs_mean"))
+    """Policies side by side; one of them holds most samples."""
+    k = F.col("session_id") % 7
+    tag = F.when(k < 5, "hot").otherwise(F.concat(F.lit("tag "), k.cast("string")))
+    out = C.compare_policies(_advantaged(f).withColumn("tag", tag).withColumn("advantage", F.round("advantage", 4) + 0.0))
+    means = [F.round(c, n).alias(c) for c, n in (("reward_mean", 6), ("reward_pos_pct", 6), ("advantage_abs_mean", 4))]
+    return out.select("tag", "n_samples", *means, (F.round("advantage_mean", 4) + 0.0).alias("advantage_mean"), "advantage_p10", "advantage_p90")
 
 
 # ---- relational reads
@@ -252,12 +262,8 @@ def sessions_newest_first(f: Forum) -> DataFrame:
     """All sessions with their place in the order by newest post; those without posts come last."""
     last = f.posts.groupBy("session_id").agg(F.max("created_at").alias("last_post"))
     rows = f.sessions.select("session_id").join(last, "session_id", "left")
-    order = [F.col("last_post").desc_nulls_last(), F.col("session_id")]
-    ranged = in_range_parts(rows, order, "by-newest")  # so that no task sorts all sessions
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))  # a row for each partition
-    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
-    return ranged.join(F.broadcast(before), "_part").select("session_id", "last_post", place.alias("place"))
+    placed = numbered(rows, [F.col("last_post").desc_nulls_last(), F.col("session_id")])  # so that no task sorts all sessions
+    return placed.select("session_id", "last_post", (F.col("place") + 1).alias("place"))
 
 
 @query("SELECT k AS key, 'supplier' AS other FROM (SELECT p_partkey AS k FROM part) WHERE k NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT DISTINCT c_nationkey, 'nation' FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)", views=False)
@@ -646,9 +652,23 @@ def template_pick(f: Forum) -> DataFrame:
     return f.sessions.select("session_id", templates.pick("prompt_intro", title).alias("intro"), templates.pick("section_next", title).alias("next"), templates.pick("you_marker", title, entry).alias("marker"))
 
 
+def _permuted_sql(k: str, key: str, rows: str, columns: str) -> str:
+    """Columns l2 and r2 of one pass of the draws' permutation, and v, the cell that it leads to."""
+    number = lambda i, x: _md5(f"{key} || ':{i}:' || {x}")
+    return f"""CAST({k} AS BIGINT) // {columns} AS l0, CAST({k} AS BIGINT) % {columns} AS r0, (l0 + {number(0, 'r0')}) % {rows} AS l1, (r0 + {number(1, 'l1')}) % {columns} AS r1,
+    (l1 + {number(2, 'r1')}) % {rows} AS l2, (r1 + {number(3, 'l2')}) % {columns} AS r2, l2 * {columns} + r2 AS v"""
+
+
 @query(f"""
-, d AS (SELECT session_id, p_name AS alias, row_number() OVER (PARTITION BY session_id ORDER BY {_md5("'name:' || title || ':' || p_name")}, p_name) AS p FROM sessions, (SELECT DISTINCT p_name FROM part))
-SELECT session_id, CASE WHEN p <= 5 THEN 'Scientist_' || p ELSE 'Judge_' || (p - 5) END AS name, alias FROM d WHERE p <= 8
+, names AS (SELECT p_name AS alias, row_number() OVER (ORDER BY p_name) - 1 AS number FROM (SELECT DISTINCT p_name FROM part)
+), m AS (SELECT count(*) AS n, CAST(ceil(sqrt(count(*))) AS BIGINT) AS a, CAST(ceil(count(*) / ceil(sqrt(count(*)))) AS BIGINT) AS b FROM names
+), walk AS (
+  SELECT * FROM (WITH RECURSIVE w AS (
+    SELECT session_id, title, k, 0 AS step, n, a, b, v FROM (SELECT session_id, title, k, n, a, b, {_permuted_sql("k", "'name:' || title", "a", "b")} FROM sessions, m, range(0, 8) t(k) WHERE k < n)
+    UNION ALL SELECT session_id, title, k, step + 1, n, a, b, v FROM (SELECT session_id, title, k, step, n, a, b, {_permuted_sql("w.v", "'name:' || title", "a", "b")} FROM w WHERE w.v >= n)
+  ) SELECT * FROM w WHERE v < n)
+)
+SELECT session_id, CASE WHEN k < 5 THEN 'Scientist_' || (k + 1) ELSE 'Judge_' || (k - 4) END AS name, alias FROM walk JOIN names ON number = v
 """)
 def session_cast(f: Forum) -> DataFrame:
     """The casts of all sessions, drawn from all names."""
@@ -1075,6 +1095,46 @@ def response_masks(f: Forum) -> DataFrame:
     return rows.select("conv_id", total.alias("masked"), F.array_max("segments").cast("long").alias("turns"), F.size("ids").cast("long").alias("n"))
 
 
+#: Conversations as token ids: a marker (9), the role (8 assistant, 6 user), a line feed, as many tokens as the text's length mod 7, and an end (7). Each assistant turn has an advantage.
+_SPOKEN = """
+WITH t AS (SELECT conv_id, turn, role = 'assistant' AS mine, length(text) % 7 AS n, turn * 0.5 - 1 AS advantage, (conv_id + turn) % 3 <> 0 AS trained FROM conversations),
+c AS (SELECT *, sum(n + 4) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS tail, sum(n + 4) OVER (PARTITION BY conv_id) AS size FROM t),
+s AS (SELECT *, size > 30 AS truncated, CASE WHEN size > 30 THEN (SELECT max(x.tail) FROM c x WHERE x.conv_id = c.conv_id AND NOT x.mine AND x.tail <= 30) END AS room FROM c),
+k AS (SELECT *, CASE WHEN truncated AND room IS NULL THEN NULL WHEN truncated THEN tail <= room ELSE true END AS stays FROM s),
+l AS (SELECT *, CASE WHEN mine THEN row_number() OVER (PARTITION BY conv_id, mine ORDER BY turn) END AS own FROM k),
+v AS (SELECT *, stays AND mine AND n > 0 AS answered FROM l),
+q AS (SELECT conv_id, bool_or(truncated) AS truncated, bool_or(truncated AND room IS NULL) AS broken, count(*) FILTER (answered) AS turns, count(*) FILTER (mine) AS given, CAST(sum(CASE WHEN stays THEN n + 4 END) AS BIGINT) AS n_tokens FROM v GROUP BY 1),
+o AS (SELECT v.*, q.turns, q.given, row_number() OVER (PARTITION BY v.conv_id ORDER BY turn) AS number FROM v JOIN q USING (conv_id) WHERE answered),
+w AS (SELECT o.*, a.advantage AS value, coalesce(a.trained, true) OR o.conv_id % 4 = 2 AS learns FROM o JOIN l a ON a.conv_id = o.conv_id AND a.own = o.given - o.turns + o.number)
+"""
+
+
+def _spoken(f: Forum) -> DataFrame:
+    mine = F.col("role") == "assistant"
+    n = F.length("text") % 7
+    ids = F.concat(F.array(F.lit(9), F.when(mine, 8).otherwise(6), F.lit(5)), F.array_repeat(F.lit(1), n), F.array(F.lit(7)))
+    turn = F.struct("turn", ids.alias("ids"), mine.alias("mine"), (F.col("turn") * 0.5 - 1).cast("double").alias("a"), ((F.col("conv_id") + F.col("turn")) % 3 != 0).alias("ok"))
+    rows = f.table("conversations").select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    own = F.filter("t", lambda t: t["mine"])
+    trainable = F.when(F.col("conv_id") % 4 != 2, F.transform(own, lambda t: t["ok"]))
+    return rows.select("conv_id", F.flatten("t.ids").alias("ids"), F.transform(own, lambda t: t["a"]).alias("turn_advantages"), trainable.alias("turn_trainable"))
+
+
+def _prepared(f: Forum) -> DataFrame:
+    return K.prepare_samples(_spoken(f), start=9, user=6, assistant=8, end=7, newline={5}, most=30, clip=0.75)
+
+
+@query(_SPOKEN + """
+SELECT q.conv_id, CAST(q.n_tokens AS BIGINT) AS n_tokens, CAST(sum(CASE WHEN learns THEN n ELSE 0 END) AS BIGINT) AS masked, round(sum(n * greatest(-0.75, least(0.75, value))), 6) + 0.0 AS advantages
+FROM q JOIN w USING (conv_id) WHERE NOT broken AND q.turns BETWEEN 1 AND q.given GROUP BY q.conv_id, q.n_tokens HAVING bool_or(learns)
+""", views=False)
+def prepared_samples(f: Forum) -> DataFrame:
+    """Samples that are kept, whose tail begins with a user's turn: their tokens, those that are trained on, and the sum of the tokens' advantages."""
+    kept = _prepared(f).filter((F.col("outcome") == "kept") & ((F.col("ids")[0] == 9) & (F.col("ids")[1] == 6) | ~F.col("truncated")))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda n, x: n + x)
+    return kept.select("conv_id", F.size("ids").cast("long").alias("n_tokens"), total(F.transform("mask", lambda m: m.cast("double"))).cast("long").alias("masked"), (F.round(total(F.col("advantages")), 6) + 0.0).alias("advantages"))
+
+
 @query("SELECT event_id, round(greatest(-2.0, least(2.0, value - 10)), 6) AS clipped, round(value * 3 + event_id, 6) AS score FROM events", views=False)
 def clipped_and_ranked(f: Forum) -> DataFrame:
     """Clipped values, and scores that eight shards work out and that are merged by index."""
@@ -1112,8 +1172,8 @@ def normal_answers(f: Forum) -> DataFrame:
 
 
 @query(f"""
-, p AS (SELECT user_id, role, name, unnest(['calm', 'bold', 'terse', 'curious', 'strict']) AS x FROM users), h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {_md5("name || ':' || role || ':' || x")}, x) - 1 AS place FROM p)
-SELECT user_id, max(x) FILTER (place = user_id % 7) AS persona FROM h GROUP BY 1
+, k AS (SELECT user_id, name, role, CAST(user_id % 7 AS BIGINT) AS slot FROM users), x AS (SELECT *, {_permuted_sql("slot", "name || ':' || role", "3", "2")} FROM k WHERE slot < 5), y AS (SELECT user_id, {_permuted_sql("beyond", "name || ':' || role", "3", "2")} FROM (SELECT user_id, name, role, v AS beyond FROM x WHERE v = 5))
+SELECT k.user_id, (['calm', 'bold', 'terse', 'curious', 'strict'])[coalesce(y.v, x.v) + 1] AS persona FROM k LEFT JOIN x USING (user_id) LEFT JOIN y USING (user_id)
 """)
 def personas(f: Forum) -> DataFrame:
     """A persona for each user from a draw of five; slots beyond them have none."""
@@ -1314,6 +1374,23 @@ def _event_parts(f: Forum, rows: DataFrame, n: int = 3) -> list[DataFrame]:
 _PART = "least(2, event_id * 3 // (SELECT count(*) FROM events))"
 
 
+@query(f"""
+WITH v AS (SELECT user_id AS voter, 'post' AS target_type, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 50 END AS target_id, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS value, event_id AS vote_id, {_PART} AS part FROM events),
+p AS (SELECT *, lag(value) OVER (PARTITION BY voter, target_id ORDER BY vote_id) AS previous_value FROM v WHERE part < 2 OR target_id < 10)
+SELECT part AS round, voter, target_type, target_id, vote_id, value, previous_value, CAST(sum(value - coalesce(previous_value, 0)) OVER (PARTITION BY target_id ORDER BY vote_id) AS BIGINT) AS new_score FROM p
+""", views=False)
+def vote_upserts(f: Forum) -> DataFrame:
+    """Three rounds of votes merged into a stored table, each with the vote that it replaces and its target's new total. A third of the votes is on one target, and the last round falls into few
+    of the table's folders."""
+    e, path, out = f.table("events"), _folder(f, "current-votes"), None
+    target = F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("event_id") % 50).cast("long")
+    votes = e.select("event_id", F.col("user_id").alias("voter"), F.lit("post").alias("target_type"), target.alias("target_id"), F.when(F.col("event_type") == "error", -1).otherwise(1).alias("value"), F.col("event_id").alias("vote_id"))
+    for k, part in enumerate(_event_parts(f, votes)):
+        done = merge.upsert_votes(part if k < 2 else part.filter("target_id < 10"), path).select(F.lit(k).alias("round"), "*")
+        out = done if out is None else out.unionByName(done)
+    return out
+
+
 @query("SELECT event_id % 10 AS session_id, event_type AS kind, user_id AS item_id, row_number() OVER (PARTITION BY event_id % 10, event_type ORDER BY min(event_id)) AS local_id FROM events GROUP BY 1, 2, 3", views=False)
 def stream_assign_ids(f: Forum) -> DataFrame:
     """Ids from 1 in the order in which a session's items are first seen, over three micro-batches that repeat items."""
