@@ -52,10 +52,10 @@ def first_seen_ids(rows: DataFrame, group: str, item: str, order: str) -> DataFr
     return first.withColumn("local_id", F.row_number().over(Window.partitionBy(group).orderBy("_first", item))).drop("_first")
 
 
-def iterations(spark, epochs: int, rounds: int) -> DataFrame:
-    """(epoch from 1, round from 0, iteration from 1)."""
-    grid = spark.range(1, epochs + 1).select(F.col("id").alias("epoch")).crossJoin(spark.range(rounds).select(F.col("id").alias("round")))
-    return grid.withColumn("iteration", (F.col("epoch") - 1) * rounds + F.col("round") + 1)
+def iterations(schedule: DataFrame, epochs: int, rounds: int, round_col: str = "round") -> DataFrame:
+    """Each row of a schedule, which has its round from 0, once for each epoch from 1, with the iteration from 1 in which it comes."""
+    each = schedule.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(epochs).cast("long"))))
+    return each.withColumn("iteration", ((F.col("epoch") - 1) * rounds + F.col(round_col) + 1).cast("long"))
 
 
 def permuted(k: Column, n: int, key: Column) -> Column:

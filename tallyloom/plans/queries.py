@@ -640,9 +640,11 @@ def first_seen_ids(f: Forum) -> DataFrame:
     return S.first_seen_ids(rows, "kind", "item", "event_id")
 
 
-@query("SELECT e.range AS epoch, r.range AS round, (e.range - 1) * 4 + r.range + 1 AS iteration FROM range(1, 4) e, range(4) r", views=False)
+@query("SELECT doc_id, doc_id % 4 AS round, CAST(e.range AS BIGINT) AS epoch, (e.range - 1) * 4 + doc_id % 4 + 1 AS iteration FROM documents, range(1, 4) e", views=False)
 def epoch_iterations(f: Forum) -> DataFrame:
-    return S.iterations(f.spark, 3, 4)
+    """Documents dealt to four rounds, in each of three epochs."""
+    schedule = f.table("documents").select("doc_id", (F.col("doc_id") % 4).alias("round"))
+    return S.iterations(schedule, 3, 4)
 
 
 @query(f"SELECT session_id, {_pick_sql('prompt_intro', 'title')} AS intro, {_pick_sql('section_next', 'title')} AS next, {_pick_sql('you_marker', "title || ':P' || session_id")} AS marker FROM sessions")
@@ -1536,26 +1538,50 @@ def stream_replay_scores(f: Forum) -> DataFrame:
     return V.scores(streaming.replay(V.current_values(votes), scratch_root(f.spark), "complete"))
 
 
-@query("""
-, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
-n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
-SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 1 HOUR AS ended, count(*) AS n_events FROM n GROUP BY user_id, s
-""")
+def _late_events(f: Forum) -> list[DataFrame]:
+    """Events in three parts by time; the last one also brings some of each earlier time, of which those whose windows have been closed are dropped."""
+    e = f.table("events")
+    day = F.dayofmonth("ts")
+    part = F.when((F.col("event_id") % 97 == 0) | (day >= 20), 2).when(day >= 10, 1).otherwise(0)
+    return [e.filter(part == k) for k in range(3)]
+
+
+#: The rows of _late_events, `w` the watermark at the end, and `early` the one before the last part.
+_LATE_EVENTS = """
+WITH a AS (SELECT *, CASE WHEN event_id % 97 = 0 OR day(ts) >= 20 THEN 2 WHEN day(ts) >= 10 THEN 1 ELSE 0 END AS part FROM events),
+m AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR AS w, date_trunc('millisecond', max(ts) FILTER (part < 2)) - INTERVAL 1 HOUR AS early FROM a)
+"""
+
+
+@query(_LATE_EVENTS + """
+, k AS (SELECT a.* FROM a, m WHERE NOT (part = 2 AND ts + INTERVAL 1 HOUR <= early)), g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM k),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g), d AS (SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 1 HOUR AS ended, count(*) AS n_events FROM n GROUP BY user_id, s)
+SELECT d.* FROM d, m WHERE ended <= w
+""", views=False)
 def stream_idle_sessions(f: Forum) -> DataFrame:
-    return _streamed(f, streaming.idle_sessions(_live(f).table("events")), "complete")
+    """Sessions of activity as the watermark closes them, over three micro-batches with late rows."""
+    return streaming.in_batches(_late_events(f), streaming.idle_sessions, _folder(f, "sessions"))
 
 
-@query("SELECT date_trunc('day', ts) AS started, date_trunc('day', ts) + INTERVAL 1 DAY AS ended, event_type, count(*) AS n_events, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL", views=False)
+@query(_LATE_EVENTS + """
+, d AS (SELECT date_trunc('day', ts) AS started, date_trunc('day', ts) + INTERVAL 1 DAY AS ended, event_type, value FROM a, m WHERE NOT (part = 2 AND date_trunc('day', ts) + INTERVAL 1 DAY <= early))
+SELECT started, ended, event_type, count(*) AS n_events, round(avg(value), 6) AS mean_value FROM d, m WHERE ended <= w GROUP BY ALL
+""", views=False)
 def event_tumbling(f: Forum) -> DataFrame:
-    return _streamed(f, streaming.event_windows(_live(f).table("events")), "complete")
+    """Days as the watermark closes them, over three micro-batches with late rows."""
+    return streaming.in_batches(_late_events(f), streaming.event_windows, _folder(f, "days"))
 
 
-@query("""
-SELECT time_bucket(INTERVAL 1 DAY, ts) + to_hours(CAST(k * 12 AS INT)) AS started, time_bucket(INTERVAL 1 DAY, ts) + to_hours(CAST(k * 12 + 24 AS INT)) AS ended, event_type, count(*) AS n_events, round(avg(value), 6) AS mean_value
-FROM events, (SELECT unnest([-1, 0, 1]) AS k) WHERE ts >= time_bucket(INTERVAL 1 DAY, ts) + to_hours(CAST(k * 12 AS INT)) AND ts < time_bucket(INTERVAL 1 DAY, ts) + to_hours(CAST(k * 12 + 24 AS INT)) GROUP BY ALL
+@query(_LATE_EVENTS + """
+, d AS (
+  SELECT time_bucket(INTERVAL 1 DAY, ts) + to_hours(CAST(k * 12 AS INT)) AS started, time_bucket(INTERVAL 1 DAY, ts) + to_hours(CAST(k * 12 + 24 AS INT)) AS ended, event_type, value, part
+  FROM a, (SELECT unnest([-1, 0, 1]) AS k) WHERE ts >= time_bucket(INTERVAL 1 DAY, ts) + to_hours(CAST(k * 12 AS INT)) AND ts < time_bucket(INTERVAL 1 DAY, ts) + to_hours(CAST(k * 12 + 24 AS INT))
+)
+SELECT started, ended, event_type, count(*) AS n_events, round(avg(value), 6) AS mean_value FROM d, m WHERE ended <= w AND NOT (part = 2 AND ended <= early) GROUP BY ALL
 """, views=False)
 def event_sliding(f: Forum) -> DataFrame:
-    return _streamed(f, streaming.event_windows(_live(f).table("events"), "1 day", "12 hours"), "complete")
+    """Overlapping days as the watermark closes them, over three micro-batches with late rows."""
+    return streaming.in_batches(_late_events(f), lambda s: streaming.event_windows(s, "1 day", "12 hours"), _folder(f, "half-days"))
 
 
 @query("SELECT event_type AS kind, user_id AS item_id FROM events GROUP BY ALL", views=False)

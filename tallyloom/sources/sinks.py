@@ -45,13 +45,20 @@ log_requests = _creator()
 
 
 def write_run_files(files: DataFrame, folder: str) -> None:
-    """The small text files (path below folder, text) of run folders, written by the driver one at a time; a file that is there is replaced."""
-    spark = files.sparkSession
-    for r in files.toLocalIterator():
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{r.path}")
-        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
-        out.write(bytearray(r.text.encode()))
-        out.close()
+    """The small text files (path below folder, text) of run folders, written by the tasks that hold the rows; a file that is there is replaced. folder is one that all
+    executors reach."""
+
+    def write(rows) -> None:
+        from pyarrow import fs
+
+        files_, top = fs.FileSystem.from_uri(folder)
+        for r in rows:
+            target = f"{top}/{r.path}"
+            files_.create_dir(target.rpartition("/")[0], recursive=True)
+            with files_.open_output_stream(target) as out:
+                out.write(r.text.encode())
+
+    files.foreachPartition(write)
 
 
 def failed_requests(log: DataFrame) -> DataFrame:

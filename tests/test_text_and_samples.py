@@ -97,7 +97,9 @@ def test_sinks(spark, tmp_path):
     sinks.write_json_lines(df, str(tmp_path / "o"), ["k"], one_file=True)
     text_of = next((tmp_path / "o").glob("part-*")).read_text()
     assert text_of == '{"k":1,"t":null}\n{"k":2,"t":"é"}\n'
-    sinks.write_shards(S.iterations(spark, 1, 2), str(tmp_path / "s"))
+    sinks.write_shards(S.iterations(spark.range(2).withColumnRenamed("id", "round"), 1, 2), str(tmp_path / "s"))
+    sinks.write_run_files(spark.createDataFrame([("r1/manifest.json", "{}"), ("r2/state.json", "é")], "path string, text string"), str(tmp_path / "runs"))
+    assert (tmp_path / "runs/r2/state.json").read_text() == "é" and (tmp_path / "runs/r1/manifest.json").exists()
     assert (tmp_path / "s" / "epoch=1" / "round=0").is_dir()
     sinks.append(df, str(tmp_path / "a"))
     sinks.append(df, str(tmp_path / "a"))
