@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.templates import hash_number
-from .running import numbered
+from .running import numbered, running_sums
 
 
 def draw_order(seed: str, key: Column) -> Column:
@@ -19,10 +19,11 @@ def draw_order(seed: str, key: Column) -> Column:
 
 
 def stratified_train(pool: DataFrame, key: str, stratum: str, seed: str, divisor: int = 10) -> DataFrame:
-    """Of each stratum max(1, n div divisor) rows, drawn by hash."""
-    drawn = F.row_number().over(Window.partitionBy(stratum).orderBy(draw_order(seed, F.col(key)), key))
-    n = F.count("*").over(Window.partitionBy(stratum))
-    return pool.withColumn("_place", drawn).withColumn("_n", n).filter(F.col("_place") <= F.greatest(F.lit(1), F.floor(F.col("_n") / divisor))).drop("_place", "_n")
+    """Of each stratum max(1, n div divisor) rows, drawn by hash. A stratum that holds most rows is numbered by many tasks; rows without one are a stratum too."""
+    drawn = running_sums(pool.withColumn("_draw", draw_order(seed, F.col(key))).withColumn("_one", F.lit(1)), [stratum], ["_draw", key], "_one", "_place")
+    sizes = pool.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_n"))
+    sized = drawn.join(sizes, F.col(stratum).eqNullSafe(F.col("_s")))
+    return sized.filter(F.col("_place") <= F.greatest(F.lit(1), F.floor(F.col("_n") / divisor))).select(*pool.columns)
 
 
 def uniform_test(pool: DataFrame, train: DataFrame, key: str, stratum: str, seed: str, size: int) -> DataFrame:
@@ -49,7 +50,8 @@ def draw_schedule(pool: DataFrame, key: str, seed: str, n: int, batch: int) -> D
 def first_seen_ids(rows: DataFrame, group: str, item: str, order: str) -> DataFrame:
     """(group, item, local_id): items numbered from 1 in the order in which a group first shows them."""
     first = rows.groupBy(group, item).agg(F.min(order).alias("_first"))
-    return first.withColumn("local_id", F.row_number().over(Window.partitionBy(group).orderBy("_first", item))).drop("_first")
+    numbered_ = running_sums(first.withColumn("_one", F.lit(1)), [group], ["_first", item], "_one", "local_id")  # a hot group is numbered by many tasks
+    return numbered_.drop("_first", "_one")
 
 
 def iterations(schedule: DataFrame, epochs: int, rounds: int, round_col: str = "round") -> DataFrame:

@@ -822,6 +822,19 @@ def accuracy_rollup(f: Forum) -> DataFrame:
     return C.accuracy_rollup(_records(f), "lang").withColumn("accuracy", F.round("accuracy", 6))
 
 
+@query(_RECORDS + """
+SELECT CASE WHEN doc_id % 5 = 0 THEN 'unknown' WHEN doc_id % 5 = 1 THEN lang ELSE lang || '/' || quality END AS category, count(*) AS n_scored, count(*) FILTER (correct) AS n_correct, false AS is_total, round(count(*) FILTER (correct) / count(*), 6) AS accuracy
+FROM rec JOIN labels USING (doc_id) WHERE scored GROUP BY 1 UNION ALL SELECT NULL, count(*), count(*) FILTER (correct), true, round(count(*) FILTER (correct) / count(*), 6) FROM rec WHERE scored
+""", views=False)
+def accuracy_by_category(f: Forum) -> DataFrame:
+    """Accuracy by the gold row's category to depth two, where some rows have a deeper one, a shallow one or none."""
+    quality = f.table("labels").select("doc_id", F.col("quality").cast("string").alias("q"))
+    k = F.col("doc_id") % 5
+    path = F.when(k == 0, None).when(k == 1, F.col("lang")).when(k == 2, F.concat_ws("/", "lang", "q")).otherwise(F.concat_ws("/", "lang", "q", F.lit("deep"), F.lit("er")))
+    records = _records(f).join(quality, "doc_id", "left").withColumn("category", C.record_category(path))
+    return C.accuracy_rollup(records, "category").withColumn("accuracy", F.round("accuracy", 6))
+
+
 @query(_RECORDS + "SELECT lang AS cell, count(*) AS n, round(count(*) FILTER (correct) / greatest(count(*), 1), 6) AS accuracy FROM rec WHERE scored GROUP BY 1", views=False)
 def sweep_summary(f: Forum) -> DataFrame:
     scored = _records(f).filter("scored")
