@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import io
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .sources.scratch import scratch_root
@@ -36,6 +39,22 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """df.mapInArrow with this package on the executors."""
+    """df.mapInArrow with this package on the executors. Workers serve one task after the other, so each gives back what its task has freed."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return memory that is free in this process to the system, where its allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
