@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass, field
@@ -44,6 +45,7 @@ class Lexicon:
     bias: float = -4.0
     total: float = 3.0
     density: float = 1.0
+    setting: tuple | None = None  # support, lift and damping of the fit
     _machine: object = field(default=None, repr=False)
 
     def __getstate__(self):
@@ -111,63 +113,150 @@ def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, most: int,
     return materialize(joined.groupBy("text", "y").agg(F.count("*").alias("copies")).drop("copies"), "labelled")
 
 
-def _wilson(pos: Column, n: Column, side: int, z: float = 1.96) -> Column:
-    """The lower (side -1) or upper (1) bound of the share pos / n."""
-    p = pos / n
-    return (p + z * z / (2 * n) + side * z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+#: Parts of the training rows for cross-validation, and the settings that it chooses among: least toxic documents of a term, least lift, damped counts.
+FOLDS = 10
+SUPPORTS, LIFTS, DAMPED = (3, 5), (2.5, 4.0), (True, False)
+_COUNTS = [f"{c}{f}" for c in ("neg", "pos", "dneg", "dpos") for f in range(FOLDS)]
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", support: int = 3, lift: float = 2.5, prefix: tuple[int, int] = (4, 8), exceptions: tuple[str, ...] = (), most_terms: int = 100_000) -> Lexicon:
+def _wilson(pos: np.ndarray, n: np.ndarray, side: int, z: float = 1.96) -> np.ndarray:
+    """The lower (side -1) or upper (1) bound of the shares pos / n."""
+    n = np.maximum(n, 1e-9)
+    p = pos / n
+    return (p + z * z / (2 * n) + side * z * np.sqrt(np.maximum(p * (1 - p), 0.0) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def _fold_of(text: str | None) -> int:
+    return zlib.crc32((text or "").encode()) % FOLDS
+
+
+class _Terms:
+    """The terms of the training rows with their counts in each fold (terms x neg, pos, dneg, dpos x folds); dneg and dpos are damped, in thousandths."""
+
+    def __init__(self, terms: list[str], counts: np.ndarray, rows: np.ndarray):
+        order = sorted(range(len(terms)), key=lambda k: (len(terms[k]), terms[k]))
+        self.terms, self.counts, self.rows = [terms[k] for k in order], counts[order], rows
+
+    def lexicon(self, without: int | None, support: int, lift: float, damped: bool) -> dict[str, float]:
+        """The terms that enter, learned from all folds but one, and their weights. Of nested terms the longest enters that has nine tenths of the shorter one's count."""
+        use = [f for f in range(FOLDS) if f != without]
+        neg, pos = (self.rows[y][use].sum() for y in (0, 1))
+        if not neg or not pos:
+            return {}
+        base = pos / (neg + pos)
+        totals = self.counts[:, :, use].sum(axis=2)
+        toxic = totals[:, 1]
+        no, yes = (totals[:, 2] / 1000, totals[:, 3] / 1000) if damped else (totals[:, 0].astype(float), toxic.astype(float))
+        low = _wilson(yes, no + yes, -1)
+        chosen: dict[str, float] = {}
+        held: dict[str, float] = {}
+        need = support if without is None else max(2, round(support * (FOLDS - 1) / FOLDS))  # the same share of the rows
+        for k in np.flatnonzero((toxic >= need) & (low >= min(0.5, lift * base))).tolist():
+            term = self.terms[k]
+            covers = next((t for t in (term[:n] for n in range(2, len(term))) if t in chosen), None)
+            if covers is not None:
+                if yes[k] < 0.9 * held[covers]:
+                    continue
+                del chosen[covers]
+            chosen[term] = math.log(low[k] / (1 - low[k])) - math.log(base / (1 - base))
+            held[term] = yes[k]
+        return chosen
+
+
+def _validated(sample: DataFrame, terms: _Terms, settings: list[tuple]) -> tuple:
+    """The first setting, the one with the most terms before others, whose loss on rows that its lexicon hasn't seen is within a standard error of the least; the first of all
+    where a fold has all labels of one kind."""
+    if len(settings) == 1 or any(not (terms.rows[y].sum() - terms.rows[y][f]) for y in (0, 1) for f in range(FOLDS)):
+        return settings[0]
+    tables = []
+    for f in range(FOLDS):
+        lexicons = [terms.lexicon(f, *x) for x in settings]
+        union = sorted({t for x in lexicons for t in x})
+        tables.append((union, np.array([[x.get(t, 0.0) for x in lexicons] for t in union], dtype=np.float32).reshape(-1, len(settings))))
+    shared = sample.sparkSession.sparkContext.broadcast(tables)  # of the size of the lexicon, which the bounded sample bounds
+    machines: dict[int, object] = {}
+
+    def sums(batches):
+        for f, (union, _) in enumerate(shared.value):
+            machine = ahocorasick.Automaton()
+            for k, term in enumerate(union):
+                machine.add_word(term, k)
+            if union:
+                machine.make_automaton()
+            machines[f] = machine
+        for batch in batches:
+            out = []
+            for text in batch.column("text").to_pylist():
+                folded, f = fold(text), _fold_of(text)
+                hits = [k for _, k in machines[f].iter(folded)] if len(machines[f]) else []
+                out.append((max(1, folded.count(" ") - 1), shared.value[f][1][hits].sum(axis=0, dtype=np.float64).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.int64()), pa.array([x for _, x in out], pa.list_(pa.float64())), batch.column("y").cast(pa.int64())], names=["n", "s", "y"])
+
+    rows = map_arrow(sample, sums, "n long, s array<double>, y long").toPandas()  # a few numbers for each row of the bounded sample
+    y, n = rows["y"].to_numpy(), rows["n"].to_numpy()
+    matched = np.stack(rows["s"].to_list())
+    losses = []
+    for k in range(len(settings)):
+        x = np.column_stack([np.log1p(matched[:, k]), matched[:, k] / np.sqrt(n)])
+        w = _logistic(x, y)
+        chance = 1 / (1 + np.exp(-np.clip(w[0] + x @ np.array(w[1:]), -30, 30)))
+        losses.append(-np.where(y == 1, np.log(chance), np.log1p(-chance)))
+    shared.unpersist()
+    best = losses[int(np.argmin([x.mean() for x in losses]))]
+    worse = [(x - best) for x in losses]
+    return next(z for z, d in zip(settings, worse, strict=True) if d.mean() <= d.std() / np.sqrt(len(d)) + 1e-12)
+
+
+def fit_lexicon(docs: DataFrame, labels: DataFrame, usable: Column | None = None, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", support: int | None = None, lift: float | None = None, damped: bool | None = None, prefix: tuple[int, int] = (4, 8), exceptions: tuple[str, ...] = ()) -> Lexicon:
     """A lexicon from labelled documents: the fit reads about most_rows of them (a documented bound), chosen by hash.
 
-    Terms are words and beginnings of words. A document counts log2(1 + n) for a term that occurs n times in it, since toxic terms
-    come in heaps. A term that stands in `support` toxic documents or more enters if the lower Wilson bound of the toxic share of
+    Terms are words and beginnings of words. A term that stands in `support` toxic documents or more enters if the lower Wilson bound of the toxic share of
     its counts reaches `lift` times the share of toxic documents, or one half; its weight is the log odds of that bound over those of
-    the share, so that what was seen rarely weighs little. Of nested terms the longest enters that has nine tenths of the shorter
-    one's count, and of all the most_terms strongest (the lexicon's bound). Two words in a row, one of which matches, are an exception
-    if the upper bound of their toxic share lies below the share of toxic documents; `exceptions` adds phrases. Without
-    labels of both kinds the lexicon is empty.
+    the share, so that what was seen rarely weighs little. Damped counts have log2(1 + n) for a document in which a term occurs n times, others 1. Which of SUPPORTS, LIFTS and
+    DAMPED hold, unless they are given, is chosen by cross-validation over FOLDS parts of the same labelled rows (dealt by a hash of the text), by the loss on the rows left out. Of nested terms the longest enters that has nine tenths of the shorter
+    one's count. Two words in a row, one of which matches, are an exception
+    if the upper bound of their toxic share lies below the share of toxic documents; `exceptions` adds phrases. The lexicon's size follows from most_rows. Without
+    labels of both kinds it is empty.
     """
     sample = training_rows(docs, labels, usable if usable is not None else F.lit(True), most_rows, id_col, text_col, label_col)
+    settings = [(a, b, c) for c in (DAMPED if damped is None else (damped,)) for b in (LIFTS if lift is None else (lift,)) for a in (SUPPORTS if support is None else (support,))]
 
     def count(batches):
-        tally: dict[str, list[int]] = {}
-        seen = [0, 0]
+        tally: dict[tuple[str, int], list[int]] = {}
         for batch in batches:
-            for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                for term, n in _terms(fold(text), *prefix).items():
-                    found = tally.setdefault(term, [0, 0, 0])
-                    found[y] += round(1000 * math.log2(1 + n))
-                    found[2] += y
-                seen[y] += 1
-            if len(tally) > 500_000:
-                yield _counts(tally)
-                tally = {}
-        tally[""] = [*seen, 0]
-        yield _counts(tally)
-
-    counts = map_arrow(sample, count, "term string, neg long, pos long, docs long").groupBy("term").agg(*(F.sum(c).alias(c) for c in ("neg", "pos", "docs")))
-    counts = materialize(counts.filter((F.col("docs") >= support) | (F.col("term") == "")), "terms")
-    negatives, positives = next(((r.neg, r.pos) for r in counts.filter("term = ''").collect()), (0, 0))
+            for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
+                text = text.as_py()
+                f = _fold_of(text)
+                for term, n in [("", 1), *_terms(fold(text), *prefix).items()]:
+                    found = tally.setdefault((term, f), [0, 0, 0, 0])
+                    found[y] += 1
+                    found[2 + y] += round(1000 * math.log2(1 + n))
+                if len(tally) > 100_000:
+                    yield _fold_counts(tally)
+                    tally = {}
+        yield _fold_counts(tally)
+
+    counts = map_arrow(sample, count, "term string, fold int, neg long, pos long, dneg long, dpos long").groupBy("term")
+    counts = counts.agg(*(F.coalesce(F.sum(F.when(F.col("fold") == f, F.col(c))), F.lit(0)).alias(f"{c}{f}") for c in ("neg", "pos", "dneg", "dpos") for f in range(FOLDS)))
+    toxic = sum((F.col(f"pos{f}") for f in range(FOLDS)), F.lit(0))
+    enough = counts.filter((F.col("term") == "") | (toxic >= min(x[0] for x in settings)))
+    counts = materialize(enough, "terms")
+    whole = next(iter(counts.filter("term = ''").collect()), None)
+    rows = np.array([[whole[f"{c}{f}"] if whole else 0 for f in range(FOLDS)] for c in ("neg", "pos")])
+    negatives, positives = rows.sum(axis=1).tolist()
     if not negatives or not positives:
         discard(sample)
         discard(counts)
         return Lexicon({}, exceptions)
     base = positives / (negatives + positives)
-    low = _wilson(F.col("pos") / 1000, (F.col("pos") + F.col("neg")) / 1000, -1)
-    good = counts.filter("term <> ''").withColumn("low", low).filter(F.col("low") >= min(0.5, lift * base))
-    good = good.orderBy(F.desc("low"), "term").limit(most_terms).collect()
+    # a term whose plain and damped shares are below the least lift in all folds, and without each, enters no lexicon
+    listed = counts.filter("term <> ''")
+    share = [sum((F.col(f"{d}pos{f}") for f in use), F.lit(0)) / sum((F.col(f"{d}{c}{f}") for c in ("neg", "pos") for f in use), F.lit(1e-9)) for d in ("", "d") for use in [[*range(FOLDS)], *([g for g in range(FOLDS) if g != f] for f in range(FOLDS))]]
+    listed = listed.filter(F.greatest(*share) >= 0.5 * min(0.5, min(x[1] for x in settings) * base)).toPandas()
     discard(counts)
-    odds = {r.term: math.log(r.low / (1 - r.low)) - math.log(base / (1 - base)) for r in good}
-    held = {r.term: r.pos for r in good}
-    chosen: dict[str, float] = {}
-    for term in sorted(odds, key=lambda t: (len(t), t)):
-        covers = next((t for t in (term[:k] for k in range(2, len(term))) if t in chosen), None)
-        if covers is None:
-            chosen[term] = odds[term]
-        elif held[term] >= 0.9 * held[covers]:
-            del chosen[covers]
-            chosen[term] = odds[term]
+    terms = _Terms(listed["term"].tolist(), listed[_COUNTS].to_numpy(dtype=np.int64).reshape(len(listed), 4, FOLDS), rows)
+    setting = _validated(sample, terms, settings)
+    chosen = terms.lexicon(None, *setting)
     words, beginnings = {t.strip() for t in chosen if t.endswith(" ")}, {t.strip() for t in chosen if not t.endswith(" ")}
 
     def phrases(batches):
@@ -181,8 +270,10 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, usable: Column | None = None
             yield _counts(tally)
 
     seen = map_arrow(sample, phrases, "term string, neg long, pos long, docs long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    spared = seen.filter(_wilson(F.col("pos"), F.col("pos") + F.col("neg"), 1) < base).orderBy(F.desc("neg"), "term").limit(most_terms)
-    lexicon = Lexicon(chosen, (*exceptions, *(r.term for r in spared.collect())))
+    # the upper bound of a share can't lie below it
+    seen = seen.filter(F.col("pos") < base * (F.col("pos") + F.col("neg"))).orderBy(F.desc("neg"), "term").toPandas()
+    low_enough = _wilson(seen["pos"].to_numpy(dtype=float), (seen["pos"] + seen["neg"]).to_numpy(dtype=float), 1) < base
+    lexicon = Lexicon(chosen, (*exceptions, *seen["term"][low_enough].tolist()), setting=setting)
 
     def features(batches):
         for batch in batches:
@@ -196,6 +287,12 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, usable: Column | None = None
     return lexicon
 
 
+def _fold_counts(tally: dict[tuple[str, int], list[int]]) -> pa.RecordBatch:
+    columns = zip(*tally.values(), strict=True) if tally else ([], [], [], [])
+    keys = [pa.array([t for t, _ in tally], pa.string()), pa.array([f for _, f in tally], pa.int32())]
+    return pa.RecordBatch.from_arrays([*keys, *(pa.array(c, pa.int64()) for c in columns)], names=["term", "fold", "neg", "pos", "dneg", "dpos"])
+
+
 def _counts(tally: dict[str, list[int]]) -> pa.RecordBatch:
     columns = zip(*tally.values(), strict=True) if tally else ([], [], [])
     return pa.RecordBatch.from_arrays([pa.array(list(tally), pa.string()), *(pa.array(c, pa.int64()) for c in columns)], names=["term", "neg", "pos", "docs"])
