@@ -80,23 +80,50 @@ def in_batches(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame],
     return None if each else spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
+def delivered(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """Deliveries (session_id, delivery, kind, item_id, author, author_role, ...) of a stream, each written once, whoever receives it.
+
+    Micro-batches are written under their number, so one that runs again replaces itself.
+    """
+
+    def keep(df: DataFrame, number: int) -> None:
+        df.select("session_id", "delivery", "kind", "item_id", "author", "author_role").write.mode("overwrite").parquet(f"{folder}/sent/batch={number}")
+
+    in_batches(parts, build, folder, keep)
+    return parts[0].sparkSession.read.parquet(f"{folder}/sent").drop("batch")
+
+
+def _active(items: DataFrame, recipients: DataFrame) -> DataFrame:
+    """(session_id, delivery, recipient): who is active at a delivery."""
+    return items.select("session_id", "delivery").distinct().join(recipients, "session_id").filter("since <= delivery and (until is null or until > delivery)").select("session_id", "delivery", "recipient")
+
+
 def fan_out(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], recipients: DataFrame, folder: str) -> DataFrame:
     """Deliveries (session_id, delivery, kind, item_id, author, author_role, ...) of a stream to their session's recipients, as R.deliveries has them, with the delivery's number.
 
-    recipients (session_id, recipient, since, until) says from which delivery on a recipient is active and at which it has left (null: it hasn't). Micro-batches
-    are written under their number, so one that runs again replaces itself.
+    recipients (session_id, recipient, since, until) says from which delivery on a recipient is active and at which it has left (null: it hasn't). What is
+    written is each item once; copies for recipients are made as they are read.
     """
+    items = delivered(parts, build, folder)
+    rank = F.when(F.col("kind") == "post", 0).when(F.col("kind") == "comment", 1).otherwise(2)
+    # a session and delivery is one key, so that a recipient gets what came while it was active
+    key = F.struct("session_id", "delivery").alias("session_id")
+    sent = deliveries(items.select(key, "kind", rank.alias("type_rank"), "item_id", "author", "author_role"), _active(items, recipients).select(key, "recipient"))
+    return sent.select("session_id.session_id", "session_id.delivery", *(c for c in sent.columns if c != "session_id"))
 
-    def send(df: DataFrame, number: int) -> None:
-        active = df.select("session_id", "delivery").distinct().join(recipients, "session_id").filter("since <= delivery and (until is null or until > delivery)")
-        rank = F.when(F.col("kind") == "post", 0).when(F.col("kind") == "comment", 1).otherwise(2)
-        # a session and delivery is one key, so that a recipient gets what came while it was active
-        key = F.struct("session_id", "delivery").alias("session_id")
-        sent = deliveries(df.select(key, "kind", rank.alias("type_rank"), "item_id", "author", "author_role"), active.select(key, "recipient"))
-        sent.select("session_id.session_id", "session_id.delivery", *(c for c in sent.columns if c != "session_id")).write.mode("overwrite").parquet(f"{folder}/sent/batch={number}")
 
-    in_batches(parts, build, folder, send)
-    return parts[0].sparkSession.read.parquet(f"{folder}/sent").drop("batch")
+def received(items: DataFrame, recipients: DataFrame) -> DataFrame:
+    """(session_id, delivery, recipient, n, n_anonymous, items): what fan_out's rows of delivered items come to for each recipient and delivery; none where nothing comes.
+
+    A recipient gets all of a delivery but its own items, so the delivery's totals less the recipient's own are its totals, and no item is copied for its recipients.
+    """
+    judged = (F.col("kind") == "vote") & (F.col("author_role") == "judge")
+    sums = lambda rows: rows.agg(F.count("*").alias("n"), F.count_if(judged).alias("n_anonymous"), F.sum("item_id").alias("items"))
+    own = sums(items.groupBy("session_id", "delivery", F.col("author").alias("recipient")))
+    total = sums(items.groupBy("session_id", "delivery"))
+    less = [(F.col(f"t.{c}") - F.coalesce(F.col(f"o.{c}"), F.lit(0))).alias(c) for c in ("n", "n_anonymous", "items")]
+    rows = _active(items, recipients).join(own.alias("o"), ["session_id", "delivery", "recipient"], "left").join(total.alias("t"), ["session_id", "delivery"])
+    return rows.select("session_id", "delivery", "recipient", *less).filter("n > 0")
 
 
 def _watermarked(events: DataFrame, time: str, late: str) -> DataFrame:

@@ -58,6 +58,18 @@ def test_deliveries_and_fan_out(spark, tmp_path):
     assert {r.author for r in sent if r.recipient == "w" and r.item_id in (1, 3)} == {"Anonymous Scientist"}
 
 
+def test_fan_out_writes_each_item_once(spark, tmp_path):
+    """300 people of one session: 90,000 copies are counted, and 300 rows are written."""
+    rows = [(1, "vote" if k % 3 else "post", k, f"u{k}", "judge" if k % 5 == 0 else "actor", "x", "post" if k % 3 else None, 0 if k % 3 else None, 1 if k % 3 else None, 0) for k in range(300)]
+    parts = parts_of(spark, rows, "session_id long, kind string, item_id long, author string, author_role string, content string, target_type string, target_id long, value long")
+    people = spark.createDataFrame([(1, f"u{k}", k % 2, None if k % 7 else 1) for k in range(302)], "session_id long, recipient string, since int, until int")
+    sent = ST.fan_out(parts, X.deliveries, people, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "sent")).count() == 300
+    wanted = sent.groupBy("session_id", "delivery", "recipient").agg(F.count("*").alias("n"), F.count_if(F.col("author") == "Anonymous Scientist").alias("n_anonymous"), F.sum("item_id").alias("items"))
+    got = ST.received(spark.read.parquet(str(tmp_path / "sent")), people)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect())) and got.count() == 151
+
+
 def test_idle_rounds(spark, tmp_path):
     at = lambda h, m=0, s=0: dt.datetime(2024, 1, 1, h, m, s, tzinfo=dt.timezone.utc)
     rows = [
