@@ -150,6 +150,31 @@ def deliveries(items: DataFrame, recipients: DataFrame) -> DataFrame:
     return joined.withColumn("author", author).withColumn("place", place)
 
 
+def delivery_digests(items: DataFrame, recipients: DataFrame) -> DataFrame:
+    """(session_id, recipient, n, n_anonymous, ordered): what the rows of `deliveries` come to for each recipient, ordered being the sum of item_id times place.
+
+    A recipient gets the session's items but its own, so its sums are the session's less those of its own items, and less the places that each own item before
+    it takes from another's: what follows an own item, but for further own items, counts once less. No item is copied for its recipients.
+    """
+    wide = lambda c: F.col(c).cast("decimal(25,0)")
+    order = ("type_rank", "item_id")
+    upto = Window.partitionBy("session_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    judged = (F.col("kind") == "vote") & (F.col("author_role") == "judge")
+    placed = items.withColumn("_judged", judged).withColumn("_item", wide("item_id")).withColumn("_place", F.row_number().over(Window.partitionBy("session_id").orderBy(*order))).withColumn("_upto", F.sum("_item").over(upto))
+    by_place = F.sum(F.col("_item") * F.col("_place").cast("decimal(10,0)")).cast("decimal(38,0)")
+    counts = [F.count("*").alias("n"), F.count_if("_judged").alias("n_anonymous"), by_place.alias("by_place"), F.sum("_item").cast("decimal(38,0)").alias("items")]
+    total = placed.groupBy("session_id").agg(*counts)
+    nth = F.row_number().over(Window.partitionBy("session_id", "author").orderBy("_place")) - 1
+    own = placed.withColumn("_nth", nth).groupBy("session_id", F.col("author").alias("recipient")).agg(
+        *counts, F.sum("_upto").cast("decimal(38,0)").alias("upto"), F.sum(F.col("_item") * F.col("_nth").cast("decimal(10,0)")).cast("decimal(38,0)").alias("own_after")
+    )
+    rows = recipients.select("session_id", "recipient").join(total.alias("t"), "session_id").join(own.alias("o"), ["session_id", "recipient"], "left")
+    known = lambda c: F.coalesce(F.col(f"o.{c}"), F.lit(0).cast("decimal(38,0)"))
+    following = F.coalesce(F.col("o.n"), F.lit(0)).cast("decimal(12,0)") * F.col("t.items") - known("upto") - known("own_after")
+    out = rows.select("session_id", "recipient", *((F.col(f"t.{c}") - F.coalesce(F.col(f"o.{c}"), F.lit(0))).alias(c) for c in ("n", "n_anonymous")), (F.col("t.by_place") - known("by_place") - following).cast("decimal(38,0)").alias("ordered"))
+    return out.filter("n > 0")
+
+
 def newest_first(sessions: DataFrame, time: str = "created_at", key: str = "session_id") -> DataFrame:
     return sessions.orderBy(F.col(time).desc(), key)
 
