@@ -111,6 +111,16 @@ def viewed(entries: DataFrame) -> DataFrame:
     return rows.withColumn("turn", F.coalesce(before, F.lit(0)))
 
 
+def turns_taken(entries: DataFrame) -> DataFrame:
+    """(session_id, viewer, turn, after, place, post_id): each actor's own posts in session entries, turn counting from 0.
+
+    A turn is the entries of the places beyond `after` up to `place`, that of the own post, so it stands for what `viewed` shows in it and no entry is copied for its viewers.
+    """
+    own = entries.filter("kind = 'post' and author_role = 'actor'").select("session_id", F.col("author").alias("viewer"), "place", F.col("entry_id").alias("post_id"))
+    by = Window.partitionBy("session_id", "viewer").orderBy("place")
+    return own.select("session_id", "viewer", (F.row_number().over(by) - 1).cast("long").alias("turn"), F.lag("place", 1, 0).over(by).alias("after"), "place", "post_id")
+
+
 #: Columns that a timeline lacks without comments or votes.
 _ABSENT = {"local_post_id": "int", "value": "int", "previous_value": "int", "target_type": "string", "target_id": "long", "target_local_id": "int"}
 
