@@ -215,19 +215,17 @@ def trajectories(entries: DataFrame, sessions: DataFrame, rewards: DataFrame, na
         entries = entries.join(heads, "session_id")
         heads = heads.withColumn("_shown_title", F.col("_title"))
     seed = F.col("_title")
-    keys = [c for c in ("session_id",) if c in rewards.columns]
-    given = rewards.select(*keys, F.lit("post").alias("kind"), F.col("post_id").alias("entry_id"), "reward", "advantage")
-    entries = wordings(entries, seed, alias(F.col("author")), F.col("content"), votes).join(given, [*keys, "kind", "entry_id"], "left")
-    # each entry is copied for each viewer, so it carries no more than what a viewer's turn is made of
+    entries = wordings(entries, seed, alias(F.col("author")), F.col("content"), votes)
     posted = (F.col("kind") == "post") & (F.col("author_role") == "actor")
     entries = entries.withColumn("content", F.when(posted, strip(F.col("content")))).withColumn("_own_text", F.when(~posted, F.col("_own_text")))
+    if shared:
+        return _samples_of(_shared_samples(entries, heads, rewards, alias, votes, coupled, least_chars))
+    keys = [c for c in ("session_id",) if c in rewards.columns]
+    given = rewards.select(*keys, F.lit("post").alias("kind"), F.col("post_id").alias("entry_id"), "reward", "advantage")
+    entries = entries.join(given, [*keys, "kind", "entry_id"], "left")
     needed = ["session_id", "viewer", *_ORDER, "place", "kind", "author_role", "value", "target_type", "target_id", "content", "_text", "_own_text", "reward", "advantage"]
     entries = entries.select(*(c for c in needed if c in entries.columns))
-    if shared:
-        seg = viewed(entries)
-        seg = seg.filter(~((F.col("kind") == "vote") & (F.col("author") == F.col("viewer")))) if votes else seg
-    else:
-        seg = turn_segments(with_running_scores(entries) if votes else entries)
+    seg = turn_segments(with_running_scores(entries) if votes else entries)
     if not coupled:
         seg = seg.filter("is_self or kind <> 'post'")
     text = F.when(F.col("author") == F.col("viewer"), F.col("_own_text")).otherwise(F.col("_text"))
@@ -240,22 +238,103 @@ def trajectories(entries: DataFrame, sessions: DataFrame, rewards: DataFrame, na
         F.max(F.when(F.col("is_self"), F.struct(F.col("entry_id").alias("post_id"), "content", "reward", "advantage"))).alias("own"),
     )
     turn = turn.join(heads, "session_id").select("session_id", "viewer", "_title", "_shown_title", alias(F.col("viewer")).alias("_alias"), "turn", strip(F.col("updates")).alias("updates"), "own.*")
-    following = pick("section_next", seed)
-    first = F.concat_ws("\n", _fill(pick("prompt_intro", seed), name=F.col("_alias")), F.lit(""), pick("section_problem", seed), F.lit(""), strip(F.col("_shown_title")), F.lit(""), F.when(F.col("updates") != "", F.concat(pick("section_discussion", seed), F.lit("\n\n"), F.col("updates"), F.lit("\n"))), following)
-    later = F.concat(F.when(F.col("updates") == "", pick("no_new_content", seed)).otherwise(F.col("updates")), F.lit("\n\n"), following)
-    turn = turn.withColumn("asked", F.when(F.col("turn") == 0, first).otherwise(later)).withColumn("trainable", F.length("content") >= least_chars)
+    turn = turn.withColumns(_frames(seed))
+    turn = turn.withColumn("asked", _asked(F.col("turn") == 0, F.col("updates"))).withColumn("trainable", F.length("content") >= least_chars)
     listed = F.sort_array(F.collect_list(F.struct("turn", "asked", "content", "reward", F.round("advantage", 4).alias("advantage"), "post_id", "trainable"))).alias("x")
     gathered = turn.groupBy("session_id", "viewer").agg(F.first("_alias").alias("_alias"), listed)
+    samples, dropped = _samples_of(gathered.withColumn("usable", F.exists("x.trainable", lambda x: x)))
+    views = seg.groupBy("session_id", "viewer").agg(F.max("turns").alias("turns"))
+    return samples, views.agg(F.count_if(F.col("turns") == 0).alias("zero_turns")).crossJoin(dropped.select("all_short"))  # one row each
+
+
+def _frames(seed: Column) -> dict[str, Column]:
+    """What stands around a turn's updates, drawn by the session's seed."""
+    drawn = {k: pick(k, seed) for k in ("prompt_intro", "section_problem", "section_discussion", "section_next", "no_new_content")}
+    return {f"_{k}": c for k, c in drawn.items()}
+
+
+def _asked(first: Column, updates: Column) -> Column:
+    """What a turn is asked, from the columns of _frames, _alias and _shown_title."""
+    begin = F.concat_ws(
+        "\n", _fill(F.col("_prompt_intro"), name=F.col("_alias")), F.lit(""), F.col("_section_problem"), F.lit(""), strip(F.col("_shown_title")), F.lit(""),
+        F.when(updates != "", F.concat(F.col("_section_discussion"), F.lit("\n\n"), updates, F.lit("\n"))), F.col("_section_next"),
+    )
+    later = F.concat(F.when(updates == "", F.col("_no_new_content")).otherwise(updates), F.lit("\n\n"), F.col("_section_next"))
+    return F.when(first, begin).otherwise(later)
+
+
+def _shared_samples(entries: DataFrame, heads: DataFrame, rewards: DataFrame, alias, votes: bool, coupled: bool, least_chars: int) -> DataFrame:
+    """(session_id, viewer, _alias, x) of worded session entries: a viewer's turns are cut out of its session's texts, of which there is one list for all viewers.
+
+    Only where a viewer's text differs is there an entry of its own, found by windows where the session's rows lie: its own comments, its own votes, which go,
+    and votes of others on targets on which it votes as well, as their sums leave its own votes out. A sample holds its session's texts in any case, so no row is wider than the result's.
+    """
+    posted = (F.col("kind") == "post") & (F.col("author_role") == "actor")
+    vote, nobody = F.col("kind") == "vote", F.lit(None).cast("string")
+    target = ["session_id", "target_type", "target_id"]
+    sees = F.max(posted.cast("int")).over(Window.partitionBy("session_id", "author")) == 1
+    rows = entries.select("session_id", "place", "kind", "author", "author_role", "entry_id", "content", "value", "target_type", "target_id", "_text", "_own_text").withColumn("_sees", sees)
+    differ = F.when(F.col("_sees") & ~vote & ~posted, F.array("author")).otherwise(F.array().cast("array<string>"))
+    if votes:
+        rows = rows.withColumn("_voters", F.collect_set(F.when(vote & F.col("_sees"), F.col("author"))).over(Window.partitionBy(*target)))
+        differ = F.when(vote, F.col("_voters")).otherwise(differ)
+    rows = rows.withColumn("_for", F.explode(F.concat(F.array(nobody), differ)))
+    shared = F.col("_for").isNull()
+    text = F.when(shared, F.col("_text")).otherwise(F.col("_own_text"))
+    if votes:
+        upto = Window.partitionBy(*target, "_for").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+        others = F.when(vote & F.col("author").isNotNull() & (shared | (F.col("author") != F.col("_for"))), F.col("value").cast("long"))
+        rows = rows.withColumn("_cur", F.sum(others).over(upto))
+        own_vote = F.col("author").isNull() | F.coalesce(F.col("author") == F.col("_for"), F.lit(False))
+        text = F.when(vote, F.when(~own_vote, _fill(F.col("_text"), cur=score_text(F.col("_cur"))))).otherwise(text)
+    if not coupled:
+        text = F.when(F.col("kind") != "post", text)
+    rows = rows.withColumn("_said", text)
+    listed = lambda when, *c: F.sort_array(F.collect_list(F.when(when, F.struct(*c))))
+    viewer = F.col("author").alias("viewer")
+    told = rows.groupBy("session_id").agg(
+        listed(shared, "place", "_said").alias("_texts"), listed(~shared, F.col("_for").alias("viewer"), "place", "_said").alias("_others"),
+        listed(shared & posted & F.col("author").isNotNull(), viewer, "place", F.col("entry_id").alias("post_id"), "content").alias("_posts"),
+    )
+    if "session_id" not in rewards.columns:
+        rewards = rewards.join(entries.filter("kind = 'post'").select("session_id", F.col("entry_id").alias("post_id")), "post_id")
+    given = rewards.groupBy("session_id", "post_id").agg(F.first(F.struct("reward", "advantage")).alias("r")).groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("post_id", "r"))).alias("_given"))
+    told = told.filter(F.size("_posts") > 0).withColumn("_texts", F.col("_texts._said")).join(heads.withColumns(_frames(F.col("_title"))), "session_id").join(given, "session_id", "left")
+    seen = told.withColumn("viewer", F.explode(F.array_distinct(F.col("_posts.viewer")))).withColumn("_alias", alias(F.col("viewer")))
+    seen = seen.withColumn("_mine", F.filter("_posts", lambda o: o["viewer"] == F.col("viewer"))).withColumn("_differ", F.filter("_others", lambda o: o["viewer"] == F.col("viewer")))
+    before = lambda c, k: F.coalesce(F.get(F.col(c), k - 1)["place"], F.lit(0))
+    seen = seen.select(*(c for c in seen.columns if c not in ("_mine", "_differ", "_posts", "_others")), F.transform("_mine", lambda o, k: F.struct(before("_mine", k).alias("after"), o["place"].alias("place"), o["post_id"].alias("post_id"), o["content"].alias("content"))).alias("_mine"),
+        F.transform("_differ", lambda o, k: F.struct(before("_differ", k).alias("after"), o["place"].alias("place"), o["_said"].alias("said"))).alias("_differ"))
+
+    def between(after: Column, place: Column) -> Column:
+        return F.slice("_texts", after + 1, place - after - 1)
+
+    def updates(after: Column, place: Column) -> Column:
+        inside = F.filter("_differ", lambda d: (d["place"] > after) & (d["place"] < place))
+        upto = F.flatten(F.transform(inside, lambda d: F.concat(between(F.greatest(after, d["after"]), d["place"]), F.array(d["said"]))))
+        last = F.coalesce(F.get(F.reverse(inside), F.lit(0))["place"], after)
+        return strip(F.array_join(F.concat(upto, between(last, place)), "\n"))
+
+    reward = lambda o: F.try_element_at("_given", o["post_id"])
+    turns = F.transform("_mine", lambda o: F.struct(o.alias("o"), updates(o["after"], o["place"]).alias("updates"), reward(o).alias("r")))
+    turn = lambda u, k: F.struct(
+        _asked(k == 0, u["updates"]).alias("asked"), u["o"]["content"].alias("content"), u["r"]["reward"].alias("reward"), F.round(u["r"]["advantage"], 4).alias("advantage"),
+        u["o"]["post_id"].alias("post_id"), (F.length(u["o"]["content"]) >= least_chars).alias("trainable"),
+    )
+    # told by the posts alone, so that a filter needn't work the turns out
+    usable = F.exists("_mine", lambda o: F.length(o["content"]) >= least_chars).alias("usable")
+    return seen.withColumn("_turns", turns).select("session_id", "viewer", "_alias", usable, F.transform("_turns", turn).alias("x"))
+
+
+def _samples_of(gathered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(samples, dropped) of viewers (session_id, _alias, usable, x), x being the turns in order."""
     message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     samples = gathered.select(
         F.flatten(F.transform("x", lambda x: F.array(message("user", x["asked"]), message("assistant", x["content"])))).alias("messages"),
         F.col("x.reward").alias("turn_rewards"), F.col("x.advantage").alias("turn_advantages"), F.col("x.post_id").alias("turn_post_ids"),
-        F.col("x.trainable").alias("turn_trainable"), F.col("session_id").cast("string").alias("session_id"), F.col("_alias").alias("actor"),
+        F.col("x.trainable").alias("turn_trainable"), F.col("session_id").cast("string").alias("session_id"), F.col("_alias").alias("actor"), "usable",
     )
-    usable = F.exists("turn_trainable", lambda x: x)
-    views = seg.groupBy("session_id", "viewer").agg(F.max("turns").alias("turns"))
-    dropped = views.agg(F.count_if(F.col("turns") == 0).alias("zero_turns")).crossJoin(samples.agg(F.count_if(~usable).alias("all_short")))  # one row each
-    return samples.filter(usable), dropped
+    return samples.filter("usable").drop("usable"), samples.agg(F.lit(0).cast("long").alias("zero_turns"), F.count_if(~F.col("usable")).alias("all_short"))
 
 
 def enough_samples(samples: DataFrame, least: int) -> DataFrame:

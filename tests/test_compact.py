@@ -51,3 +51,22 @@ def test_viewers_sums_are_not_sorted_as_copies(spark):
     assert sorted((r.viewer, r.vote_id, r.cur_score) for r in seen.collect()) == sorted(wanted)
     lines = plan(seen).splitlines()
     assert not any(line.strip(" :+-").startswith("Window") and "viewer#" in line for line in lines)
+
+
+def test_shared_samples(spark):
+    """Own comments, own votes and re-votes on targets of one's own: samples cut out of the session's texts are those of a timeline for each viewer, and no window stands above copies for viewers."""
+    rng = random.Random(5)
+    who = ["ann", "bob", "cy"]
+    posts = spark.createDataFrame([(k, 1 + k % 2, rng.choice(who), "actor", f"post number {k} said at length", 10 * k) for k in range(24)], "post_id long, session_id long, author string, author_role string, content string, created_at long")
+    comments = spark.createDataFrame([(k, p, 1 + p % 2, rng.choice([*who, "dan"]), "actor", f"comment {k}", 10 * p + rng.randint(1, 60)) for k, p in enumerate(rng.choices(range(24), k=40))], "comment_id long, post_id long, session_id long, author string, author_role string, content string, created_at long")
+    cast = [(k, 1 + p % 2, rng.choice([*who, "eve"]), "actor", "post", p, rng.choice([-1, 1]), rng.choice([None, 1]), 10 * p + rng.randint(1, 90)) for k, p in enumerate(rng.choices(range(24), k=90))]
+    votes = spark.createDataFrame(cast, "vote_id long, session_id long, voter_name string, voter_role string, target_type string, target_id long, value int, previous_value int, created_at long")
+    sessions = spark.createDataFrame([(1, "one"), (2, "two")], "session_id long, title string")
+    rewards = posts.select("session_id", "post_id", F.col("post_id").cast("double").alias("reward"), (F.col("post_id") / 7).alias("advantage"))
+    numbered = J.local_ids(J.view_posts(posts, True), "post_id")
+    apart = J.timeline(numbered, J.local_comment_ids(J.view_comments(comments, posts, True), numbered), J.view_votes(votes, posts, True, True))
+    shown = lambda entries: J.trajectories(entries, sessions, rewards)[0]
+    shared = shown(J.session_entries(posts, comments, votes))
+    rows = lambda df: sorted((r.session_id, r.actor, [(m.role, m.content) for m in r.messages], r.turn_rewards, r.turn_advantages, r.turn_post_ids, r.turn_trainable) for r in df.collect())
+    assert rows(shared) == rows(shown(apart)) and shared.count() == 6
+    assert not any(line.strip(" :+-").startswith("Window") and "viewer#" in line for line in plan(shared).splitlines())
