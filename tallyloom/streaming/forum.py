@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +19,27 @@ def parquet_stream(spark: SparkSession, path: str, schema, files_per_batch: int
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
+class Fold(NamedTuple):
+    """A stream whose state lies in tables: step(rows, number, folder) works a micro-batch out by joins and windows from its rows and from what earlier ones have
+    left below folder, and result(spark, folder) reads what all of them have come to.
+
+    Micro-batches write under their number and read only lower ones, so one that runs again replaces itself.
+    """
+
+    rows: DataFrame
+    step: Callable[[DataFrame, int, str], None]
+    result: Callable[[SparkSession, str], DataFrame]
+
+
+def keep(df: DataFrame, folder: str, name: str, number: int) -> None:
+    df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+
+
+def kept(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """What all micro-batches have kept, with the number of the batch."""
+    return spark.read.schema(f"{schema}, batch int").parquet(f"{folder}/{name}")
+
+
 def fold_votes(votes: DataFrame) -> DataFrame:
     """A stream of votes (voter, target_type, target_id, value, vote_id) as its changes: for each key of a micro-batch the
     new value with the one before. State is one value for each key; rows of a batch are put in order by vote_id, and
@@ -41,12 +63,21 @@ def fold_votes(votes: DataFrame) -> DataFrame:
     return grouped.applyInPandasWithState(update, schema, "value long, vote_id long", "append", "NoTimeout")
 
 
-def replay(stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
+def _folded(fold: Fold, folder: str, state: str) -> DataFrame:
+    step = lambda rows, number: fold.step(rows, number, folder)
+    fold.rows.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+    return fold.result(fold.rows.sparkSession, folder)
+
+
+def replay(stream: DataFrame | Fold, checkpoint: str, mode: str = "append") -> DataFrame:
     """What a stream yields over all that is available now, as a table below checkpoint, a folder that all executors reach.
 
     In complete mode each micro-batch replaces the table under its own number, so a batch that runs again does no harm.
     """
-    spark, name = stream.sparkSession, uuid.uuid4().hex
+    name = uuid.uuid4().hex
+    if isinstance(stream, Fold):
+        return _folded(stream, f"{checkpoint}/{name}", f"{checkpoint}/{name}-state")
+    spark = stream.sparkSession
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}-state").trigger(availableNow=True)
     out = f"{checkpoint}/{name}"
     if mode != "complete":
@@ -64,7 +95,7 @@ def replay(stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{out}/batch={max(numbers)}")
 
 
-def in_batches(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame], folder: str, each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
+def in_batches(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame | Fold], folder: str, each: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
     """What the stream that build makes of a folder of files yields as the parts arrive in it one after the other: each part is written there, and the query is
     started again from its checkpoint, so a part is a micro-batch. With each, micro-batches are handed to it with their number instead of being written.
 
@@ -74,9 +105,14 @@ def in_batches(parts: list[DataFrame], build: Callable[[DataFrame], DataFrame],
     for part in parts:
         part.write.mode("append").parquet(f"{folder}/in")
         stream = build(spark.readStream.schema(schema).parquet(f"{folder}/in"))
+        if isinstance(stream, Fold):
+            out = _folded(stream, f"{folder}/out", f"{folder}/state")
+            continue
         writer = stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
         writer = writer.foreachBatch(each) if each else writer.format("parquet").option("path", f"{folder}/out")
         writer.start().awaitTermination()
+    if isinstance(stream, Fold):
+        return out
     return None if each else spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
@@ -133,13 +169,52 @@ def _watermarked(events: DataFrame, time: str, late: str) -> DataFrame:
     return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
 
 
-def idle_sessions(events: DataFrame, gap: str = "1 hour", late: str = "1 hour", key: str = "user_id", time: str = "ts") -> DataFrame:
-    """Sessions of activity: they end when nothing has come for the gap. Batch or stream; a stream has a watermark."""
+def idle_sessions(events: DataFrame, gap: str = "1 hour", late: str = "1 hour", key: str = "user_id", time: str = "ts") -> DataFrame | Fold:
+    """Sessions of activity (key, started, ended, n_events): they end when nothing has come for the gap. Batch or stream; a stream has a watermark."""
+    if events.isStreaming:
+        return _idle_fold(events, gap, late, key, time)
     kind = events.schema[time].dataType
-    grouped = _watermarked(events, time, late).groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n_events"))
+    grouped = events.groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n_events"))
     return grouped.select(key, F.col("w.start").cast(kind).alias("started"), F.col("w.end").cast(kind).alias("ended"), "n_events")
 
 
+def _idle_fold(events: DataFrame, gap: str, late: str, key: str, time: str) -> Fold:
+    """A row is late when the watermark before its micro-batch has passed the end of the session that it alone would be. A row in time may still lengthen a session whose end has been
+    passed, as its own end lies later: an operator that gives such a session away would cut it in two. So a session is final only when the watermark is a gap beyond its end. Until
+    then it stays in state, and those that have ended by the last watermark are read from there, as they are by then.
+    """
+    micros = lambda t: pd.Timedelta(t).value // 1000
+    pause, wait, kind = micros(gap), micros(late), events.schema[time].dataType
+    name = events.schema[key].dataType.simpleString()
+    schema = f"{key} {name}, started long, last long, n_events long, closed boolean, final boolean"
+
+    def step(rows: DataFrame, number: int, folder: str) -> None:
+        spark = rows.sparkSession
+        new = rows.select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("started")).filter("started is not null")
+        before = kept(spark, folder, "newest", "at long").filter(F.col("batch") < number).agg(F.max("at")).first()[0] if number else None
+        newest = max((t for t in (before, new.agg(F.max("started")).first()[0]) if t is not None), default=None)
+        passed = lambda t: F.lit(None if t is None else t // 1000 * 1000 - wait).cast("long")  # noqa: E731  # watermarks are whole milliseconds
+        new = new.filter(passed(before).isNull() | (F.col("started") + pause > passed(before)))
+        spans = new.select(key, "started", F.col("started").alias("last"), F.lit(1).cast("long").alias("n_events"))
+        if number:
+            spans = spans.union(kept(spark, folder, "sessions", schema).filter((F.col("batch") == number - 1) & ~F.col("final")).select(spans.columns))
+        order = Window.partitionBy(key).orderBy("started", "last")
+        fresh = F.coalesce(F.col("started") - F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)) >= pause, F.lit(True))
+        numbered = spans.withColumn("_fresh", fresh.cast("int")).withColumn("_session", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        joined = numbered.groupBy(key, "_session").agg(F.min("started").alias("started"), F.max("last").alias("last"), F.sum("n_events").alias("n_events"))
+        over = lambda more: F.coalesce(F.col("last") + pause + more <= passed(newest), F.lit(False))
+        keep(joined.select(key, "started", "last", "n_events", over(0).alias("closed"), over(pause).alias("final")), folder, "sessions", number)
+        keep(spark.range(1).select(F.lit(newest).cast("long").alias("at")), folder, "newest", number)
+
+    def result(spark: SparkSession, folder: str) -> DataFrame:
+        sessions = kept(spark, folder, "sessions", schema)
+        newest = kept(spark, folder, "newest", "at long").agg(F.max("batch")).first()[0]
+        at = lambda t: F.timestamp_micros(t).cast(kind)
+        return sessions.filter(F.col("final") | (F.col("closed") & (F.col("batch") == newest))).select(key, at(F.col("started")).alias("started"), at(F.col("last") + pause).alias("ended"), "n_events")
+
+    return Fold(events, step, result)
+
+
 def event_windows(events: DataFrame, length: str = "1 day", slide: str | None = None, late: str = "1 hour", time: str = "ts") -> DataFrame:
     """Tumbling or sliding windows: events and their mean value for each type. Batch or stream."""
     kind = events.schema[time].dataType

@@ -82,3 +82,11 @@ def test_idle_rounds(spark, tmp_path):
         (1, "end", "00:03:30"), (1, "nudge", "00:01:00"), (1, "nudge", "00:02:30"), (2, "end", "00:02:30"), (2, "nudge", "00:01:00"), (3, "end", "05:02:00"), (3, "nudge", "05:01:00"),
         (4, "end", "00:04:00"), (4, "nudge", "00:01:00"), (6, "end", "04:47:00"), (6, "nudge", "04:46:00"),
     ], "the row behind the watermark is dropped, and what comes after an end counts no more"
+
+
+def test_a_row_in_time_lengthens_a_session_that_the_watermark_has_passed(spark, tmp_path):
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    # the first part's watermark is 10:00: what starts by 09:00 is late in the second, and 09:10 is in time, though the session of 08:50 has ended at 09:50
+    rows = [(1, at(8, 50), 0), (2, at(11), 0), (1, at(9, 10), 1), (3, at(9), 1), (4, at(9, 1), 1), (5, at(5), 0), (2, at(14), 1)]
+    out = ST.in_batches(parts_of(spark, rows, "user_id long, ts timestamp_ntz"), ST.idle_sessions, str(tmp_path))
+    assert sorted(tuple(r) for r in out.collect()) == [(1, at(8, 50), at(10, 10), 2), (2, at(11), at(12), 1), (4, at(9, 1), at(10, 1), 1), (5, at(5), at(6), 1)]
