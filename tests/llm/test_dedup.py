@@ -105,6 +105,35 @@ def test_near_copies_against_all_pairs(spark):
     assert {r.id: r.component_id for r in out} == roots
 
 
+def test_pairs_that_no_segment_proposes_are_linked(spark):
+    """Pairs at 0.8 and more whose fingerprints share no variant of a segment, beside a passage that all texts have."""
+    rng = random.Random(9)
+
+    def proposed(a, b):
+        x, y = (simhash.wide_fingerprint(simhash.shingle_hashes(t, 3)) for t in (a, b))
+        bits = "".join(f"{int(p) ^ int(q):064b}"[::-1] for p, q in zip(x, y, strict=True))
+        segments = [bits[o : o + 16] for o in range(0, 128, 16)] + [bits[o::8] for o in (0, 2, 4, 6)]
+        return min(s.count("1") for s in segments) <= 1 and bits.count("1") <= 30
+
+    passage = [f"p{k}" for k in range(12)]
+    rows, missed = [], 0
+    for k in range(20_000):
+        words = [f"w{rng.random()}" for _ in range(48)] + passage
+        other = list(words)
+        other[5], other[6], other[7] = "x", "y", "z"  # seven of 56 shingles: 49 / 63
+        if k % 2:
+            other[7] = words[7]  # six: 50 / 62 = 0.806
+        if k % 2 and not proposed(" ".join(words), " ".join(other)) and missed < 5:
+            missed += 1
+            rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        elif k < 150:
+            rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        if missed == 5 and k >= 150:
+            break
+    assert missed == 5
+    assert {r.id: r.component_id for r in simhash.near_copy_groups(frame(spark, rows)).collect()} == plain.near_copies(rows)
+
+
 def test_a_large_group_with_members_unlike_its_hub(spark):
     rng = random.Random(6)
     base = [f"w{k}" for k in range(200)]
