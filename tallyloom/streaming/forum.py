@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import NamedTuple
 
 import pandas as pd
@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.relational import deliveries
-from ..shipping import ship
 
 
 def parquet_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
@@ -40,27 +39,25 @@ def kept(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, batch int").parquet(f"{folder}/{name}")
 
 
-def fold_votes(votes: DataFrame) -> DataFrame:
+def fold_votes(votes: DataFrame) -> Fold:
     """A stream of votes (voter, target_type, target_id, value, vote_id) as its changes: for each key of a micro-batch the
-    new value with the one before. State is one value for each key; rows of a batch are put in order by vote_id, and
+    new value with the one before. State is the last vote of each key of each micro-batch; rows of a batch are put in order by vote_id, and
     votes that are not newer than the state are passed over, so replays change nothing."""
-    ship(votes.sparkSession)
-
-    def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        value, last = state.get if state.exists else (None, -1)
-        out = []
-        for row in pd.concat(list(frames)).sort_values("vote_id").itertuples():
-            if row.vote_id > last:
-                out.append((*key, int(row.value), value, int(row.vote_id)))
-                value, last = int(row.value), int(row.vote_id)
-        if out:
-            state.update((value, last))
-        yield pd.DataFrame(out, columns=["voter", "target_type", "target_id", "value", "previous_value", "vote_id"]).astype({"previous_value": "Int64"})
-
-    kinds = {f.name: f.dataType.simpleString() for f in votes.schema}
+    key, kinds = ["voter", "target_type", "target_id"], {f.name: f.dataType.simpleString() for f in votes.schema}
     schema = f"voter {kinds['voter']}, target_type string, target_id {kinds['target_id']}, value long, previous_value long, vote_id long"
-    grouped = votes.select("voter", "target_type", "target_id", "value", "vote_id").groupBy("voter", "target_type", "target_id")
-    return grouped.applyInPandasWithState(update, schema, "value long, vote_id long", "append", "NoTimeout")
+
+    def step(rows: DataFrame, number: int, folder: str) -> None:
+        cast = rows.select(*key, F.col("value").cast("long").alias("value"), F.col("vote_id").cast("long").alias("vote_id"), F.lit(True).alias("_new"))
+        if number:
+            last = kept(rows.sparkSession, folder, "votes", f"{schema}, last boolean").filter((F.col("batch") < number) & F.col("last"))
+            cast = cast.union(last.groupBy(*key).agg(F.max_by("value", "vote_id"), F.max("vote_id")).withColumn("_new", F.lit(False)))
+        seen = F.coalesce(F.max(F.when(~F.col("_new"), F.col("vote_id"))).over(Window.partitionBy(*key)), F.lit(-1)) if number else F.lit(-1)
+        by = Window.partitionBy(*key).orderBy("vote_id", "_new")
+        newer = cast.withColumn("_seen", seen).filter(~F.col("_new") | (F.col("vote_id") > F.col("_seen"))).withColumn("_before", F.lag("vote_id").over(by))
+        changes = newer.filter("_before is null or _before < vote_id").withColumn("previous_value", F.lag("value").over(by)).withColumn("last", F.lead("vote_id").over(by).isNull())
+        keep(changes.filter("_new").select(*key, "value", "previous_value", "vote_id", "last"), folder, "votes", number)
+
+    return Fold(votes, step, lambda spark, folder: kept(spark, folder, "votes", schema).drop("batch"))
 
 
 def _folded(fold: Fold, folder: str, state: str) -> DataFrame:

@@ -90,3 +90,20 @@ def test_a_row_in_time_lengthens_a_session_that_the_watermark_has_passed(spark,
     rows = [(1, at(8, 50), 0), (2, at(11), 0), (1, at(9, 10), 1), (3, at(9), 1), (4, at(9, 1), 1), (5, at(5), 0), (2, at(14), 1)]
     out = ST.in_batches(parts_of(spark, rows, "user_id long, ts timestamp_ntz"), ST.idle_sessions, str(tmp_path))
     assert sorted(tuple(r) for r in out.collect()) == [(1, at(8, 50), at(10, 10), 2), (2, at(11), at(12), 1), (4, at(9, 1), at(10, 1), 1), (5, at(5), at(6), 1)]
+
+
+def test_votes_fold_without_python_for_each_key(spark, tmp_path):
+    """Each vote follows the one before over micro-batches, whatever order and repeats they come in, and no Python runs for a key."""
+    rows = [(k % 5, "post", k % 3, k % 7 - 3, k, k % 4 // 2 if k < 60 else 2) for k in range(90)] + [(1, "post", 1, 9, 31, 2), (2, "comment", 1, 1, 4, 1), (2, "comment", 1, 1, 4, 1)]
+    parts = parts_of(spark, rows, "voter long, target_type string, target_id long, value int, vote_id long")
+    state, wanted = {}, []
+    for part in range(3):
+        for *key, value, number, _ in sorted((r for r in rows if r[-1] == part), key=lambda r: r[4]):
+            before, last = state.get(tuple(key), (None, -1))
+            if number > last:
+                wanted.append((*key, value, before, number))
+                state[tuple(key)] = (value, number)
+    seen = []
+    out = ST.in_batches(parts, lambda s: seen.append(ST.fold_votes(s)) or seen[-1], str(tmp_path))
+    assert sorted(map(tuple, out.collect()), key=lambda r: (r[5], r)) == sorted(wanted, key=lambda r: (r[5], r))
+    assert all(isinstance(x, ST.Fold) for x in seen)
