@@ -1,4 +1,5 @@
-"""Streams with state of their own for each key: ids, queues, deliveries and idle rounds, by transformWithState on RocksDB.
+"""Streams with state of their own for each key: ids and queues by joins and windows over what earlier micro-batches have left in tables, deliveries and idle
+rounds by transformWithState on RocksDB.
 
 State is written entry by entry, so what a micro-batch writes follows its own rows and not a key's history. Rows of a key are taken in the order of
 their number (or time), whatever micro-batch or task order they come in.
@@ -11,10 +12,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.running import running_sums
+from ..sources.scratch import written
+from .forum import Fold, keep, kept
+
 # processors travel with their code: the process that Spark starts for them beside the driver doesn't know the shipped package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -35,34 +40,31 @@ def _in_order(frames: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
 # ---- ids in the order of first sight
 
 
-class _Numberer(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._ids = handle.getMapState("ids", "item_id long", "local_id long")
-        self._last = handle.getValueState("last", "n long")
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """left with the other columns of right, where keys are equal or both null."""
+    right = right.select(*(F.col(k).alias(f"_r_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    joined = left.join(right, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys], how)
+    return joined if how in ("left_anti", "left_semi") else joined.drop(*(f"_r_{k}" for k in keys))
 
-    def handleInputRows(self, key, rows, timerValues):
-        seen = _in_order(rows, "seq", "item_id")["item_id"].drop_duplicates().tolist()
-        last = before = self._last.get()[0] if self._last.exists() else 0
-        out = []
-        for item in seen:
-            if not self._ids.containsKey((int(item),)):
-                last += 1
-                self._ids.updateValue((int(item),), (last,))
-                out.append((*key, int(item), last))
-        if last > before:
-            self._last.update((last,))
-        yield pd.DataFrame(out, columns=["session_id", "kind", "item_id", "local_id"])
 
-    def close(self) -> None:
-        pass
-
-
-def assign_ids(items: DataFrame) -> DataFrame:
+def assign_ids(items: DataFrame) -> Fold:
     """A stream of (session_id, kind, item_id, seq) with local_id: the number, from 1 for each session and kind, in the order in which items are first
-    seen. Repeated items keep theirs and give no row. State is one entry for each item, and a counter for each session and kind."""
-    keyed_state(items.sparkSession)
-    types = {f.name: f.dataType.simpleString() for f in items.schema}
-    return items.groupBy("session_id", "kind").transformWithStateInPandas(_Numberer(), f"session_id {types['session_id']}, kind {types['kind']}, item_id long, local_id long", "Append", "None")
+    seen. Repeated items keep theirs and give no row. State is what has been given out; new items are numbered over ranges, so no task holds a session's."""
+    group, types = ["session_id", "kind"], {f.name: f.dataType.simpleString() for f in items.schema}
+    schema = f"session_id {types['session_id']}, kind {types['kind']}, item_id long, local_id long"
+
+    def step(rows: DataFrame, number: int, folder: str) -> None:
+        new = rows.groupBy(*group, F.col("item_id").cast("long").alias("item_id")).agg(F.min("seq").alias("seq"))
+        known = kept(rows.sparkSession, folder, "ids", schema).filter(F.col("batch") < number) if number else None
+        if known is not None:
+            new = _joined(new, known.select(*group, "item_id"), [*group, "item_id"], "left_anti")
+        places = running_sums(written(new.withColumn("_one", F.lit(1).cast("long")), "new-items"), group, ["seq", "item_id"], "_one", "_place")
+        last = F.lit(0)
+        if known is not None:  # a row for each session and kind
+            places, last = _joined(places, known.groupBy(*group).agg(F.max("local_id").alias("_last")), group, "left"), F.coalesce("_last", F.lit(0))
+        keep(places.select(*group, "item_id", (F.col("_place") + last).cast("long").alias("local_id")), folder, "ids", number)
+
+    return Fold(items, step, lambda spark, folder: kept(spark, folder, "ids", schema).drop("batch"))
 
 
 # ---- queues

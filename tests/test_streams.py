@@ -107,3 +107,13 @@ def test_votes_fold_without_python_for_each_key(spark, tmp_path):
     out = ST.in_batches(parts, lambda s: seen.append(ST.fold_votes(s)) or seen[-1], str(tmp_path))
     assert sorted(map(tuple, out.collect()), key=lambda r: (r[5], r)) == sorted(wanted, key=lambda r: (r[5], r))
     assert all(isinstance(x, ST.Fold) for x in seen)
+
+
+def test_ids_of_one_large_session(spark, tmp_path):
+    """A session with most items is numbered over ranges of them, and goes on where it was; keys may be null."""
+    rows = [(1, "p", (k * 7919) % 2000, k, k // 2000) for k in range(4000)] + [(1, "p", 5000 + k, 3999 - k, 1) for k in range(500)] + [(None, "p", 3, 1, 0), (None, "p", 3, 2, 1), (None, "p", 4, 3, 1)]
+    seen = []
+    out = ST.in_batches(parts_of(spark, rows, "session_id long, kind string, item_id long, seq long"), lambda s: seen.append(X.assign_ids(s)) or seen[-1], str(tmp_path))
+    got = {(r.session_id, r.item_id): r.local_id for r in out.collect()}
+    wanted = {(1, (k * 7919) % 2000): k + 1 for k in range(2000)} | {(1, 5499 - k): 2001 + k for k in range(500)} | {(None, 3): 1, (None, 4): 2}
+    assert got == wanted and out.count() == len(wanted) and all(isinstance(x, ST.Fold) for x in seen)
