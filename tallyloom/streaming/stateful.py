@@ -70,42 +70,6 @@ def assign_ids(items: DataFrame) -> Fold:
 # ---- queues
 
 
-class _Queue(StatefulProcessor):
-    """Batches wait in a list; a participant that is ready takes all of them in one round."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._waiting = handle.getListState("waiting", "items array<string>, nudge string, ended boolean")
-        self._mode = handle.getValueState("mode", "ready boolean, ended boolean, round long")
-
-    def handleInputRows(self, key, rows, timerValues):
-        ready, ended, number = self._mode.get() if self._mode.exists() else (False, False, 0)
-        waiting = [(list(i) if i is not None else None, n, bool(e)) for i, n, e in self._waiting.get()]
-        held, out = len(waiting), []
-        for row in _in_order(rows, "seq").itertuples():
-            if ended:
-                break
-            if row.action == "ready":
-                ready = True
-            else:
-                waiting.append((list(row.items_) if row.action == "items" else None, row.nudge if row.action == "nudge" else None, row.action == "end"))
-            if ready and waiting:
-                items, nudge, ended, waiting = drain(waiting)
-                out.append((*key, number, items, nudge, ended))
-                number, ready = number + 1, False
-        if out or len(waiting) != held:
-            # what is new is appended, unless a round has taken what was there
-            if out:
-                self._waiting.clear()
-            new = waiting if out else waiting[held:]
-            if new:
-                self._waiting.appendList(new)
-        self._mode.update((ready, ended, number))
-        yield pd.DataFrame(out, columns=["queue", "round", "items", "nudge", "ended"])
-
-    def close(self) -> None:
-        pass
-
-
 def drain(waiting: list[tuple]) -> tuple[list | None, str | None, bool, list[tuple]]:
     """(items, nudge, ended, what stays) of the batches (items, nudge, end marker) that wait, in order, of which there is one at least: one round takes all
     batches up to an end marker, which stays for the round after. A nudge is the input only if nothing else waits. A marker that comes first
@@ -120,13 +84,89 @@ def drain(waiting: list[tuple]) -> tuple[list | None, str | None, bool, list[tup
     return items or None, None, not items, rest[stop:] if items else []
 
 
-def drained_rounds(batches: DataFrame) -> DataFrame:
+def drained_rounds(batches: DataFrame) -> Fold:
     """(queue, round, items, nudge, ended) of a stream (queue, seq, action, items array<string>, nudge) of what happens to queues: action is items, nudge, end,
-    or ready when the queue's participant waits for input. A participant that is ready takes at once whatever comes first."""
-    keyed_state(batches.sparkSession)
-    kind = batches.schema["queue"].dataType.simpleString()
-    rows = batches.select("queue", "seq", "action", F.col("items").alias("items_"), "nudge")
-    return rows.groupBy("queue").transformWithStateInPandas(_Queue(), f"queue {kind}, round long, items array<string>, nudge string, ended boolean", "Append", "None")
+    or ready when the queue's participant waits for input. A participant that is ready takes at once whatever comes first (see drain).
+
+    State is what waits, written once as it comes, and a queue's mode (next round, ready, ended, and the place up to which all is taken) for each micro-batch that brings it rows.
+    """
+    types = {f.name: f.dataType.simpleString() for f in batches.schema}
+    rounds = f"queue {types['queue']}, round long, items array<string>, nudge string, ended boolean"
+    waiting = f"queue {types['queue']}, seq {types['seq']}, stop boolean, items array<string>, nudge string"
+    modes = f"queue {types['queue']}, next long, ready boolean, ended boolean, upto struct<batch:int,seq:{types['seq']}>"
+
+    def step(rows: DataFrame, number: int, folder: str) -> None:
+        spark, does = rows.sparkSession, lambda c: F.coalesce(F.col("action") == c, F.lit(False))
+        new = rows.select("queue", F.lit(number).alias("batch"), "seq", does("ready").alias("ready"), does("end").alias("stop"), F.when(does("items"), F.col("items")).alias("items"), F.when(does("nudge"), F.col("nudge")).alias("nudge"))
+        every = new.withColumn("mode", F.lit(None).cast(f"struct<next:bigint,ready:boolean,ended:boolean,upto:struct<batch:int,seq:{types['seq']}>>"))
+        if number:
+            mode = kept(spark, folder, "modes", modes).filter(F.col("batch") < number).groupBy("queue").agg(F.max_by(F.struct("next", "ready", "ended", "upto"), "batch").alias("mode"))
+            held = _joined(kept(spark, folder, "waiting", waiting).filter(F.col("batch") < number), mode, ["queue"], "inner")
+            held = held.filter(~F.col("mode.ended") & (F.col("mode.upto").isNull() | (F.struct("batch", "seq") > F.col("mode.upto")))).withColumn("ready", F.lit(False))
+            # a queue's mode comes before all rows, and counts as one of them if its participant is ready
+            marks = mode.select("queue", F.lit(-1).alias("batch"), F.lit(None).cast(types["seq"]).alias("seq"), F.col("mode.ready").alias("ready"), F.lit(False).alias("stop"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("string").alias("nudge"), "mode")
+            every = every.unionByName(held).unionByName(marks)
+        groups = written(_taken(every, number), "queues")
+        keep(_rounds(groups), folder, "rounds", number)
+        tail = (F.col("g") == F.col("closings")) & ~F.col("stopped") & (F.col("n") == 0) & (F.col("n_ready") > 0)
+        after = groups.groupBy("queue").agg(
+            (F.max("next") + F.sum(F.size("outs"))).alias("next"), F.coalesce(F.bool_or(tail), F.lit(False)).alias("ready"), F.bool_or(F.exists("outs", lambda x: x["ended"])).alias("ended"),
+            F.coalesce(F.max(F.when((F.col("g") < F.col("closings")) | ((F.col("n") > 0) & (F.size("outs") > 0)), F.col("last"))), F.max("upto")).alias("upto"),
+        )
+        keep(after, folder, "modes", number)
+        left = _joined(new.filter("not ready"), kept(spark, folder, "modes", modes).filter(F.col("batch") == number).select("queue", "ended", "upto"), ["queue"], "inner")
+        left = left.filter(~F.col("ended") & (F.col("upto").isNull() | (F.struct("batch", "seq") > F.col("upto"))))
+        keep(left.select("queue", "seq", "stop", "items", "nudge"), folder, "waiting", number)
+
+    return Fold(batches, step, lambda spark, folder: kept(spark, folder, "rounds", rounds).drop("batch"))
+
+
+def _taken(every: DataFrame, number: int) -> DataFrame:
+    """What lies between a queue's rounds (g), with the rounds that come of it (outs), for queues that are not over and have rows in this micro-batch.
+
+    Up to the first end marker, a round is closed by the first row of a run of like rows (ready or not), as it meets the run before: the ready one takes what waits, or what comes is
+    taken by the one that is ready. It isn't, if the round before has used the whole run before up, which has one row then. So behind a longer run the first row closes a round, and
+    behind runs of one row each second one does. Behind the marker only the next two ready ones count.
+    """
+    whole = Window.partitionBy("queue")
+    o = whole.orderBy("batch", "seq")
+    upto, before = o.rowsBetween(Window.unboundedPreceding, 0), o.rowsBetween(Window.unboundedPreceding, -1)
+    count = lambda c: F.sum(c.cast("int"))
+    rows = every.withColumn("mode", F.first("mode", ignorenulls=True).over(whole)).withColumn("_live", F.max("batch").over(whole) == number)
+    rows = rows.filter(F.col("_live") & ~F.coalesce("mode.ended", F.lit(False)) & ((F.col("batch") >= 0) | F.col("ready")))
+    rows = rows.withColumn("_stops", count(F.col("stop")).over(upto)).withColumn("plain", F.col("_stops") == 0)
+    rows = rows.filter(F.col("plain") | F.col("ready") | (F.col("stop") & (F.col("_stops") == 1)))
+    rows = rows.withColumn("_one", F.lag("ready", 1).over(o)).withColumn("_two", F.lag("ready", 2).over(o))
+    start = F.col("plain") & (F.col("_one").isNull() | (F.col("_one") != F.col("ready")))
+    rows = rows.withColumn("_start", start).withColumn("_run", count(F.col("_start")).over(upto))
+    longer = F.col("_start") & F.coalesce(F.col("_one") == F.col("_two"), F.lit(False))
+    rows = rows.withColumn("_since", F.coalesce(F.max(F.when(longer, F.col("_run"))).over(upto), F.lit(0)))
+    rows = rows.withColumn("_closes", F.col("_start") & ((F.col("_run") - F.col("_since")) % 2 == 0))
+    rows = rows.withColumn("g", F.coalesce(count(F.col("_closes")).over(before), F.lit(0))).withColumn("closings", count(F.col("_closes")).over(whole))
+    rows = rows.withColumn("stopped", F.max("stop").over(whole)).withColumn("_asked", count(F.col("ready") & ~F.col("plain")).over(whole))
+    comes = F.col("plain") & ~F.col("ready")
+    taken = comes & F.col("items").isNotNull() & ((F.col("g") < F.col("closings")) | (F.col("_asked") > 0))  # what goes on waiting isn't gathered
+    groups = rows.groupBy("queue", "g", "closings", "stopped", "_asked").agg(
+        F.coalesce(F.max("mode.next"), F.lit(0)).alias("next"), F.max("mode.upto").alias("upto"), F.count_if(comes).alias("n"), F.count_if(F.col("plain") & F.col("ready")).alias("n_ready"),
+        F.max(F.when(comes, F.col("nudge"))).alias("nudge"), F.max(F.when(F.col("plain") & (F.col("batch") >= 0), F.struct("batch", "seq"))).alias("last"),
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.when(taken, F.struct("batch", "seq", "items")))), lambda x: x["items"])).alias("items"),
+    )
+    some, single = F.size("items") > 0, (F.col("n") == 1) & F.col("nudge").isNotNull()
+    out = lambda items, nudge, ended: F.struct(items.cast("array<string>").alias("items"), nudge.cast("string").alias("nudge"), ended.alias("ended"))
+    none, over = F.lit(None), F.lit(True)
+    end, given = out(none, none, over), out(F.col("items"), none, F.lit(False))
+    closed = out(F.when(some, F.col("items")), F.when(single, F.col("nudge")), ~some & ~single)
+    last = F.when((F.col("n") == 0) & ((F.col("n_ready") > 0) | (F.col("_asked") > 0)), F.array(end)).when((F.col("n") > 0) & (F.col("_asked") > 0), F.when(~some, F.array(end)).when(F.col("_asked") > 1, F.array(given, end)).otherwise(F.array(given)))
+    outs = F.when(F.col("g") < F.col("closings"), F.array(closed)).when(F.col("stopped"), last)
+    return groups.withColumn("outs", F.coalesce(outs, F.array().cast("array<struct<items:array<string>,nudge:string,ended:boolean>>"))).drop("items", "nudge", "_asked")
+
+
+def _rounds(groups: DataFrame) -> DataFrame:
+    """The rounds up to the one that ends their queue."""
+    each = groups.select("queue", "next", "g", F.posexplode("outs").alias("k", "out"))
+    over = F.max("out.ended").over(Window.partitionBy("queue").orderBy("g", "k").rowsBetween(Window.unboundedPreceding, -1))
+    open_ = each.withColumn("_over", F.coalesce(over, F.lit(False))).filter("not _over")
+    return open_.select("queue", (F.col("next") + F.col("g") + F.col("k")).cast("long").alias("round"), "out.items", "out.nudge", "out.ended")
 
 
 # ---- deliveries

@@ -1,6 +1,7 @@
 """Streams with state: what each yields over several micro-batches, restarted between them."""
 
 import datetime as dt
+import random
 
 import pandas as pd
 import pytest
@@ -117,3 +118,31 @@ def test_ids_of_one_large_session(spark, tmp_path):
     got = {(r.session_id, r.item_id): r.local_id for r in out.collect()}
     wanted = {(1, (k * 7919) % 2000): k + 1 for k in range(2000)} | {(1, 5499 - k): 2001 + k for k in range(500)} | {(None, 3): 1, (None, 4): 2}
     assert got == wanted and out.count() == len(wanted) and all(isinstance(x, ST.Fold) for x in seen)
+
+
+def test_queues_of_all_kinds_against_the_plain_rule(spark, tmp_path):
+    """Random queues over three micro-batches against a loop over their rows."""
+    rng = random.Random(5)
+    rows, wanted = [], []
+    for q in range(600):
+        ready, ended, number, waiting = False, False, 0, []
+        share = rng.choice([(5, 5, 2, 0), (3, 6, 1, 1), (6, 2, 1, 1), (1, 5, 5, 0), (5, 5, 1, 1)])
+        for k in range(rng.randint(1, 14)):
+            action = rng.choices(["ready", "items", "nudge", "end"], share)[0]
+            items = [f"{k}{c}" for c in "ab"[: rng.choice([1, 1, 2, 0])]] if action == "items" else None
+            rows.append((q, k, action, items, f"n{k}" if action == "nudge" else None, k * 3 // 14 if q % 3 else 0))
+            if ended:
+                continue
+            if action == "ready":
+                ready = True
+            else:
+                waiting.append((items, rows[-1][4], action == "end"))
+            if ready and waiting:
+                items, nudge, ended, waiting = X.drain(waiting)
+                wanted.append((q, number, items, nudge, ended))
+                number, ready = number + 1, False
+    seen = []
+    parts = parts_of(spark, rows, "queue long, seq long, action string, items array<string>, nudge string")
+    out = ST.in_batches(parts, lambda s: seen.append(X.drained_rounds(s)) or seen[-1], str(tmp_path))
+    assert sorted(tuple(r) for r in out.collect()) == sorted(wanted) and len(wanted) > 700
+    assert all(isinstance(x, ST.Fold) for x in seen)
