@@ -240,6 +240,11 @@ def head_length(n, least: float):
     return n - np.ceil(least * n - 1e-9).astype(np.int64) + 1
 
 
+def odd_bits(grams: np.ndarray, bits: int = 2048) -> np.ndarray:
+    """For each cell of a hash whether an odd number of the set's shingles falls into it, as longs: two sets differ in no fewer shingles than cells."""
+    return np.packbits((np.bincount(grams & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def other_candidates(heads: DataFrame, sets_of, least: float, crowd: int = 64, block: int = 512) -> DataFrame:
     """(a, b): all pairs of nodes (node, t, root, n, head) of different roots whose sets may have a similarity of at least `least`.
 
@@ -278,7 +283,7 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of 0.8 and more, 0.994 of those below 0.82 share a variant, and all others. The sets decide, so no less similar pair is linked. Between the groups that come of it,
     the shingles that similar sets must share propose the remaining pairs (see other_candidates), so none is missed.
     """
-    kind = f"id {docs.schema[id_col].dataType.simpleString()}, t long, node long, w0 long, w1 long, n long, head array<long>"
+    kind = f"id {docs.schema[id_col].dataType.simpleString()}, t long, node long, w0 long, w1 long, n long, head array<long>, odd array<long>"
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.col(text_col).alias("text"))
 
     def sketched(batches):
@@ -286,13 +291,14 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             texts = b.column("text").to_pylist()
             prints = np.array([wide_fingerprint(shingle_hashes(t, print_words)) for t in texts], dtype=np.uint64).reshape(-1, 2).view(np.int64)
             nodes = np.array([word_digest(t) for t in texts], dtype=np.uint64).view(np.int64)
-            n, heads = [], []
+            n, heads, odd = [], [], []
             for t in texts:
                 grams = np.sort(shingle_hashes(t, words).view(np.int64))
                 n.append(len(grams))
+                odd.append(odd_bits(grams))
                 heads.append(grams[: head_length(len(grams), least)] if len(grams) else grams)
-            columns = [b.column("id"), b.column("t"), pa.array(nodes), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), pa.array(n, pa.int64()), pa.array(heads, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "t", "node", "w0", "w1", "n", "head"])
+            columns = [b.column("id"), b.column("t"), pa.array(nodes), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), pa.array(n, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "t", "node", "w0", "w1", "n", "head", "odd"])
 
     def cut(batches):
         for b in batches:
@@ -322,8 +328,12 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         links = materialize(verified_links(members.drop("t"), sets_of(members.select("t", "node")), least), "links")
         roots = connected_components(thinned(links), "a", "b").withColumnRenamed("component", "root")
         joined = materialize(nodes.join(roots, "node", "left").select("node", "t", "least", F.coalesce("root", "node").alias("root")), "joined")
-    heads = materialize(rows.filter("node <> 0").select("node", "n", "head").dropDuplicates(["node"]).join(joined.select("node", "t", "root"), "node"), "headed")
+    heads = materialize(rows.filter("node <> 0").select("node", "n", "head", "odd").dropDuplicates(["node"]).join(joined.select("node", "t", "root"), "node"), "headed")
     pairs = materialize(other_candidates(heads, sets_of, least), "pairs")
+    bits = lambda c: heads.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}"))
+    differing = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    close = differing * (1 + least) <= (F.col("na") + F.col("nb")) * (1 - least) + 1e-6
+    pairs = materialize(pairs.join(bits("a"), "a").join(bits("b"), "b").filter(close).select("a", "b"), "close")
     if not is_empty(pairs):
         some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         sets = sets_of(joined.select("t", "node").join(some, "node", "left_semi"))
