@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..shipping import map_arrow, ship
 from .blocks import close_prints, compare_in_buckets, near_pairs, star_links, thinned
 from .components import connected_components
-from .scratch import is_empty, materialize, tidy
+from .scratch import is_empty, materialize, temporary, tidy
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -245,32 +245,61 @@ def odd_bits(grams: np.ndarray, bits: int = 2048) -> np.ndarray:
     return np.packbits((np.bincount(grams & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
-def other_candidates(heads: DataFrame, sets_of, least: float, crowd: int = 64, block: int = 512) -> DataFrame:
-    """(a, b): all pairs of nodes (node, t, root, n, head) of different roots whose sets may have a similarity of at least `least`.
+def spare_length(size):
+    """How many shingles a sketch lists beyond a head of that size, to stand in for crowded ones."""
+    return size // 8 + 8
 
-    Two such sets share a shingle of their heads, the first shingles of each in any one order. head is that by hash; shingles in the heads of more than `crowd` nodes are put last, so
-    nodes whose heads hold one take others instead (sets_of gives their sets). Sizes, and what is left of both sets behind the shingle, rule most pairs out.
+
+def other_candidates(sketches: DataFrame, nodes: DataFrame, sets_of, least: float, crowd: int = 64, block: int = 8192) -> DataFrame:
+    """(a, b): rows of all pairs of nodes (row, node, t, group, n, size, listed) of different groups whose sets may have a similarity of at least `least`.
+
+    Two such sets share a shingle of their heads, the first shingles of each in any one order. That is the order of hashes, but for shingles that more than `crowd`
+    sketches (row, head, odd) list, which come last. A sketch lists some shingles more than its head has, which take the places of the crowded ones; only of
+    nodes with too few of them are the whole sets put in order (by sets_of). Sizes, and what is left of both sets behind the shingle, rule most pairs out,
+    and of shingles that many nodes still share the parities too.
     """
-    rows = materialize(heads.select("node", "root", "n", F.posexplode("head").alias("place", "gram")), "heads")
-    crowded = materialize(rows.groupBy("gram").agg(F.count("*").alias("_c")).filter(F.col("_c") > crowd).select("gram"), "crowded")
-    if not is_empty(crowded):
-        moved = materialize(rows.join(crowded, "gram", "left_semi").select("node").distinct(), "moved")
-        whole = sets_of(heads.join(moved, "node", "left_semi").select("t", "node")).select("node", F.explode("grams").alias("gram"))
+    listed = sketches.select("row", F.explode("head").alias("gram"))
+    crowded = materialize(listed.groupBy("gram").agg(F.count("*").alias("_c")).filter(F.col("_c") > crowd).select("gram"), "crowded")
+    moved = materialize(listed.join(crowded, "gram").groupBy("row").agg(F.collect_list("gram").alias("_bad")), "moved")  # of one document's list
+    short = materialize(nodes.join(moved, "row").filter(F.col("listed") - F.size("_bad") < F.col("size")).drop("_bad"), "short")
+    heads = sketches.select("row", "head").join(nodes.select("row", "group", "n", "size"), "row").join(moved, "row", "left")
+    heads = heads.withColumn("head", F.when(F.col("_bad").isNull(), F.col("head")).otherwise(F.array_except("head", "_bad"))).filter(F.size("head") >= F.col("size"))
+    rows = heads.select("row", "group", "n", F.posexplode(F.slice("head", F.lit(1), F.col("size"))).alias("place", "gram"))
+    no_sizes, large = crowded.select("gram", F.lit(0).alias("_n")).limit(0), None  # no more than `crowd` of these rows have a shingle
+    if not is_empty(short):
+        whole = sets_of(short.select("t", "node")).select("node", F.explode("grams").alias("gram"))
         last = whole.join(crowded.withColumn("_last", F.lit(1)), "gram", "left").withColumn("_last", F.coalesce("_last", F.lit(0)))
         placed = last.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("_last", "gram")) - 1)  # one document's shingles
-        again = placed.join(heads.select("node", "root", "n", F.size("head").alias("_size")), "node").filter("place < _size").select("node", "root", "n", "place", "gram")
-        rows = materialize(rows.join(moved, "node", "left_anti").select("node", "root", "n", "place", "gram").union(again), "heads")
+        again = placed.join(short.select("node", "row", "group", "n", "size"), "node").filter("place < size").select("row", "group", "n", "place", "gram")
+        again = materialize(again, "again")
+        sizes = materialize(again.groupBy("gram").agg((F.count("*") + crowd).alias("_n")).filter(F.col("_n") > 2 * crowd), "large")
+        if is_empty(sizes):
+            rows = rows.union(again)
+        else:  # the few large buckets are compared by themselves, with parities and in blocks
+            rows = rows.union(again.join(sizes.select("gram"), "gram", "left_anti").select(*again.columns))
+            others = listed.join(sizes.select("gram").join(crowded, "gram", "left_anti"), "gram")  # at most `crowd` for each
+            others = others.join(nodes.select("row", "group", "n"), "row").select("row", "group", "n", F.lit(0).alias("place"), "gram")
+            large = again.join(sizes.select("gram"), "gram", "left_semi").select(*again.columns).union(others).join(sketches.select("row", "odd"), "row")
 
     def compare(table, own, first, last):
-        node, root, n, place = (table.column(c).to_numpy() for c in ("node", "root", "n", "place"))
+        row, group, n, place = (table.column(c).to_numpy() for c in ("row", "group", "n", "place"))
+        odd = table.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(row), -1) if "odd" in table.column_names else None
         for i, j in near_pairs(first, last, own):
             rest = np.minimum(n[i] - place[i], n[j] - place[j])  # what they can share at most, if this is the first
-            near = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-6) & (rest * (1 + least) >= least * (n[i] + n[j]) - 1e-6)
+            near = (group[i] != group[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-6) & (rest * (1 + least) >= least * (n[i] + n[j]) - 1e-6)
+            if odd is not None:
+                at = np.flatnonzero(near)
+                for k in range(0, len(at), 1 << 14):
+                    x, y = i[at[k : k + (1 << 14)]], j[at[k : k + (1 << 14)]]
+                    near[at[k : k + (1 << 14)]] = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64) * (1 + least) <= (n[x] + n[y]) * (1 - least) + 1e-6
             if near.any():
-                pair = np.unique(np.sort(np.stack([node[i[near]], node[j[near]]], axis=1), axis=1), axis=0)
+                pair = np.unique(np.sort(np.stack([row[i[near]], row[j[near]]], axis=1), axis=1), axis=0)
                 yield pa.table({"a": pair[:, 0], "b": pair[:, 1]})
 
-    return compare_in_buckets(rows, "gram", "node", compare, "a long, b long", block).distinct()
+    found = compare_in_buckets(rows, "gram", "row", compare, "a long, b long", block, no_sizes)
+    if large is not None:
+        found = found.union(compare_in_buckets(large, "gram", "row", compare, "a long, b long", block, sizes))
+    return found.distinct()
 
 
 @tidy
@@ -283,22 +312,24 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of 0.8 and more, 0.994 of those below 0.82 share a variant, and all others. The sets decide, so no less similar pair is linked. Between the groups that come of it,
     the shingles that similar sets must share propose the remaining pairs (see other_candidates), so none is missed.
     """
-    kind = f"id {docs.schema[id_col].dataType.simpleString()}, t long, node long, w0 long, w1 long, n long, head array<long>, odd array<long>"
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.col(text_col).alias("text"))
+    kind = f"id {docs.schema[id_col].dataType.simpleString()}, row long, t long, node long, w0 long, w1 long, n long, size long, listed long, head array<long>, odd array<long>"
+    base = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.col(text_col).alias("text"))
 
     def sketched(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
             prints = np.array([wide_fingerprint(shingle_hashes(t, print_words)) for t in texts], dtype=np.uint64).reshape(-1, 2).view(np.int64)
             nodes = np.array([word_digest(t) for t in texts], dtype=np.uint64).view(np.int64)
-            n, heads, odd = [], [], []
+            n, sizes, heads, odd = [], [], [], []
             for t in texts:
                 grams = np.sort(shingle_hashes(t, words).view(np.int64))
                 n.append(len(grams))
                 odd.append(odd_bits(grams))
-                heads.append(grams[: head_length(len(grams), least)] if len(grams) else grams)
-            columns = [b.column("id"), b.column("t"), pa.array(nodes), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), pa.array(n, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "t", "node", "w0", "w1", "n", "head", "odd"])
+                sizes.append(int(head_length(len(grams), least)) if len(grams) else 0)
+                heads.append(grams[: sizes[-1] + spare_length(sizes[-1])])
+            numbers = [pa.array(c, pa.int64()) for c in (nodes, prints[:, 0].copy(), prints[:, 1].copy(), n, sizes, [len(h) for h in heads])]
+            columns = [b.column("id"), b.column("row"), b.column("t"), *numbers, pa.array(heads, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "t", "node", "w0", "w1", "n", "size", "listed", "head", "odd"])
 
     def cut(batches):
         for b in batches:
@@ -311,8 +342,9 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         texts = texts.join(members.select("t"), "t", "left_semi").groupBy("t").agg(F.min("text").alias("text")).join(members.select("t", "node"), "t")
         return materialize(map_arrow(texts.select("node", "text"), cut, "node long, grams array<long>"), "shingles")
 
+    about = ["row", "n", "size", "listed"]  # the rows of a node have the same sketch: the first one's stands for all
     rows = materialize(map_arrow(base, sketched, kind), "sketches", keep=True)
-    nodes = materialize(rows.groupBy("node", "w0", "w1").agg(F.min("id").alias("least"), F.min("t").alias("t")), "nodes")
+    nodes = materialize(rows.groupBy("node", "w0", "w1").agg(F.min("id").alias("least"), F.min("t").alias("t"), *(F.min(c).alias(c) for c in about)), "nodes")
     worded = nodes.filter("node <> 0")  # texts without words are like no others
     prints = materialize(worded.select("w0", "w1").distinct(), "prints")
     found = materialize(near_candidates(prints), "candidates")
@@ -323,25 +355,32 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     several = materialize(members.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component"), "several")
     members = materialize(members.join(several, "component").select("node", "t", "w0", "w1", "component"), "members")
     if is_empty(members):
-        joined = nodes.select("node", "t", "least", F.col("node").alias("root"))
+        joined = nodes.select("node", "t", "least", *about, F.col("node").alias("root"))
     else:
-        links = materialize(verified_links(members.drop("t"), sets_of(members.select("t", "node")), least), "links")
+        with temporary():
+            links = materialize(verified_links(members.drop("t"), sets_of(members.select("t", "node")), least), "links", keep=True)
         roots = connected_components(thinned(links), "a", "b").withColumnRenamed("component", "root")
-        joined = materialize(nodes.join(roots, "node", "left").select("node", "t", "least", F.coalesce("root", "node").alias("root")), "joined")
-    heads = materialize(rows.filter("node <> 0").select("node", "n", "head", "odd").dropDuplicates(["node"]).join(joined.select("node", "t", "root"), "node"), "headed")
-    pairs = materialize(other_candidates(heads, sets_of, least), "pairs")
-    bits = lambda c: heads.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}"))
+        joined = materialize(nodes.join(roots, "node", "left").select("node", "t", "least", *about, F.coalesce("root", "node").alias("root")), "joined")
+    sketches = rows.filter("node <> 0")
+    # rows number the nodes, and groups are the least of them: they travel smaller than hashes
+    grouped = joined.filter("node <> 0").join(joined.groupBy("root").agg(F.min("row").alias("group")), "root").select("node", "t", "group", *about)
+    with temporary():
+        pairs = materialize(other_candidates(sketches.select("row", "head", "odd"), materialize(grouped, "grouped"), sets_of, least), "pairs", keep=True)
+    some = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+    odd = materialize(sketches.select("row", "n", "odd").join(some, "row", "left_semi"), "odd")
+    bits = lambda c: odd.select(F.col("row").alias(c), F.col("n").alias(f"n{c}"), F.col("odd").alias(f"o{c}"))
     differing = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     close = differing * (1 + least) <= (F.col("na") + F.col("nb")) * (1 - least) + 1e-6
     pairs = materialize(pairs.join(bits("a"), "a").join(bits("b"), "b").filter(close).select("a", "b"), "close")
     if not is_empty(pairs):
-        some = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        sets = sets_of(joined.select("t", "node").join(some, "node", "left_semi"))
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+        some = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+        wanted = materialize(joined.select("t", "node", "row", "root").join(some, "row", "left_semi"), "wanted")
+        sets = sets_of(wanted.select("t", "node")).join(wanted, "node")
+        side = lambda r, g: sets.select(F.col("row").alias(r), F.col("root").alias(f"r{r}"), F.col("grams").alias(g))
+        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
         shared = F.size(F.array_intersect("x", "y"))
-        alike = materialize(both.filter(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("a", "b"), "alike")
-        root = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-        meet = connected_components(alike.join(root("a"), "a").join(root("b"), "b"), "ra", "rb").select(F.col("node").alias("root"), F.col("component").alias("_to"))
+        alike = materialize(both.filter(shared >= F.lit(least) * (F.size("x") + F.size("y") - shared)).select("ra", "rb"), "alike")
+        meet = connected_components(alike, "ra", "rb").select(F.col("node").alias("root"), F.col("component").alias("_to"))
         joined = materialize(joined.join(meet, "root", "left").select("node", "least", F.coalesce("_to", "root").alias("root")), "joined")
     placed = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")
     return rows.select("id", "t", "node").join(materialize(placed, "placed", keep=True), "node")

@@ -146,6 +146,51 @@ def test_a_large_group_with_members_unlike_its_hub(spark):
     assert {r.id: r.component_id for r in simhash.near_copy_groups(frame(spark, rows)).collect()} == plain.near_copies(rows)
 
 
+def test_crowded_shingles_do_not_bring_whole_sets_again(spark, monkeypatch):
+    """A passage that all texts have is crowded; the sketches' own further shingles take its place."""
+    rng = random.Random(12)
+    passage = [f"p{k}" for k in range(9)]
+    rows = [(k, " ".join([f"w{rng.random()}" for _ in range(90)] + passage)) for k in range(150)]
+    cut, plainly = [], simhash.materialize
+
+    def counted(df, label, keep=False):
+        out = plainly(df, label, keep)
+        if label == "shingles":
+            cut.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", counted)
+    assert len({r.component_id for r in simhash.near_copy_groups(frame(spark, rows)).collect()}) == 150
+    assert sum(cut) < 15, cut
+
+
+def test_pairs_are_proposed_where_most_shingles_are_crowded(spark):
+    """Texts of shared passages and few words of their own, each a group of its own: no pair at the threshold may be missing."""
+    rng = random.Random(13)
+    passages = [[f"p{n}-{k}" for k in range(n)] for n in (20, 60)]
+    texts = []
+    for k in range(160):
+        words = [*passages[k % 2], *(f"w{rng.random()}" for _ in range(rng.choice([3, 12, 60])))]
+        texts += [" ".join(words)] * (k % 3 == 0) + [" ".join([*words[:-1], "x"]), " ".join(["y", *words])]
+    sets = [simhash.shingle_hashes(t, 5).view(np.int64) for t in dict.fromkeys(texts)]
+    size = [int(simhash.head_length(len(s), 0.8)) for s in sets]
+    lists = [np.sort(s)[: h + simhash.spare_length(h)].tolist() for s, h in zip(sets, size, strict=True)]
+    sketches = spark.createDataFrame([(k, h, simhash.odd_bits(s).tolist()) for k, (h, s) in enumerate(zip(lists, sets, strict=True))], "row long, head array<long>, odd array<long>")
+    nodes = [(k, 7 * k, k, k, len(s), size[k], len(lists[k])) for k, s in enumerate(sets)]
+    nodes = spark.createDataFrame(nodes, "row long, node long, t long, group long, n long, size long, listed long")
+    whole = spark.createDataFrame([(7 * k, s.tolist()) for k, s in enumerate(sets)], "node long, grams array<long>")
+    asked = []
+
+    def sets_of(members):
+        asked.append(members.count())
+        return whole.join(members.select("node"), "node", "left_semi")
+
+    found = {(r.a, r.b) for r in simhash.other_candidates(sketches, nodes, sets_of, 0.8, crowd=16, block=32).collect()}
+    held = [set(s.tolist()) for s in sets]
+    true = {(i, j) for j in range(len(held)) for i in range(j) if len(held[i] & held[j]) >= 0.8 * len(held[i] | held[j])}
+    assert asked and 0 < asked[0] < len(sets) and len(true) > 500 and true <= found
+
+
 def test_a_pair_at_the_threshold_is_proposed():
     rng = np.random.default_rng(5)
     hit = 0
