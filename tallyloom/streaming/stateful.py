@@ -1,5 +1,5 @@
-"""Streams with state of their own for each key: ids and queues by joins and windows over what earlier micro-batches have left in tables, deliveries and idle
-rounds by transformWithState on RocksDB.
+"""Streams with state of their own for each key: ids, queues and idle rounds by joins and windows over what earlier micro-batches have left in tables, deliveries
+by transformWithState on RocksDB.
 
 State is written entry by entry, so what a micro-batch writes follows its own rows and not a key's history. Rows of a key are taken in the order of
 their number (or time), whatever micro-batch or task order they come in.
@@ -250,75 +250,52 @@ def deliveries(items: DataFrame, judges_visible: bool = True) -> DataFrame:
 # ---- idle rounds
 
 
-class _Idle(StatefulProcessor):
-    """Rows wait until the watermark has passed them, so that lateness and the cut into micro-batches change nothing."""
-
-    def __init__(self, idle: int, grace: int):
-        self._idle, self._grace = idle, grace  # milliseconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._pending = handle.getListState("pending", "at long, content boolean, busy long")
-        self._session = handle.getValueState("session", "due long, nudged boolean, busy long, ended boolean")
-
-    def handleInputRows(self, key, rows, timerValues):
-        new = [(int(r.at), bool(r.content), int(r.busy)) for r in _in_order(rows, "at").itertuples()]
-        self._pending.appendList(new)
-        for at in {r[0] for r in new}:
-            self._handle.registerTimer(at)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = timerValues.getCurrentWatermarkInMs()  # all rows up to it are there, so one timer does for all that are due
-        due, nudged, busy, ended = self._session.get() if self._session.exists() else (None, False, 0, False)
-        rows = sorted(tuple(r) for r in self._pending.get())
-        out = []
-        for at, content, until in [r for r in rows if r[0] <= now]:
-            due, nudged, ended = self._advance(at - 1, due, nudged, busy, ended, key, out)
-            busy = max(busy or 0, until)
-            if content and not ended:
-                due, nudged = at + self._idle, False
-        due, nudged, ended = self._advance(now, due, nudged, busy, ended, key, out)
-        later = [r for r in rows if r[0] > now]
-        if len(later) < len(rows):
-            self._pending.clear()
-            if later:
-                self._pending.appendList(later)
-        self._session.update((due, nudged, busy, ended))
-        if due is not None and not ended:
-            self._handle.registerTimer(self._end(due, busy) if nudged else due)
-        yield pd.DataFrame(out, columns=["session_id", "at", "action"])
-
-    def _end(self, due: int, busy: int) -> int:
-        """When the second idle round ends the session: at once, or when judges have finished, but for the grace at most."""
-        return min(max(due, busy or 0), due + self._grace)
-
-    def _advance(self, to, due, nudged, busy, ended, key, out):
-        """What happens up to a time without further rows."""
-        if ended or due is None:
-            return due, nudged, ended
-        if not nudged and due <= to:
-            out.append((*key, due, "nudge"))
-            due, nudged = due + self._idle, True
-        if nudged and self._end(due, busy) <= to:
-            out.append((*key, self._end(due, busy), "end"))
-            ended = True
-        return due, nudged, ended
-
-    def close(self) -> None:
-        pass
-
-
-def idle_rounds(activity: DataFrame, idle_seconds: int = 60, grace_seconds: int = 120, late: str = "1 hour") -> DataFrame:
+def idle_rounds(activity: DataFrame, idle_seconds: int = 60, grace_seconds: int = 120, late: str = "1 hour") -> Fold:
     """(session_id, acted_at, action) of a stream (session_id, ts timestamp, content boolean, busy_until timestamp): what a session without new content comes to.
 
     After an idle round its participants are nudged; after a second one the session ends, unless judges are busy then (busy_until), who are
     waited for until they have finished, but for the grace at most. New content before the end begins anew; what comes after the end counts no more.
-    Rows later than the watermark are dropped. Times are those of events: a round passes when the watermark has passed it.
+    Rows later than the watermark are dropped. Times are those of events, in milliseconds: a round passes when the watermark has passed it.
+
+    Rows wait until the watermark has passed them, so that lateness and the cut into micro-batches change nothing. Behind each row, the last content and the longest busy time
+    up to it say when the session is nudged and when it ends, if no row comes before. State is what waits, one row for each session that is open, and which ones have ended.
     """
-    keyed_state(activity.sparkSession)
+    idle, grace, wait = idle_seconds * 1000, grace_seconds * 1000, pd.Timedelta(late).value // 1_000_000
     kind = activity.schema["session_id"].dataType.simpleString()
-    millis = lambda c: F.unix_millis(F.col(c))
-    rows = activity.withWatermark("ts", late).select("session_id", "ts", millis("ts").alias("at"), F.coalesce("content", F.lit(False)).alias("content"), F.coalesce(millis("busy_until"), F.lit(0)).alias("busy"))
-    out = rows.groupBy("session_id").transformWithStateInPandas(_Idle(idle_seconds * 1000, grace_seconds * 1000), f"session_id {kind}, at long, action string", "Append", "EventTime")
-    return out.select("session_id", F.timestamp_millis("at").alias("acted_at"), "action")
+    waiting = f"session_id {kind}, at long, content long, busy long"
+    rounds = f"session_id {kind}, nudge long, finish long, content long, busy long, open boolean"
+
+    def step(rows: DataFrame, number: int, folder: str) -> None:
+        spark, millis = rows.sparkSession, F.unix_millis(F.col("ts"))
+        new = rows.select("session_id", millis.alias("at"), F.when(F.col("content"), millis).alias("content"), F.unix_millis(F.col("busy_until")).alias("busy")).filter("at is not null")
+        before = kept(spark, folder, "newest", "at long").filter(F.col("batch") < number).agg(F.max("at")).first()[0] if number else None
+        newest = max((t for t in (before, new.agg(F.max("at")).first()[0]) if t is not None), default=None)
+        early, passed = (F.lit(None if t is None else t - wait).cast("long") for t in (before, newest))  # the watermarks before and after this micro-batch
+        new = new.filter(early.isNull() | (F.col("at") > early))
+        if number:
+            done = kept(spark, folder, "rounds", rounds)
+            new = new.union(kept(spark, folder, "waiting", waiting).filter(F.col("batch") == number - 1).select(new.columns))
+            new = _joined(new, done.filter((F.col("batch") < number) & F.col("finish").isNotNull()).select("session_id"), ["session_id"], "left_anti")
+            # an open session comes as a row of its own before all others
+            new = new.union(done.filter((F.col("batch") == number - 1) & F.col("open")).select("session_id", early.alias("at"), "content", "busy"))
+        keep(new.filter(F.col("at") > passed), folder, "waiting", number)
+        order = Window.partitionBy("session_id").orderBy("at")
+        upto, earlier = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+        each = new.filter(F.col("at") <= passed).select("session_id", "at", F.max("content").over(upto).alias("content"), F.max("busy").over(upto).alias("busy"), F.lead("at").over(order).alias("next"))
+        # of rows of the same time only the last one has anything behind it
+        comes = lambda t: F.when((t <= passed) & (F.col("next").isNull() | (t < F.col("next"))), t)
+        first, second = F.col("content") + idle, F.col("content") + 2 * idle
+        finish = F.when(second.isNotNull(), F.least(F.greatest(second, "busy"), second + grace))
+        each = each.withColumn("nudge", F.when((first >= F.col("at")) & (early.isNull() | (first > early)), comes(first))).withColumn("finish", comes(finish))
+        each = each.withColumn("_ended", F.max("finish").over(earlier)).filter("_ended is null")
+        # without content, a busy time that has passed can't matter any more
+        open_ = F.col("next").isNull() & F.col("finish").isNull() & F.coalesce(F.col("content").isNotNull() | (F.col("busy") > passed), F.lit(False))
+        each = each.select("session_id", "nudge", "finish", "content", "busy", open_.alias("open"))
+        keep(each.filter("open or nudge is not null or finish is not null"), folder, "rounds", number)
+        keep(spark.range(1).select(F.lit(newest).cast("long").alias("at")), folder, "newest", number)
+
+    def result(spark: SparkSession, folder: str) -> DataFrame:
+        did = lambda c, action: F.struct(F.timestamp_millis(c).alias("acted_at"), F.lit(action).alias("action"))
+        return kept(spark, folder, "rounds", rounds).select("session_id", F.inline(F.array(did("nudge", "nudge"), did("finish", "end")))).filter("acted_at is not null")
+
+    return Fold(activity, step, result)

@@ -146,3 +146,52 @@ def test_queues_of_all_kinds_against_the_plain_rule(spark, tmp_path):
     out = ST.in_batches(parts, lambda s: seen.append(X.drained_rounds(s)) or seen[-1], str(tmp_path))
     assert sorted(tuple(r) for r in out.collect()) == sorted(wanted) and len(wanted) > 700
     assert all(isinstance(x, ST.Fold) for x in seen)
+
+
+def test_idle_rounds_of_all_kinds_against_the_plain_rule(spark, tmp_path):
+    """Random sessions over four micro-batches against a loop over their rows, without Python for each session."""
+    idle, grace, late = 60_000, 120_000, 300_000
+    rng, start = random.Random(8), dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    rows = []
+    for session in [None, *range(500)]:
+        for _ in range(rng.randint(1, 12)):
+            second = rng.choice([rng.randint(0, 1800), 30 * rng.randint(0, 60)])
+            part = min(3, max(0, second // 450 + rng.choice([0] * 8 + [1, 2])))
+            busy = None if rng.random() < 0.6 else start + dt.timedelta(seconds=second + rng.choice([5, 100, 150, 900]))
+            rows.append((session, start + dt.timedelta(seconds=second, microseconds=rng.choice([0, 0, 400, 1000])), rng.choice([True, True, False, None]), busy, part))
+    # the first part's watermark is 100 s: a row of the second that lies within its millisecond is late, one of the next isn't
+    rows = [r for r in rows if r[-1] or r[1] <= start + dt.timedelta(seconds=400)] + [(600, start + dt.timedelta(seconds=400), False, None, 0), (8, None, True, None, 0)]
+    rows += [(601, start + dt.timedelta(seconds=100, microseconds=900), True, None, 1), (602, start + dt.timedelta(seconds=100, microseconds=1000), True, None, 1)]
+    millis = lambda t: None if t is None else (t - start) // dt.timedelta(milliseconds=1)
+    passed, sessions, dropped = None, {}, 0
+    for part in range(4):
+        new = [(s, millis(t), bool(content), millis(busy)) for s, t, content, busy, p in rows if p == part and t is not None]
+        for session, at, content, busy in new:
+            if passed is None or at > passed:
+                sessions.setdefault(session, []).append((at, content, busy))
+            else:
+                dropped += 1
+        passed = max([passed] * (passed is not None) + [r[1] - late for r in new])
+    wanted = []
+    for session, some in sessions.items():
+        due, nudged, until = None, False, 0
+        for at, content, busy in [*sorted((r for r in some if r[0] <= passed), key=lambda r: r[0]), (passed + 1, False, None)]:
+            if due is not None and not nudged and due < at:
+                wanted.append((session, due, "nudge"))
+                due, nudged = due + idle, True
+            end = min(max(due, until), due + grace) if nudged else None
+            if nudged and end < at:
+                wanted.append((session, end, "end"))
+                break
+            until = max(until, busy or 0)
+            if content:
+                due, nudged = at + idle, False
+    seen = []
+    parts = parts_of(spark, rows, "session_id long, ts timestamp, content boolean, busy_until timestamp")
+    out = ST.in_batches(parts, lambda s: seen.append(X.idle_rounds(s, 60, 120, "5 minutes")) or seen[-1], str(tmp_path))
+    origin = int(start.timestamp() * 1000)
+    got = [(r.session_id, r.at - origin, r.action) for r in out.select("session_id", F.unix_millis("acted_at").alias("at"), "action").collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    assert sorted(got, key=key) == sorted(wanted, key=key)
+    assert len(wanted) > 800 and dropped > 30 and {r[0] for r in wanted} & {601, 602} == {602} and sum(r[2] == "end" for r in wanted) > 300
+    assert all(isinstance(x, ST.Fold) for x in seen)
